@@ -54,7 +54,7 @@ def tagged(started: DataFrame | None, metered: DataFrame, usage: DataFrame) -> D
     feed = sides[0]
     for other in sides[1:]:
         feed = feed.unionByName(other, allowMissingColumns=True)
-    return feed
+    return feed.where(F.col("request_id").isNotNull())
 
 
 def _copy(side: str, *fields: str) -> Column:
