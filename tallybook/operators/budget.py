@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
+from math import lcm
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -23,16 +24,10 @@ REFILL_PER_SECOND = 50.0
 def _units(capacity: int, refill_per_second: float) -> tuple[int, int, int]:
     """Units per token, capacity and refill per millisecond in units, all whole numbers."""
     rate = Fraction(refill_per_second).limit_denominator(1_000_000) / 1000
-    unit = 1000 * rate.denominator // _gcd(1000, rate.denominator)
+    unit = lcm(1000, rate.denominator)
     return unit, capacity * unit, int(rate * unit)
 
 
-def _gcd(a: int, b: int) -> int:
-    while b:
-        a, b = b, a % b
-    return a
-
-
 def budget_decisions(
     draws: DataFrame,
     *,

@@ -257,7 +257,7 @@ def attribute_pairs(
     ).drop("duplicate")
 
 
-def buffered(state: DataFrame, settled_at: Column = F.col("settled_at")) -> DataFrame:
+def buffered(state: DataFrame, settled_at: Column) -> DataFrame:
     """Half-joined requests: ``buffered_metered`` and ``buffered_usage`` flags.
 
     A metered record waits until its request settles. A report waits until then too, and one that

@@ -6,7 +6,7 @@ Each block is SQL that Spark and DuckDB both run unchanged, so queries and their
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tallybook.session import configure
 
@@ -116,10 +116,15 @@ FROM events""",
     # Streams: one per assistant turn. Times are milliseconds since the log began.
     "streams": """
 SELECT concat('chat-', conv_id, '-', turn) AS request_id, concat('t', conv_id % 4) AS tenant_id,
-  conv_id, turn, text, 20 + conv_id % 60 AS admitted, 5 + conv_id % 20 AS prompt_tokens,
+  conv_id, turn, text, 100 + conv_id % 60 * 5 AS admitted, 5 + conv_id % 20 AS prompt_tokens,
   conv_id * 1500 + turn * 9000 AS opened_ms, (conv_id * 733 + turn * 97) % 12000 AS wait_ms,
-  3 + conv_id % 40 AS gap_ms
+  3 + conv_id % 40 AS gap_ms, length(text) - length(replace(text, ' ', '')) + 1 AS words
 FROM conversations WHERE role = 'assistant'""",
+    # The words of each stream are its content lines; line numbers start after two lead-in lines.
+    "stream_spans": """
+SELECT request_id, tenant_id, opened_ms,
+  CASE WHEN conv_id % 25 <> 0 THEN opened_ms + wait_ms + (words + 4) * gap_ms END AS closed_ms
+FROM streams""",
 }
 
 # Which blocks each block reads.
@@ -130,6 +135,7 @@ NEEDS = {
     "feed": ["base"],
     "wire": ["base"],
     "stream_outcomes": ["base"],
+    "stream_spans": ["streams"],
 }
 
 
@@ -163,3 +169,102 @@ def view(spark: SparkSession, folder: str, name: str) -> DataFrame:
     for source in TABLES:
         text = text.replace(f"FROM {source}", f"FROM parquet.`{folder}/{source}.parquet`")
     return spark.sql(text)
+
+
+def stream_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """The lines each stream was received in.
+
+    A keep-alive comment, an early usage block, a chunk per word, a broken chunk, the final usage
+    block and the end marker. One stream in ten reports no usage, one in seven lacks the marker.
+    """
+    streams = view(spark, folder, "streams")
+    words = F.split("text", " ")
+    chunks = F.transform(
+        words,
+        lambda word, i: F.concat(
+            F.lit("data: "),
+            F.to_json(
+                F.struct(
+                    F.array(
+                        F.struct(
+                            F.struct(
+                                F.concat(
+                                    word, F.when(i < F.size(words) - 1, " ").otherwise("")
+                                ).alias("content")
+                            ).alias("delta")
+                        )
+                    ).alias("choices")
+                )
+            ),
+        ),
+    )
+    reports = F.col("conv_id") % 10 != 0
+    early = F.when(
+        reports, 'data: {"choices": [], "usage": {"prompt_tokens": 1, "completion_tokens": 1}}'
+    ).otherwise("")
+    final = F.when(
+        reports & (F.col("turn") % 4 == 3),
+        F.format_string('data: {"choices": [], "usage": {"completion_tokens": %d}}', "words"),
+    ).when(
+        reports,
+        F.format_string(
+            'data:{"usage": {"prompt_tokens": %d, "completion_tokens": %d}}  ',
+            "prompt_tokens",
+            "words",
+        ),
+    ).otherwise("data: 5")
+    end = F.when(F.col("conv_id") % 7 != 0, "data: [DONE]").otherwise("")
+    lines = F.concat(
+        F.array(F.lit(": keep-alive"), early), chunks, F.array(F.lit("data: {not json"), final, end)
+    )
+    return streams.select(
+        "request_id", "opened_ms", "wait_ms", "gap_ms", F.posexplode(lines).alias("seq", "line")
+    ).select(
+        "request_id",
+        F.col("seq").cast("bigint").alias("seq"),
+        "line",
+        (
+            F.col("opened_ms")
+            + F.when(F.col("seq") >= 2, F.col("wait_ms")).otherwise(0)
+            + F.col("seq") * F.col("gap_ms")
+        ).alias("arrived_ms"),
+    )
+
+
+def chat_bodies(spark: SparkSession, folder: str) -> DataFrame:
+    """A request body per conversation turn; every third message comes as a list of parts."""
+    text = F.col("text")
+    plain = F.to_json(
+        F.struct(
+            F.lit("m").alias("model"),
+            F.array(F.struct("role", text.alias("content"))).alias("messages"),
+        )
+    )
+
+    def part(kind: str, value: Column) -> Column:
+        return F.struct(F.lit(kind).alias("type"), value.alias("text"))
+
+    parts = F.to_json(
+        F.struct(
+            F.array(
+                F.struct(
+                    "role",
+                    F.array(
+                        part("text", F.substring(text, 1, 10)),
+                        part("image_url", F.lit(None).cast("string")),
+                        part("text", F.substr(text, F.lit(11))),
+                    ).alias("content"),
+                )
+            ).alias("messages")
+        )
+    )
+    return table(spark, folder, "conversations").select(
+        "conv_id",
+        "turn",
+        "role",
+        F.when(F.col("turn") % 3 == 1, parts).otherwise(plain).alias("body"),
+        F.when(F.col("conv_id") % 3 == 1, 0)
+        .when(F.col("conv_id") % 3 == 2, F.col("conv_id") * 7)
+        .cast("bigint")
+        .alias("max_tokens"),
+    )

@@ -44,8 +44,19 @@ UNKNOWN_MODEL = "unknown"
 DEFAULT_TENANT = "default"
 
 
-def _struct(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+_TYPES = {
+    "string": T.StringType(),
+    "int": T.IntegerType(),
+    "bigint": T.LongType(),
+    "timestamp": T.TimestampType(),
+    "map<string,string>": T.MapType(T.StringType(), T.StringType()),
+}
+
+
+def _struct(fields: str) -> T.StructType:
+    """A schema from "name type, ..."; unlike the DDL parser it needs no running session."""
+    pairs = [field.split() for field in fields.split(", ")]
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in pairs])
 
 
 STARTED_SCHEMA = _struct(
