@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
 from tallybook import schemas as S
@@ -81,7 +82,7 @@ def request_defaults(
 
 
 def from_epoch(seconds: Column) -> Column:
-    return F.timestamp_micros((seconds * 1_000_000).cast("bigint"))
+    return F.timestamp_micros(F.round(seconds * 1_000_000).cast("bigint"))
 
 
 def to_epoch(moment: Column) -> Column:
@@ -93,8 +94,6 @@ def text_counter(counter: Callable[[str], int]):
 
     Use it only where the count must be exact: text leaves the JVM in Arrow batches.
     """
-    import pandas as pd
-
     def count(texts: pd.Series) -> pd.Series:
         return texts.fillna("").map(lambda text: counter(text) if text else 0).astype("int64")
 

@@ -61,19 +61,11 @@ def _whole(text: Column) -> Column:
     return F.when(number == F.floor(number), number.try_cast("bigint"))
 
 
-def decode(feed: DataFrame, topic: str) -> DataFrame:
-    """Records of one topic as typed columns, the record as ``value`` and an ``error``, NULL if good.
-
-    Unknown fields are ignored. A record fails when it is not JSON, lacks a field, holds a value of
-    the wrong type or an unknown terminal state.
-    """
-    schema = S.TOPIC_SCHEMAS[topic]
-    raw = feed.where(F.col("topic") == topic).withColumn(
-        "_r", F.from_json("value", _wire_schema(schema))
-    )
+def _typed(schema: T.StructType, record: str) -> tuple[dict[str, Column], Column]:
+    """Typed columns of a text record, and the first field that is missing or of the wrong type."""
     typed, bad = {}, F.lit(None).cast("string")
     for field in reversed(schema.fields):
-        text = F.col(f"_r.{field.name}")
+        text = F.col(f"{record}.{field.name}")
         if isinstance(field.dataType, T.LongType):
             value = _whole(text)
         elif isinstance(field.dataType, T.TimestampType):
@@ -84,14 +76,55 @@ def decode(feed: DataFrame, topic: str) -> DataFrame:
             value = text
         typed[field.name] = value
         bad = F.when(value.isNull(), F.lit(field.name)).otherwise(bad)
-    whole = F.try_parse_json("value")
+    return typed, bad
+
+
+def _error(bad: Column) -> Column:
+    return F.when(F.try_parse_json("value").isNull(), F.lit("not json")).otherwise(bad)
+
+
+def decode(feed: DataFrame, topic: str) -> DataFrame:
+    """Records of one topic as typed columns, the record as ``value`` and an ``error``, NULL if good.
+
+    Unknown fields are ignored. A record fails when it is not JSON, lacks a field, holds a value of
+    the wrong type or an unknown terminal state.
+    """
+    schema = S.TOPIC_SCHEMAS[topic]
+    raw = feed.where(F.col("topic") == topic).withColumn(
+        "_r", F.from_json("value", _wire_schema(schema))
+    )
+    typed, bad = _typed(schema, "_r")
     return (
-        raw.withColumn("error", F.when(whole.isNull(), F.lit("not json")).otherwise(bad))
+        raw.withColumn("error", _error(bad))
         .withColumns({f.name: typed[f.name] for f in schema.fields})
         .drop("_r")
     )
 
 
+def decode_all(feed: DataFrame) -> DataFrame:
+    """Records of all input topics in one read of the feed.
+
+    Gives the columns of every topic (NULL where a topic has none), the arrival time as ``at``, and
+    ``error``. Records of other topics are left out.
+    """
+    fields = {f.name: f for topic in INPUT_TOPICS for f in S.TOPIC_SCHEMAS[topic].fields}
+    every = T.StructType(list(fields.values()))
+    times = [S.ARRIVAL[topic] for topic in INPUT_TOPICS]
+    bad, at = F.lit(None).cast("string"), F.lit(None).cast("timestamp")
+    typed, _ = _typed(every, "_r")
+    for topic in INPUT_TOPICS:
+        here = F.col("topic") == topic
+        bad = F.when(here, _typed(S.TOPIC_SCHEMAS[topic], "_r")[1]).otherwise(bad)
+        at = F.when(here, typed[S.ARRIVAL[topic]]).otherwise(at)
+    return (
+        feed.where(F.col("topic").isin(*INPUT_TOPICS))
+        .withColumn("_r", F.from_json("value", _wire_schema(every)))
+        .withColumn("error", _error(bad))
+        .withColumns({n: c for n, c in typed.items() if n not in times} | {"at": at})
+        .drop("_r")
+    )
+
+
 def good(decoded: DataFrame, topic: str) -> DataFrame:
     return decoded.where(F.col("error").isNull()).select(
         *[f.name for f in S.TOPIC_SCHEMAS[topic].fields]

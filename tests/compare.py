@@ -27,7 +27,7 @@ def canonical(frame: pd.DataFrame) -> list[tuple]:
         if pd.isna(value):
             return ""
         if isinstance(value, float):
-            return f"{value:.9g}"
+            return str(int(value)) if value.is_integer() else f"{value:.9g}"
         if isinstance(value, pd.Timestamp):
             return value.isoformat()
         return str(value)
