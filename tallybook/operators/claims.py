@@ -7,10 +7,14 @@ completes keeps it for the completed TTL from then on; a released one gives it s
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, functions as F
 
+from tallybook.operators.skew import heavy_keys, salted_join
+from tallybook.session import shared_dir
+
 LEASE_MS = 180_000
 COMPLETED_TTL_MS = 86_400_000
 
@@ -18,6 +22,11 @@ CLAIMED = "claimed"
 IN_FLIGHT = "in_flight"
 REPLAY = "replay"
 
+KEY = ["tenant_id", "idempotency_key"]
+FIELDS = [*KEY, "event_id", "request_id", "t_ms", "dur_ms", "released"]
+HEAVY_ROWS = 1_000_000
+BEFORE_ALL, FOREVER = -(2**63), 2**63 - 1
+
 OUTPUT = (
     "tenant_id string, idempotency_key string, event_id bigint, request_id string, "
     "outcome string, holder string"
@@ -25,13 +34,33 @@ OUTPUT = (
 
 
 def claim_outcomes(
-    attempts: DataFrame, *, lease_ms: int = LEASE_MS, completed_ttl_ms: int = COMPLETED_TTL_MS
+    attempts: DataFrame,
+    *,
+    lease_ms: int = LEASE_MS,
+    completed_ttl_ms: int = COMPLETED_TTL_MS,
+    heavy_rows: int = HEAVY_ROWS,
 ) -> DataFrame:
     """The outcome of each attempt and the request that holds the key after it.
 
-    Keys are independent. Each task reads its keys in time order and keeps one record and the
-    completions still to come of the current key.
+    Keys are independent. Most are read in time order, one record in memory at a time. A key with
+    more than about ``heavy_rows`` attempts is instead spread over all tasks, see ``_heavy_outcomes``.
+    Finding those keys runs one small job; if there are any, a few more follow.
     """
+    rows = attempts.select(*FIELDS)
+    found = [r["_heavy"] for r in heavy_keys(rows, KEY, at_least=heavy_rows).collect()]
+    if not found:
+        return _fold_keys(rows, lease_ms, completed_ttl_ms)
+    listed = F.broadcast(rows.sparkSession.createDataFrame([(k,) for k in found], "_heavy string"))
+    packed = rows.withColumn("_heavy", F.to_json(F.struct(*KEY)))
+    light = packed.join(listed, "_heavy", "left_anti").drop("_heavy")
+    heavy = packed.join(listed, "_heavy", "left_semi").drop("_heavy")
+    return _fold_keys(light, lease_ms, completed_ttl_ms).unionByName(
+        _heavy_outcomes(heavy, lease_ms, completed_ttl_ms)
+    )
+
+
+def _fold_keys(attempts: DataFrame, lease_ms: int, completed_ttl_ms: int) -> DataFrame:
+    """Each task reads its keys in time order, keeping the record of the current key."""
 
     def run(batches: Iterator) -> Iterator:
         import heapq
@@ -66,10 +95,86 @@ def claim_outcomes(
             )
 
     return (
-        attempts.select(
-            "tenant_id", "idempotency_key", "event_id", "request_id", "t_ms", "dur_ms", "released"
-        )
-        .repartition("tenant_id", "idempotency_key")
-        .sortWithinPartitions("tenant_id", "idempotency_key", "t_ms", "event_id")
+        attempts.repartition(*KEY)
+        .sortWithinPartitions(*KEY, "t_ms", "event_id")
         .mapInPandas(run, OUTPUT)
     )
+
+
+def _heavy_outcomes(attempts: DataFrame, lease_ms: int, completed_ttl_ms: int) -> DataFrame:
+    """The same for a few keys with very many attempts.
+
+    Few of those attempts claim: each claim that runs keeps its key for a while. So claims are found
+    one after another, for all keys at once, as the earliest attempt at which the key is free, which
+    is a minimum and needs no order and no shuffle of the attempts. The driver keeps the claims of
+    at most ``HEAVY_KEYS`` keys. Then every attempt is matched to the write that came last before it.
+    """
+    spark = attempts.sparkSession
+    staged = f"{shared_dir(spark)}/claims-{uuid.uuid4().hex}"
+    attempts.write.parquet(staged)
+    attempts = spark.read.parquet(staged)
+    running = attempts.where(~F.col("released"))
+
+    writes: dict[tuple, list] = {}
+    coming: dict[tuple, list] = {}
+    free = None
+    while True:
+        rows = running
+        if free is not None:
+            gaps = spark.createDataFrame(free, "tenant_id string, idempotency_key string, low bigint, high bigint")
+            rows = rows.join(F.broadcast(gaps), KEY).where("t_ms >= low and t_ms < high")
+        claims = (
+            rows.groupBy(*KEY)
+            .agg(F.min(F.struct("t_ms", "event_id", "request_id", "dur_ms")).alias("c"))
+            .select(*KEY, "c.*")
+            .collect()
+        )
+        if not claims:
+            break
+        free = []
+        for row in claims:
+            key, now = (row.tenant_id, row.idempotency_key), row.t_ms
+            log, ahead = writes.setdefault(key, []), coming.get(key, [])
+            log += [w for w in ahead if w[0] <= now]
+            ahead = [w for w in ahead if w[0] > now]
+            log.append((now, row.event_id, row.request_id, False, now + lease_ms))
+            if row.dur_ms is not None:
+                ended = now + row.dur_ms
+                ahead.append((ended, BEFORE_ALL, row.request_id, True, ended + completed_ttl_ms))
+                ahead.sort()
+            coming[key] = ahead
+            for held, following in zip([log[-1], *ahead], [*ahead, None], strict=True):
+                until = following[0] if following else FOREVER
+                if held[4] < until:
+                    free.append((*key, held[4], until))
+
+    spans = []
+    for key, log in writes.items():
+        log = log + coming[key]
+        first = (None, None, None, False, BEFORE_ALL)
+        for held, following in zip([first, *log], [*log, None], strict=True):
+            begin = held[:2] if held[0] is not None else (BEFORE_ALL, BEFORE_ALL)
+            end = following[:2] if following else (FOREVER, FOREVER)
+            spans.append((*key, *begin, *end, *held[2:]))
+    held = spark.createDataFrame(
+        spans,
+        "tenant_id string, idempotency_key string, from_ms bigint, from_id bigint, to_ms bigint, "
+        "to_id bigint, holding string, done boolean, expiry bigint",
+    )
+    everyone = attempts.select(*KEY).distinct().select(F.to_json(F.struct(*KEY)).alias("_heavy"))
+    place = F.struct("t_ms", "event_id")
+    matched = salted_join(attempts, held, KEY, "left", heavy=everyone).where(
+        F.col("from_ms").isNull()
+        | (
+            (place > F.struct(F.col("from_ms").alias("t_ms"), F.col("from_id").alias("event_id")))
+            & (place <= F.struct(F.col("to_ms").alias("t_ms"), F.col("to_id").alias("event_id")))
+        )
+    )
+    busy = F.coalesce(F.col("t_ms") < F.col("expiry"), F.lit(False))
+    return matched.select(
+        *KEY,
+        "event_id",
+        "request_id",
+        F.when(~busy, CLAIMED).when(F.col("done"), REPLAY).otherwise(IN_FLIGHT).alias("outcome"),
+        F.when(busy, F.col("holding")).otherwise(F.col("request_id")).alias("holder"),
+    )

@@ -12,7 +12,9 @@ FANOUT = 64
 BLOCK = 65_536
 
 
-def heavy_keys(rows: DataFrame, keys: Sequence[str], limit: int = HEAVY_KEYS) -> DataFrame:
+def heavy_keys(
+    rows: DataFrame, keys: Sequence[str], limit: int = HEAVY_KEYS, at_least: int = 1_000
+) -> DataFrame:
     """At most ``limit`` distinct key tuples, the most frequent ones.
 
     A mergeable sketch finds them without shuffling the rows. It only steers where rows go, so
@@ -24,7 +26,7 @@ def heavy_keys(rows: DataFrame, keys: Sequence[str], limit: int = HEAVY_KEYS) ->
         rows.select(F.to_json(packed).alias("_k"))
         .agg(F.expr(f"approx_top_k(_k, {limit}, {TRACKED_KEYS})").alias("_top"))
         .select(F.explode("_top").alias("_top"))
-        .where("_top.count > 1000")
+        .where(F.col("_top.count") >= at_least)
         .select(F.col("_top.item").alias("_heavy"))
     )
 

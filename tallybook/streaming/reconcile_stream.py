@@ -236,9 +236,9 @@ def interval_join(
         (F.col("a.prompt_tokens") + F.col("a.completion_tokens")).alias("metered_total"),
         (F.col("b.prompt_tokens") + F.col("b.completion_tokens")).alias("provider_total"),
         F.col("a.terminal_state").alias("terminal_state"),
-        F.coalesce(
-            F.greatest("a_at", "b_at"), F.expr(f"a_at + INTERVAL {window_seconds} SECOND")
-        ).alias("settled_at"),
+        F.when(F.col("b_at").isNotNull(), F.greatest("a_at", "b_at"))
+        .otherwise(F.expr(f"a_at + INTERVAL {window_seconds} SECOND"))
+        .alias("settled_at"),
     )
     return rows.withColumns(
         attribution(
