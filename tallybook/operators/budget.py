@@ -1,11 +1,15 @@
 """Replay token-bucket decisions over a log of draws.
 
 A bucket refills lazily up to its capacity, grants a draw whole or not at all, and remembers the
-time of the draw even when it refuses. Decisions depend on every earlier draw of the tenant, yet no
-task has to read a tenant's whole log. Time is cut into slices, and a slice is summed up by how it
-turns any level it may start at into the level it ends at: a piecewise map with slopes 0 and 1.
-Applying the maps in order, one row per slice, gives each slice its true start; the slices are
-then replayed side by side.
+time of the draw even when it refuses. Decisions depend on every earlier draw of the tenant, yet
+most of the work needs no whole log in one task. Time is cut into slices, and a slice is summed up by
+how it turns any level it may start at into the level it ends at: a piecewise map with slopes 0
+and 1, which shrinks to a constant as soon as the bucket has been full once. Applying the maps in
+order, one row per slice, gives each slice its true start; the slices are then replayed side by side.
+
+A tenant that stays over its limit never forgets where it started, and its map would grow without
+end. Past ``MAX_PIECES`` such a slice is passed on as bare (time, tokens) pairs instead, to be folded
+in order with one number of state.
 """
 
 from __future__ import annotations
@@ -16,7 +20,11 @@ from math import lcm
 
 from pyspark.sql import DataFrame, functions as F
 
+from tallybook.operators.skew import by_key
+
 SLICE_MS = 600_000
+MAX_PIECES = 512
+CHUNK = 8_192
 CAPACITY = 200_000
 REFILL_PER_SECOND = 50.0
 
@@ -47,23 +55,22 @@ def budget_decisions(
     cut = draws.select("tenant_id", "now_ms", "tokens", order).withColumn(
         "slice", F.floor(F.col("now_ms") / slice_ms)
     )
-    ordered = cut.repartition(*key).sortWithinPartitions(*key, "now_ms", order)
-
-    maps = ordered.where("tokens > 0").mapInPandas(
+    ordered = by_key(cut.where("tokens > 0"), *key).sortWithinPartitions(*key, "now_ms", order)
+    summed = ordered.mapInPandas(
         _slice_maps(unit, full, refill),
-        "tenant_id string, slice bigint, first_ms bigint, last_ms bigint, "
-        "low array<bigint>, image array<bigint>, rises array<boolean>",
+        "tenant_id string, slice bigint, chunk bigint, first_ms bigint, last_ms bigint, "
+        "low array<bigint>, image array<bigint>, rises array<boolean>, "
+        "times array<bigint>, amounts array<bigint>",
     )
     starts = (
-        maps.repartition("tenant_id")
-        .sortWithinPartitions("tenant_id", "slice")
+        by_key(summed, "tenant_id")
+        .sortWithinPartitions("tenant_id", "slice", "chunk")
         .mapInPandas(
-            _slice_starts(full, refill), "tenant_id string, slice bigint, level bigint, since bigint"
+            _slice_starts(unit, full, refill),
+            "tenant_id string, slice bigint, level bigint, since bigint",
         )
     )
-    rows = cut.join(starts, key, "left").repartition(*key).sortWithinPartitions(
-        *key, "now_ms", order
-    )
+    rows = by_key(cut.join(starts, key, "left"), *key).sortWithinPartitions(*key, "now_ms", order)
     fields = dict(draws.dtypes)
     return rows.mapInPandas(
         _replay(unit, full, refill, capacity, order),
@@ -75,74 +82,88 @@ def budget_decisions(
 def _slice_maps(unit: int, full: int, refill: int):
     """Per slice, the map from the level just before its first draw to the level after its last."""
 
+    def step(low, image, rises, gain, want):
+        """The map after a refill and a draw. Pieces run to the start of the next one."""
+        lows, images, slopes = [], [], []
+
+        def emit(at, value, rising):
+            if lows and slopes[-1] == rising:
+                if value == images[-1] + (at - lows[-1] if rising else 0):
+                    return
+            lows.append(at)
+            images.append(value)
+            slopes.append(rising)
+
+        def draw(at, value, rising, end):
+            if value >= want:
+                emit(at, value - want, rising)
+            elif rising and value + (end - at) > want:
+                emit(at, value, True)
+                emit(at + want - value, 0, True)
+            else:
+                emit(at, value, rising)
+
+        for at, value, rising, end in zip(low, image, rises, [*low[1:], full + 1], strict=True):
+            value += gain
+            if value >= full:
+                draw(at, full, False, end)
+            elif rising and value + (end - at) > full:
+                draw(at, value, True, at + full - value)
+                draw(at + full - value, full, False, end)
+            else:
+                draw(at, value, rising, end)
+        return lows, images, slopes
+
+    columns = [
+        "tenant_id", "slice", "chunk", "first_ms", "last_ms", "low", "image", "rises", "times",
+        "amounts",
+    ]
+
     def run(batches: Iterator) -> Iterator:
-        import numpy as np
         import pandas as pd
 
-        def settle(low, image, rises):
-            """Join neighbouring pieces that continue each other."""
-            width = np.diff(low)
-            same = (
-                (rises[:-1] == rises[1:])
-                & (image[1:] == image[:-1] + np.where(rises[:-1], width, 0))
-            )
-            keep = np.concatenate(([True], ~same))
-            return low[keep], image[keep], rises[keep]
-
-        def split(low, image, rises, level):
-            """Cut every rising piece whose image passes ``level`` at that point."""
-            ends = np.append(low[1:], full + 1)
-            cuts = low + (level - image)
-            inside = rises & (cuts > low) & (cuts < ends)
-            if not inside.any():
-                return low, image, rises
-            at = np.concatenate((low, cuts[inside]))
-            value = np.concatenate((image, np.full(inside.sum(), level)))
-            slope = np.concatenate((rises, np.full(inside.sum(), True)))
-            by = np.argsort(at, kind="stable")
-            return at[by], value[by], slope[by]
-
-        def step(pieces, gain, want):
-            low, image, rises = pieces
-            if gain:
-                image = image + min(gain, full)
-                low, image, rises = split(low, image, rises, full)
-                over = image >= full
-                image = np.where(over, full, image)
-                rises = rises & ~over
-            if want <= full:
-                low, image, rises = split(low, image, rises, want)
-                image = np.where(image >= want, image - want, image)
-            return settle(low, image, rises)
-
-        open_key, pieces, first, last = None, None, None, None
-
-        def close():
-            low, image, rises = pieces
-            return (*open_key, first, last, low.tolist(), image.tolist(), rises.tolist())
-
-        columns = ["tenant_id", "slice", "first_ms", "last_ms", "low", "image", "rises"]
+        key, pieces, chunk, first, last, times, amounts = None, None, 0, 0, 0, [], []
+
+        def summary():
+            if pieces is not None:
+                return (*key, chunk, first, last, *pieces, None, None)
+            return (*key, chunk, first, last, None, None, None, times, amounts)
+
         for batch in batches:
             done = []
             for tenant, piece, now, tokens in zip(
                 batch["tenant_id"], batch["slice"].tolist(), batch["now_ms"].tolist(),
                 batch["tokens"].tolist(), strict=True,
             ):
-                if (tenant, piece) != open_key:
-                    if open_key is not None:
-                        done.append(close())
-                    open_key, first, last = (tenant, piece), now, now
-                    pieces = (np.array([0]), np.array([0]), np.array([True]))
-                pieces = step(pieces, (now - last) * refill, tokens * unit)
+                if (tenant, piece) != key:
+                    if key is not None:
+                        done.append(summary())
+                    key, chunk, first, last = (tenant, piece), 0, now, now
+                    pieces, times, amounts = ([0], [0], [True]), [], []
+                settled = pieces is not None and len(pieces[0]) == 1 and not pieces[2][0]
+                if settled:
+                    level = min(full, pieces[1][0] + (now - last) * refill)
+                    want = tokens * unit
+                    pieces = ([0], [level - want if level >= want else level], [False])
+                else:
+                    if pieces is not None:
+                        pieces = step(*pieces, min((now - last) * refill, full), tokens * unit)
+                        if len(pieces[0]) > MAX_PIECES:
+                            pieces = None
+                    if pieces is None and len(times) >= CHUNK:
+                        done.append(summary())
+                        chunk, first, times, amounts = chunk + 1, now, [], []
+                    times.append(now)
+                    amounts.append(tokens)
                 last = now
             yield pd.DataFrame(done, columns=columns)
-        if open_key is not None:
-            yield pd.DataFrame([close()], columns=columns)
+        if key is not None:
+            yield pd.DataFrame([summary()], columns=columns)
 
     return run
 
 
-def _slice_starts(full: int, refill: int):
+def _slice_starts(unit: int, full: int, refill: int):
     """Carry the level from slice to slice: what each one starts from, and since when."""
 
     def run(batches: Iterator) -> Iterator:
@@ -156,10 +177,17 @@ def _slice_starts(full: int, refill: int):
             for row in batch.itertuples(index=False):
                 if row.tenant_id != tenant:
                     tenant, level, since = row.tenant_id, full, row.first_ms
-                found.append((tenant, row.slice, level, since))
-                entry = min(full, level + max(0, row.first_ms - since) * refill)
-                i = bisect.bisect_right(row.low, entry) - 1
-                level = int(row.image[i]) + (entry - int(row.low[i]) if row.rises[i] else 0)
+                if row.chunk == 0:
+                    found.append((tenant, row.slice, level, since))
+                if row.low is not None:
+                    entry = min(full, level + max(0, row.first_ms - since) * refill)
+                    i = bisect.bisect_right(row.low, entry) - 1
+                    level = int(row.image[i]) + (entry - int(row.low[i]) if row.rises[i] else 0)
+                else:
+                    for now, tokens in zip(row.times.tolist(), row.amounts.tolist(), strict=True):
+                        level = min(full, level + max(0, now - since) * refill)
+                        level -= tokens * unit if level >= tokens * unit else 0
+                        since = now
                 since = row.last_ms
             yield pd.DataFrame(found, columns=["tenant_id", "slice", "level", "since"])
 
@@ -243,8 +271,7 @@ def cut_streams(
     names = ["tenant_id", "request_id", "seq", "arrived_ms", "tokens"]
     schema = ", ".join(f"{n} {fields[n]}" for n in names) + ", granted boolean, remaining bigint"
     return (
-        draws.select(*names)
-        .repartition("tenant_id")
+        by_key(draws.select(*names), "tenant_id")
         .sortWithinPartitions("tenant_id", "arrived_ms", "request_id", "seq")
         .mapInPandas(run, schema)
     )

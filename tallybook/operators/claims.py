@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, functions as F
 
-from tallybook.operators.skew import heavy_keys, salted_join
+from tallybook.operators.skew import by_key, heavy_keys, salted_join
 from tallybook.session import shared_dir
 
 LEASE_MS = 180_000
@@ -95,7 +95,7 @@ def _fold_keys(attempts: DataFrame, lease_ms: int, completed_ttl_ms: int) -> Dat
             )
 
     return (
-        attempts.repartition(*KEY)
+        by_key(attempts, *KEY)
         .sortWithinPartitions(*KEY, "t_ms", "event_id")
         .mapInPandas(run, OUTPUT)
     )

@@ -12,6 +12,15 @@ FANOUT = 64
 BLOCK = 65_536
 
 
+def by_key(rows: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition for per-key Python work.
+
+    The number of partitions is given, so that small rows with costly work are not merged into one.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, *keys)
+
+
 def heavy_keys(
     rows: DataFrame, keys: Sequence[str], limit: int = HEAVY_KEYS, at_least: int = 1_000
 ) -> DataFrame:

@@ -177,52 +177,36 @@ def stream_lines(spark: SparkSession, folder: str) -> DataFrame:
     A keep-alive comment, an early usage block, a chunk per word, a broken chunk, the final usage
     block and the end marker. One stream in ten reports no usage, one in seven lacks the marker.
     """
-    streams = view(spark, folder, "streams")
-    words = F.split("text", " ")
-    chunks = F.transform(
-        words,
-        lambda word, i: F.concat(
-            F.lit("data: "),
-            F.to_json(
-                F.struct(
-                    F.array(
-                        F.struct(
-                            F.struct(
-                                F.concat(
-                                    word, F.when(i < F.size(words) - 1, " ").otherwise("")
-                                ).alias("content")
-                            ).alias("delta")
-                        )
-                    ).alias("choices")
-                )
-            ),
-        ),
+    streams = view(spark, folder, "streams").repartition(spark.sparkContext.defaultParallelism)
+    blank = F.lit(None).cast("string")
+    slots = F.concat(F.array(blank, blank), F.split("text", " "), F.array(blank, blank, blank))
+    rows = streams.select(
+        "request_id", "conv_id", "turn", "opened_ms", "wait_ms", "gap_ms", "words", "prompt_tokens",
+        F.posexplode(slots).alias("seq", "word"),
     )
+    gap = F.when(F.col("seq") < F.col("words") + 1, " ").otherwise("")
+    delta = F.struct(F.concat("word", gap).alias("content"))
+    chunk = F.to_json(F.struct(F.array(F.struct(delta.alias("delta"))).alias("choices")))
     reports = F.col("conv_id") % 10 != 0
-    early = F.when(
-        reports, 'data: {"choices": [], "usage": {"prompt_tokens": 1, "completion_tokens": 1}}'
-    ).otherwise("")
-    final = F.when(
-        reports & (F.col("turn") % 4 == 3),
-        F.format_string('data: {"choices": [], "usage": {"completion_tokens": %d}}', "words"),
-    ).when(
-        reports,
-        F.format_string(
-            'data:{"usage": {"prompt_tokens": %d, "completion_tokens": %d}}  ',
-            "prompt_tokens",
-            "words",
-        ),
-    ).otherwise("data: 5")
-    end = F.when(F.col("conv_id") % 7 != 0, "data: [DONE]").otherwise("")
-    lines = F.concat(
-        F.array(F.lit(": keep-alive"), early), chunks, F.array(F.lit("data: {not json"), final, end)
+    early = 'data: {"choices": [], "usage": {"prompt_tokens": 1, "completion_tokens": 1}}'
+    short = F.format_string('data: {"choices": [], "usage": {"completion_tokens": %d}}', "words")
+    full = F.format_string(
+        'data:{"usage": {"prompt_tokens": %d, "completion_tokens": %d}}  ', "prompt_tokens", "words"
+    )
+    after = F.col("seq") - F.col("words")
+    line = (
+        F.when(F.col("word").isNotNull(), F.concat(F.lit("data: "), chunk))
+        .when(F.col("seq") == 0, ": keep-alive")
+        .when(F.col("seq") == 1, F.when(reports, early).otherwise(""))
+        .when(after == 2, "data: {not json")
+        .when(after == 3, F.when(reports & (F.col("turn") % 4 == 3), short)
+              .when(reports, full).otherwise("data: 5"))
+        .otherwise(F.when(F.col("conv_id") % 7 != 0, "data: [DONE]").otherwise(""))
     )
-    return streams.select(
-        "request_id", "opened_ms", "wait_ms", "gap_ms", F.posexplode(lines).alias("seq", "line")
-    ).select(
+    return rows.select(
         "request_id",
         F.col("seq").cast("bigint").alias("seq"),
-        "line",
+        line.alias("line"),
         (
             F.col("opened_ms")
             + F.when(F.col("seq") >= 2, F.col("wait_ms")).otherwise(0)
