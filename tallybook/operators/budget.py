@@ -233,25 +233,115 @@ def cut_streams(
     *,
     capacity: int = CAPACITY,
     refill_per_second: float = REFILL_PER_SECOND,
+    slice_ms: int = SLICE_MS,
 ) -> DataFrame:
     """Decide mid-stream draws; a refusal cuts its stream, so later draws of it never happen.
 
-    Draws are rows (tenant_id, request_id, seq, arrived_ms, tokens). What a stream draws depends on
-    the bucket and the bucket on every stream of the tenant, so a tenant is read in time order by
-    one task. It keeps one level and the set of cut requests, never the rows.
+    Draws are rows (tenant_id, request_id, seq, arrived_ms, tokens). As long as nothing is refused,
+    a slice of time needs three numbers: the level it must start from for every draw to be granted,
+    the sum it takes, and the most it can end at. Slices before a tenant's first refusal are decided
+    side by side from those. From the slice of the first refusal on, what a stream draws depends on
+    the bucket and the bucket on every stream, so the rest of that tenant is read in time order,
+    keeping one level and the set of cut requests.
     """
     unit, full, refill = _units(capacity, refill_per_second)
+    fields = dict(draws.dtypes)
+    names = ["tenant_id", "request_id", "seq", "arrived_ms", "tokens"]
+    output = ", ".join(f"{n} {fields[n]}" for n in names) + ", granted boolean, remaining bigint"
+    key = ["tenant_id", "slice"]
+    order = ["arrived_ms", "request_id", "seq"]
+
+    cut = draws.select(*names, F.floor(F.col("arrived_ms") / slice_ms).alias("slice"))
+    needs = (
+        by_key(cut, *key)
+        .sortWithinPartitions(*key, *order)
+        .mapInPandas(
+            _slice_needs(unit, full, refill),
+            "tenant_id string, slice bigint, first_ms bigint, last_ms bigint, need bigint, "
+            "taken bigint, most bigint",
+        )
+    )
+    starts = (
+        by_key(needs, "tenant_id")
+        .sortWithinPartitions(*key)
+        .mapInPandas(
+            _granted_starts(full, refill),
+            "tenant_id string, slice bigint, free boolean, level bigint, since bigint",
+        )
+    )
+    rows = cut.join(starts, key)
+    free = by_key(rows.where("free"), *key).sortWithinPartitions(*key, *order)
+    rest = by_key(rows.where("not free"), "tenant_id").sortWithinPartitions("tenant_id", *order)
+    return free.mapInPandas(_cutting(unit, full, refill, names, key), output).unionByName(
+        rest.mapInPandas(_cutting(unit, full, refill, names, key[:1]), output)
+    )
+
+
+def _slice_needs(unit: int, full: int, refill: int):
+    """Per slice: the least level all its draws can be granted from, what they take, the end's cap."""
 
     def run(batches: Iterator) -> Iterator:
-        tenant, level, since, cut = None, full, 0, set()
+        import pandas as pd
+
+        columns = ["tenant_id", "slice", "first_ms", "last_ms", "need", "taken", "most"]
+        key, first, last, need, gained, most = None, 0, 0, 0, 0, full
         for batch in batches:
-            keep, granted, remaining = [], [], []
-            for who, request, now, tokens in zip(
-                batch["tenant_id"], batch["request_id"], batch["arrived_ms"].tolist(),
+            done = []
+            for tenant, piece, now, tokens in zip(
+                batch["tenant_id"], batch["slice"].tolist(), batch["arrived_ms"].tolist(),
                 batch["tokens"].tolist(), strict=True,
             ):
-                if who != tenant:
-                    tenant, level, since, cut = who, full, now, set()
+                if (tenant, piece) != key:
+                    if key is not None:
+                        done.append((*key, first, last, need, -gained, most))
+                    key, first, last, need, gained, most = (tenant, piece), now, now, 0, 0, full
+                gain, want = (now - last) * refill, tokens * unit
+                gained, most, last = gained + gain, min(full, most + gain), now
+                need = max(need, want - gained, full + 1 if most < want else 0)
+                gained, most = gained - want, most - want
+            yield pd.DataFrame(done, columns=columns)
+        if key is not None:
+            yield pd.DataFrame([(*key, first, last, need, -gained, most)], columns=columns)
+
+    return run
+
+
+def _granted_starts(full: int, refill: int):
+    """Where each slice starts, up to the one in which a tenant is first refused."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        tenant, level, since, free = None, full, 0, True
+        for batch in batches:
+            found = []
+            for row in batch.itertuples(index=False):
+                if row.tenant_id != tenant:
+                    tenant, level, since, free = row.tenant_id, full, row.first_ms, True
+                entry = min(full, level + max(0, row.first_ms - since) * refill)
+                free = free and entry >= row.need
+                found.append((tenant, row.slice, free, level, since))
+                if free:
+                    level, since = min(entry - row.taken, row.most), row.last_ms
+            yield pd.DataFrame(found, columns=["tenant_id", "slice", "free", "level", "since"])
+
+    return run
+
+
+def _cutting(unit: int, full: int, refill: int, names: list[str], key: list[str]):
+    """Fold each key in order from the start its first row carries."""
+
+    def run(batches: Iterator) -> Iterator:
+        here, level, since, cut = None, full, 0, set()
+        for batch in batches:
+            keep, granted, remaining = [], [], []
+            for who, request, now, tokens, start, start_ms in zip(
+                zip(*[batch[k].tolist() for k in key], strict=True), batch["request_id"],
+                batch["arrived_ms"].tolist(), batch["tokens"].tolist(), batch["level"].tolist(),
+                batch["since"].tolist(), strict=True,
+            ):
+                if who != here:
+                    here, level, since, cut = who, start, start_ms, set()
                 keep.append(request not in cut)
                 if not keep[-1]:
                     continue
@@ -264,14 +354,6 @@ def cut_streams(
                     cut.add(request)
                 granted.append(enough)
                 remaining.append(level // unit)
-            kept = batch[keep]
-            yield kept.assign(granted=granted, remaining=remaining)
+            yield batch.loc[keep, names].assign(granted=granted, remaining=remaining)
 
-    fields = dict(draws.dtypes)
-    names = ["tenant_id", "request_id", "seq", "arrived_ms", "tokens"]
-    schema = ", ".join(f"{n} {fields[n]}" for n in names) + ", granted boolean, remaining bigint"
-    return (
-        by_key(draws.select(*names), "tenant_id")
-        .sortWithinPartitions("tenant_id", "arrived_ms", "request_id", "seq")
-        .mapInPandas(run, schema)
-    )
+    return run

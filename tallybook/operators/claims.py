@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, functions as F
 
-from tallybook.operators.skew import by_key, heavy_keys, salted_join
+from tallybook.operators.skew import by_key, heavy_keys, key_hash, salted_join
 from tallybook.session import shared_dir
 
 LEASE_MS = 180_000
@@ -50,8 +50,8 @@ def claim_outcomes(
     found = [r["_heavy"] for r in heavy_keys(rows, KEY, at_least=heavy_rows).collect()]
     if not found:
         return _fold_keys(rows, lease_ms, completed_ttl_ms)
-    listed = F.broadcast(rows.sparkSession.createDataFrame([(k,) for k in found], "_heavy string"))
-    packed = rows.withColumn("_heavy", F.to_json(F.struct(*KEY)))
+    listed = F.broadcast(rows.sparkSession.createDataFrame([(k,) for k in found], "_heavy bigint"))
+    packed = rows.withColumn("_heavy", key_hash(KEY))
     light = packed.join(listed, "_heavy", "left_anti").drop("_heavy")
     heavy = packed.join(listed, "_heavy", "left_semi").drop("_heavy")
     return _fold_keys(light, lease_ms, completed_ttl_ms).unionByName(
@@ -161,7 +161,7 @@ def _heavy_outcomes(attempts: DataFrame, lease_ms: int, completed_ttl_ms: int) -
         "tenant_id string, idempotency_key string, from_ms bigint, from_id bigint, to_ms bigint, "
         "to_id bigint, holding string, done boolean, expiry bigint",
     )
-    everyone = attempts.select(*KEY).distinct().select(F.to_json(F.struct(*KEY)).alias("_heavy"))
+    everyone = attempts.select(key_hash(KEY).alias("_heavy")).distinct()
     place = F.struct("t_ms", "event_id")
     matched = salted_join(attempts, held, KEY, "left", heavy=everyone).where(
         F.col("from_ms").isNull()

@@ -25,7 +25,7 @@ def first_writes(attempts: DataFrame, stored: DataFrame | None = None) -> DataFr
         "request_id", *[f"_row.{c}" for c in attempts.columns if c != "request_id"], "attempts"
     )
     if stored is not None:
-        rows = rows.join(stored.select("request_id").distinct(), "request_id", "left_anti")
+        rows = rows.join(stored.select("request_id"), "request_id", "left_anti")
     return rows
 
 
@@ -101,16 +101,22 @@ def idempotency_index(keyed: DataFrame) -> DataFrame:
     )
 
 
-def duplicate_keys(keyed: DataFrame) -> DataFrame:
-    """Requests that reuse the (tenant, key) of an earlier settled request."""
+def duplicate_keys(keyed: DataFrame, heavy: DataFrame | None = None) -> DataFrame:
+    """Requests that reuse the (tenant, key) of an earlier settled request.
+
+    ``heavy`` may give the heavy keys from a cheaper table than ``keyed``, such as the starts.
+    """
+    keys = ["tenant_id", "idempotency_key"]
+    rows = keyed.select(*keys, "request_id", "settled_at")
     reused = (
-        idempotency_index(keyed)
+        idempotency_index(rows)
         .where("uses > 1")
-        .select("tenant_id", "idempotency_key", F.col("request_id").alias("original_request_id"))
+        .select(*keys, F.col("request_id").alias("original_request_id"))
     )
-    rows = keyed.select("tenant_id", "idempotency_key", "request_id")
-    return salted_join(rows, reused, ["tenant_id", "idempotency_key"]).where(
-        "request_id <> original_request_id"
+    return (
+        salted_join(rows, reused, keys, heavy=heavy)
+        .where("request_id <> original_request_id")
+        .select(*keys, "request_id", "original_request_id")
     )
 
 

@@ -21,18 +21,22 @@ def by_key(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.repartition(parts, *keys)
 
 
+def key_hash(keys: Sequence[str]) -> Column:
+    """One number per key. Two keys that share it are merely steered alike."""
+    return F.xxhash64(*keys)
+
+
 def heavy_keys(
     rows: DataFrame, keys: Sequence[str], limit: int = HEAVY_KEYS, at_least: int = 1_000
 ) -> DataFrame:
-    """At most ``limit`` distinct key tuples, the most frequent ones.
+    """At most ``limit`` key hashes, those of the most frequent keys.
 
     A mergeable sketch finds them without shuffling the rows. It only steers where rows go, so
     its error changes speed, never results. A key with more than about 1/15000 of all rows is
     always tracked.
     """
-    packed = F.struct(*[F.col(k) for k in keys])
     return (
-        rows.select(F.to_json(packed).alias("_k"))
+        rows.select(key_hash(keys).alias("_k"))
         .agg(F.expr(f"approx_top_k(_k, {limit}, {TRACKED_KEYS})").alias("_top"))
         .select(F.explode("_top").alias("_top"))
         .where(F.col("_top.count") >= at_least)
@@ -59,7 +63,7 @@ def salted_join(
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type: {how}")
     heavy = F.broadcast(heavy if heavy is not None else heavy_keys(rows, keys))
-    packed = F.to_json(F.struct(*[F.col(k) for k in keys]))
+    packed = key_hash(keys)
 
     spread = (
         rows.withColumn("_heavy", packed)

@@ -11,7 +11,7 @@ from tallybook.functions import tokens
 from tallybook.functions.attribution import terminal_state
 from tallybook.operators import audit, budget, claims, ledger, metering, metrics, reconcile as rec
 from tallybook.operators.audit import Scenario
-from tallybook.operators.skew import running_sum
+from tallybook.operators.skew import heavy_keys, running_sum
 from tallybook.plans import fixtures as fx
 from tallybook.sources import events
 
@@ -77,9 +77,8 @@ def reconcile(spark, folder):
 
 @query
 def attribute(spark, folder):
-    started, metered, usage = feeds(spark, folder)
-    keyed = settled(spark, folder, detail=True)
-    reused = ledger.duplicate_keys(keyed).select("request_id").distinct()
+    _, metered, usage = feeds(spark, folder)
+    reused = duplicate_keys(spark, folder).select("request_id")
     return rec.attribute_pairs(metered, usage, tolerance=3, duplicate_key=reused)
 
 
@@ -139,7 +138,8 @@ def idempotency_index(spark, folder):
 
 @query
 def duplicate_keys(spark, folder):
-    return ledger.duplicate_keys(settled(spark, folder, detail=True))
+    heavy = heavy_keys(feeds(spark, folder)[0], ["tenant_id", "idempotency_key"])
+    return ledger.duplicate_keys(settled(spark, folder, detail=True), heavy)
 
 
 @query

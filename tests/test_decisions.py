@@ -102,6 +102,35 @@ def test_cut_stream_draws_no_more(spark):
     }
 
 
+@pytest.mark.parametrize("slice_ms", [50, 2_000, 10_000_000])
+def test_slices_do_not_change_cuts(spark, slice_ms):
+    """One tenant is often refused, one rarely, one never."""
+    draw = random.Random(slice_ms)
+    rows, clock = [], 0
+    for i in range(1_500):
+        clock += draw.choice([1, 7, 40, 400])
+        tenant, most = draw.choice([("over", 400), ("near", 60), ("fine", 5)])
+        rows.append((tenant, f"r{i // 60}-{draw.randrange(6)}", i, clock, draw.randint(1, most)))
+    want, levels, cut = [], {}, set()
+    for tenant, request, seq, now, tokens in rows:
+        if (tenant, request) in cut:
+            continue
+        level, since = levels.get(tenant, (400_000, now))
+        level = min(400_000, level + (now - since) * 30)
+        granted = level >= tokens * 1_000
+        level -= tokens * 1_000 if granted else 0
+        if not granted:
+            cut.add((tenant, request))
+        levels[tenant] = (level, now)
+        want.append((seq, granted, level // 1_000))
+    frame = spark.createDataFrame(
+        rows, "tenant_id string, request_id string, seq bigint, arrived_ms bigint, tokens bigint"
+    )
+    found = budget.cut_streams(frame, capacity=400, refill_per_second=30.0, slice_ms=slice_ms)
+    assert sorted((r.seq, r.granted, r.remaining) for r in found.collect()) == want
+    assert any(not granted for _, granted, _ in want)
+
+
 def claim(spark, rows, **options):
     frame = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], CLAIMS)
     found = claims.claim_outcomes(frame, **options).collect()
