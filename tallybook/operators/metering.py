@@ -105,17 +105,26 @@ def usage_rows(metered: DataFrame, requests: DataFrame) -> DataFrame:
 
 
 def running_tokens(lines: DataFrame, *, block: int | None = None) -> DataFrame:
-    """The token count after each line and before it."""
+    """The token count after each line and before it.
+
+    Only counts are shuffled, never text. The lines are decoded once for the block sums and once for
+    the counts; store ``decode_lines`` first where that matters, it is taken as it is.
+    """
     options = {"block": block} if block else {}
+    decoded = lines if "chars" in lines.columns else decode_lines(lines)
     totals = running_sum(
-        decode_lines(lines), ["request_id"], "seq", {"_upto": F.col("chars")}, **options
+        decoded.select("request_id", "seq", "arrived_ms", "chars"),
+        ["request_id"],
+        "seq",
+        {"_upto": F.col("chars")},
+        **options,
     )
     return totals.withColumns(
         {
             "running_tokens": tokens_for_length(F.col("_upto")),
             "previous_tokens": tokens_for_length(F.col("_upto") - F.col("chars")),
         }
-    ).drop("_upto", "done", "usage")
+    ).drop("_upto")
 
 
 def first_tokens(lines: DataFrame, requests: DataFrame) -> DataFrame:

@@ -16,28 +16,29 @@ from tallybook.operators.skew import salted_join
 WINDOW_SECONDS = 300
 
 SETTLEMENT_COLUMNS = [f.name for f in S.SETTLEMENT_SCHEMA.fields]
-_COPY_FIELDS = [
-    "prompt_tokens",
-    "completion_tokens",
-    "terminal_state",
-    "model",
-    "tenant_id",
-    "idempotency_key",
-]
-
-
-def tagged(started: DataFrame | None, metered: DataFrame, usage: DataFrame) -> DataFrame:
-    """The three feeds as one, with ``side`` S, A or B and the arrival time in ``at``."""
+_COUNTS = ["prompt_tokens", "completion_tokens"]
+_COPY_FIELDS = [*_COUNTS, "terminal_state", "model", "tenant_id"]
+_START_FIELDS = ["tenant_id", "prompt_tokens"]
+_KEY = ["idempotency_key"]
+
+
+def tagged(
+    started: DataFrame | None, metered: DataFrame, usage: DataFrame, *, keyed: bool = False
+) -> DataFrame:
+    """The three feeds as one, with ``side`` S, A or B and the arrival time in ``at``.
+
+    Idempotency keys are read only when ``keyed``.
+    """
+    key = _KEY if keyed else []
     sides = [
         metered.select(
-            F.lit("A").alias("side"), "request_id", F.col("ended_at").alias("at"), *_COPY_FIELDS
+            F.lit("A").alias("side"), "request_id", F.col("ended_at").alias("at"), *_COPY_FIELDS, *key
         ),
         usage.select(
             F.lit("B").alias("side"),
             "request_id",
             F.col("reported_at").alias("at"),
-            "prompt_tokens",
-            "completion_tokens",
+            *_COUNTS,
         ),
     ]
     if started is not None:
@@ -46,9 +47,8 @@ def tagged(started: DataFrame | None, metered: DataFrame, usage: DataFrame) -> D
                 F.lit("S").alias("side"),
                 "request_id",
                 F.col("started_at").alias("at"),
-                "tenant_id",
-                "prompt_tokens",
-                "idempotency_key",
+                *_START_FIELDS,
+                *key,
             )
         )
     feed = sides[0]
@@ -66,12 +66,13 @@ def request_state(feed: DataFrame) -> DataFrame:
 
     Everything here merges, so copies of a request are combined before the one shuffle.
     """
+    key = [c for c in _KEY if c in feed.columns]
     return feed.groupBy("request_id").agg(
-        F.min(_copy("S", "tenant_id", "prompt_tokens", "idempotency_key")).alias("start"),
+        F.min(_copy("S", *_START_FIELDS, *key)).alias("start"),
         F.min(F.when(F.col("side") == "A", F.col("at"))).alias("first_a"),
-        F.max(_copy("A", *_COPY_FIELDS)).alias("last_a"),
+        F.max(_copy("A", *_COPY_FIELDS, *key)).alias("last_a"),
         F.min(F.when(F.col("side") == "B", F.col("at"))).alias("first_b"),
-        F.max(_copy("B", "prompt_tokens", "completion_tokens")).alias("last_b"),
+        F.max(_copy("B", *_COUNTS)).alias("last_b"),
     )
 
 
@@ -113,13 +114,15 @@ def settled_copies(
     window_seconds: float = WINDOW_SECONDS,
     as_of: Column | None = None,
     tick_seconds: float | None = None,
+    keyed: bool = False,
 ) -> DataFrame:
     """One row per settled request with the chosen copies ``a`` and ``b``.
 
     One shuffle settles every request whose latest copy came before it settled. Only requests with
     copies on both sides of that instant read the feeds again.
     """
-    feed = tagged(started, metered, usage)
+    feed = tagged(started, metered, usage, keyed=keyed)
+    key = _KEY if keyed else []
     if as_of is not None:
         feed = feed.where(F.col("at") <= as_of)
     state = settle_times(request_state(feed), window_seconds, tick_seconds)
@@ -155,8 +158,8 @@ def settled_copies(
         seen.groupBy("request_id")
         .agg(
             F.max("state").alias("state"),
-            F.max(_copy("A", *_COPY_FIELDS)).alias("a"),
-            F.max(_copy("B", "prompt_tokens", "completion_tokens")).alias("b"),
+            F.max(_copy("A", *_COPY_FIELDS, *key)).alias("a"),
+            F.max(_copy("B", *_COUNTS)).alias("b"),
         )
         .select("request_id", *[f"state.{c}" for c in carried[:4]], "a", "b")
     )
@@ -188,6 +191,7 @@ def reconcile(
         window_seconds=window_seconds,
         as_of=as_of,
         tick_seconds=tick_seconds,
+        keyed=detail,
     )
     unseen = F.lit(0).cast("bigint") if floor == "zero" else F.col("start.prompt_tokens")
     rows = rows.select(
@@ -202,9 +206,13 @@ def reconcile(
         (F.col("b.prompt_tokens") + F.col("b.completion_tokens")).alias("provider_total"),
         "settled_at",
         F.col("a.terminal_state").alias("terminal_state"),
-        F.coalesce("a.idempotency_key", "start.idempotency_key").alias("idempotency_key"),
         F.col("start.at").alias("started_at"),
         "joined_at",
+        *(
+            [F.coalesce("a.idempotency_key", "start.idempotency_key").alias("idempotency_key")]
+            if detail
+            else []
+        ),
     )
     rows = rows.withColumns(
         attribution(
@@ -235,7 +243,7 @@ def attribute_pairs(
         feed = feed.unionByName(flags, allowMissingColumns=True)
     state = feed.groupBy("request_id").agg(
         F.max(_copy("A", *_COPY_FIELDS)).alias("a"),
-        F.max(_copy("B", "prompt_tokens", "completion_tokens")).alias("b"),
+        F.max(_copy("B", *_COUNTS)).alias("b"),
         F.bool_or(F.col("side") == "D").alias("duplicate"),
     )
     rows = state.where("a is not null").select(
