@@ -10,6 +10,7 @@ HEAVY_KEYS = 1_000
 TRACKED_KEYS = 20_000
 FANOUT = 64
 BLOCK = 65_536
+GROUP_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
 
 
 def by_key(rows: DataFrame, *keys: str) -> DataFrame:
@@ -142,8 +143,12 @@ def last_per_group(
     """The first ``n`` rows of each key in ``order``, picked in two rounds.
 
     The first round ranks inside ``fanout`` shares of each key, so the second round sees at most
-    ``n * fanout`` rows of a key however large it is.
+    ``n * fanout`` rows of a key however large it is. Each task drops what cannot rank before it
+    shuffles; Spark does so up to a limit on ``n``, which is raised where ``n`` is larger.
     """
+    conf = rows.sparkSession.conf
+    if int(conf.get(GROUP_LIMIT)) < n:
+        conf.set(GROUP_LIMIT, str(n))
     share = Window.partitionBy(*keys, "_share").orderBy(*order)
     whole = Window.partitionBy(*keys).orderBy(*order)
     return (

@@ -31,19 +31,21 @@ def budget_stream(
             self.level = handle.getValueState("level", "level bigint, since bigint")
 
         def handleInputRows(self, key, rows, timerValues):
+            level, since = self.level.get() or (full, None)
             for row in sorted(rows, key=lambda r: (r.now_ms, r.ordinal)):
                 granted, left = True, capacity
                 if row.tokens > 0:
-                    level, since = self.level.get() if self.level.exists() else (full, row.now_ms)
+                    since = row.now_ms if since is None else since
                     level = min(full, level + max(0, row.now_ms - since) * refill)
                     granted = level >= row.tokens * unit
                     level -= row.tokens * unit if granted else 0
-                    self.level.update((level, max(since, row.now_ms)))
-                    left = level // unit
+                    since, left = max(since, row.now_ms), level // unit
                 yield Row(
                     tenant_id=key[0], ordinal=row.ordinal, now_ms=row.now_ms, tokens=row.tokens,
                     granted=granted, remaining=left,
                 )
+            if since is not None:
+                self.level.update((level, since))
 
         def close(self):
             pass
@@ -82,25 +84,27 @@ def claim_stream(
 
         def handleInputRows(self, key, rows, timerValues):
             rank = {"complete": 0, "release": 1, "claim": 2}
+            held = self.record.get()
             for row in sorted(rows, key=lambda r: (r.t_ms, rank[r.event])):
                 if row.event == "complete":
-                    self.record.update((row.request_id, True, row.t_ms + completed_ttl_ms))
-                elif row.event == "release":
-                    self.record.clear()
+                    held = (row.request_id, True, row.t_ms + completed_ttl_ms)
+                    continue
+                if row.event == "release":
+                    held = None
+                    continue
+                outcome = CLAIMED
+                if held is not None and row.t_ms < held[2]:
+                    outcome = REPLAY if held[1] else IN_FLIGHT
                 else:
-                    yield self._claim(key, row)
-
-        def _claim(self, key, row):
-            outcome, holder = CLAIMED, row.request_id
-            held = self.record.get() if self.record.exists() else None
-            if held is not None and row.t_ms < held[2]:
-                outcome, holder = (REPLAY if held[1] else IN_FLIGHT), held[0]
+                    held = (row.request_id, False, row.t_ms + lease_ms)
+                yield Row(
+                    tenant_id=key[0], idempotency_key=key[1], request_id=row.request_id,
+                    t_ms=row.t_ms, outcome=outcome, holder=held[0],
+                )
+            if held is None:
+                self.record.clear()
             else:
-                self.record.update((row.request_id, False, row.t_ms + lease_ms))
-            return Row(
-                tenant_id=key[0], idempotency_key=key[1], request_id=row.request_id,
-                t_ms=row.t_ms, outcome=outcome, holder=holder,
-            )
+                self.record.update(held)
 
         def close(self):
             pass

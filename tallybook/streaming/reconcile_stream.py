@@ -39,100 +39,107 @@ def arrivals(feed: DataFrame) -> DataFrame:
     )
 
 
+_RECORD = (
+    "start_at bigint, start_tenant string, start_key string, "
+    "a_at bigint, a_total bigint, a_state string, a_model string, a_tenant string, a_key string, "
+    "b_total bigint, settled_at bigint"
+)
+
+
 def _processor(window_us: int, retain_us: int):
-    """The per-request state machine. Built inside a function so that it travels by value."""
+    """The per-request state machine. Built inside a function so that it travels by value.
+
+    A request's record is read once and written once per trigger, because every call to the state
+    store leaves the Python process.
+    """
     from pyspark.sql import Row
     from pyspark.sql.streaming import StatefulProcessor
 
     unknown_model = S.UNKNOWN_MODEL
+    fields = [field.split()[0] for field in _RECORD.split(", ")]
 
     class Settler(StatefulProcessor):
         def init(self, handle):
             self.handle = handle
-            self.start = handle.getValueState(
-                "start", "at bigint, tenant string, key string"
-            )
-            self.metered = handle.getValueState(
-                "metered",
-                "at bigint, total bigint, state string, model string, tenant string, key string",
-            )
-            self.usage = handle.getValueState("usage", "at bigint, total bigint")
-            self.settled = handle.getValueState("settled", "at bigint")
+            self.record = handle.getValueState("record", _RECORD)
 
         def handleInputRows(self, key, rows, timerValues):
-            request = key[0]
+            stored = self.record.get()
+            record = dict(zip(fields, stored or (None,) * len(fields), strict=True))
+            started, settled = record["start_at"] is not None, record["settled_at"] is not None
+            outcomes = []
             # One trigger's rows of one request: the trigger size bounds them.
             for row in sorted(rows, key=lambda r: (r.at_us, r.side != "S", r.total or 0)):
-                yield from self._arrive(request, row)
-
-        def _arrive(self, request, row):
-            deadline = self._deadline()
-            if not self.settled.exists() and deadline is not None and row.at_us >= deadline:
-                yield self._force(request, deadline)
-            if row.side == "S":
-                if not self.start.exists() and not self.settled.exists():
-                    self.start.update((row.at_us, row.tenant_id, row.idempotency_key))
-                    self.handle.registerTimer(_ms(row.at_us + window_us))
-                return
-            if self.settled.exists():
-                yield _outcome(
-                    ABSORBED if row.side == "A" else LATE_USAGE,
-                    request,
-                    row.at_us,
-                    (row.at_us, row.total, row.terminal_state, row.model, row.tenant_id,
-                     row.idempotency_key) if row.side == "A" else None,
-                    row.total if row.side == "B" else None,
-                )
-                return
-            if row.side == "A":
-                self.metered.update(
-                    (row.at_us, row.total, row.terminal_state, row.model, row.tenant_id,
-                     row.idempotency_key)
-                )
-            else:
-                self.usage.update((row.at_us, row.total))
-            if self.metered.exists() and self.usage.exists():
-                metered, usage = self.metered.get(), self.usage.get()
-                self._close(row.at_us)
-                yield _outcome(SETTLEMENT, request, row.at_us, metered, usage[1])
+                outcomes += _arrive(key[0], record, row)
+            self.record.update(tuple(record[f] for f in fields))
+            if not settled and record["settled_at"] is not None:
+                self.handle.registerTimer(_ms(record["settled_at"] + retain_us))
+            elif not started and record["start_at"] is not None:
+                self.handle.registerTimer(_ms(record["start_at"] + window_us))
+            yield from outcomes
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-            if self.settled.exists():
-                due = self.settled.get()[0] + retain_us
-                if _ms(due) <= expiredTimerInfo.getExpiryTimeInMs():
-                    self.settled.clear()
+            stored = self.record.get()
+            if stored is None:
                 return
-            deadline = self._deadline()
-            if deadline is not None and _ms(deadline) <= expiredTimerInfo.getExpiryTimeInMs():
-                yield self._force(key[0], deadline)
-
-        def _deadline(self):
-            return self.start.get()[0] + window_us if self.start.exists() else None
-
-        def _force(self, request, deadline):
-            metered = self.metered.get() if self.metered.exists() else None
-            start = self.start.get()
-            self._close(deadline)
-            if metered is None:
-                metered = (deadline, 0, None, unknown_model, start[1], start[2])
-            else:
-                metered = (*metered[:4], start[1], metered[5])
-            return _outcome(SETTLEMENT, request, deadline, metered, None)
-
-        def _close(self, at_us):
-            for state in (self.start, self.metered, self.usage):
-                state.clear()
-            self.settled.update((at_us,))
-            self.handle.registerTimer(_ms(at_us + retain_us))
+            record = dict(zip(fields, stored, strict=True))
+            now = expiredTimerInfo.getExpiryTimeInMs()
+            if record["settled_at"] is not None:
+                if _ms(record["settled_at"] + retain_us) <= now:
+                    self.record.clear()
+            elif record["start_at"] is not None and _ms(record["start_at"] + window_us) <= now:
+                yield _force(key[0], record)
+                self.record.update(tuple(record[f] for f in fields))
+                self.handle.registerTimer(_ms(record["settled_at"] + retain_us))
 
         def close(self):
             pass
 
+    def _arrive(request, record, row):
+        """What one arrival leads to; changes the record."""
+        waiting = record["settled_at"] is None
+        if waiting and record["start_at"] is not None:
+            if row.at_us >= record["start_at"] + window_us:
+                yield _force(request, record)
+                waiting = False
+        if row.side == "S":
+            if waiting and record["start_at"] is None:
+                record.update(
+                    start_at=row.at_us, start_tenant=row.tenant_id, start_key=row.idempotency_key
+                )
+            return
+        if row.side == "A":
+            copy = (row.total, row.terminal_state, row.model, row.tenant_id, row.idempotency_key)
+        if not waiting:
+            if row.side == "A":
+                yield _outcome(ABSORBED, request, row.at_us, copy, None)
+            else:
+                yield _outcome(LATE_USAGE, request, row.at_us, (None,) * 5, row.total)
+            return
+        if row.side == "A":
+            names = ("a_total", "a_state", "a_model", "a_tenant", "a_key")
+            record.update(zip(names, copy, strict=True), a_at=row.at_us)
+        else:
+            record["b_total"] = row.total
+        if record["a_at"] is not None and record["b_total"] is not None:
+            yield _settle(request, record, row.at_us, record["b_total"])
+
+    def _settle(request, record, at_us, provider_total):
+        copy = tuple(record[f"a_{n}"] for n in ("total", "state", "model", "tenant", "key"))
+        record.update(dict.fromkeys(fields), settled_at=at_us)
+        return _outcome(SETTLEMENT, request, at_us, copy, provider_total)
+
+    def _force(request, record):
+        if record["a_at"] is None:
+            record.update(a_total=0, a_model=unknown_model, a_key=record["start_key"])
+        record["a_tenant"] = record["start_tenant"]
+        return _settle(request, record, record["start_at"] + window_us, None)
+
     def _ms(at_us):
         return -(-at_us // 1000)
 
-    def _outcome(kind, request, at_us, metered, provider_total):
-        _, total, state, model, tenant, key = metered or (None,) * 6
+    def _outcome(kind, request, at_us, copy, provider_total):
+        total, state, model, tenant, key = copy
         return Row(
             kind=kind, request_id=request, tenant_id=tenant, model=model, terminal_state=state,
             idempotency_key=key, metered_total=total, provider_total=provider_total, at_us=at_us,
