@@ -50,22 +50,18 @@ def file_feed(
     return reader.json(folder)
 
 
-def _wire_schema(schema: T.StructType) -> str:
-    """Everything as text first, so that numbers written as strings are accepted."""
-    return ", ".join(f"{f.name} string" for f in schema.fields)
-
-
 def _whole(text: Column) -> Column:
     """A whole number, also when written with an empty fraction."""
     number = text.try_cast("decimal(38,6)")
     return F.when(number == F.floor(number), number.try_cast("bigint"))
 
 
-def _typed(schema: T.StructType, record: str) -> tuple[dict[str, Column], Column]:
-    """Typed columns of a text record, and the first field that is missing or of the wrong type."""
+def _typed(schema: T.StructType) -> tuple[dict[str, Column], Column]:
+    """Typed columns of the variant ``_r``, and the first field that is missing or of the wrong type."""
     typed, bad = {}, F.lit(None).cast("string")
     for field in reversed(schema.fields):
-        text = F.col(f"{record}.{field.name}")
+        path = f"$.{field.name}"
+        text = F.try_variant_get("_r", path, "string")
         if isinstance(field.dataType, T.LongType):
             value = _whole(text)
         elif isinstance(field.dataType, T.TimestampType):
@@ -73,14 +69,11 @@ def _typed(schema: T.StructType, record: str) -> tuple[dict[str, Column], Column
         elif field.name == "terminal_state":
             value = F.when(text.isin(*S.TERMINAL_STATES), text)
         else:
-            value = text
+            kind = F.schema_of_variant(F.try_variant_get("_r", path, "variant"))
+            value = F.when(kind == "STRING", text)
         typed[field.name] = value
         bad = F.when(value.isNull(), F.lit(field.name)).otherwise(bad)
-    return typed, bad
-
-
-def _error(bad: Column) -> Column:
-    return F.when(F.try_parse_json("value").isNull(), F.lit("not json")).otherwise(bad)
+    return typed, F.when(F.col("_r").isNull(), F.lit("not json")).otherwise(bad)
 
 
 def decode(feed: DataFrame, topic: str) -> DataFrame:
@@ -90,12 +83,11 @@ def decode(feed: DataFrame, topic: str) -> DataFrame:
     the wrong type or an unknown terminal state.
     """
     schema = S.TOPIC_SCHEMAS[topic]
-    raw = feed.where(F.col("topic") == topic).withColumn(
-        "_r", F.from_json("value", _wire_schema(schema))
-    )
-    typed, bad = _typed(schema, "_r")
+    typed, bad = _typed(schema)
     return (
-        raw.withColumn("error", _error(bad))
+        feed.where(F.col("topic") == topic)
+        .withColumn("_r", F.try_parse_json("value"))
+        .withColumn("error", bad)
         .withColumns({f.name: typed[f.name] for f in schema.fields})
         .drop("_r")
     )
@@ -111,15 +103,15 @@ def decode_all(feed: DataFrame) -> DataFrame:
     every = T.StructType(list(fields.values()))
     times = [S.ARRIVAL[topic] for topic in INPUT_TOPICS]
     bad, at = F.lit(None).cast("string"), F.lit(None).cast("timestamp")
-    typed, _ = _typed(every, "_r")
+    typed, _ = _typed(every)
     for topic in INPUT_TOPICS:
         here = F.col("topic") == topic
-        bad = F.when(here, _typed(S.TOPIC_SCHEMAS[topic], "_r")[1]).otherwise(bad)
+        bad = F.when(here, _typed(S.TOPIC_SCHEMAS[topic])[1]).otherwise(bad)
         at = F.when(here, typed[S.ARRIVAL[topic]]).otherwise(at)
     return (
         feed.where(F.col("topic").isin(*INPUT_TOPICS))
-        .withColumn("_r", F.from_json("value", _wire_schema(every)))
-        .withColumn("error", _error(bad))
+        .withColumn("_r", F.try_parse_json("value"))
+        .withColumn("error", bad)
         .withColumns({n: c for n, c in typed.items() if n not in times} | {"at": at})
         .drop("_r")
     )

@@ -126,7 +126,7 @@ def test_broken_records_are_set_aside(spark):
         "half": json.dumps(good | {"prompt_tokens": 1.5}),
         "word": json.dumps(good | {"completion_tokens": "six"}),
         "gap": json.dumps({k: v for k, v in good.items() if k != "tenant_id"}),
-        "null": json.dumps(good | {"model": None}),
+        "null": json.dumps(good | {"model": None}), "number": json.dumps(good | {"model": 5}),
     }
     rows = [("ok", json.dumps(good), S.METERED)] + [(k, v, S.METERED) for k, v in broken.items()]
     feed = spark.createDataFrame(rows, "key string, value string, topic string")
@@ -135,6 +135,7 @@ def test_broken_records_are_set_aside(spark):
         assert errors == {
             "text": "not json", "array": "request_id", "state": "terminal_state",
             "half": "prompt_tokens", "word": "completion_tokens", "gap": "tenant_id", "null": "model",
+            "number": "model",
         }
     row = events.good(events.decode(feed, S.METERED), S.METERED).first()
     assert (row.prompt_tokens, row.completion_tokens) == (5, 6)
