@@ -87,6 +87,18 @@ def test_slices_do_not_change_decisions(spark, slice_ms, refill):
     assert decide(spark, rows, capacity=300, refill=refill, slice_ms=slice_ms) == want
 
 
+@pytest.mark.parametrize("chunk", [1, 7, 8_192])
+def test_slices_too_rich_for_a_map_are_folded(spark, monkeypatch, chunk):
+    """A tenant over its limit: slices are handed on as bare draws, in pieces of any size."""
+    monkeypatch.setattr(budget, "MAX_PIECES", 3)
+    monkeypatch.setattr(budget, "CHUNK", chunk)
+    draw = random.Random(chunk)
+    rows = [(draw.choice("ab"), 37 * i, draw.randint(1, 90)) for i in range(600)]
+    want = bucket(rows, 300, 55.5)
+    assert not all(granted for granted, _ in want)
+    assert decide(spark, rows, capacity=300, refill=55.5, slice_ms=2_000) == want
+
+
 def test_cut_stream_draws_no_more(spark):
     rows = [
         ("t", "x", 0, 0, 60), ("t", "x", 1, 10, 60), ("t", "x", 2, 20, 10), ("t", "y", 0, 30, 30),

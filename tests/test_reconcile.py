@@ -3,6 +3,7 @@
 import pytest
 from helpers import at, by_request, lit_at, metered, started, usage
 from hypothesis import HealthCheck, given, settings, strategies as st
+from pyspark.sql import functions as F
 
 from tallybook.operators import reconcile as rec
 
@@ -117,6 +118,30 @@ def test_copies_after_settlement_are_counted_not_joined(spark):
     assert rec.late_usage(b, rows, include_joined=True).count() == 2
 
 
+def test_a_request_with_a_third_of_all_copies(spark):
+    """Copies of one request on both sides of its settlement, enough of them to be spread."""
+    t = F.lit(at(0)) + F.make_dt_interval(secs=F.col("id") / 100)
+    hot = spark.range(6_000).select(
+        F.lit("hot").alias("request_id"), F.lit("k").alias("idempotency_key"),
+        F.lit("acme").alias("tenant_id"), F.lit("m").alias("model"), F.lit(50).alias("prompt_tokens"),
+        F.col("id").alias("completion_tokens"), F.lit(DONE).alias("terminal_state"), t.alias("ended_at"),
+    )
+    cool = hot.withColumns({
+        "request_id": F.concat(F.lit("r"), F.col("completion_tokens")), "ended_at": F.lit(at(1)),
+    })
+    reports = cool.select(
+        "request_id", "prompt_tokens", "completion_tokens", F.lit(at(2)).alias("reported_at")
+    ).unionByName(usage(spark, ("hot", 20, 2_000), ("hot", 30, 1)))
+    copies = hot.unionByName(cool)
+    found = by_request(rec.reconcile(started(spark, ("hot", 0)), copies, reports))
+    assert len(found) == 6_001
+    assert (found["hot"].settled_at, found["hot"].metered_total) == (at(20), 2_050)
+    assert found["hot"].status == "settled"
+    assert all(r.status == "settled" for r in found.values())
+    settled = rec.reconcile(started(spark, ("hot", 0)), copies, reports)
+    assert dict(rec.duplicates_absorbed(copies, settled).collect()) == {"acme": 3_999}
+
+
 def model(s, a, b, window=300):
     """The rules, one event at a time, for a single request."""
     log = sorted(
