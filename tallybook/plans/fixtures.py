@@ -6,7 +6,7 @@ Each block is SQL that Spark and DuckDB both run unchanged, so queries and their
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tallybook.session import configure
 
@@ -157,17 +157,27 @@ def sql(select: str, *names: str, recursive: bool = False, extra: dict[str, str]
     return f"WITH {'RECURSIVE ' if recursive else ''}{ctes}\n{select}"
 
 
+_schemas: dict[str, T.StructType] = {}
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """One given table. Its schema is looked up once per path, later reads start no job."""
     configure(spark)
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    path = f"{folder}/{name}.parquet"
+    reader = spark.read.schema(_schemas[path]) if path in _schemas else spark.read
+    rows = reader.parquet(path)
+    _schemas[path] = rows.schema
+    return rows
 
 
 def view(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One block as a DataFrame over the tables in ``folder``."""
-    configure(spark)
     text = sql(f"SELECT * FROM {name}", name)
     for source in TABLES:
-        text = text.replace(f"FROM {source}", f"FROM parquet.`{folder}/{source}.parquet`")
+        if f"FROM {source}" in text:
+            given = f"given_{source}"
+            table(spark, folder, source).createOrReplaceTempView(given)
+            text = text.replace(f"FROM {source}", f"FROM {given}")
     return spark.sql(text)
 
 
