@@ -3,7 +3,9 @@
 import pytest
 from compare import connect, differences, types_differ
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from tallybook.plans.catalog import QUERIES
+from tallybook.plans.oracle import ORACLE
 
 
 @pytest.fixture(scope="module")
@@ -12,13 +14,13 @@ def duck(folder):
 
 
 def test_every_query_has_a_twin():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLE)
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_sql(spark, duck, folder, name):
-    frame = queries()[name](spark, folder)
-    found = duck.execute(oracle_sql()[name])
+    frame = QUERIES[name](spark, folder)
+    found = duck.execute(ORACLE[name])
     shape = [(d[0], str(d[1])) for d in found.description]
     assert types_differ(frame.dtypes, shape) is None
     mine, theirs = frame.toPandas(), found.df()
