@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallybook.llm import lines, packing, urls
-from tallybook.llm.common import table
+from tallybook.llm import language, lines, packing, quality, urls
+from tallybook.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -33,6 +33,29 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+@query
+def op1_quality_votes(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    held_out = fold(F.col("doc_id"), 3, 1)
+    labels = table(spark, folder, "labels").where(~held_out)
+    scored = quality.predict(docs, quality.fit(docs, labels, "quality"))
+    return scored.select(
+        "doc_id",
+        held_out.alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
+@query
+def op4_language_filters(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    held_out = fold(F.col("doc_id"), 4, 2)
+    model = language.learn(docs.where(~held_out))
+    judged = language.predict(docs.drop("lang"), model, ["doc_id"])
+    return judged.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 @query
 def op5_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     rules = spark.createDataFrame(list(URL_RULES), "host string, path string, verdict string")
