@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallybook.llm import language, lines, packing, quality, urls
+from tallybook.llm import language, lines, mixing, packing, quality, urls
 from tallybook.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,6 +47,11 @@ def op1_quality_votes(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op3_source_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.taken_words(table(spark, folder, "documents"))
+
+
 @query
 def op4_language_filters(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
