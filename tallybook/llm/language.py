@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallybook.llm.bytes import joined, scramble, slices
@@ -62,7 +63,7 @@ def gram_counts(docs: DataFrame, label: str) -> DataFrame:
             order = np.argsort(names.astype(str), kind="stable")
             batch = batch.take(pa.array(order))
             for lang in dict.fromkeys(batch.column(1).to_pylist()):
-                mine = pa.compute.equal(batch.column(1), lang)
+                mine = pc.equal(batch.column(1), lang)
                 for _, held in slices(batch.column(0).filter(mine)):
                     raw = np.frombuffer(b"".join(map(letters_only, held)), dtype=np.uint8)
                     grams = np.concatenate([ngrams(raw, size) for size in SIZES])
