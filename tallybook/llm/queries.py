@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tallybook.llm import language, lines, mixing, nearest, packing, quality, simhash, topk, urls
+from tallybook.llm import language, lines, mixing, nearest, packing, quality, simhash, suffixes, topk, urls
 from tallybook.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,6 +47,21 @@ def op1_quality_votes(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op2_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    left = suffixes.remove_repeats(table(spark, folder, "documents"))
+    removed = F.aggregate(
+        "spans", F.lit(0).cast("bigint"), lambda s, x: s + x["end"] - x["first"]
+    )
+    return left.select(
+        "doc_id",
+        "n_bytes",
+        removed.alias("n_removed"),
+        F.size("spans").cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 @query
 def op3_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.taken_words(table(spark, folder, "documents"))
