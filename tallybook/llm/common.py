@@ -27,6 +27,11 @@ def staged(rows: DataFrame, label: str, *partition: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def packed(rows: DataFrame) -> DataFrame:
+    """All columns in one struct ``_row``, so that no name of theirs can clash with a new one."""
+    return rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("_row"))
+
+
 def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -24,6 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallybook.llm.bytes import joined, scramble, slices
+from tallybook.llm.common import packed
 
 SIZES = (3, 4)
 MIN_SHARE = 1e-5
@@ -180,7 +181,7 @@ def predict(docs: DataFrame, model: LanguageFilter, keep: list[str] | None = Non
         filter_ = shared.value
         for batch in batches:
             names, scores = [], []
-            for _, held in slices(batch.column("_text")):
+            for _, held in slices(pc.struct_field(batch.column("_row"), "text")):
                 if filter_.languages:
                     found, sure = filter_.judge(held)
                 else:
@@ -190,12 +191,16 @@ def predict(docs: DataFrame, model: LanguageFilter, keep: list[str] | None = Non
             scores = np.concatenate(scores) if scores else np.empty(0)
             letters = batch.column("_letters").to_numpy(zero_copy_only=False)
             names = [n if ok else UNKNOWN for n, ok in zip(names, letters, strict=True)]
-            columns = [batch.column(c) for c in keep]
-            columns += [pa.array(names, pa.string()), pa.array(np.where(letters, scores, 0.0))]
-            yield pa.RecordBatch.from_arrays(columns, [*keep, "lang_pred", "score"])
-
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in keep]
-    order = [f.name for f in docs.schema if f.name in keep]
-    keep = order
-    rows = docs.select(*keep, F.col("text").alias("_text"), has_letter(F.col("text")).alias("_letters"))
-    return rows.mapInArrow(judge, ", ".join([*fields, "lang_pred string", "score double"]))
+            columns = [pa.array(names, pa.string()), pa.array(np.where(letters, scores, 0.0))]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("_row"), *columns], ["_row", "lang_pred", "score"]
+            )
+
+    rows = packed(docs.select(*dict.fromkeys([*keep, "text"])))
+    rows = rows.withColumn("_letters", has_letter(F.col("_row.text")))
+    schema = rows.select(
+        "_row", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")
+    ).schema
+    return rows.mapInArrow(judge, schema).select(
+        *[F.col(f"_row.`{c}`") for c in keep], "lang_pred", "score"
+    )

@@ -21,7 +21,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tallybook.llm.common import staged, text_hash
+from tallybook.llm.common import packed, staged, text_hash
 
 BATCHES = 4
 FANOUT = 2
@@ -114,19 +114,23 @@ def dedup_lines(
         .groupBy("_doc", "_text")
         .agg(F.collect_set("_line").alias("_drop"))
     )
-    lines = split_lines(F.col("text"))
+    old = F.col("_row.text")
+    lines = split_lines(old)
     drop = F.coalesce(F.col("_drop"), F.array().cast("array<int>"))
     kept = F.filter(lines, lambda line, n: ~F.array_contains(F.col("_drop"), n))
-    rows = docs.withColumn("_row", text_hash(F.col("text")))
-    same = rows["doc_id"].eqNullSafe(places["_doc"]) & (rows["_row"] == places["_text"])
-    text = F.when(F.col("_drop").isNull(), F.coalesce(F.col("text"), F.lit("")))
+    rows = packed(docs).withColumn("_hash", text_hash(old))
+    same = rows["_row.doc_id"].eqNullSafe(places["_doc"]) & (rows["_hash"] == places["_text"])
+    text = F.when(F.col("_drop").isNull(), F.coalesce(old, F.lit("")))
     text = text.otherwise(F.array_join(kept, "\n"))
-    out = rows.join(places, same, "left").select(
-        *[docs[c] for c in docs.columns if c not in ("text", "n_lines", "n_dropped")],
+    new = {"text": text}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.length(text).cast("bigint")
+    return rows.join(places, same, "left").select(
+        *[
+            new.get(c, F.col(f"_row.`{c}`")).alias(c)
+            for c in docs.columns
+            if c not in ("n_lines", "n_dropped")
+        ],
         F.size(lines).cast("bigint").alias("n_lines"),
         F.size(drop).cast("bigint").alias("n_dropped"),
-        text.alias("text"),
     )
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast("bigint"))
-    return out

@@ -25,7 +25,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tallybook.llm.common import staged, text_hash, uniform
+from tallybook.llm.common import packed, staged, text_hash, uniform
 
 WEIGHTS = (3, 1, 2)
 FACTOR = 1.5
@@ -291,8 +291,8 @@ def mix(
 ) -> tuple[DataFrame, DataFrame]:
     """The sized rows with their source's target, and the slices the mix takes from them.
 
-    A slice is (doc_id, _text, _copy, shard, epoch, first_word, words, shuffle_key); a shard is its slices
-    in the order of shuffle_key.
+    A slice is (doc_id, _text, source, _copy, shard, epoch, first_word, words, shuffle_key);
+    ``shuffled`` brings the slices of each shard in their order.
     """
     sized = staged(sized_rows(docs), "sized")
     targets = staged(source_targets(sized, weights, factor, most), "targets")
@@ -307,6 +307,7 @@ def mix(
         "doc_id",
         "_text",
         "_copy",
+        "source",
         "source_no",
         "size",
         "start",
@@ -328,6 +329,7 @@ def mix(
             "doc_id",
             "_text",
             "_copy",
+            "source",
             "shard",
             "epoch",
             "first_word",
@@ -337,16 +339,24 @@ def mix(
             ),
         )
     )
-    return rows.select("doc_id", "_text", "_copy", "size", "source_size", "target"), slices
+    kept = ["doc_id", "_text", "source", "_copy", "size", "source_size", "target"]
+    return rows.select(*kept), slices
+
+
+def shuffled(slices: DataFrame, shards_log2: int = SHARDS_LOG2) -> DataFrame:
+    """The slices a shard to a partition, each shard in its own random order."""
+    dealt = slices.repartition(1 << shards_log2, "shard")
+    return dealt.sortWithinPartitions("shard", "shuffle_key", "doc_id", "first_word")
 
 
 def taken_words(docs: DataFrame, **options) -> DataFrame:
     """doc_id, size, source_size, target, taken: a row per document."""
     rows, slices = mix(docs, **options)
-    keys = ["doc_id", "_text", "_copy"]
+    keys = ["doc_id", "_text", "source", "_copy"]
     taken = slices.groupBy(*keys).agg(F.sum("words").alias("taken"))
     taken = taken.select(*[F.col(k).alias(f"t{k}") for k in keys], "taken")
     same = rows["doc_id"].eqNullSafe(taken["tdoc_id"])
+    same &= rows["source"].eqNullSafe(taken["tsource"])
     same &= (rows["_text"] == taken["t_text"]) & (rows["_copy"] == taken["t_copy"])
     return rows.join(taken, same, "left").select(
         "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken")
@@ -360,26 +370,32 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     with the white space inside them.
     """
     rows, slices = mix(docs, **options)
-    parts = slices.groupBy("doc_id", "_text", "_copy", "epoch").agg(
+    parts = slices.groupBy("doc_id", "_text", "source", "_copy", "epoch").agg(
         F.array_sort(F.collect_list(F.struct("first_word", "words"))).alias("_parts"),
         F.sum("words").alias("_words"),
     )
     # a copy is a row of its own, so of equal rows each takes its own number
-    each = docs.withColumn("_hash", text_hash(F.col("text")))
-    once = each.dropDuplicates(["doc_id", "_hash"]).withColumnRenamed("doc_id", "_doc")
-    same = once["_doc"].eqNullSafe(parts["doc_id"]) & (once["_hash"] == parts["_text"])
-    tokens = F.regexp_extract_all("text", F.lit(WORD_AND_GAP), F.lit(0))
+    old = F.col("_row.text")
+    each = packed(docs).select(
+        "_row",
+        F.col("_row.doc_id").alias("_doc"),
+        F.col("_row.source").alias("_source"),
+        text_hash(old).alias("_hash"),
+    )
+    once = each.dropDuplicates(["_doc", "_source", "_hash"])
+    same = once["_doc"].eqNullSafe(parts["doc_id"]) & once["_source"].eqNullSafe(parts["source"])
+    same &= once["_hash"] == parts["_text"]
+    tokens = F.regexp_extract_all(old, F.lit(WORD_AND_GAP), F.lit(0))
     stretch = F.transform(
         "_parts",
         lambda p: F.array_join(
             F.slice(tokens, (p["first_word"] + 1).cast("int"), p["words"].cast("int")), ""
         ),
     )
-    size = F.regexp_count("text", F.lit(WORD))
-    text = F.when(F.col("_words") == size, F.col("text")).otherwise(F.array_join(stretch, ""))
+    size = F.regexp_count(old, F.lit(WORD))
+    text = F.when(F.col("_words") == size, old).otherwise(F.array_join(stretch, ""))
     out = once.join(parts, same).withColumn("_out", text)
-    kept = [F.col("_out").alias("text") if c == "text" else F.col(c) for c in docs.columns]
-    out = out.select(*kept)
+    new = {"text": F.col("_out")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast("bigint"))
-    return out
+        new["n_chars"] = F.length("_out").cast("bigint")
+    return out.select(*[new.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tallybook.llm.common import staged, tasks, text_hash
+from tallybook.llm.common import packed, staged, tasks, text_hash
 from tallybook.llm.components import components
 
 SHINGLE_WORDS = 3
@@ -255,7 +255,7 @@ def near_duplicates(
 def keep_one_each(
     docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS
 ) -> DataFrame:
-    """One row of each component: that of its smallest doc_id."""
+    """One row of each component: that of its smallest doc_id. A component without ids is dropped."""
     found = near_duplicates(docs, shingle_words, max_bits)
     chosen = (
         found.where(F.col("doc_id") == F.col("component_id"))
@@ -263,10 +263,8 @@ def keep_one_each(
         .agg(F.min("_text").alias("_text"))
         .select(F.col("doc_id").alias("_doc"), F.col("_text").alias("_kept"))
     )
-    same = (F.col("doc_id") == F.col("_doc")) & (F.col("_hash") == F.col("_kept"))
-    return (
-        docs.withColumn("_hash", text_hash(F.col("text")))
-        .join(chosen, same)
-        .dropDuplicates(["doc_id", "_hash"])
-        .select(*docs.columns)
+    rows = packed(docs).withColumns(
+        {"_id": F.col("_row.doc_id"), "_hash": text_hash(F.col("_row.text"))}
     )
+    same = (F.col("_id") == F.col("_doc")) & (F.col("_hash") == F.col("_kept"))
+    return rows.join(chosen, same).dropDuplicates(["_id", "_hash"]).select("_row.*")
