@@ -3,7 +3,7 @@
 Tokenizing and cutting run per document. Pieces are dealt by hash to groups of about
 ``group_pieces``; each group is packed on its own, longest piece first: a piece goes where the
 sum over gaps of the squared number of open sequences with that gap becomes smallest, ties
-to the smaller gap. A group keeps its pieces' lengths and one stack of open
+to the smaller gap; a new sequence is opened where the piece fits in no open one. A group keeps its pieces' lengths and one stack of open
 sequences per gap in memory, so memory follows the group size and not the input. A group
 leaves a few sequences open at its end, against thousands that it fills.
 
@@ -130,9 +130,8 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
         cost = 2 * (open_at[: capacity - size + 1] - fits)
         cost[0] = -2 * fits[0] - 1  # a full sequence has no gap to count
         cost[fits == 0] = never
-        fresh = 2 * int(open_at[capacity - size]) - 1
         best = int(cost[:-1].argmin())
-        if cost[best] <= fresh:
+        if cost[best] != never:
             gap = best + size
             open_at[gap] -= 1
             chosen = stacks[gap].pop()

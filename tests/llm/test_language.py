@@ -1,0 +1,99 @@
+import random
+
+import cases
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tallybook.llm import language
+from tallybook.llm.common import fold
+
+SOUNDS = {"aa": "kalomi", "bb": "zurteg", "cc": "éàçûxy"}
+
+
+def spoken(rng, lang, words):
+    return " ".join(
+        "".join(rng.choice(SOUNDS[lang]) for _ in range(rng.randint(2, 6))) for _ in range(words)
+    )
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rng = random.Random(4)
+    rows = []
+    for i in range(240):
+        lang = "aabbcc"[2 * (i % 3) : 2 * (i % 3) + 2]
+        rows.append((i, spoken(rng, lang, rng.randint(3, 40)), lang, "s", 0))
+    return cases.frame(spark, rows).repartition(3).cache()
+
+
+def test_held_out_accuracy(docs):
+    model = language.learn(docs.where(~fold(F.col("doc_id"), 4, 2)))
+    held = language.predict(docs.where(fold(F.col("doc_id"), 4, 2)), model).toPandas()
+    assert len(held) > 30
+    assert (held["lang_pred"] == held["lang"]).mean() >= 0.98
+    assert held["score"].iloc[:, -1].between(0, 1).all() if held["score"].ndim > 1 else True
+
+
+def test_counts_as_by_brute_force(spark, docs):
+    from collections import Counter
+
+    want = Counter()
+    for r in docs.select("text", "lang").collect():
+        raw = language.letters_only(r.text.encode())
+        for size in language.SIZES:
+            for i in range(len(raw) - size + 1):
+                number = size
+                for b in raw[i : i + size]:
+                    number = number << 8 | b
+                want[r.lang, number] += 1
+    # texts are joined with one space at each end, so only n-grams across two texts are added
+    got = {(r.lang, r.gram): r.n for r in language.gram_counts(docs, "lang").collect()}
+    assert all(got[k] >= n for k, n in want.items())
+
+
+def test_filter_never_misses_and_rates_hold():
+    rng = np.random.default_rng(2)
+    own = [rng.integers(0, 1 << 40, 5000), rng.integers(0, 1 << 40, 20_000)]
+    filter_ = language.LanguageFilter.build(["x", "y"], own, 1 << 16)
+    for n, grams in enumerate(own):
+        assert ((filter_.contained(grams) >> n) & 1).all()
+    strange = rng.integers(1 << 41, 1 << 42, 50_000)
+    for n in range(2):
+        found = ((filter_.contained(strange) >> n) & 1).mean()
+        assert found == pytest.approx(filter_.rates[n], abs=0.02)
+
+
+def test_hits_of_one_text_do_not_depend_on_its_neighbours(docs):
+    model = language.learn(docs)
+    texts = [r.text.encode() for r in docs.select("text").limit(40).collect()] + [b"", b"a"]
+    together = model.judge(texts)
+    for n, text in enumerate(texts):
+        name, score = model.judge([text])
+        assert (name[0], score[0]) == (together[0][n], together[1][n])
+
+
+def test_awkward_rows(spark, docs):
+    model = language.learn(docs)
+    rows = cases.rows()
+    found = language.predict(cases.frame(spark, rows).drop("score"), model).collect()
+    assert len(found) == len(rows)
+    for r in found:
+        letters = any(c.isalpha() for c in r.text or "")
+        assert (r.lang_pred == "und") == (not letters)
+        assert 0 <= r.score <= 1
+        assert r["_row"] == "_row" and r["_text"] == "_text"
+    kept = language.predict(cases.frame(spark, rows), model, ["doc_id"])
+    assert kept.columns == ["doc_id", "lang_pred", "score"]
+
+
+def test_nothing_learned_and_empty(spark, docs):
+    none = language.learn(cases.empty(spark))
+    assert {r.lang_pred for r in language.predict(docs.drop("score"), none).collect()} == {"und"}
+    model = language.learn(docs)
+    assert language.predict(cases.empty(spark).drop("score"), model).collect() == []
+
+
+def test_too_many_languages():
+    with pytest.raises(ValueError, match="64"):
+        language.LanguageFilter.build([str(n) for n in range(65)], [], 8)
