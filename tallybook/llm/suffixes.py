@@ -5,10 +5,14 @@ A window is ``size`` bytes of one text. Its anchor is the smallest hash among it
 of all texts fall into groups by anchor, and a gram that occurs once in the collection clears all
 windows around it without a comparison.
 
-Windows around a repeated anchor are dealt to tiles of ``TILE`` neighbouring offsets. All windows of
+Neighbouring windows with one anchor are a run. Runs that occur more than once, by a 128-bit digest,
+are repeated as a whole and settled there; one of each kind goes on where an anchor has several.
+Only these meet their text again, and texts cross the network compressed.
+
+The windows of a run are dealt to tiles of ``TILE`` neighbouring offsets. All windows of
 a tile share a core, so a tile is a short string: up to TILE - 1 bytes, the core as one symbol, up to
-TILE - 1 bytes; a window of it is TILE symbols in a row. Equal tiles are counted before anything else:
-copies are repeated as a whole and go on as one tile. Tiles with the same core and different sides
+TILE - 1 bytes; a window of it is TILE symbols in a row. Equal tiles are counted first: they
+are repeated as a whole and go on as one tile. Tiles with the same core and different sides
 form the collections that are indexed:
 
 Column-wise construction: round r puts the r-th symbol from the right of every string before its
@@ -28,12 +32,14 @@ result. Extra columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import struct
 import tempfile
 from collections.abc import Iterator
 from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallybook.llm.bytes import joined, scramble, slices
@@ -89,32 +95,70 @@ def anchors_of(parts: list[bytes], size: int) -> tuple[np.ndarray, ...]:
     return part, hashes, at[edge] - own, window[edge] - own, window[last] - own
 
 
+def texts(docs: DataFrame) -> DataFrame:
+    """doc_id, text_a, text_b, text: rows with the digest that names their text."""
+    return docs.select(
+        "doc_id",
+        text_hash(F.col("text")).alias("text_a"),
+        F.xxhash64(F.lit(12), "text").alias("text_b"),
+        "text",
+    )
+
+
+def digest(raw: bytes, more: bytes = b"") -> tuple[int, int]:
+    """Two signed numbers that stand for the bytes."""
+    return struct.unpack("<qq", blake2b(raw, digest_size=16, salt=more).digest())
+
+
 def anchors(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, _text, anchor, at, first, last: every run of windows with one anchor."""
-    fields = "doc_id bigint, _text bigint, anchor bigint, at bigint, first bigint, last bigint"
-    names = ["doc_id", "_text", "anchor", "at", "first", "last"]
+    """text_a, text_b, anchor, at, first, last, run_a, run_b: every run of windows."""
+    names = ["text_a", "text_b", "anchor", "at", "first", "last", "run_a", "run_b"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, held in slices(batch.column(2)):
                 # long texts go in pieces that overlap by a window less a byte
-                owner, base, parts = [], [], []
-                for n, text in enumerate(held):
-                    for at in range(0, max(1, len(text) - size + 1), PIECE_BYTES):
-                        owner.append(start + n)
-                        base.append(at)
-                        parts.append(text[at : at + PIECE_BYTES + size - 1])
-                for at in range(0, len(parts), 1 if len(parts) > len(held) else len(parts)):
-                    some = slice(at, at + 1 if len(parts) > len(held) else len(parts))
-                    part, hashes, *places = anchors_of(parts[some], size)
-                    rows = pa.array(np.array(owner[some], dtype=np.int64)[part])
-                    moved = [p + np.array(base[some], dtype=np.int64)[part] for p in places]
-                    columns = [batch.column(0).take(rows), batch.column(1).take(rows)]
-                    columns += [pa.array(hashes), *map(pa.array, moved)]
+                pieces = [
+                    (start + n, at, text[at : at + PIECE_BYTES + size - 1])
+                    for n, text in enumerate(held)
+                    for at in range(0, max(1, len(text) - size + 1), PIECE_BYTES)
+                ]
+                step = len(pieces) if len(pieces) == len(held) else 1
+                for at in range(0, len(pieces), step):
+                    some = pieces[at : at + step]
+                    part, hashes, *places = anchors_of([p[2] for p in some], size)
+                    ends = zip(part.tolist(), places[1].tolist(), places[2].tolist(), strict=True)
+                    runs = [digest(some[p][2][a : b + size]) for p, a, b in ends]
+                    owner = pa.array(np.array([p[0] for p in some], dtype=np.int64)[part])
+                    base = np.array([p[1] for p in some], dtype=np.int64)[part]
+                    run_a, run_b = zip(*runs, strict=True) if runs else ((), ())
+                    columns = [batch.column(0).take(owner), batch.column(1).take(owner)]
+                    columns += [pa.array(hashes), *[pa.array(p + base) for p in places]]
+                    columns += [pa.array(run_a, pa.int64()), pa.array(run_b, pa.int64())]
                     yield pa.RecordBatch.from_arrays(columns, names)
 
-    rows = docs.select("doc_id", text_hash(F.col("text")).alias("_text"), "text")
-    return rows.mapInArrow(work, fields)
+    rows = texts(docs).select("text_a", "text_b", "text")
+    return rows.mapInArrow(work, ", ".join(f"{n} bigint" for n in names))
+
+
+def compressed(docs: DataFrame) -> DataFrame:
+    """doc_id, text_a, text_b, packed: what is moved when texts have to meet other rows."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor().compress
+        for batch in batches:
+            out = [pack((t.as_py() or "").encode()) for t in batch.column(3)]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:3], pa.array(out, pa.binary())],
+                ["doc_id", "text_a", "text_b", "packed"],
+            )
+
+    fields = "doc_id bigint, text_a bigint, text_b bigint, packed binary"
+    return texts(docs).mapInArrow(work, fields)
+
+
+def unpacked(packed: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(packed)
 
 
 def tiles_of(text: bytes, at: int, first: int, last: int, size: int) -> Iterator[tuple]:
@@ -123,26 +167,26 @@ def tiles_of(text: bytes, at: int, first: int, last: int, size: int) -> Iterator
         base = at - tile * TILE  # the last window start a tile may have
         low, high = max(first, base - TILE + 1), min(last, base)
         core = text[base : base - TILE + 1 + size]
-        digest = blake2b(core, digest_size=16, salt=tile.to_bytes(4, "little")).digest()
-        a, b = (int.from_bytes(digest[n : n + 8], "little", signed=True) for n in (0, 8))
+        a, b = digest(core, tile.to_bytes(4, "little"))
         yield a, b, text[low:base], text[base - TILE + 1 + size : high + size], base
 
 
-def tiles(docs: DataFrame, hits: DataFrame, size: int) -> DataFrame:
-    """doc_id, _text, core_a, core_b, left, right, base for the windows around ``hits``."""
-    fields = "doc_id bigint, _text bigint, core_a bigint, core_b bigint"
-    fields += ", left binary, right binary, base bigint"
-    kinds = [pa.int64()] * 4 + [pa.binary()] * 2 + [pa.int64()]
-    names = ["doc_id", "_text", "core_a", "core_b", "left", "right", "base"]
+def tiles(docs: DataFrame, runs: DataFrame, size: int) -> DataFrame:
+    """text_a, text_b, core_a, core_b, left, right, base, n for the windows of ``runs``."""
+    names = ["text_a", "text_b", "core_a", "core_b", "left", "right", "base", "n"]
+    kinds = [pa.int64()] * 4 + [pa.binary()] * 2 + [pa.int64()] * 2
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = None
         for batch in batches:
             for row in range(batch.num_rows):
-                doc, mark, text, runs = (batch.column(n)[row].as_py() for n in range(4))
-                raw = text.encode()
+                name = tuple(batch.column(n)[row].as_py() for n in (0, 1))
+                if name == before:  # a copy; its runs count as repeated without it
+                    continue
+                before, raw = name, unpacked(batch.column(2)[row].as_py())
                 out = [
-                    (doc, mark, *tile)
-                    for run in runs
+                    (*name, *tile, run["n"])
+                    for run in batch.column(3)[row].as_py()
                     for tile in tiles_of(raw, run["at"], run["first"], run["last"], size)
                 ]
                 yield pa.RecordBatch.from_arrays(
@@ -150,12 +194,12 @@ def tiles(docs: DataFrame, hits: DataFrame, size: int) -> DataFrame:
                     names,
                 )
 
-    runs = hits.groupBy(F.col("doc_id").alias("_doc"), F.col("_text").alias("_mark")).agg(
-        F.collect_set(F.struct("at", "first", "last")).alias("runs")
+    wanted = runs.groupBy("text_a", "text_b").agg(
+        F.collect_set(F.struct("at", "first", "last", "n")).alias("runs")
     )
-    rows = docs.select("doc_id", text_hash(F.col("text")).alias("_text"), "text")
-    same = rows["doc_id"].eqNullSafe(runs["_doc"]) & (rows["_text"] == runs["_mark"])
-    return rows.join(runs, same).select("doc_id", "_text", "text", "runs").mapInArrow(work, fields)
+    fields = ", ".join(f"`{n}` {'binary' if n in ('left', 'right') else 'bigint'}" for n in names)
+    met = compressed(docs).join(wanted, ["text_a", "text_b"])
+    return met.select("text_a", "text_b", "packed", "runs").mapInArrow(work, fields)
 
 
 class ExternalColumns:
@@ -387,8 +431,8 @@ def cut(docs: DataFrame, spans: DataFrame) -> DataFrame:
         kind = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
             sizes, removed, kept = [], [], []
-            for text, some in zip(batch.column(1), batch.column(2), strict=True):
-                raw, runs, rest, done = (text.as_py() or "").encode(), [], [], 0
+            for packed, some in zip(batch.column(1), batch.column(2), strict=True):
+                raw, runs, rest, done = unpacked(packed.as_py()), [], [], 0
                 for span in sorted((s["first"], s["end"]) for s in some.as_py() or ()):
                     if runs and span[0] <= runs[-1][1]:
                         runs[-1][1] = max(runs[-1][1], span[1])
@@ -411,9 +455,8 @@ def cut(docs: DataFrame, spans: DataFrame) -> DataFrame:
                 ["doc_id", "n_bytes", "spans", "kept"],
             )
 
-    rows = docs.select("doc_id", text_hash(F.col("text")).alias("_text"), "text")
-    same = rows["doc_id"].eqNullSafe(spans["_doc"]) & (rows["_text"] == spans["_mark"])
-    return rows.join(spans, same, "left").select("doc_id", "text", "spans").mapInArrow(work, fields)
+    met = compressed(docs).join(spans, ["text_a", "text_b"], "left")
+    return met.select("doc_id", "packed", "spans").mapInArrow(work, fields)
 
 
 def remove_repeats(docs: DataFrame, size: int = WINDOW) -> DataFrame:
@@ -425,26 +468,31 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW) -> DataFrame:
         raise ValueError("windows are too short for the tiles")
     found = staged(anchors(docs, size), "anchors")
     twice = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    hits = found.join(twice.select("anchor"), "anchor")
+    hits = staged(found.join(twice.select("anchor"), "anchor"), "repeated-anchors")
+    run = ["anchor", "run_a", "run_b"]
+    place = F.struct("text_a", "text_b", "at", "first", "last")
+    kinds = hits.groupBy(*run).agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("place"))
+    kinds = staged(kinds, "runs")
+    whole = hits.join(kinds.where(F.col("n") > 1).select(*run), run).select(
+        "text_a", "text_b", "first", (F.col("last") + size).alias("end")
+    )
+    several = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > 1)
+    mixed = kinds.join(several.select("anchor"), "anchor").select("place.*", "n")
     segment = [
         F.xxhash64(F.lit(n), *CORE, "left", "right").alias(name)
         for n, name in ((3, "seg_a"), (4, "seg_b"))
     ]
-    around = staged(tiles(docs, hits, size).select("*", *segment), "tiles")
-    distinct = around.groupBy("seg_a", "seg_b", *CORE, "left", "right").agg(
-        F.count(F.lit(1)).alias("n")
+    around = staged(tiles(docs, mixed, size).select("*", *segment), "tiles")
+    distinct = around.groupBy("seg_a", "seg_b", *CORE, "left", "right").agg(F.sum("n").alias("n"))
+    part = around.join(shared_windows(distinct), ["seg_a", "seg_b"]).select(
+        "text_a",
+        "text_b",
+        (F.col("base") - F.col("high")).alias("first"),
+        (F.col("base") - F.col("low") + size).alias("end"),
     )
-    shared = shared_windows(distinct)
     spans = (
-        around.join(shared, ["seg_a", "seg_b"])
-        .groupBy(F.col("doc_id").alias("_doc"), F.col("_text").alias("_mark"))
-        .agg(
-            F.collect_set(
-                F.struct(
-                    (F.col("base") - F.col("high")).alias("first"),
-                    (F.col("base") - F.col("low") + size).alias("end"),
-                )
-            ).alias("spans")
-        )
+        whole.unionByName(part)
+        .groupBy("text_a", "text_b")
+        .agg(F.collect_set(F.struct("first", "end")).alias("spans"))
     )
     return cut(docs, spans)
