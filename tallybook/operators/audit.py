@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallybook import schemas as S
+from tallybook.operators.ledger import first_starts
 
 # The wording of each failure.
 NOTHING_STARTED = "no requests were recorded — the load generator did not run"
@@ -85,14 +86,14 @@ def scenario_report(
 ) -> DataFrame:
     """What became of each scenario's requests, all scenarios in one pass.
 
-    Rows are first counted per tenant and reason; only those counts are matched to scenarios.
+    A request that was started twice counts once. Rows are first counted per tenant and reason; only those counts are matched to scenarios.
     A scenario nothing belongs to is reported too, with zeros.
     """
     none = F.lit(None).cast("string")
     rows = settlements.select(
         "tenant_id", F.lit("settled").alias("kind"), "status", "drift_reason", "drift_tokens"
     )
-    for kind, part in (("started", started), ("pending", pending)):
+    for kind, part in (("started", first_starts(started)), ("pending", pending)):
         rows = rows.unionByName(
             part.select(
                 "tenant_id",

@@ -5,21 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallybook import schemas as S
+from tallybook.operators.reconcile import after
 from tallybook.operators.skew import salted_join
 
-EXPIRED_BATCH = 500
-
 
 def first_writes(attempts: DataFrame, stored: DataFrame | None = None) -> DataFrame:
     """The rows a set of settlement attempts would create, with how many attempts each took.
 
-    The earliest attempt of a request wins. Attempts for requests already ``stored`` create nothing.
+    The earliest attempt of a request wins; of one instant, one that is no repeat. Attempts for requests already ``stored`` create nothing.
     Repeats are combined before the shuffle, so a request settled a million times costs no more
     than one settled once.
     """
     others = [c for c in attempts.columns if c not in ("request_id", "settled_at")]
+    repeat = F.coalesce(F.col("drift_reason") == S.RETRY_DOUBLE_COUNT, F.lit(False))
     winners = attempts.groupBy("request_id").agg(
-        F.min(F.struct("settled_at", *others)).alias("_row"), F.count("*").alias("attempts")
+        F.min(F.struct("settled_at", repeat.alias("_repeat"), *others)).alias("_row"),
+        F.count("*").alias("attempts"),
     )
     rows = winners.select(
         "request_id", *[f"_row.{c}" for c in attempts.columns if c != "request_id"], "attempts"
@@ -43,9 +44,11 @@ def duplicate_attempts(late_metered: DataFrame, settlements: DataFrame) -> DataF
         F.lit(S.RETRY_DOUBLE_COUNT).alias("drift_reason"),
         "ended_at",
     )
-    settled = settlements.select("request_id", "settled_at")
-    late = salted_join(copies, settled, ["request_id"]).where("ended_at > settled_at")
-    return late.drop("settled_at").withColumnRenamed("ended_at", "settled_at")
+    settled = settlements.select("request_id", F.col("status").alias("_status"), "settled_at")
+    late = salted_join(copies, settled, ["request_id"]).where(
+        after(F.col("ended_at"), F.col("settled_at"), F.col("_status"))
+    )
+    return late.drop("settled_at", "_status").withColumnRenamed("ended_at", "settled_at")
 
 
 def first_starts(started: DataFrame) -> DataFrame:
@@ -68,14 +71,11 @@ def unaccounted(started: DataFrame, settlements: DataFrame) -> DataFrame:
 
 
 def expired_pending(
-    pending_rows: DataFrame, older_than: Column, limit: int = EXPIRED_BATCH
+    pending_rows: DataFrame, older_than: Column, limit: int | None = None
 ) -> DataFrame:
-    """The oldest pending requests started at or before ``older_than``."""
-    return (
-        pending_rows.where(F.col("started_at") <= older_than)
-        .orderBy("started_at", "request_id")
-        .limit(limit)
-    )
+    """The pending requests started at or before ``older_than``, with ``limit`` the oldest of them."""
+    rows = pending_rows.where(F.col("started_at") <= older_than)
+    return rows if limit is None else rows.orderBy("started_at", "request_id").limit(limit)
 
 
 def drift_events(settlements: DataFrame, *, include_swept: bool = False) -> DataFrame:
@@ -122,12 +122,26 @@ def duplicate_keys(keyed: DataFrame, heavy: DataFrame | None = None) -> DataFram
 
 def billing_facts(settlements: DataFrame, metered: DataFrame) -> DataFrame:
     """Settlements with the terminal state and key of the metered copy they were settled on."""
-    times = settlements.select("request_id", "settled_at")
+    times = settlements.select("request_id", "settled_at", "status")
+    total = (F.col("prompt_tokens") + F.col("completion_tokens")).alias("total")
     facts = (
         salted_join(metered, times, ["request_id"])
-        .where("ended_at <= settled_at")
+        .where(~after(F.col("ended_at"), F.col("settled_at"), F.col("status")))
         .groupBy("request_id")
-        .agg(F.max(F.struct("ended_at", "terminal_state", "idempotency_key")).alias("_copy"))
+        .agg(
+            F.max(
+                F.struct(
+                    "ended_at",
+                    total,
+                    "prompt_tokens",
+                    "completion_tokens",
+                    "terminal_state",
+                    "model",
+                    "tenant_id",
+                    "idempotency_key",
+                )
+            ).alias("_copy")
+        )
         .select("request_id", "_copy.terminal_state", "_copy.idempotency_key")
     )
     return settlements.join(facts, "request_id", "left")

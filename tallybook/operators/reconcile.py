@@ -2,7 +2,8 @@
 
 A request settles when both ledgers have arrived, in either order, or at its deadline when it
 was started and the pair is still incomplete. The copy used on each side is the latest that had
-arrived by then.
+arrived by then. At the deadline the sweep comes first: what arrives at that very instant is too
+late, as part of a pair and as a copy. Of copies of one instant the larger total counts.
 """
 
 from __future__ import annotations
@@ -11,9 +12,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tallybook import schemas as S
 from tallybook.functions.attribution import attribution
-from tallybook.operators.skew import salted_join
+from tallybook.operators.skew import HEAVY_KEYS, key_hash, salted_join
 
 WINDOW_SECONDS = 300
+HEAVY_COPIES = 1_000
 
 SETTLEMENT_COLUMNS = [f.name for f in S.SETTLEMENT_SCHEMA.fields]
 _COUNTS = ["prompt_tokens", "completion_tokens"]
@@ -54,44 +56,60 @@ def tagged(
     feed = sides[0]
     for other in sides[1:]:
         feed = feed.unionByName(other, allowMissingColumns=True)
-    return feed.where(F.col("request_id").isNotNull())
+    total = F.col("prompt_tokens") + F.col("completion_tokens")
+    return feed.where(F.col("request_id").isNotNull()).withColumns(
+        {"total": total, "us": micros(F.col("at"))}
+    )
+
+
+def micros(at: Column) -> Column:
+    """Instants as whole numbers: what is compared most stays cheap to compare."""
+    return F.unix_micros(at.cast("timestamp"))
+
+
+def instant(us: Column, like: DataFrame, column: str) -> Column:
+    """Back to an instant of the type that ``column`` has in ``like``."""
+    return F.timestamp_micros(us).cast(like.schema[column].dataType)
 
 
 def _copy(side: str, *fields: str) -> Column:
-    return F.when(F.col("side") == side, F.struct("at", *fields))
+    """A copy in the order of arrival; of one instant the larger total is the later one."""
+    return F.when(F.col("side") == side, F.struct("us", "total", *fields))
+
+
+def _first_copy(side: str, *fields: str) -> Column:
+    """The copy of the first arrival, the larger total of one instant."""
+    early = (-F.col("us")).alias("early")
+    return F.max(F.when(F.col("side") == side, F.struct(early, "total", *fields, "us")))
 
 
 def request_state(feed: DataFrame) -> DataFrame:
-    """One row per request: first start, first arrival and latest copy of each ledger.
+    """One row per request: first start, first and latest copy of each ledger and their number.
 
     Everything here merges, so copies of a request are combined before the one shuffle.
     """
     key = [c for c in _KEY if c in feed.columns]
     return feed.groupBy("request_id").agg(
         F.min(_copy("S", *_START_FIELDS, *key)).alias("start"),
-        F.min(F.when(F.col("side") == "A", F.col("at"))).alias("first_a"),
+        _first_copy("A", *_COPY_FIELDS, *key).alias("early_a"),
         F.max(_copy("A", *_COPY_FIELDS, *key)).alias("last_a"),
-        F.min(F.when(F.col("side") == "B", F.col("at"))).alias("first_b"),
+        F.count_if(F.col("side") == "A").alias("copies_a"),
+        _first_copy("B", *_COUNTS).alias("early_b"),
         F.max(_copy("B", *_COUNTS)).alias("last_b"),
-    )
-
-
-def _round_up(moment: Column, seconds: float) -> Column:
-    """The next sweep tick at or after ``moment``."""
-    step = int(seconds * 1_000_000)
-    short = F.pmod(-F.unix_micros(moment.cast("timestamp")), F.lit(step))
-    return moment + F.make_dt_interval(secs=(short / F.lit(1e6)).cast("decimal(18,6)"))
+        F.count_if(F.col("side") == "B").alias("copies_b"),
+    ).withColumns({"first_a": F.col("early_a.us"), "first_b": F.col("early_b.us")})
 
 
 def settle_times(
     state: DataFrame, window_seconds: float = WINDOW_SECONDS, tick_seconds: float | None = None
 ) -> DataFrame:
-    """Adds ``deadline``, ``joined_at`` and ``settled_at`` (NULL: waits for ever)."""
-    deadline = F.col("start.at") + F.make_dt_interval(
-        secs=F.lit(window_seconds).cast("decimal(18,6)")
-    )
+    """Adds ``deadline``, ``joined`` and ``settled`` in microseconds (NULL: waits for ever).
+
+    With ``tick_seconds`` a deadline is the next sweep tick at or after it.
+    """
+    deadline = F.col("start.us") + round(window_seconds * 1_000_000)
     if tick_seconds:
-        deadline = _round_up(deadline, tick_seconds)
+        deadline = deadline + F.pmod(-deadline, F.lit(round(tick_seconds * 1_000_000)))
     pair = F.when(
         F.col("first_a").isNotNull() & F.col("first_b").isNotNull(),
         F.greatest("first_a", "first_b"),
@@ -99,13 +117,23 @@ def settle_times(
     return (
         state.withColumn("deadline", deadline)
         .withColumn(
-            "joined_at",
+            "joined",
             F.when(F.col("deadline").isNull() | (pair < F.col("deadline")), pair),
         )
-        .withColumn("settled_at", F.coalesce("joined_at", "deadline"))
+        .withColumn("settled", F.coalesce("joined", "deadline"))
     )
 
 
+def in_time(us: Column) -> Column:
+    """Whether a copy was there when its request settled, by ``joined`` and ``deadline``."""
+    return us <= F.coalesce(F.col("joined"), F.col("deadline") - 1)
+
+
+def after(at: Column, settled_at: Column, status: Column) -> Column:
+    """Whether a copy came after settlement; at the deadline itself the sweep was first."""
+    return F.when(status == S.FORCE_SETTLED, at >= settled_at).otherwise(at > settled_at)
+
+
 def settled_copies(
     started: DataFrame,
     metered: DataFrame,
@@ -118,8 +146,9 @@ def settled_copies(
 ) -> DataFrame:
     """One row per settled request with the chosen copies ``a`` and ``b``.
 
-    One shuffle settles every request whose latest copy came before it settled. Only requests with
-    copies on both sides of that instant read the feeds again.
+    The first and the latest copy of a side decide nearly every request in the one shuffle. Only a side
+    with three copies or more, the first before and the last after its request settled, reads the
+    feeds again. Which of those requests are heavy is known from their counts.
     """
     feed = tagged(started, metered, usage, keyed=keyed)
     key = _KEY if keyed else []
@@ -127,32 +156,49 @@ def settled_copies(
         feed = feed.where(F.col("at") <= as_of)
     state = settle_times(request_state(feed), window_seconds, tick_seconds)
     state = state.where(
-        F.col("joined_at").isNotNull()
-        | (F.col("deadline").isNotNull() if as_of is None else F.col("deadline") <= as_of)
-    )
-    late_a = F.coalesce(F.col("last_a.at") > F.col("settled_at"), F.lit(False))
-    late_b = F.coalesce(F.col("last_b.at") > F.col("joined_at"), F.lit(False))
-    straddles = (late_a & (F.col("first_a") <= F.col("settled_at"))) | (
-        late_b & (F.col("first_b") <= F.col("joined_at"))
+        F.col("joined").isNotNull()
+        | (F.col("deadline").isNotNull() if as_of is None else F.col("deadline") <= micros(as_of))
     )
-    state = state.withColumn("_straddles", straddles)
-    chosen = {
-        "a": F.when(~late_a, F.col("last_a")),
-        "b": F.when(~late_b & F.col("joined_at").isNotNull(), F.col("last_b")),
-    }
-    carried = ["start", "deadline", "joined_at", "settled_at", "last_a", "last_b"]
-    clear = (
-        state.where(~F.col("_straddles"))
-        .withColumns(chosen)
-        .select("request_id", *carried[:4], "a", "b")
+    joined = F.col("joined").isNotNull()
+
+    def choice(side: str, fields: list[str]) -> tuple[Column, Column]:
+        """The copy of a side where first and latest decide it, and whether they do not."""
+        early, last = (F.col(f"{n}_{side}") for n in ("early", "last"))
+        begins, ends = in_time(early["us"]), in_time(last["us"])
+        first = F.struct(*[early[n].alias(n) for n in ("us", "total", *fields)])
+        alone = early["us"].eqNullSafe(F.col("joined")) | (F.col(f"copies_{side}") == 2)
+        return F.when(ends, last).when(begins & alone, first), begins & ~ends & ~alone
+
+    a, unsure_a = choice("a", [*_COPY_FIELDS, *key])
+    b, unsure_b = choice("b", _COUNTS)
+    unsure = F.coalesce(unsure_a, F.lit(False)) | (joined & F.coalesce(unsure_b, F.lit(False)))
+    carried = ["start", "deadline", "joined", "settled"]
+    # A generator's output is computed once. As plain columns, the choices would be spelled out again in
+    # every filter that is pushed down and for every field, beyond what Spark compiles.
+    decided = F.struct(
+        *carried,
+        a.alias("a"),
+        F.when(joined, b).alias("b"),
+        unsure.alias("_unsure"),
+        (F.col("copies_a") + F.col("copies_b")).alias("_copies"),
     )
+    state = state.select("request_id", F.inline(F.array(decided)))
+    clear = state.where(~F.col("_unsure")).select("request_id", *carried, "a", "b")
 
-    open_ = state.where("_straddles").select("request_id", F.struct(*carried).alias("state"))
+    open_ = state.where("_unsure").select(
+        "request_id",
+        F.struct(*carried).alias("state"),
+        "_copies",
+    )
+    heavy = (
+        open_.where(F.col("_copies") >= HEAVY_COPIES)
+        .orderBy(F.col("_copies").desc(), "request_id")
+        .limit(HEAVY_KEYS)
+        .select(key_hash(["request_id"]).alias("_heavy"))
+    )
     copies = feed.where(F.col("side") != "S")
-    seen = salted_join(copies, open_, ["request_id"]).where(
-        F.when(F.col("side") == "A", F.col("at") <= F.col("state.settled_at")).otherwise(
-            F.col("at") <= F.col("state.joined_at")
-        )
+    seen = salted_join(copies, open_.drop("_copies"), ["request_id"], heavy=heavy).where(
+        F.col("us") <= F.coalesce(F.col("state.joined"), F.col("state.deadline") - 1)
     )
     picked = (
         seen.groupBy("request_id")
@@ -161,7 +207,8 @@ def settled_copies(
             F.max(_copy("A", *_COPY_FIELDS, *key)).alias("a"),
             F.max(_copy("B", *_COUNTS)).alias("b"),
         )
-        .select("request_id", *[f"state.{c}" for c in carried[:4]], "a", "b")
+        .select("request_id", *[f"state.{c}" for c in carried], "a", "b")
+        .withColumn("b", F.when(joined, F.col("b")))
     )
     return clear.unionByName(picked)
 
@@ -196,7 +243,7 @@ def reconcile(
     unseen = F.lit(0).cast("bigint") if floor == "zero" else F.col("start.prompt_tokens")
     rows = rows.select(
         "request_id",
-        F.when(F.col("joined_at").isNotNull(), F.col("a.tenant_id"))
+        F.when(F.col("joined").isNotNull(), F.col("a.tenant_id"))
         .otherwise(F.col("start.tenant_id"))
         .alias("tenant_id"),
         F.coalesce("a.model", F.lit(S.UNKNOWN_MODEL)).alias("model"),
@@ -204,10 +251,10 @@ def reconcile(
             "metered_total"
         ),
         (F.col("b.prompt_tokens") + F.col("b.completion_tokens")).alias("provider_total"),
-        "settled_at",
+        instant(F.col("settled"), metered, "ended_at").alias("settled_at"),
         F.col("a.terminal_state").alias("terminal_state"),
-        F.col("start.at").alias("started_at"),
-        "joined_at",
+        instant(F.col("start.us"), metered, "ended_at").alias("started_at"),
+        instant(F.col("joined"), metered, "ended_at").alias("joined_at"),
         *(
             [F.coalesce("a.idempotency_key", "start.idempotency_key").alias("idempotency_key")]
             if detail
@@ -265,20 +312,20 @@ def attribute_pairs(
     ).drop("duplicate")
 
 
-def buffered(state: DataFrame, settled_at: Column) -> DataFrame:
+def buffered(state: DataFrame, settled: Column) -> DataFrame:
     """Half-joined requests: ``buffered_metered`` and ``buffered_usage`` flags.
 
     A metered record waits until its request settles. A report waits until then too, and one that
     comes later waits for ever.
     """
-    unsettled = settled_at.isNull()
+    unsettled = settled.isNull()
     return state.withColumns(
         {
             "buffered_metered": unsettled & F.col("first_a").isNotNull(),
             "buffered_usage": F.coalesce(
-                F.when(unsettled, F.col("first_b").isNotNull()).otherwise(
-                    F.col("last_b.at") > settled_at
-                ),
+                F.when(unsettled, F.col("first_b").isNotNull())
+                .when(F.col("joined").isNull(), F.col("last_b.us") >= settled)
+                .otherwise(F.col("last_b.us") > settled),
                 F.lit(False),
             ),
         }
@@ -296,7 +343,7 @@ def half_joined(
     """How many requests wait with only one ledger at ``as_of``, by side."""
     feed = tagged(started, metered, usage).where(F.col("at") <= as_of)
     state = settle_times(request_state(feed), window_seconds)
-    by_now = F.when(F.col("settled_at") <= as_of, F.col("settled_at"))
+    by_now = F.when(F.col("settled") <= micros(as_of), F.col("settled"))
     flags = buffered(state, by_now)
     counts = flags.agg(
         F.count_if("buffered_metered").alias("metered"), F.count_if("buffered_usage").alias("usage")
@@ -314,7 +361,7 @@ def orphan_usage(metered: DataFrame, usage: DataFrame) -> DataFrame:
     return state.where("first_a is null").select(
         "request_id",
         (F.col("last_b.prompt_tokens") + F.col("last_b.completion_tokens")).alias("provider_total"),
-        F.col("first_b").alias("first_reported_at"),
+        instant(F.col("first_b"), usage, "reported_at").alias("first_reported_at"),
     )
 
 
@@ -340,7 +387,9 @@ def after_settlement(
     settled = settlements.select("request_id", "status", "settled_at")
     if status is not None:
         settled = settled.where(F.col("status") == status)
-    return salted_join(rows, settled, ["request_id"]).where(F.col(at) > F.col("settled_at"))
+    return salted_join(rows, settled, ["request_id"]).where(
+        after(F.col(at), F.col("settled_at"), F.col("status"))
+    )
 
 
 def late_usage(

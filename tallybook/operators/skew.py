@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 HEAVY_KEYS = 1_000
 TRACKED_KEYS = 20_000
 FANOUT = 64
 BLOCK = 65_536
-GROUP_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
 
 
 def by_key(rows: DataFrame, *keys: str) -> DataFrame:
@@ -45,6 +44,12 @@ def heavy_keys(
     )
 
 
+def row_share(rows: DataFrame, fanout: int) -> Column:
+    """A share from all columns of a row that can be hashed; equal rows may share it."""
+    plain = [f.name for f in rows.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    return F.pmod(F.xxhash64(F.lit(17), *[F.col(f"`{c}`") for c in plain]), F.lit(fanout))
+
+
 def salted_join(
     rows: DataFrame,
     per_key: DataFrame,
@@ -56,6 +61,8 @@ def salted_join(
 ) -> DataFrame:
     """Join many ``rows`` to few ``per_key`` rows with the heavy keys spread over ``fanout`` tasks.
 
+    The salt is a hash of the row's other columns, so a task that runs again deals its rows alike.
+
     Rows of a heavy key get one of ``fanout`` salts, its ``per_key`` rows are repeated for every
     salt; all other keys keep salt 0 and are moved once. The heavy list holds at most
     ``HEAVY_KEYS`` entries, so it is always small enough to broadcast. ``how`` may be any
@@ -71,9 +78,7 @@ def salted_join(
         .join(heavy.withColumn("_hot", F.lit(True)), "_heavy", "left")
         .withColumn(
             "_salt",
-            F.when(F.col("_hot"), F.monotonically_increasing_id() % fanout)
-            .otherwise(0)
-            .cast("int"),
+            F.when(F.col("_hot"), row_share(rows, fanout)).otherwise(0).cast("int"),
         )
         .drop("_heavy", "_hot")
     )
@@ -135,27 +140,3 @@ def running_sum(
     return joined.withColumns(totals).drop(
         "_block", *[f"_amount_{n}" for n in amounts], *[f"_before_{n}" for n in amounts]
     )
-
-
-def last_per_group(
-    rows: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, *, fanout: int = FANOUT
-) -> DataFrame:
-    """The first ``n`` rows of each key in ``order``, picked in two rounds.
-
-    The first round ranks inside ``fanout`` shares of each key, so the second round sees at most
-    ``n * fanout`` rows of a key however large it is. Each task drops what cannot rank before it
-    shuffles; Spark does so up to a limit on ``n``, which is raised where ``n`` is larger.
-    """
-    conf = rows.sparkSession.conf
-    if int(conf.get(GROUP_LIMIT)) < n:
-        conf.set(GROUP_LIMIT, str(n))
-    share = Window.partitionBy(*keys, "_share").orderBy(*order)
-    whole = Window.partitionBy(*keys).orderBy(*order)
-    return (
-        rows.withColumn("_share", F.monotonically_increasing_id() % fanout)
-        .withColumn("_rank", F.row_number().over(share))
-        .where(F.col("_rank") <= n)
-        .withColumn("_rank", F.row_number().over(whole))
-        .where(F.col("_rank") <= n)
-        .drop("_share", "_rank")
-    )

@@ -6,7 +6,7 @@ Each block is SQL that Spark and DuckDB both run unchanged, so queries and their
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tallybook.session import configure
 
@@ -24,10 +24,15 @@ SELECT event_id, concat('req-', event_id) AS request_id,
   CASE event_type WHEN 'view' THEN 'client_disconnect' WHEN 'purchase' THEN 'budget_exceeded'
     WHEN 'error' THEN CASE WHEN event_id % 2 = 0 THEN 'gateway_shutdown' ELSE 'provider_error' END
     ELSE 'completed' END AS terminal_state,
-  ts AS started_at
+  event_type, ts AS started_at
 FROM events""",
     "requests_started": """
-SELECT request_id, idempotency_key, tenant_id, model, prompt_tokens, started_at FROM base""",
+SELECT request_id, idempotency_key, tenant_id, model, prompt_tokens, started_at
+FROM base WHERE event_id % 59 <> 1
+UNION ALL
+SELECT request_id, idempotency_key, tenant_id, model, prompt_tokens,
+  started_at + INTERVAL 30 SECOND AS started_at
+FROM base WHERE event_id % 61 = 1""",
     "requests_metered": """
 SELECT request_id, idempotency_key, tenant_id, model, prompt_tokens, completion_tokens,
   terminal_state, started_at + INTERVAL 5 SECOND AS ended_at
@@ -35,7 +40,17 @@ FROM base WHERE event_id % 17 <> 0
 UNION ALL
 SELECT request_id, idempotency_key, tenant_id, model, prompt_tokens, completion_tokens + 5,
   terminal_state, started_at + INTERVAL 20 SECOND AS ended_at
-FROM base WHERE event_id % 17 <> 0 AND event_id % 29 = 0""",
+FROM base WHERE event_id % 17 <> 0 AND event_id % 29 = 0
+UNION ALL
+SELECT request_id, idempotency_key, tenant_id, model, prompt_tokens - 1 AS prompt_tokens,
+  completion_tokens + 3 AS completion_tokens, terminal_state,
+  started_at + INTERVAL 5 SECOND AS ended_at
+FROM base WHERE event_id % 17 <> 0 AND event_id % 71 = 0
+UNION ALL
+SELECT request_id, idempotency_key, tenant_id, model, prompt_tokens,
+  completion_tokens + 7 AS completion_tokens, terminal_state,
+  started_at + INTERVAL 300 SECOND AS ended_at
+FROM base WHERE event_id % 13 = 0""",
     "provider_usage": """
 SELECT request_id, prompt_tokens,
   completion_tokens + CASE event_id % 7 WHEN 1 THEN 4 WHEN 2 THEN -3 WHEN 3 THEN 1 ELSE 0 END
@@ -46,7 +61,11 @@ FROM base WHERE event_id % 10 <> 0
 UNION ALL
 SELECT request_id, prompt_tokens, completion_tokens + 9 AS completion_tokens,
   started_at + INTERVAL 3 SECOND AS reported_at
-FROM base WHERE event_id % 37 = 0""",
+FROM base WHERE event_id % 37 = 0
+UNION ALL
+SELECT request_id, prompt_tokens, completion_tokens + 1 AS completion_tokens,
+  started_at + INTERVAL 300 SECOND AS reported_at
+FROM base WHERE event_id % 30 = 0""",
     # The published feed: six partitions, offsets rising inside each and with gaps.
     "feed": """
 SELECT 'requests.started' AS topic, event_id % 6 AS part, event_id * 2 AS pos, request_id
@@ -78,7 +97,7 @@ SELECT request_id, tenant_id,
   CASE WHEN event_id % 19 = 0 THEN 500 WHEN event_id % 19 = 1 THEN 429 ELSE 200 END AS http_status,
   event_id % 11 = 0 AS transport_failed, event_type = 'purchase' AS draw_refused,
   event_id % 53 = 0 AS cancelled, event_type = 'view' AS client_gone
-FROM base JOIN (SELECT event_id AS eid, event_type FROM events) e ON base.event_id = e.eid""",
+FROM base""",
     "raw_requests": """
 SELECT concat('req-', event_id) AS request_id,
   CASE WHEN event_id % 4 = 0 THEN NULL WHEN event_id % 4 = 1 THEN ''
@@ -157,17 +176,18 @@ def sql(select: str, *names: str, recursive: bool = False, extra: dict[str, str]
     return f"WITH {'RECURSIVE ' if recursive else ''}{ctes}\n{select}"
 
 
-_schemas: dict[str, T.StructType] = {}
+# The columns of the given tables the blocks read.
+SCHEMAS = {
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+}
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """One given table. Its schema is looked up once per path, later reads start no job."""
+    """One given table, under its known schema, so that a read starts no job."""
     configure(spark)
-    path = f"{folder}/{name}.parquet"
-    reader = spark.read.schema(_schemas[path]) if path in _schemas else spark.read
-    rows = reader.parquet(path)
-    _schemas[path] = rows.schema
-    return rows
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
 
 
 def view(spark: SparkSession, folder: str, name: str) -> DataFrame:

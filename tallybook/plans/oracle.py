@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tallybook.operators.metrics import TTFT_BOUNDS
 from tallybook.plans import catalog as c
 from tallybook.plans.fixtures import sql
 
@@ -9,7 +10,10 @@ FEEDS = ("requests_started", "requests_metered", "provider_usage")
 
 
 def settled(window: int = 300, tick: int | None = None) -> str:
-    """One settlement per request, from ranked copies and joins."""
+    """One settlement per request, from ranked copies and joins.
+
+    The sweep comes first at the deadline; of copies of one instant the larger total counts.
+    """
     deadline = f"s.started_at + INTERVAL {window} SECOND"
     if tick:
         us = f"epoch_us({deadline})"
@@ -17,16 +21,26 @@ def settled(window: int = 300, tick: int | None = None) -> str:
     return f"""
 WITH fa AS (SELECT request_id, min(ended_at) AS ta FROM requests_metered GROUP BY request_id),
  fb AS (SELECT request_id, min(reported_at) AS tb FROM provider_usage GROUP BY request_id),
- d AS (SELECT s.*, {deadline} AS deadline FROM requests_started s),
- w AS (SELECT d.*, CASE WHEN fa.ta IS NOT NULL AND fb.tb IS NOT NULL
-     AND greatest(fa.ta, fb.tb) < d.deadline THEN greatest(fa.ta, fb.tb) END AS joined_at
-   FROM d LEFT JOIN fa ON d.request_id = fa.request_id LEFT JOIN fb ON d.request_id = fb.request_id),
- a AS (SELECT m.*, row_number() OVER (PARTITION BY m.request_id ORDER BY m.ended_at DESC) AS rn
+ fs AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY started_at) AS rn
+   FROM requests_started),
+ d AS (SELECT s.*, {deadline} AS deadline FROM fs s WHERE s.rn = 1),
+ w0 AS (SELECT coalesce(d.request_id, fa.request_id) AS request_id, d.tenant_id, d.idempotency_key,
+     d.started_at, d.deadline, CASE WHEN fa.ta IS NOT NULL AND fb.tb IS NOT NULL
+     AND (d.deadline IS NULL OR greatest(fa.ta, fb.tb) < d.deadline)
+     THEN greatest(fa.ta, fb.tb) END AS joined_at
+   FROM d FULL JOIN fa ON d.request_id = fa.request_id
+   LEFT JOIN fb ON coalesce(d.request_id, fa.request_id) = fb.request_id),
+ w AS (SELECT * FROM w0 WHERE joined_at IS NOT NULL OR deadline IS NOT NULL),
+ a AS (SELECT m.*, row_number() OVER (PARTITION BY m.request_id
+     ORDER BY m.ended_at DESC, m.prompt_tokens + m.completion_tokens DESC) AS rn
    FROM requests_metered m JOIN w ON m.request_id = w.request_id
-   WHERE m.ended_at <= coalesce(w.joined_at, w.deadline)),
- b AS (SELECT u.*, row_number() OVER (PARTITION BY u.request_id ORDER BY u.reported_at DESC) AS rn
+   WHERE CASE WHEN w.joined_at IS NULL THEN m.ended_at < w.deadline
+     ELSE m.ended_at <= w.joined_at END),
+ b AS (SELECT u.*, row_number() OVER (PARTITION BY u.request_id
+     ORDER BY u.reported_at DESC, u.prompt_tokens + u.completion_tokens DESC) AS rn
    FROM provider_usage u JOIN w ON u.request_id = w.request_id WHERE u.reported_at <= w.joined_at),
- j AS (SELECT w.request_id, w.tenant_id, coalesce(a.model, 'unknown') AS model, a.terminal_state,
+ j AS (SELECT w.request_id,
+   CASE WHEN w.joined_at IS NULL THEN w.tenant_id ELSE a.tenant_id END AS tenant_id, coalesce(a.model, 'unknown') AS model, a.terminal_state,
    coalesce(a.idempotency_key, w.idempotency_key) AS idempotency_key,
    coalesce(a.prompt_tokens + a.completion_tokens, 0) AS metered_total,
    b.prompt_tokens + b.completion_tokens AS provider_total,
@@ -61,7 +75,8 @@ def on_ledger(select: str, extra: dict[str, str] | None = None, **options) -> st
 
 NOW = f"TIMESTAMP '{c.AS_OF}'"
 OPEN = {
-    "so_far": f"SELECT * FROM requests_started WHERE started_at <= {NOW}",
+    "so_far": "SELECT request_id, min(tenant_id) AS tenant_id, min(started_at) AS started_at "
+    f"FROM requests_started WHERE started_at <= {NOW} GROUP BY request_id",
     "rows": f"SELECT * FROM ledger WHERE settled_at <= {NOW}",
     "waiting": "SELECT request_id, tenant_id, started_at FROM so_far "
     "WHERE request_id NOT IN (SELECT request_id FROM rows)",
@@ -72,6 +87,19 @@ def on_open_ledger(select: str, extra: dict[str, str] | None = None) -> str:
     return on_ledger(select, OPEN | (extra or {}), window=c.DAY)
 
 
+def later(at: str) -> str:
+    """Whether a copy came after the settlement in ``l``."""
+    return (
+        f"CASE WHEN l.status = 'force_settled' THEN {at} >= l.settled_at "
+        f"ELSE {at} > l.settled_at END"
+    )
+
+
+ONCE = {
+    "once": "SELECT *, row_number() OVER (PARTITION BY request_id "
+    "ORDER BY ended_at, prompt_tokens + completion_tokens) AS rn FROM requests_metered"
+}
+
 INDEX = """
 SELECT tenant_id, idempotency_key, request_id, uses FROM (
   SELECT *, row_number() OVER (PARTITION BY tenant_id, idempotency_key
@@ -262,7 +290,7 @@ SELECT scenario, CASE WHEN started = 0
       || CASE WHEN len(expected) > 0 THEN '[''' || array_to_string(expected, ''', ''') || ''']'
         ELSE 'none' END || ')' END) END AS failures"""
 
-_BOUNDS = (0.05, 0.1, 0.25, 0.5, 1.0, 2.0, 5.0, 10.0)
+_BOUNDS = TTFT_BOUNDS
 _BUCKETS = " UNION ALL ".join(
     [
         f"SELECT {i} AS i, '{b:g}' AS le, {b}::DOUBLE AS hi, "
@@ -280,8 +308,7 @@ SELECT '{name}' AS quantile,
   (SELECT CASE WHEN b.hi IS NULL THEN 10.0::DOUBLE ELSE b.lo + (b.hi - b.lo) * coalesce(
       ({q}::DOUBLE * t.n - coalesce(p.n, 0)) / nullif(b.n - coalesce(p.n, 0), 0), 1.0) END
     FROM buckets b LEFT JOIN buckets p ON p.i = b.i - 1, buckets t
-    WHERE t.i = 8 AND b.n >= {q}::DOUBLE * t.n ORDER BY b.i LIMIT 1) AS estimate,
-  (SELECT quantile_cont(s, {q}) FROM first) AS exact"""
+    WHERE t.i = 8 AND b.n >= {q}::DOUBLE * t.n ORDER BY b.i LIMIT 1) AS estimate"""
 
 
 _QUANTILES = " UNION ALL ".join(
@@ -325,9 +352,11 @@ FROM (SELECT a.request_id, a.tenant_id, a.terminal_state,
     b.prompt_tokens + b.completion_tokens AS provider_total,
     b.prompt_tokens + b.completion_tokens - a.prompt_tokens - a.completion_tokens AS delta,
     a.request_id IN (SELECT request_id FROM reused) AS dup
-  FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY ended_at DESC) AS rn
+  FROM (SELECT *, row_number() OVER (PARTITION BY request_id
+      ORDER BY ended_at DESC, prompt_tokens + completion_tokens DESC) AS rn
     FROM requests_metered) a
-  LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY reported_at DESC) AS rn
+  LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY request_id
+      ORDER BY reported_at DESC, prompt_tokens + completion_tokens DESC) AS rn
     FROM provider_usage) b ON a.request_id = b.request_id AND b.rn = 1
   WHERE a.rn = 1) x""",
         {"idx": INDEX, "reused": REUSED},
@@ -339,13 +368,13 @@ FROM (SELECT a.request_id, a.tenant_id, a.terminal_state,
     "settle_first_write": on_ledger(
         f"""SELECT l.request_id, status, metered_total, settled_at,
   1 + (SELECT count(*) FROM requests_metered m WHERE m.request_id = l.request_id
-    AND m.ended_at > l.settled_at) AS attempts
+    AND {later('m.ended_at')}) AS attempts
 FROM ledger l WHERE settled_at >= {NOW}"""
     ),
     "pending": on_open_ledger("SELECT * FROM waiting"),
     "expired_pending": on_open_ledger(
         f"SELECT * FROM waiting WHERE started_at <= TIMESTAMP '{c.EXPIRY_CUTOFF}' "
-        "ORDER BY started_at, request_id LIMIT 500"
+        "ORDER BY started_at, request_id"
     ),
     "unaccounted": on_ledger(
         "SELECT request_id, tenant_id FROM ledger WHERE status = 'force_settled'"
@@ -363,12 +392,12 @@ FROM ledger l WHERE settled_at >= {NOW}"""
     ),
     "duplicates_absorbed": on_ledger(
         "SELECT m.tenant_id, count(*) AS absorbed FROM requests_metered m JOIN ledger l "
-        "ON m.request_id = l.request_id AND m.ended_at > l.settled_at GROUP BY ALL"
+        f"ON m.request_id = l.request_id AND {later('m.ended_at')} GROUP BY ALL"
     ),
     "late_usage": on_ledger(
         "SELECT l.request_id, l.status, u.prompt_tokens + u.completion_tokens AS provider_total, "
         "u.reported_at, l.settled_at FROM provider_usage u JOIN ledger l "
-        "ON u.request_id = l.request_id AND u.reported_at > l.settled_at "
+        f"ON u.request_id = l.request_id AND {later('u.reported_at')} "
         "WHERE l.status = 'force_settled'"
     ),
     "half_joined": on_open_ledger(
@@ -376,21 +405,22 @@ FROM ledger l WHERE settled_at >= {NOW}"""
 WHERE ended_at <= {NOW} AND request_id NOT IN (SELECT request_id FROM rows)
 UNION ALL
 SELECT 'usage', count(DISTINCT u.request_id) FROM provider_usage u
-LEFT JOIN rows r ON u.request_id = r.request_id
-WHERE u.reported_at <= {NOW} AND (r.settled_at IS NULL OR u.reported_at > r.settled_at)"""
+LEFT JOIN rows l ON u.request_id = l.request_id
+WHERE u.reported_at <= {NOW} AND (l.settled_at IS NULL OR {later('u.reported_at')})"""
     ),
     "orphan_usage": sql(
         """SELECT request_id, provider_total, first_reported_at FROM (
   SELECT request_id, prompt_tokens + completion_tokens AS provider_total,
     min(reported_at) OVER (PARTITION BY request_id) AS first_reported_at,
-    row_number() OVER (PARTITION BY request_id ORDER BY reported_at DESC) AS rn
+    row_number() OVER (PARTITION BY request_id
+      ORDER BY reported_at DESC, prompt_tokens + completion_tokens DESC) AS rn
   FROM provider_usage WHERE request_id NOT IN (SELECT request_id FROM requests_metered)) x
 WHERE rn = 1""",
         *FEEDS,
     ),
     "tail_replay": sql(
-        "SELECT topic, part, pos, request_id FROM (SELECT *, row_number() OVER "
-        "(PARTITION BY topic, part ORDER BY pos DESC) AS rn FROM feed) x WHERE rn <= 60",
+        "SELECT topic, part, pos, request_id FROM (SELECT *, max(pos) OVER "
+        "(PARTITION BY topic, part) AS high FROM feed) x WHERE pos >= greatest(0, high + 1 - 60)",
         "feed",
     ),
     "decode_quarantine": sql(
@@ -442,13 +472,15 @@ FROM (SELECT (SELECT count(*) FROM rows WHERE tenant_id = '{c.DRAIN_TENANT}') AS
         )
     ),
     "requests_by_state": sql(
-        "SELECT tenant_id, terminal_state, count(*) AS requests FROM requests_metered GROUP BY ALL",
+        "SELECT tenant_id, terminal_state, count(*) AS requests FROM once WHERE rn = 1 GROUP BY ALL",
         "requests_metered",
+        extra=ONCE,
     ),
     "tokens_by_tenant_model": sql(
         "SELECT tenant_id, model, CAST(sum(prompt_tokens + completion_tokens) AS BIGINT) AS tokens "
-        "FROM requests_metered GROUP BY ALL",
+        "FROM once WHERE rn = 1 GROUP BY ALL",
         "requests_metered",
+        extra=ONCE,
     ),
     "budget_rejections": sql(
         """SELECT tenant_id, 'admission' AS stage, count(*) AS rejected FROM fold WHERE NOT granted

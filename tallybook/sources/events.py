@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from tallybook import schemas as S
 from tallybook.functions.tokens import from_epoch, to_epoch
-from tallybook.operators.skew import last_per_group
 
 INPUT_TOPICS = (S.STARTED, S.METERED, S.USAGE)
 REPLAY_LIMIT = 5_000
@@ -162,8 +161,19 @@ def publish(
 
 
 def tail_replay(feed: DataFrame, limit: int = REPLAY_LIMIT) -> DataFrame:
-    """The last ``limit`` records of each topic partition, as a second delivery would bring them."""
-    return last_per_group(feed, ["topic", "partition"], [F.col("offset").desc()], limit)
+    """The records of the last ``limit`` offsets of each topic partition, as a second delivery
+    would bring them. Where offsets have gaps these are fewer records than offsets.
+
+    The ends are one row per topic partition, whose number brokers bound, so they are broadcast and the
+    feed is read and filtered without being moved.
+    """
+    ends = feed.groupBy("topic", "partition").agg(F.max("offset").alias("_end"))
+    first = F.greatest(F.col("_end") + 1 - limit, F.lit(0))
+    return (
+        feed.join(F.broadcast(ends), ["topic", "partition"])
+        .where(F.col("offset") >= first)
+        .select(*feed.columns)
+    )
 
 
 def with_replay(feed: DataFrame, limit: int = REPLAY_LIMIT) -> DataFrame:

@@ -66,12 +66,21 @@ def budget_stream(
 
 
 def claim_stream(
-    log: DataFrame, *, lease_ms: int = LEASE_MS, completed_ttl_ms: int = COMPLETED_TTL_MS
+    log: DataFrame,
+    *,
+    lease_ms: int = LEASE_MS,
+    completed_ttl_ms: int = COMPLETED_TTL_MS,
+    order: str | None = None,
+    expire: bool = True,
 ) -> DataFrame:
     """Decide a stream of claim, complete and release events as they happen.
 
     Events are rows (tenant_id, idempotency_key, request_id, t_ms, event). A completion overwrites
-    whoever holds the key, as the last writer does.
+    whoever holds the key, as the last writer does. Events of one millisecond are taken by the
+    column ``order``; without it a completion comes first and a release, which ends a claim, last.
+    A record lives no longer than it can matter: it goes once nothing was written to it for the lease
+    and the completed TTL together, by the wall clock. Spark never ends an ``availableNow`` run that
+    watches the wall clock; a log that is read to its end wants ``expire=False``.
     """
     from pyspark.sql import Row
     from pyspark.sql.streaming import StatefulProcessor
@@ -79,13 +88,15 @@ def claim_stream(
     class Key(StatefulProcessor):
         def init(self, handle):
             self.record = handle.getValueState(
-                "record", "holder string, done boolean, expiry bigint"
+                "record",
+                "holder string, done boolean, expiry bigint",
+                ttlDurationMs=lease_ms + completed_ttl_ms if expire else None,
             )
 
         def handleInputRows(self, key, rows, timerValues):
-            rank = {"complete": 0, "release": 1, "claim": 2}
+            rank = {"complete": 0, "claim": 1, "release": 2}
             held = self.record.get()
-            for row in sorted(rows, key=lambda r: (r.t_ms, rank[r.event])):
+            for row in sorted(rows, key=lambda r: (r.t_ms, r.ordinal or 0, rank[r.event])):
                 if row.event == "complete":
                     held = (row.request_id, True, row.t_ms + completed_ttl_ms)
                     continue
@@ -110,10 +121,15 @@ def claim_stream(
             pass
 
     log.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    return log.groupBy("tenant_id", "idempotency_key").transformWithState(
+    ordinal = F.col(order) if order else F.lit(None)
+    rows = log.select(
+        "tenant_id", "idempotency_key", "request_id", "t_ms", "event",
+        ordinal.cast("bigint").alias("ordinal"),
+    )
+    return rows.groupBy("tenant_id", "idempotency_key").transformWithState(
         statefulProcessor=Key(),
         outputStructType="tenant_id string, idempotency_key string, request_id string, t_ms bigint, "
         "outcome string, holder string",
         outputMode="append",
-        timeMode="None",
+        timeMode="ProcessingTime" if expire else "None",
     )

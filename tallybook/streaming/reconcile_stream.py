@@ -3,11 +3,15 @@
 The three feeds become one stream with one watermark, so a silent side never stops the clock of the
 other. State is one small record per request in RocksDB; an event-time timer settles a request at
 its deadline, and fires only once all input up to that time has been read.
+
+No row is dropped. The watermark only moves the timers: rows behind it still reach the state, where
+they join a request that has not settled and are listed as absorbed or late otherwise. Records that
+cannot be decoded go to the quarantine.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from tallybook import schemas as S
 from tallybook.functions.attribution import attribution
@@ -17,14 +21,25 @@ from tallybook.sources.events import decode_all
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 SETTLEMENT = "settlement"
+STARTED = "started"
 ABSORBED = "absorbed"
 LATE_USAGE = "late_usage"
+ORPHAN = "orphan"
+QUARANTINE = "quarantine"
+
+ORPHAN_SECONDS = 7 * 86_400
 
 _OUTCOME = (
     "kind string, request_id string, tenant_id string, model string, terminal_state string, "
     "idempotency_key string, metered_total bigint, provider_total bigint, at_us bigint"
 )
 
+_TYPES = {"string": T.StringType(), "bigint": T.LongType()}
+OUTCOME_SCHEMA = T.StructType(
+    [T.StructField(n, _TYPES[t]) for n, t in (f.split() for f in _OUTCOME.split(", ")[:-1])]
+    + [T.StructField("at", T.TimestampType())]
+)
+
 
 def arrivals(feed: DataFrame) -> DataFrame:
     """The good records of a raw feed as ledger arrivals, from one read of it."""
@@ -39,14 +54,26 @@ def arrivals(feed: DataFrame) -> DataFrame:
     )
 
 
-_RECORD = (
-    "start_at bigint, start_tenant string, start_key string, "
-    "a_at bigint, a_total bigint, a_state string, a_model string, a_tenant string, a_key string, "
-    "b_total bigint, settled_at bigint"
+_COPY = ("at bigint", "total bigint", "state string", "model string", "tenant string", "key string")
+_RECORD = ", ".join(
+    [
+        "start_at bigint, start_tenant string, start_key string, settled_at bigint",
+        *[f"{when}_{field}" for when in ("first_a", "last_a") for field in _COPY],
+        *[f"{when}_{field}" for when in ("first_b", "last_b") for field in _COPY[:2]],
+    ]
 )
 
 
-def _processor(window_us: int, retain_us: int):
+def quarantined(feed: DataFrame) -> DataFrame:
+    """The records of a raw feed that cannot be decoded, as outcomes with their value and error."""
+    return (
+        decode_all(feed)
+        .where(F.col("error").isNotNull())
+        .select(F.lit(QUARANTINE).alias("kind"), "request_id", "topic", "value", "error")
+    )
+
+
+def _processor(window_us: int, retain_us: int, orphan_us: int):
     """The per-request state machine. Built inside a function so that it travels by value.
 
     A request's record is read once and written once per trigger, because every call to the state
@@ -57,6 +84,7 @@ def _processor(window_us: int, retain_us: int):
 
     unknown_model = S.UNKNOWN_MODEL
     fields = [field.split()[0] for field in _RECORD.split(", ")]
+    names = [field.split()[0] for field in _COPY]
 
     class Settler(StatefulProcessor):
         def init(self, handle):
@@ -66,16 +94,23 @@ def _processor(window_us: int, retain_us: int):
         def handleInputRows(self, key, rows, timerValues):
             stored = self.record.get()
             record = dict(zip(fields, stored or (None,) * len(fields), strict=True))
-            started, settled = record["start_at"] is not None, record["settled_at"] is not None
-            outcomes = []
             # One trigger's rows of one request: the trigger size bounds them.
-            for row in sorted(rows, key=lambda r: (r.at_us, r.side != "S", r.total or 0)):
-                outcomes += _arrive(key[0], record, row)
+            ordered = sorted(rows, key=lambda r: (r.at_us, r.side != "S", _rank(r)))
+            last = max(r.at_us for r in ordered)
+            outcomes, n = [], 0
+            while n < len(ordered):
+                same = n
+                while same < len(ordered) and ordered[same].at_us == ordered[n].at_us:
+                    same += 1
+                outcomes += _arrive(key[0], record, ordered[n:same])
+                n = same
             self.record.update(tuple(record[f] for f in fields))
-            if not settled and record["settled_at"] is not None:
-                self.handle.registerTimer(_ms(record["settled_at"] + retain_us))
-            elif not started and record["start_at"] is not None:
+            if record["settled_at"] is not None:
+                self.handle.registerTimer(_ms(max(record["settled_at"], last) + retain_us))
+            elif record["start_at"] is not None:
                 self.handle.registerTimer(_ms(record["start_at"] + window_us))
+            else:
+                self.handle.registerTimer(_ms(last + orphan_us))
             yield from outcomes
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
@@ -87,7 +122,13 @@ def _processor(window_us: int, retain_us: int):
             if record["settled_at"] is not None:
                 if _ms(record["settled_at"] + retain_us) <= now:
                     self.record.clear()
-            elif record["start_at"] is not None and _ms(record["start_at"] + window_us) <= now:
+            elif record["start_at"] is None:
+                # nobody started it and its pair never came
+                copy = tuple(record[f"last_a_{n}"] for n in names[1:])
+                at_us = record["last_a_at"] or record["last_b_at"] or 0
+                yield _outcome(ORPHAN, key[0], at_us, copy, record["last_b_total"])
+                self.record.clear()
+            elif _ms(record["start_at"] + window_us) <= now:
                 yield _force(key[0], record)
                 self.record.update(tuple(record[f] for f in fields))
                 self.handle.registerTimer(_ms(record["settled_at"] + retain_us))
@@ -95,44 +136,93 @@ def _processor(window_us: int, retain_us: int):
         def close(self):
             pass
 
-    def _arrive(request, record, row):
-        """What one arrival leads to; changes the record."""
+    def _rank(row):
+        """Of copies of one instant the larger total is the later one, as in batch."""
+        return (row.total or 0, row.terminal_state or "", row.model or "", row.tenant_id or "")
+
+    def _arrive(request, record, rows):
+        """What the arrivals of one instant lead to; changes the record.
+
+        All copies of an instant are there together. A row at the deadline or after it is too
+        late at once, but only the timer forces a request: rows of its window may still be coming.
+        """
         waiting = record["settled_at"] is None
-        if waiting and record["start_at"] is not None:
-            if row.at_us >= record["start_at"] + window_us:
-                yield _force(request, record)
-                waiting = False
-        if row.side == "S":
-            if waiting and record["start_at"] is None:
-                record.update(
-                    start_at=row.at_us, start_tenant=row.tenant_id, start_key=row.idempotency_key
-                )
-            return
-        if row.side == "A":
-            copy = (row.total, row.terminal_state, row.model, row.tenant_id, row.idempotency_key)
-        if not waiting:
-            if row.side == "A":
-                yield _outcome(ABSORBED, request, row.at_us, copy, None)
+        for row in rows:
+            if row.side == "S":
+                if waiting and (record["start_at"] is None or row.at_us < record["start_at"]):
+                    if record["start_at"] is None:
+                        blank = (None, None, row.model, row.tenant_id, row.idempotency_key)
+                        yield _outcome(STARTED, request, row.at_us, blank, None)
+                    record.update(
+                        start_at=row.at_us,
+                        start_tenant=row.tenant_id,
+                        start_key=row.idempotency_key,
+                    )
+                    yield from _too_late(request, record)
+                continue
+            copy = (
+                row.at_us, row.total, row.terminal_state, row.model, row.tenant_id,
+                row.idempotency_key,
+            )
+            late = record["start_at"] is not None and row.at_us >= record["start_at"] + window_us
+            if waiting and not late:
+                _keep(record, row.side.lower(), copy)
             else:
-                yield _outcome(LATE_USAGE, request, row.at_us, (None,) * 5, row.total)
-            return
-        if row.side == "A":
-            names = ("a_total", "a_state", "a_model", "a_tenant", "a_key")
-            record.update(zip(names, copy, strict=True), a_at=row.at_us)
-        else:
-            record["b_total"] = row.total
-        if record["a_at"] is not None and record["b_total"] is not None:
-            yield _settle(request, record, row.at_us, record["b_total"])
+                yield _left_over(request, row.side.lower(), copy)
+        if waiting and record["first_a_at"] is not None and record["first_b_at"] is not None:
+            joined = max(record["first_a_at"], record["first_b_at"])
+            yield _settle(request, record, joined, _as_of(record, "b", joined)[1])
+
+    def _keep(record, side, copy):
+        """Of the copies of a side the first and the last stay, whatever the order they come in."""
+        named = names[: len(copy)] if side == "a" else names[:2]
+        first, last = record[f"first_{side}_at"], record[f"last_{side}_at"]
+        if first is None or copy[0] < first or (copy[0] == first == last):
+            record.update(zip([f"first_{side}_{n}" for n in named], copy, strict=False))
+        if last is None or copy[0] >= last:
+            record.update(zip([f"last_{side}_{n}" for n in named], copy, strict=False))
+
+    def _as_of(record, side, at_us):
+        """The latest kept copy that was there at an instant."""
+        when = "last" if record[f"last_{side}_at"] <= at_us else "first"
+        return [record[f"{when}_{side}_{n}"] for n in (names if side == "a" else names[:2])]
+
+    def _too_late(request, record):
+        """Kept copies that a start turns out to have been too late for."""
+        deadline = record["start_at"] + window_us
+        for side in ("a", "b"):
+            for when, other in (("last", "first"), ("first", "last")):
+                at_us = record[f"{when}_{side}_at"]
+                if at_us is None or at_us < deadline:
+                    continue
+                own = [f"{when}_{side}_{n}" for n in (names if side == "a" else names[:2])]
+                copy = [record[n] for n in own]
+                same = record[f"{other}_{side}_at"] == at_us
+                kept = record[f"{other}_{side}_at"] if not same else None
+                yield _left_over(request, side, copy)
+                for n in own:
+                    there = n.replace(when, other, 1)
+                    record[n] = record[there] if kept is not None and kept < deadline else None
+                    if same:
+                        record[there] = None
+
+    def _left_over(request, side, copy):
+        if side == "a":
+            return _outcome(ABSORBED, request, copy[0], tuple(copy[1:]), None)
+        return _outcome(LATE_USAGE, request, copy[0], (None,) * 5, copy[1])
 
     def _settle(request, record, at_us, provider_total):
-        copy = tuple(record[f"a_{n}"] for n in ("total", "state", "model", "tenant", "key"))
+        copy = tuple(_as_of(record, "a", at_us)[1:])
         record.update(dict.fromkeys(fields), settled_at=at_us)
         return _outcome(SETTLEMENT, request, at_us, copy, provider_total)
 
     def _force(request, record):
-        if record["a_at"] is None:
-            record.update(a_total=0, a_model=unknown_model, a_key=record["start_key"])
-        record["a_tenant"] = record["start_tenant"]
+        if record["last_a_at"] is None:
+            record.update(
+                last_a_at=record["start_at"], last_a_total=0, last_a_model=unknown_model,
+                last_a_key=record["start_key"],
+            )
+        record["last_a_tenant"] = record["start_tenant"]
         return _settle(request, record, record["start_at"] + window_us, None)
 
     def _ms(at_us):
@@ -152,14 +242,18 @@ def settle_stream(
     arrived: DataFrame,
     *,
     window_seconds: float = WINDOW_SECONDS,
-    watermark: str = "10 seconds",
+    watermark: str | None = None,
     clock: str = "event",
     retain_seconds: float | None = None,
+    orphan_seconds: float = ORPHAN_SECONDS,
 ) -> DataFrame:
-    """Outcomes of a stream of ledger arrivals: settlements, absorbed copies and late reports.
+    """Outcomes of a stream of ledger arrivals.
 
-    ``clock='processing'`` lets deadlines fire on an idle feed, by wall-clock time. A settled
-    request is remembered for ``retain_seconds`` (one window unless given) and then forgotten.
+    These are starts, settlements, absorbed copies, late reports and orphans. ``watermark`` is the
+    disorder that deadlines wait for, one window unless given. ``clock='processing'`` lets deadlines
+    fire on an idle feed, by wall-clock time. A settled request is remembered for
+    ``retain_seconds`` after its last row (one window unless given) and then forgotten. A record
+    nobody started is kept for ``orphan_seconds`` and then listed as an orphan.
     """
     spark = arrived.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
@@ -176,11 +270,13 @@ def settle_stream(
         "idempotency_key",
     )
     if clock == "event":
-        rows = rows.withWatermark("at", watermark)
+        rows = rows.withWatermark("at", watermark or f"{int(window_seconds)} seconds")
+    # without the watermark's column Spark has nothing to call late, so every row reaches the state
+    rows = rows.drop("at")
     window_us = int(window_seconds * 1_000_000)
     retain_us = int((retain_seconds or window_seconds) * 1_000_000)
     outcomes = rows.groupBy("request_id").transformWithState(
-        statefulProcessor=_processor(window_us, retain_us),
+        statefulProcessor=_processor(window_us, retain_us, int(orphan_seconds * 1_000_000)),
         outputStructType=_OUTCOME,
         outputMode="append",
         timeMode="EventTime" if clock == "event" else "ProcessingTime",

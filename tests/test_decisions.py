@@ -40,38 +40,23 @@ def bucket(rows, capacity, refill):
     return out
 
 
-def test_refusal_is_whole(spark):
-    assert decide(spark, [("a", 0, 900), ("a", 0, 200)]) == [(True, 100), (False, 100)]
-
-
-def test_refill_over_time(spark):
-    rows = [("a", 0, 1_000), ("a", 0, 1), ("a", 30_000, 250)]
-    assert decide(spark, rows) == [(True, 0), (False, 0), (True, 50)]
-
-
-def test_idle_tenant_banks_nothing(spark):
-    rows = [("a", 0, 500), ("a", 3_600_000, 1)]
-    assert decide(spark, rows)[1] == (True, 999)
-
-
-def test_many_draws_at_once_never_oversell(spark):
-    found = decide(spark, [("a", 0, 100)] * 20)
-    assert sum(g for g, _ in found) == 10 and min(r for _, r in found) == 0
-
-
-def test_tenants_are_independent(spark):
-    assert decide(spark, [("a", 0, 1_000), ("b", 0, 500)])[1] == (True, 500)
-
-
-def test_fractional_refill_accumulates(spark):
-    rows = [("a", 0, 100)] + [("a", 50 * i, 0) for i in range(1, 21)] + [("a", 1_000, 10)]
-    found = decide(spark, rows, capacity=100)
-    assert found[1] == (True, 100) and found[-1] == (True, 0)
-
-
-def test_draw_above_capacity_is_never_granted(spark):
-    rows = [("a", 0, 1_001), ("a", 9_000_000, 1_001), ("a", 9_000_000, 1_000)]
-    assert [g for g, _ in decide(spark, rows)] == [False, False, True]
+@pytest.mark.parametrize("seed", range(3))
+def test_logs_of_all_shapes_follow_the_rule(spark, seed):
+    """Bursts, pauses, empty and oversize draws of several tenants, with fractional refills."""
+    rng = random.Random(seed)
+    capacity, refill = rng.randint(40, 90), rng.choice([0.5, 3.25, 17.0])
+    rows, now = [], 0
+    for _ in range(400):
+        now += rng.choice([0, 0, 1, 35, 700, 26_000])
+        rows.append((rng.choice("pqr"), now, rng.choice([0, 1, 4, 13, 39, capacity, capacity + 7])))
+    assert decide(spark, rows, capacity, refill) == bucket(rows, capacity, refill)
+
+
+def test_one_tenant_by_hand(spark):
+    # 60 held, 12 back per second: 45 leaves 15, half a second makes 21, 22 is refused whole
+    rows = [("z", 0, 45), ("z", 500, 22), ("z", 500, 21), ("z", 86_400_500, 60), ("z", 86_400_500, 1)]
+    want = [(True, 15), (False, 21), (True, 0), (True, 0), (False, 0)]
+    assert decide(spark, rows, 60, 12.0) == want
 
 
 @pytest.mark.parametrize("slice_ms", [50, 1_000, 10_000_000])

@@ -103,28 +103,30 @@ def report(spark, scenario, **values):
     return audit.scenario_check(frame, [scenario]).first()
 
 
-PLAIN = Scenario("x", "x-%")
-HANGUPS = Scenario("x", "x-%", ("client_disconnect_partial",))
-DOUBLES = Scenario("x", "x-%", ("retry_double_count",), allow_double_counts=True)
+STRICT = Scenario("x", "x-%")
+CUTS = Scenario("x", "x-%", ("budget_truncated", "gateway_crash_partial"))
+TWICE = Scenario("x", "x-%", ("retry_double_count",), allow_double_counts=True)
 
 
 @pytest.mark.parametrize(
     ("scenario", "values", "failure"),
     [
-        (PLAIN, {}, None),
-        (PLAIN, {"settled": 97}, "unaccounted requests: 100 started, 97 settled (3 missing)"),
-        (PLAIN, {"still_pending": 3}, "3 requests still pending"),
-        (PLAIN, {"unattributed_drift_tokens": 42}, "42 drift tokens carry no reason code"),
-        (PLAIN, {"reasons": {"unsettled_timeout": 9}}, "['unsettled_timeout'] (expected none)"),
-        (HANGUPS, {"reasons": {"client_disconnect_partial": 12}}, None),
+        (CUTS, {"reasons": {"gateway_crash_partial": 1}}, None),
+        (CUTS, {"reasons": {"budget_truncated": 8, "gateway_crash_partial": 30}}, None),
         (
-            HANGUPS,
-            {"reasons": {"provider_underreport": 5}},
-            "['provider_underreport'] (expected ['client_disconnect_partial'])",
+            CUTS,
+            {"reasons": {"budget_truncated": 8, "tokenizer_mismatch": 1}},
+            "['tokenizer_mismatch'] (expected ['budget_truncated', 'gateway_crash_partial'])",
         ),
-        (PLAIN, {"double_counts": 2}, "2 requests were billed twice"),
-        (DOUBLES, {"double_counts": 2, "reasons": {"retry_double_count": 2}}, None),
-        (PLAIN, {"started": 0, "settled": 0}, "load generator did not run"),
+        (STRICT, {"reasons": {"budget_truncated": 6}}, "['budget_truncated'] (expected none)"),
+        (STRICT, {"started": 41, "settled": 28}, "unaccounted requests: 41 started, 28 settled (13 missing)"),
+        (STRICT, {"started": 5, "settled": 6}, "unaccounted requests: 5 started, 6 settled (-1 missing)"),
+        (STRICT, {"still_pending": 1}, "1 requests still pending"),
+        (STRICT, {"unattributed_drift_tokens": 7}, "7 drift tokens carry no reason code"),
+        (CUTS, {"double_counts": 11}, "11 requests were billed twice"),
+        (TWICE, {"double_counts": 11, "reasons": {"retry_double_count": 11}}, None),
+        (STRICT, {"started": 0, "settled": 0, "still_pending": 4}, "load generator did not run"),
+        (STRICT, {"started": 650, "settled": 650}, None),
     ],
 )
 def test_verdicts(spark, scenario, values, failure):
@@ -136,7 +138,7 @@ def test_verdicts(spark, scenario, values, failure):
 
 
 def test_nothing_started_stops_there(spark):
-    assert len(report(spark, PLAIN, started=0, settled=5).failures) == 1
+    assert len(report(spark, STRICT, started=0, settled=5).failures) == 1
 
 
 def test_report_covers_overlapping_and_empty_scenarios(spark):

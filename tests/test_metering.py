@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from tallybook.functions import tokens
 from tallybook.functions.attribution import terminal_state
 from tallybook.operators import metering, metrics
-from tallybook.operators.skew import last_per_group, running_sum, salted_join
+from tallybook.operators.skew import running_sum, salted_join
 
 
-def sse(content):
-    return "data: " + json.dumps({"choices": [{"delta": {"content": content}}]})
+def sse(content, **beside):
+    body = {"id": "c-1", "choices": [{"index": 0, "delta": {"content": content}} | beside]}
+    return f"data: {json.dumps(body, separators=(',', ':'))}"
 
 
 def stream(spark, *lines, request="r"):
@@ -26,23 +27,26 @@ def meter(spark, *lines, **options):
     return metering.meter_streams(stream(spark, *lines), **options).first()
 
 
-def test_count_is_over_the_joined_text(spark):
-    assert meter(spark, *[sse(w) for w in ["Hel", "lo ", "wor", "ld"]]).completion_tokens == 2
-    assert meter(spark, sse("ab")).completion_tokens == 1
+@pytest.mark.parametrize("cuts", [(), (1,), (3, 4, 9), tuple(range(1, 26))])
+def test_how_a_text_is_cut_does_not_matter(spark, cuts):
+    text = "tallies of a quiet harbour"
+    edges = [0, *cuts, len(text)]
+    parts = [text[a:b] for a, b in zip(edges, edges[1:], strict=False)]
+    assert meter(spark, *map(sse, parts)).completion_tokens == len(text) // 4
 
 
 @pytest.mark.parametrize(
     "line",
     [
-        "data: {not json", ": keep-alive", "", "data: 5", 'data: {"choices":null}',
-        'data: {"choices":[{"delta":null}]}', "event: x", "data:", 'data: {"usage": 7}',
-        'data: {"choices":[{"delta":{"content":null}}]}', 'data: "text"', "data: []",
+        "data: {'single': 1}", ":", "   ", "data: true", 'data: {"choices":7}', "retry: 50",
+        'data: {"choices":[{"delta":"x"}]}', "data: null", 'data: {"usage": [1, 2]}',
+        'data: {"choices":[{"delta":{}}]}', 'data: {"choices":[]', "data: [[]]",
     ],
 )
-def test_odd_lines_count_nothing_and_break_nothing(spark, line):
-    row = meter(spark, sse("good "), line, sse("more"))
-    assert (row.completion_tokens, row.saw_done) == (2, False)
-    assert row.provider_completion_tokens is None
+def test_strange_lines_neither_count_nor_stop(spark, line):
+    row = meter(spark, sse("one two three "), line, line, sse("four"))
+    assert (row.completion_tokens, row.saw_done) == (4, False)
+    assert row.provider_prompt_tokens is None
 
 
 def test_done_marker_and_whitespace(spark):
@@ -225,9 +229,3 @@ def test_running_sum_over_blocks_equals_a_plain_loop(spark):
         totals[row.key] = totals.get(row.key, 0) + row.n
         want[row.n] = totals[row.key]
     assert {r.n: r.total for r in got} == want
-
-
-def test_last_per_group_takes_the_tail(spark):
-    rows = skewed(spark).repartition(5)
-    got = last_per_group(rows, ["key"], [F.col("n").desc()], 3, fanout=4).where("key = 'hot'")
-    assert sorted(r.n for r in got.collect()) == [11_991, 11_994, 11_997]

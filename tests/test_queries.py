@@ -33,11 +33,11 @@ def test_entry_totals(spark):
     rows = entry(spark).groupBy("status", "drift_reason").agg({"*": "count", "drift_tokens": "sum"})
     found = {(r[0], r[1]): (r["count(1)"], r["sum(drift_tokens)"]) for r in rows.collect()}
     assert found == {
-        ("force_settled", "unsettled_timeout"): (187, 0),
-        ("settled", None): (453, 0),
-        ("settled_with_drift", "budget_truncated"): (51, 183),
-        ("settled_with_drift", "client_disconnect_partial"): (49, 131),
+        ("force_settled", "unsettled_timeout"): (183, 0),
+        ("settled", None): (445, 0),
+        ("settled_with_drift", "budget_truncated"): (50, 180),
+        ("settled_with_drift", "client_disconnect_partial"): (50, 135),
         ("settled_with_drift", "gateway_crash_partial"): (26, 77),
-        ("settled_with_drift", "provider_underreport"): (111, -333),
-        ("settled_with_drift", "tokenizer_mismatch"): (123, 402),
+        ("settled_with_drift", "provider_underreport"): (120, -354),
+        ("settled_with_drift", "tokenizer_mismatch"): (124, 401),
     }

@@ -170,6 +170,16 @@ def model(s, a, b, window=300):
     return (start + window, 0 if metered_ is None else metered_ + 50, None)
 
 
+def test_the_sweep_comes_first_at_the_deadline(spark):
+    """A copy and a report exactly at the deadline: neither is billed, both are left over."""
+    s, a, b = started(spark, ("r", 100)), metered(spark, ("r", 400, 1, DONE)), usage(spark, ("r", 400, 2))
+    rows = rec.reconcile(s, a, b)
+    row = rows.first()
+    assert (row.status, row.metered_total, row.settled_at) == ("force_settled", 0, at(400))
+    assert [r.request_id for r in rec.late_usage(b, rows).collect()] == ["r"]
+    assert dict(rec.duplicates_absorbed(a, rows).collect()) == {"acme": 1}
+
+
 times = st.integers(0, 12).map(lambda t: t * 50)
 copies = st.lists(st.tuples(times, st.integers(1, 9)), max_size=4)
 requests = st.lists(st.tuples(st.lists(times, max_size=1), copies, copies), min_size=1, max_size=30)
