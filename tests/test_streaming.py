@@ -153,7 +153,7 @@ def test_files_out_of_order_give_the_batch_result(spark, tmp_path):
     s = started(spark, *[(f"r{i}", 10 * i) for i in range(8)], ("r1", 60))
     a = metered(spark, *[(f"r{i}", 10 * i + 5, i, DONE) for i in range(7)], ("r2", 320, 9, DONE))
     b = usage(spark, *[(f"r{i}", 10 * i + 7 + 60 * i, i + 1) for i in range(6)])
-    for part in ((s.limit(0), a.limit(0), b), (s.limit(0), a, b.limit(0)), (s, a.limit(0), b.limit(0))):
+    for part in ((s, a.limit(0), b.limit(0)), (s.limit(0), a.limit(0), b), (s.limit(0), a, b.limit(0))):
         drop_in(records(spark, *part), f"{tmp_path}/feed")
     drop_in(records(spark, far_future(spark), a.limit(0), b.limit(0)), f"{tmp_path}/feed")
     assert same(run(spark, tmp_path), reconcile(s, a, b))
