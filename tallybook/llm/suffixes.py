@@ -468,7 +468,9 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW) -> DataFrame:
         raise ValueError("windows are too short for the tiles")
     found = staged(anchors(docs, size), "anchors")
     twice = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    hits = staged(found.join(twice.select("anchor"), "anchor"), "repeated-anchors")
+    # both sides of a join come from files, so that Spark can split the partition of a busy anchor
+    twice = staged(twice.select("anchor"), "anchors-met-again")
+    hits = staged(found.join(twice, "anchor"), "repeated-anchors")
     run = ["anchor", "run_a", "run_b"]
     place = F.struct("text_a", "text_b", "at", "first", "last")
     kinds = hits.groupBy(*run).agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("place"))
@@ -477,7 +479,8 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW) -> DataFrame:
         "text_a", "text_b", "first", (F.col("last") + size).alias("end")
     )
     several = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > 1)
-    mixed = kinds.join(several.select("anchor"), "anchor").select("place.*", "n")
+    several = staged(several.select("anchor"), "anchors-of-many-runs")
+    mixed = kinds.join(several, "anchor").select("place.*", "n")
     segment = [
         F.xxhash64(F.lit(n), *CORE, "left", "right").alias(name)
         for n, name in ((3, "seg_a"), (4, "seg_b"))
