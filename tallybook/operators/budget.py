@@ -235,14 +235,18 @@ def cut_streams(
     refill_per_second: float = REFILL_PER_SECOND,
     slice_ms: int = SLICE_MS,
 ) -> DataFrame:
-    """Decide mid-stream draws; a refusal cuts its stream, so later draws of it never happen.
-
-    Draws are rows (tenant_id, request_id, seq, arrived_ms, tokens). As long as nothing is refused,
-    a slice of time needs three numbers: the level it must start from for every draw to be granted,
-    the sum it takes, and the most it can end at. Slices before a tenant's first refusal are decided
-    side by side from those. From the slice of the first refusal on, what a stream draws depends on
-    the bucket and the bucket on every stream, so the rest of that tenant is read in time order,
-    keeping one level and the set of cut requests.
+    """Decide the draws of streams; a refusal cuts its stream, so later draws of it never happen.
+
+    Draws are rows (tenant_id, request_id, seq, arrived_ms, tokens). Admissions are draws of the same
+    bucket: give them with a seq below 0 (``metering.admission_draws``), and a refused one means that
+    the stream never runs. As long as nothing is refused, a slice of time needs three numbers: the
+    level it must start from for every draw to be granted, the sum it takes, and the most it can end
+    at. Such slices are decided side by side from those.
+
+    From the slice of a refusal on, what a stream draws depends on the bucket and the bucket on every
+    stream, so a run of slices is read in time order, keeping one level and the set of cut requests. The
+    run ends where the bucket must be full again, whichever of its draws took place, and where no request
+    that may have been cut has draws left. Both are known from sums of slices.
     """
     unit, full, refill = _units(capacity, refill_per_second)
     fields = dict(draws.dtypes)
@@ -258,33 +262,39 @@ def cut_streams(
         .mapInPandas(
             _slice_needs(unit, full, refill),
             "tenant_id string, slice bigint, first_ms bigint, last_ms bigint, need bigint, "
-            "taken bigint, most bigint",
+            "taken bigint, most bigint, least bigint",
         )
     )
+    reach = (
+        cut.groupBy("tenant_id", "request_id")
+        .agg(F.min("slice").alias("slice"), F.max("slice").alias("reach"))
+        .groupBy(*key)
+        .agg(F.max("reach").alias("reach"))
+    )
     starts = (
-        by_key(needs, "tenant_id")
+        by_key(needs.join(reach, key, "left"), "tenant_id")
+        .withColumn("reach", F.coalesce("reach", "slice"))
         .sortWithinPartitions(*key)
         .mapInPandas(
             _granted_starts(full, refill),
-            "tenant_id string, slice bigint, free boolean, level bigint, since bigint",
+            "tenant_id string, slice bigint, run bigint, level bigint, since bigint",
         )
     )
-    rows = cut.join(starts, key)
-    free = by_key(rows.where("free"), *key).sortWithinPartitions(*key, *order)
-    rest = by_key(rows.where("not free"), "tenant_id").sortWithinPartitions("tenant_id", *order)
-    return free.mapInPandas(_cutting(unit, full, refill, names, key), output).unionByName(
-        rest.mapInPandas(_cutting(unit, full, refill, names, key[:1]), output)
-    )
+    # a slice that is free is a run of its own
+    run = ["tenant_id", "run"]
+    rows = by_key(cut.join(starts, key), *run).sortWithinPartitions(*run, *order)
+    return rows.mapInPandas(_cutting(unit, full, refill, names, run), output)
 
 
 def _slice_needs(unit: int, full: int, refill: int):
-    """Per slice: the least level all its draws can be granted from, what they take, the end's cap."""
+    """Per slice: the least level all its draws can be granted from, what they take, the end's cap,
+    and the least it can end at, started from nothing and whichever draws take place."""
 
     def run(batches: Iterator) -> Iterator:
         import pandas as pd
 
-        columns = ["tenant_id", "slice", "first_ms", "last_ms", "need", "taken", "most"]
-        key, first, last, need, gained, most = None, 0, 0, 0, 0, full
+        columns = ["tenant_id", "slice", "first_ms", "last_ms", "need", "taken", "most", "least"]
+        key, first, last, need, gained, most, least = None, 0, 0, 0, 0, full, 0
         for batch in batches:
             done = []
             for tenant, piece, now, tokens in zip(
@@ -293,37 +303,50 @@ def _slice_needs(unit: int, full: int, refill: int):
             ):
                 if (tenant, piece) != key:
                     if key is not None:
-                        done.append((*key, first, last, need, -gained, most))
-                    key, first, last, need, gained, most = (tenant, piece), now, now, 0, 0, full
+                        done.append((*key, first, last, need, -gained, most, least))
+                    key, first, last = (tenant, piece), now, now
+                    need, gained, most, least = 0, 0, full, 0
                 gain, want = (now - last) * refill, tokens * unit
                 gained, most, last = gained + gain, min(full, most + gain), now
                 need = max(need, want - gained, full + 1 if most < want else 0)
                 gained, most = gained - want, most - want
+                least = max(0, min(full, least + gain) - want)
             yield pd.DataFrame(done, columns=columns)
         if key is not None:
-            yield pd.DataFrame([(*key, first, last, need, -gained, most)], columns=columns)
+            end = (*key, first, last, need, -gained, most, least)
+            yield pd.DataFrame([end], columns=columns)
 
     return run
 
 
 def _granted_starts(full: int, refill: int):
-    """Where each slice starts, up to the one in which a tenant is first refused."""
+    """The run each slice belongs to, and where a run starts."""
 
     def run(batches: Iterator) -> Iterator:
         import pandas as pd
 
-        tenant, level, since, free = None, full, 0, True
+        tenant, level, since, begun, reach, cut_reach = None, full, 0, None, 0, 0
         for batch in batches:
             found = []
             for row in batch.itertuples(index=False):
                 if row.tenant_id != tenant:
-                    tenant, level, since, free = row.tenant_id, full, row.first_ms, True
+                    tenant, level, since, begun, reach = row.tenant_id, full, row.first_ms, None, row.slice
                 entry = min(full, level + max(0, row.first_ms - since) * refill)
-                free = free and entry >= row.need
-                found.append((tenant, row.slice, free, level, since))
-                if free:
-                    level, since = min(entry - row.taken, row.most), row.last_ms
-            yield pd.DataFrame(found, columns=["tenant_id", "slice", "free", "level", "since"])
+                if begun is not None and entry == full and cut_reach < row.slice:
+                    begun = None
+                reach = max(reach, row.reach)
+                granted = entry >= row.need
+                if begun is None and not granted:
+                    begun = row.slice
+                if not granted:
+                    cut_reach = reach
+                found.append((tenant, row.slice, row.slice if begun is None else begun, level, since))
+                # inside a run the level is the least it can be
+                level = min(entry - row.taken, row.most)
+                if begun is not None:
+                    level = max(level, row.least)
+                since = row.last_ms
+            yield pd.DataFrame(found, columns=["tenant_id", "slice", "run", "level", "since"])
 
     return run
 

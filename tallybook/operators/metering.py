@@ -15,6 +15,7 @@ from tallybook.functions.tokens import text_counter, tokens_for_length
 from tallybook.operators.skew import heavy_keys, running_sum, salted_join
 
 MAX_ATTEMPTS = 2
+ADMISSION_SEQ = -1
 
 
 def decode_lines(lines: DataFrame) -> DataFrame:
@@ -161,6 +162,20 @@ def midstream_draws(
     ).where("tokens > 0").select("tenant_id", "request_id", "seq", "arrived_ms", "tokens")
 
 
+def admission_draws(requests: DataFrame) -> DataFrame:
+    """What each request draws to be let in, in the shape of mid-stream draws with ``seq`` -1.
+
+    ``requests`` gives request_id, tenant_id, opened_ms and admitted.
+    """
+    return requests.select(
+        "tenant_id",
+        "request_id",
+        F.lit(ADMISSION_SEQ).cast("bigint").alias("seq"),
+        F.col("opened_ms").cast("bigint").alias("arrived_ms"),
+        F.col("admitted").cast("bigint").alias("tokens"),
+    )
+
+
 def billable_attempt(attempts: DataFrame) -> DataFrame:
     """The one attempt of each request that goes to the ledger.
 

@@ -64,14 +64,13 @@ def tokens_by_tenant_model(metered: DataFrame) -> DataFrame:
     )
 
 
-def budget_rejections(admission: DataFrame, mid_stream: DataFrame) -> DataFrame:
-    """Refused draws by tenant and stage."""
-    parts = [
-        part.where(~F.col("granted")).select("tenant_id", F.lit(stage).alias("stage"))
-        for stage, part in (("admission", admission), ("mid_stream", mid_stream))
-    ]
+def budget_rejections(decisions: DataFrame) -> DataFrame:
+    """Refused draws by tenant and stage; an admission has a ``seq`` below 0."""
+    stage = F.when(F.col("seq") < 0, "admission").otherwise("mid_stream")
     return (
-        parts[0].unionByName(parts[1]).groupBy("tenant_id", "stage").agg(F.count("*").alias("rejected"))
+        decisions.where(~F.col("granted"))
+        .groupBy("tenant_id", stage.alias("stage"))
+        .agg(F.count("*").alias("rejected"))
     )
 
 

@@ -20,7 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 AS_OF = "2024-01-15 12:00:00"
 DAY = 86_400
 BUDGET = {"capacity": 500, "refill_per_second": 50.0}
-STREAM_BUDGET = {"capacity": 600, "refill_per_second": 20.0}
+STREAM_BUDGET = {"capacity": 600, "refill_per_second": 100.0}
 CLAIMS = {"lease_ms": 180_000, "completed_ttl_ms": 240_000}
 DRAIN_TENANT = "s1-2"
 EXPIRY_CUTOFF = "2024-01-15 06:00:00"
@@ -283,8 +283,7 @@ def tokens_by_tenant_model(spark, folder):
 
 @query
 def budget_rejections(spark, folder):
-    admission = budget_decisions(spark, folder)
-    return metrics.budget_rejections(admission, stream_cuts(spark, folder))
+    return metrics.budget_rejections(stream_cuts(spark, folder))
 
 
 @query
@@ -400,7 +399,10 @@ def midstream_draws(spark, folder):
 
 @query
 def stream_cuts(spark, folder):
-    return budget.cut_streams(midstream_draws(spark, folder), **STREAM_BUDGET)
+    """Admissions and mid-stream draws of one bucket per tenant."""
+    admissions = metering.admission_draws(fx.view(spark, folder, "streams"))
+    draws = admissions.unionByName(midstream_draws(spark, folder))
+    return budget.cut_streams(draws, **STREAM_BUDGET)
 
 
 @query

@@ -171,7 +171,9 @@ def fold_cuts(capacity: int, refill_per_second: float) -> dict[str, str]:
     skip = "list_contains(f.cut, n.request_id)"
     return {
         "cuts_n": "SELECT *, row_number() OVER (PARTITION BY tenant_id "
-        "ORDER BY arrived_ms, request_id, seq) AS rn FROM draws",
+        "ORDER BY arrived_ms, request_id, seq) AS rn FROM "
+        "(SELECT tenant_id, request_id, seq, arrived_ms, tokens FROM draws UNION ALL "
+        "SELECT tenant_id, request_id, -1, opened_ms, admitted FROM streams) both_kinds",
         "cuts": f"""
 SELECT tenant_id, rn, request_id, seq, arrived_ms, tokens, arrived_ms AS since,
   {full} >= tokens * 1000 AS granted, FALSE AS skipped,
@@ -483,12 +485,10 @@ FROM (SELECT (SELECT count(*) FROM rows WHERE tenant_id = '{c.DRAIN_TENANT}') AS
         extra=ONCE,
     ),
     "budget_rejections": sql(
-        """SELECT tenant_id, 'admission' AS stage, count(*) AS rejected FROM fold WHERE NOT granted
-GROUP BY ALL UNION ALL
-SELECT tenant_id, 'mid_stream', count(*) FROM cuts WHERE NOT granted AND NOT skipped GROUP BY ALL""",
-        "budget_draws",
+        "SELECT tenant_id, CASE WHEN seq < 0 THEN 'admission' ELSE 'mid_stream' END AS stage, "
+        "count(*) AS rejected FROM cuts WHERE NOT granted AND NOT skipped GROUP BY ALL",
         "streams",
-        extra=BUDGET | STREAMED | CUTS,
+        extra=STREAMED | CUTS,
         recursive=True,
     ),
     "idempotency_outcomes": sql(

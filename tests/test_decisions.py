@@ -2,6 +2,7 @@
 
 import random
 
+import pandas as pd
 import pytest
 
 from tallybook.operators import budget, claims
@@ -128,6 +129,62 @@ def test_slices_do_not_change_cuts(spark, slice_ms):
     assert any(not granted for _, granted, _ in want)
 
 
+def test_refused_admission_and_shared_level(spark):
+    """Admissions (seq -1) and draws share the level; a stream that was not let in draws nothing."""
+    rows = [
+        ("t", "x", -1, 0, 70), ("t", "y", -1, 5, 40), ("t", "y", 3, 8, 1), ("t", "x", 2, 9, 25),
+        ("t", "z", -1, 9, 10),
+    ]
+    frame = spark.createDataFrame(
+        rows, "tenant_id string, request_id string, seq bigint, arrived_ms bigint, tokens bigint"
+    )
+    found = budget.cut_streams(frame, capacity=100, refill_per_second=0.0).collect()
+    assert {(r.request_id, r.seq): (r.granted, r.remaining) for r in found} == {
+        ("x", -1): (True, 30), ("y", -1): (False, 30), ("x", 2): (True, 5), ("z", -1): (False, 5),
+    }
+
+
+def test_runs_end_when_the_bucket_has_recovered(spark):
+    """One refusal, then quiet slices: only the slices the refused stream reaches are read in order."""
+    need = budget._slice_needs(1_000, 500_000, 100_000)
+    start = budget._granted_starts(500_000, 100_000)
+    rows = [("t", "big", 0, 0, 600), ("t", "big", 1, 1_500, 5)]
+    rows += [("t", f"r{i}", 0, i * 1_000 + 200, 20) for i in range(50)]
+    frame = pd.DataFrame(rows, columns=["tenant_id", "request_id", "seq", "arrived_ms", "tokens"])
+    frame = frame.sort_values("arrived_ms").assign(slice=lambda f: f.arrived_ms // 1_000)
+    needs = pd.concat(need(iter([frame])))
+    reach = frame.groupby("request_id").slice.agg(["min", "max"]).groupby("min")["max"].max()
+    needs["reach"] = needs["slice"].map(reach).fillna(needs["slice"]).astype("int64")
+    found = pd.concat(start(iter([needs])))
+    assert found.run.tolist() == [0, 0, *range(2, 50)]
+
+
+@pytest.mark.parametrize("slice_ms", [40, 500, 9_000])
+def test_runs_do_not_change_decisions(spark, slice_ms):
+    """Bursts that are refused between long quiet times, and streams that outlast them."""
+    draw = random.Random(slice_ms)
+    rows, clock = [], 0
+    for i in range(1_200):
+        clock += draw.choice([1, 3, 9, 30]) if i % 40 else 4_000
+        request = f"r{i // 25}" if draw.random() < 0.8 else f"long{draw.randrange(9)}-{i // 300}"
+        rows.append(("t", request, i, clock, draw.choice([1, 4, 9, 70])))
+    want, level, since, cut = [], 200_000, rows[0][3], set()
+    for _, request, seq, now, tokens in rows:
+        if request in cut:
+            continue
+        level, since = min(200_000, level + (now - since) * 100), now
+        granted = level >= tokens * 1_000
+        level -= tokens * 1_000 if granted else 0
+        cut |= set() if granted else {request}
+        want.append((seq, granted, level // 1_000))
+    frame = spark.createDataFrame(
+        rows, "tenant_id string, request_id string, seq bigint, arrived_ms bigint, tokens bigint"
+    )
+    found = budget.cut_streams(frame, capacity=200, refill_per_second=100.0, slice_ms=slice_ms)
+    assert sorted((r.seq, r.granted, r.remaining) for r in found.collect()) == want
+    assert {granted for _, granted, _ in want} == {True, False}
+
+
 def claim(spark, rows, **options):
     frame = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], CLAIMS)
     found = claims.claim_outcomes(frame, **options).collect()
