@@ -25,6 +25,22 @@ def token_estimate(text: Column) -> Column:
     return tokens_for_length(F.coalesce(F.length(text), F.lit(0)).cast("bigint"))
 
 
+def content_texts(content: Column) -> Column:
+    """The texts of one message content: the string itself, or the text of each part."""
+    of_parts = F.transform(
+        F.try_variant_get(content, "$", "array<variant>"),
+        lambda part: F.when(
+            F.schema_of_variant(part).startswith("OBJECT"),
+            F.try_variant_get(part, "$.text", "string"),
+        ),
+    )
+    of_string = F.when(
+        F.schema_of_variant(content) == "STRING",
+        F.array(F.try_variant_get(content, "$", "string")),
+    )
+    return F.coalesce(of_parts, of_string, F.array().cast("array<string>"))
+
+
 def content_tokens(content: Column) -> Column:
     """Tokens of one message content held as a variant: a string, or a list of parts.
 
@@ -62,6 +78,13 @@ def prompt_tokens(body: Column) -> Column:
     )
 
 
+def prompt_texts(body: Column) -> Column:
+    """All texts of a chat request body (JSON text), for a tokenizer to count one by one."""
+    messages = F.from_json(body, "messages array<struct<content: variant>>")["messages"]
+    texts = F.flatten(F.transform(messages, lambda m: content_texts(m["content"])))
+    return F.coalesce(texts, F.array().cast("array<string>"))
+
+
 def admission_estimate(
     prompt: Column, max_tokens: Column, default: int = ADMISSION_DEFAULT
 ) -> Column:
@@ -98,3 +121,28 @@ def text_counter(counter: Callable[[str], int]):
         return texts.fillna("").map(lambda text: counter(text) if text else 0).astype("int64")
 
     return F.pandas_udf(count, "bigint")
+
+
+CounterFor = Callable[[str], Callable[[str], int] | None]
+
+
+def model_counter(counter_for: CounterFor):
+    """A vectorised function of (texts array, model) giving ``tokens`` and ``exact``.
+
+    ``counter_for`` names the tokenizer of a model, or None where it has none: then its lengths are
+    estimated and the count is not exact. Texts are counted one by one and added up.
+    """
+
+    def estimate(text: str) -> int:
+        return max(1, len(text) // CHARS_PER_TOKEN)
+
+    def count(texts: pd.Series, models: pd.Series) -> pd.DataFrame:
+        known = {m: counter_for(m) for m in models.unique()}
+        rows = [
+            (sum((known[m] or estimate)(t) for t in some if t) if some is not None else 0, known[m] is not None)
+            for some, m in zip(texts, models, strict=True)
+        ]
+        return pd.DataFrame(rows, columns=["tokens", "exact"])
+
+    counted = F.pandas_udf(count, "tokens bigint, exact boolean")
+    return lambda texts, model: counted(texts, F.coalesce(model, F.lit(S.UNKNOWN_MODEL)))

@@ -10,9 +10,9 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from tallybook.operators.skew import by_key, heavy_keys, key_hash, salted_join
+from tallybook.operators.skew import by_key, heavy_keys, key_hash
 from tallybook.session import shared_dir
 
 LEASE_MS = 180_000
@@ -25,6 +25,7 @@ REPLAY = "replay"
 KEY = ["tenant_id", "idempotency_key"]
 FIELDS = [*KEY, "event_id", "request_id", "t_ms", "dur_ms", "released"]
 HEAVY_ROWS = 1_000_000
+SLICE_MS = 60_000
 BEFORE_ALL, FOREVER = -(2**63), 2**63 - 1
 
 OUTPUT = (
@@ -39,6 +40,7 @@ def claim_outcomes(
     lease_ms: int = LEASE_MS,
     completed_ttl_ms: int = COMPLETED_TTL_MS,
     heavy_rows: int = HEAVY_ROWS,
+    slice_ms: int = SLICE_MS,
 ) -> DataFrame:
     """The outcome of each attempt and the request that holds the key after it.
 
@@ -55,7 +57,7 @@ def claim_outcomes(
     light = packed.join(listed, "_heavy", "left_anti").drop("_heavy")
     heavy = packed.join(listed, "_heavy", "left_semi").drop("_heavy")
     return _fold_keys(light, lease_ms, completed_ttl_ms).unionByName(
-        _heavy_outcomes(heavy, lease_ms, completed_ttl_ms)
+        _heavy_outcomes(heavy, lease_ms, completed_ttl_ms, slice_ms)
     )
 
 
@@ -101,7 +103,7 @@ def _fold_keys(attempts: DataFrame, lease_ms: int, completed_ttl_ms: int) -> Dat
     )
 
 
-def _heavy_outcomes(attempts: DataFrame, lease_ms: int, completed_ttl_ms: int) -> DataFrame:
+def _heavy_outcomes(attempts: DataFrame, lease_ms: int, completed_ttl_ms: int, slice_ms: int) -> DataFrame:
     """The same for a few keys with very many attempts.
 
     Few of those attempts claim: each claim that runs keeps its key for a while. So claims are found
@@ -148,28 +150,12 @@ def _heavy_outcomes(attempts: DataFrame, lease_ms: int, completed_ttl_ms: int) -
                 if held[4] < until:
                     free.append((*key, held[4], until))
 
-    spans = []
-    for key, log in writes.items():
-        log = log + coming[key]
-        first = (None, None, None, False, BEFORE_ALL)
-        for held, following in zip([first, *log], [*log, None], strict=True):
-            begin = held[:2] if held[0] is not None else (BEFORE_ALL, BEFORE_ALL)
-            end = following[:2] if following else (FOREVER, FOREVER)
-            spans.append((*key, *begin, *end, *held[2:]))
     held = spark.createDataFrame(
-        spans,
-        "tenant_id string, idempotency_key string, from_ms bigint, from_id bigint, to_ms bigint, "
-        "to_id bigint, holding string, done boolean, expiry bigint",
-    )
-    everyone = attempts.select(key_hash(KEY).alias("_heavy")).distinct()
-    place = F.struct("t_ms", "event_id")
-    matched = salted_join(attempts, held, KEY, "left", heavy=everyone).where(
-        F.col("from_ms").isNull()
-        | (
-            (place > F.struct(F.col("from_ms").alias("t_ms"), F.col("from_id").alias("event_id")))
-            & (place <= F.struct(F.col("to_ms").alias("t_ms"), F.col("to_id").alias("event_id")))
-        )
+        [(*key, *w) for key, log in writes.items() for w in [*log, *coming[key]]],
+        "tenant_id string, idempotency_key string, from_ms bigint, from_id bigint, holding string, "
+        "done boolean, expiry bigint",
     )
+    matched = _held_at(attempts, held, slice_ms)
     busy = F.coalesce(F.col("t_ms") < F.col("expiry"), F.lit(False))
     return matched.select(
         *KEY,
@@ -178,3 +164,35 @@ def _heavy_outcomes(attempts: DataFrame, lease_ms: int, completed_ttl_ms: int) -
         F.when(~busy, CLAIMED).when(F.col("done"), REPLAY).otherwise(IN_FLIGHT).alias("outcome"),
         F.when(busy, F.col("holding")).otherwise(F.col("request_id")).alias("holder"),
     )
+
+
+def _held_at(attempts: DataFrame, held: DataFrame, slice_ms: int) -> DataFrame:
+    """Each attempt with the record that was written last before it.
+
+    Time is cut into slices. The record a slice starts from is found among records and slices alone;
+    attempts meet only the records of their own slice and that one, in order.
+    """
+    at = Window.partitionBy(*KEY, "_slice").orderBy("t_ms", "event_id", "_write")
+    before = Window.partitionBy(*KEY).orderBy("_slice", "_first", "t_ms", "event_id")
+    piece = F.floor(F.col("t_ms") / slice_ms).alias("_slice")
+    rows = attempts.select(*FIELDS, piece)
+    writes = held.select(
+        *KEY, F.col("from_ms").alias("t_ms"), F.col("from_id").alias("event_id"),
+        F.struct("holding", "done", "expiry").alias("_record"),
+    ).select("*", piece)
+    # at equal slices a slice comes before the records written in it
+    starts = (
+        rows.select(*KEY, "_slice").distinct().withColumn("_first", F.lit(0))
+        .unionByName(writes.withColumn("_first", F.lit(1)), allowMissingColumns=True)
+        .withColumn("_record", F.last("_record", ignorenulls=True).over(before))
+        .where("_first = 0")
+        .select(*KEY, "_slice", F.lit(BEFORE_ALL).alias("t_ms"), F.lit(BEFORE_ALL).alias("event_id"), "_record")
+    )
+    known = writes.unionByName(starts).withColumn("_write", F.lit(1))
+    return (
+        rows.withColumn("_write", F.lit(0))
+        .unionByName(known, allowMissingColumns=True)
+        .withColumn("_record", F.last("_record", ignorenulls=True).over(at))
+        .where("_write = 0")
+        .select(*FIELDS, "_record.*")
+    )

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tallybook import schemas as S
 from tallybook.functions import sse
-from tallybook.functions.tokens import text_counter, tokens_for_length
+from tallybook.functions.tokens import CounterFor, model_counter, text_counter, tokens_for_length
 from tallybook.operators.skew import heavy_keys, running_sum, salted_join
 
 MAX_ATTEMPTS = 2
@@ -31,13 +31,23 @@ def decode_lines(lines: DataFrame) -> DataFrame:
     )
 
 
-def meter_streams(lines: DataFrame, *, tokenizer: Callable[[str], int] | None = None) -> DataFrame:
+def meter_streams(
+    lines: DataFrame,
+    *,
+    tokenizer: Callable[[str], int] | None = None,
+    counter_for: CounterFor | None = None,
+    models: DataFrame | None = None,
+) -> DataFrame:
     """Both ledgers of each request, from its lines alone.
 
     The count is over the joined text, so characters are summed first and turned into tokens once.
     The last usage block wins; a report exists only if it gives completion tokens. With a
-    ``tokenizer`` the text of each request is put together in order and counted by it.
+    ``tokenizer`` the text of each request is put together in order and counted by it; with
+    ``counter_for`` each model's own tokenizer counts (see ``model_counter``) and ``exact`` is said
+    per request. ``models`` gives request_id and model, one row per request.
     """
+    if counter_for is not None and (tokenizer is not None or models is None):
+        raise ValueError("counter_for needs models and excludes tokenizer")
     decoded = decode_lines(lines)
     reported = F.col("usage").isNotNull()
     at = F.when(reported, F.col("seq"))
@@ -48,7 +58,8 @@ def meter_streams(lines: DataFrame, *, tokenizer: Callable[[str], int] | None =
         F.max_by("usage.completion_tokens", at).alias("provider_completion_tokens"),
     ]
     completion = tokens_for_length(F.col("_chars"))
-    if tokenizer is not None:
+    exact = F.lit(tokenizer is not None)
+    if tokenizer is not None or counter_for is not None:
         text = sse.content_text(sse.chunk(sse.payload(F.col("line"))))
         decoded = decoded.withColumn("_text", text)
         aggregates.append(
@@ -59,11 +70,16 @@ def meter_streams(lines: DataFrame, *, tokenizer: Callable[[str], int] | None =
                 "",
             ).alias("_joined")
         )
+    requests = decoded.groupBy("request_id").agg(*aggregates)
+    if tokenizer is not None:
         completion = text_counter(tokenizer)(F.col("_joined"))
+    elif counter_for is not None:
+        counted = model_counter(counter_for)(F.array("_joined"), F.col("model"))
+        requests = requests.join(models.select("request_id", "model"), "request_id", "left")
+        requests = requests.withColumn("_counted", counted)
+        completion, exact = F.col("_counted.tokens"), F.col("_counted.exact")
     return (
-        decoded.groupBy("request_id")
-        .agg(*aggregates)
-        .select(
+        requests.select(
             "request_id",
             completion.alias("completion_tokens"),
             "saw_done",
@@ -73,7 +89,7 @@ def meter_streams(lines: DataFrame, *, tokenizer: Callable[[str], int] | None =
             .cast("bigint")
             .alias("provider_prompt_tokens"),
             "provider_completion_tokens",
-            F.lit(tokenizer is not None).alias("exact"),
+            exact.alias("exact"),
         )
     )
 

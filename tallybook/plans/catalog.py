@@ -20,7 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 AS_OF = "2024-01-15 12:00:00"
 DAY = 86_400
 BUDGET = {"capacity": 500, "refill_per_second": 50.0}
-STREAM_BUDGET = {"capacity": 600, "refill_per_second": 100.0}
+STREAM_BUDGET = {"capacity": 500, "refill_per_second": 40.0}
 CLAIMS = {"lease_ms": 180_000, "completed_ttl_ms": 240_000}
 DRAIN_TENANT = "s1-2"
 EXPIRY_CUTOFF = "2024-01-15 06:00:00"

@@ -105,6 +105,30 @@ def test_running_count_after_every_line(spark, block):
     assert [r.previous_tokens for r in rows] == [0, 1, 1, 1]
 
 
+def test_each_model_has_its_own_counter(spark):
+    """A model without a tokenizer is estimated and not exact; prompts use the same hook."""
+    words = {"spaced": lambda text: len(text.split())}
+    lines = spark.createDataFrame(
+        [("a", 0, sse("one two three"), 0), ("b", 0, sse("one two three"), 0), ("c", 0, sse("abcd"), 0)],
+        "request_id string, seq bigint, line string, arrived_ms bigint",
+    )
+    models = spark.createDataFrame([("a", "spaced"), ("b", "plain")], "request_id string, model string")
+    found = metering.meter_streams(lines, counter_for=words.get, models=models).collect()
+    assert {(r.request_id, r.completion_tokens, r.exact) for r in found} == {
+        ("a", 3, True), ("b", 3, False), ("c", 1, False),
+    }
+    with pytest.raises(ValueError):
+        metering.meter_streams(lines, counter_for=words.get)
+
+    body = json.dumps({"messages": [
+        {"content": "p q r s t"}, {"content": [{"text": "u v"}, {"image": 1}, 7, {"text": None}]}, {}, {"content": 5},
+    ]})
+    bodies = spark.createDataFrame([(body, "spaced"), ("{", "spaced"), (None, None)], "body string, model string")
+    counted = tokens.model_counter(words.get)(tokens.prompt_texts(F.col("body")), F.col("model"))
+    got = bodies.select(counted.alias("n")).select("n.*").collect()
+    assert [tuple(r) for r in got] == [(7, True), (0, True), (0, False)]
+
+
 def test_midstream_draws_only_the_overshoot(spark):
     lines = stream(spark, sse("x" * 40), sse("x" * 40), sse("x" * 40))
     facts = spark.createDataFrame(
