@@ -46,8 +46,11 @@ def key_hashes(key: Column) -> list[Column]:
 def line_runs(docs: DataFrame, batches: int = BATCHES, min_chars: int = 1) -> list[DataFrame]:
     """One sorted run (k1, k2, docs) for each batch; a batch is a hash share of the rows."""
     batch = F.pmod(F.xxhash64(F.lit(8), "doc_id", "text"), F.lit(batches)).cast("int")
+    keys = F.array_distinct(line_keys(F.col("text")))
+    # the hash of a text is taken before its lines are, once and not with every line
     found = (
-        docs.select(batch.alias("batch"), F.explode(F.array_distinct(line_keys(F.col("text")))))
+        docs.select(batch.alias("batch"), keys.alias("_keys"))
+        .select("batch", F.explode("_keys"))
         .where(F.length("col") >= min_chars)
         .select("batch", *key_hashes(F.col("col")))
         .groupBy("batch", "k1", "k2")
@@ -106,8 +109,9 @@ def dedup_lines(
         docs.select(
             F.col("doc_id").alias("_doc"),
             text_hash(F.col("text")).alias("_text"),
-            F.posexplode(line_keys(F.col("text"))).alias("_line", "_key"),
+            line_keys(F.col("text")).alias("_keys"),
         )
+        .select("_doc", "_text", F.posexplode("_keys").alias("_line", "_key"))
         .where(F.length("_key") >= min_chars)
         .select("_doc", "_text", "_line", *key_hashes(F.col("_key")))
         .join(keys, ["k1", "k2"])
@@ -117,7 +121,15 @@ def dedup_lines(
     old = F.col("_row.text")
     lines = split_lines(old)
     drop = F.coalesce(F.col("_drop"), F.array().cast("array<int>"))
-    kept = F.filter(lines, lambda line, n: ~F.array_contains(F.col("_drop"), n))
+    # places that stay, looked up in lines that are split once: linear in the lines of a text
+    whole = F.array(F.struct(lines.alias("lines"), F.col("_drop").alias("drop")))
+    kept = F.transform(
+        whole,
+        lambda t: F.transform(
+            F.array_except(F.sequence(F.lit(0), F.size(t["lines"]) - 1), t["drop"]),
+            lambda n: F.get(t["lines"], n),
+        ),
+    )[0]
     rows = packed(docs).withColumn("_hash", text_hash(old))
     same = rows["_row.doc_id"].eqNullSafe(places["_doc"]) & (rows["_hash"] == places["_text"])
     text = F.when(F.col("_drop").isNull(), F.coalesce(old, F.lit("")))
