@@ -50,7 +50,7 @@ def line_runs(docs: DataFrame, batches: int = BATCHES, min_chars: int = 1) -> li
     # the hash of a text is taken before its lines are, once and not with every line
     found = (
         docs.select(batch.alias("batch"), keys.alias("_keys"))
-        .select("batch", F.explode("_keys"))
+        .select("batch", F.explode_outer("_keys"))
         .where(F.length("col") >= min_chars)
         .select("batch", *key_hashes(F.col("col")))
         .groupBy("batch", "k1", "k2")
@@ -111,7 +111,7 @@ def dedup_lines(
             text_hash(F.col("text")).alias("_text"),
             line_keys(F.col("text")).alias("_keys"),
         )
-        .select("_doc", "_text", F.posexplode("_keys").alias("_line", "_key"))
+        .select("_doc", "_text", F.posexplode_outer("_keys").alias("_line", "_key"))
         .where(F.length("_key") >= min_chars)
         .select("_doc", "_text", "_line", *key_hashes(F.col("_key")))
         .join(keys, ["k1", "k2"])
