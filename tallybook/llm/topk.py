@@ -5,14 +5,16 @@ whole anywhere. A shard's index has a posting for each row and component. Postin
 are ordered by value and cut in segments of ``LEVEL`` values. A query's segments are taken
 by falling impact, the most that one of the segment's postings can add to a score. After each
 portion, a row's score is at most what its postings so far could add plus the next impact for each
-posting still to come. The exact scores of the leading rows give the score to beat. Once only few
+posting still to come. These bounds are doubles, widened by what rounding can take from them, and
+postings are counted in whole numbers of their own, so they hold for components of any size. The exact
+scores of the leading rows give the score to beat. Once only few
 rows can still reach it, they are rescored exactly: the search stops on this proof alone, and
 where it never comes all postings are taken and all remaining rows rescored.
 
 Defined cases: vectors that are null, hold null or non-finite components, or have no id take no
 part. Shorter vectors count as zero beyond their end. Rows that repeat an id are each a candidate, and each
 query id is asked once with its smallest vector; rows with the query's own id are never its
-candidates. An empty table gives an empty result.
+candidates. An empty table gives an empty result. A score among the best that no bigint holds is an error.
 """
 
 from __future__ import annotations
@@ -31,7 +33,8 @@ SHARD_ROWS = 16_384
 BLOCK_QUERIES = 2_048
 PORTIONS = 24
 FEW = 64
-SEEN = float(1 << 36)  # counts a row's postings above the bits its sums need
+EPS = np.finfo(np.float64).eps
+WORD = float(1 << 62)  # products that may pass it are taken in whole numbers of any size
 
 
 def quantised(rows: DataFrame, factor: int) -> DataFrame:
@@ -55,41 +58,52 @@ class ImpactIndex:
         self.size = np.diff(np.r_[self.first, count * width])
         self.component = self.first // max(count, 1)
         flat = values.ravel()
-        self.low, self.high = flat[self.first], flat[self.first + self.size - 1]
+        self.low = flat[self.first].astype(np.float64)
+        self.high = flat[self.first + self.size - 1].astype(np.float64)
+        self.reach = np.abs(rows).max(axis=0, initial=0)
+
+    def scores(self, places: np.ndarray, query: np.ndarray, far: float) -> np.ndarray:
+        """Exact scores; ``far`` is at least the sum of the sizes of their products."""
+        if far < WORD:
+            return self.rows[places] @ query
+        return self.rows[places].astype(object) @ query.astype(object)
 
     def search(self, query: np.ndarray, own: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
         """Places of the k best rows; ``own`` marks rows that are no candidates."""
         count, width = self.rows.shape
-        weight = query[self.component]
+        steep = query.astype(np.float64)
+        far = float(np.abs(steep) @ self.reach)
+        slack = (2 * width + PORTIONS + 8) * EPS * far
+        weight = steep[self.component]
         impact = np.where(weight > 0, weight * self.high, weight * self.low)
         order = np.argsort(-impact, kind="stable")
         portion = -(-len(self.postings) // PORTIONS)
         cut = np.searchsorted(np.cumsum(self.size[order]), np.arange(1, PORTIONS) * portion)
-        sums = np.zeros(count)
+        sums, seen = np.zeros(count), np.zeros(count, dtype=np.int64)
         for part in np.split(order, np.unique(cut)):
             if not len(part):
                 continue
             size = self.size[part]
             place = np.repeat(self.first[part] - np.cumsum(size) + size, size)
             place += np.arange(len(place))
-            added = np.repeat(impact[part] + SEEN, size)
-            sums += np.bincount(self.postings[place], weights=added, minlength=count)
-            seen = np.floor(sums / SEEN + 0.5)
+            row = self.postings[place]
+            sums += np.bincount(row, weights=np.repeat(impact[part], size), minlength=count)
+            seen += np.bincount(row, minlength=count)
             done = part[-1] == order[-1]
             coming = 0 if done else impact[part[-1]]
-            most = sums - seen * SEEN + (width - seen) * coming
+            most = sums + (width - seen) * coming + slack
             most[own] = -np.inf
             if count - own.sum() <= k:
                 break
             leading = np.argpartition(-most, k)[: k + 1]
             leading = leading[~own[leading]]
-            beat = np.sort(self.rows[leading] @ query)[::-1][k - 1]
-            possible = np.flatnonzero(most >= beat)
+            beat = np.sort(self.scores(leading, query, far))[::-1][k - 1]
+            possible = np.flatnonzero(most >= float(beat))
             if len(possible) <= FEW or done:
-                exact = self.rows[possible] @ query
+                exact = self.scores(possible, query, far)
                 return possible[top(exact, ids[possible], k)]
         possible = np.flatnonzero(~own)
-        return possible[top(self.rows[possible] @ query, ids[possible], k)]
+        return possible[top(self.scores(possible, query, far), ids[possible], k)]
 
 
 def exact_top_k(
@@ -145,7 +159,7 @@ def exact_top_k(
                 [
                     pa.array(np.full(len(place), query)),
                     pa.array(ids[place]),
-                    pa.array(index.rows[place] @ x),
+                    pa.array(index.scores(place, x, np.inf), pa.int64()),
                 ],
                 schema=SCHEMA,
             )

@@ -86,6 +86,31 @@ def test_search_stops_only_on_proof(monkeypatch, few):
         assert [(-scores[p], ids[p]) for p in place] == want
 
 
+@pytest.mark.parametrize("size", [10**4, 10**5, 10**6, 10**7])
+def test_large_components_are_bounded_rightly(size):
+    rng = np.random.default_rng(size)
+    rows = np.floor(256 * rng.uniform(-size, size, (700, 12)))
+    rows[:9] = np.abs(rows[:9]) + 256 * size  # the best rows by far
+    ids = rng.permutation(700)
+    index = topk.ImpactIndex(rows)
+    flat = np.zeros(12)
+    flat[3] = 256
+    for query in (flat, rows[0], rows[50], np.abs(rows[60]), -rows[70]):
+        query, own = query.astype(np.int64), ids == ids[0]
+        place = index.search(query, own, ids, 5)
+        exact = [sum(int(a) * int(b) for a, b in zip(r, query, strict=True)) for r in rows]
+        want = sorted((-s, i) for s, i, o in zip(exact, ids, own, strict=True) if not o)[:5]
+        assert [(-exact[p], ids[p]) for p in place] == want
+
+
+def test_large_components_in_a_table(spark):
+    rows = [(i, [float(i * 10**4), 3e6 - i, -5.0 * i]) for i in range(200)] + [(1000, [0.0, 1.0, 0.0])]
+    got = {}
+    for r in topk.exact_top_k(given(spark, rows), F.col("vec_id") % 50 == 0).collect():
+        got.setdefault(r.query_id, []).append((-r.score, r.vec_id))
+    assert {q: sorted(own) for q, own in got.items()} == brute_top(rows)
+
+
 def brute_near(rows, k=5):
     whole = usable(rows, False)
     out = {}
