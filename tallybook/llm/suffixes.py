@@ -22,8 +22,9 @@ them in. Transform, prefixes and owners are files that a round reads and writes
 Windows whose suffix shares TILE symbols with a neighbour are repeated.
 
 A core with more than ``GROUP`` different tiles is cut again into narrower tiles with longer
-cores, down to single windows, where equality of the core decides; so no group grows with the
-input. Cores are compared by 128-bit digests.
+cores, down to single windows, where equality of the core decides by plain grouping, without an index.
+Equal tiles are one row again after each cut, so no group grows with the input. Cores are compared
+by 128-bit digests.
 
 Defined cases: null and empty text are no bytes. Texts shorter than a window keep everything. Rows
 that repeat are copies of each other and lose all their windows. An empty table gives an empty
@@ -396,21 +397,31 @@ def narrower(rows: DataFrame, tile: int, new: int) -> DataFrame:
 def shared_windows(segments: DataFrame) -> DataFrame:
     """seg_a, seg_b, low, high: windows of each distinct tile that occur more than once."""
     rows, tile, found = segments.withColumn("shift", F.lit(0).cast("bigint")), TILE, []
+    kind = [*CORE, "left", "right"]
     while True:
-        alike = rows.groupBy(*CORE, "left", "right").agg(F.sum("n").alias("all"))
+        # one row of each kind: its only segment, or one of several that are settled together
+        only = F.min(F.struct("seg_a", "seg_b", "shift")).alias("only")
+        alike = rows.groupBy(*kind).agg(F.sum("n").alias("all"), only)
         cores = alike.groupBy(*CORE).agg(F.count(F.lit(1)).alias("kinds"))
-        rows = rows.join(cores, CORE).join(alike, [*CORE, "left", "right"])
-        rows = staged(rows.where((F.col("kinds") > 1) | (F.col("all") > 1)), "tile-groups")
+        alike = alike.join(cores, CORE).where((F.col("kinds") > 1) | (F.col("all") > 1))
+        alike = staged(alike, "tile-kinds")
+        settled = alike.where(F.col("all") > 1)
+        if tile == TILE:  # segments are distinct
+            settled = settled.select(*kind, "only.*")
+        else:
+            settled = rows.join(settled.select(*kind), kind)
         shortest = F.lit(tile - 1) - F.octet_length("right")
         found.append(
-            rows.where(F.col("all") > 1).select(
+            settled.select(
                 "seg_a",
                 "seg_b",
                 (F.col("shift") + F.greatest(shortest, F.lit(0))).alias("low"),
                 (F.col("shift") + F.octet_length("left")).alias("high"),
             )
         )
-        mixed = rows.where(F.col("kinds") > 1).drop("n").withColumnRenamed("all", "n")
+        mixed = alike.where(F.col("kinds") > 1).select(
+            *kind, "kinds", F.col("all").alias("n"), "only.*"
+        )
         found.append(indexed(mixed.where(F.col("kinds") <= GROUP), tile))
         large = mixed.where(F.col("kinds") > GROUP)
         if tile == 1 or large.isEmpty():

@@ -69,6 +69,28 @@ def test_shared_passages_as_by_brute_force(spark, monkeypatch, group, piece):
     assert found(cases.frame(spark, rows).repartition(3)) == brute(rows, SIZE)
 
 
+def test_groups_stay_bounded_after_narrowing(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "GROUP", 80)
+    rng = random.Random(5)
+    passage = cases.prose(rng, 70)
+
+    def foreign():  # of few kinds where only some bytes of it are left in a tile
+        return "".join(rng.choice("ab") for _ in range(100))
+
+    rows = [(i, foreign() + passage + foreign(), None, None, 0) for i in range(90)]
+    sizes, plain = [], suffixes.indexed
+
+    def watched(some, tile):
+        held = some.groupBy(*suffixes.CORE).count().agg({"count": "max"}).first()[0]
+        sizes.append((tile, held or 0))
+        return plain(some, tile)
+
+    monkeypatch.setattr(suffixes, "indexed", watched)
+    assert found(cases.frame(spark, rows).repartition(3)) == brute(rows, SIZE)
+    assert dict(sizes)[8] > 1
+    assert max(n for _, n in sizes) <= 80
+
+
 def test_awkward_rows(spark):
     rows = cases.rows()
     assert found(cases.frame(spark, rows).repartition(3)) == brute(rows, SIZE)
