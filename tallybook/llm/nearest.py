@@ -7,7 +7,8 @@ seen so far is opened next, and leaves come out in the order in which they are w
 many leaves are visited is calibrated: for at most ``CALIBRATION`` queries the exact
 neighbours among all rows are found, and the visits are widened until the leaves hold ``recall`` of
 them. In a visited leaf all cosines are computed in double precision; a full leaf is
-cut in parts, so a vector that a third of all rows share is many tasks.
+cut in parts and its visits are dealt to blocks of queries, so a vector that a third of all rows
+share is many tasks, and no task holds more of either side as the input grows.
 
 Defined cases: vectors that are null, zero, hold null or non-finite components, or have no id take
 no part. Shorter vectors count as zero beyond their end. Rows that repeat an id are each a candidate,
@@ -35,6 +36,7 @@ ROUNDS = 8
 CALIBRATION = 256
 RECALL = 0.97
 PART_ROWS = 4_096
+BLOCK_QUERIES = 2_048
 SAME = 1e-9
 SCHEMA = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 FIELDS = "query_id bigint, vec_id bigint, score double"
@@ -213,6 +215,35 @@ def calibrate(indexed: DataFrame, queries: DataFrame, tree: Tree, k: int, recall
     return int(np.quantile(needed, recall, method="higher"))
 
 
+def dealt(indexed: DataFrame, visits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows and visits of each visited leaf by leaf, part and block; each part meets each block."""
+
+    def shares(rows: DataFrame, most: int, name: str) -> DataFrame:
+        return rows.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / most).alias(name))
+
+    def every(count: str) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(count) - 1))
+
+    sizes = shares(indexed, PART_ROWS, "parts").join(
+        shares(visits, BLOCK_QUERIES, "blocks"), "leaf"
+    )
+    held = indexed.join(sizes, "leaf").select(
+        "leaf",
+        F.pmod(F.xxhash64("vec_id", "vector"), F.col("parts")).alias("part"),
+        every("blocks").alias("block"),
+        "vec_id",
+        "vector",
+    )
+    asked = visits.join(sizes, "leaf").select(
+        "leaf",
+        every("parts").alias("part"),
+        F.pmod(F.xxhash64("query_id"), F.col("blocks")).alias("block"),
+        "query_id",
+        "vector",
+    )
+    return held, asked
+
+
 def nearest(
     rows: DataFrame,
     is_query: Column,
@@ -244,16 +275,12 @@ def nearest(
                     ["query_id", "vector", "leaves"],
                 )
 
-    visits = queries.mapInArrow(
-        walk, "query_id bigint, vector array<double>, leaves array<bigint>"
-    ).select("query_id", "vector", F.explode("leaves").alias("leaf"))
-    parts = indexed.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / PART_ROWS).alias("parts"))
-    held = indexed.join(parts, "leaf").withColumn(
-        "part", F.pmod(F.xxhash64("vec_id", "vector"), F.col("parts"))
-    )
-    asked = visits.join(parts, "leaf").withColumn(
-        "part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))
+    walks = staged(
+        queries.mapInArrow(walk, "query_id bigint, vector array<double>, leaves array<bigint>"),
+        "walks",
     )
+    visits = walks.select("query_id", "vector", F.explode("leaves").alias("leaf"))
+    held, asked = dealt(indexed, visits)
 
     def search(key: tuple, mine: pa.Table, theirs: pa.Table) -> pa.Table:
         ids = mine.column("vec_id").to_numpy()
@@ -266,6 +293,5 @@ def nearest(
         ]
         return pa.Table.from_batches(out, schema=SCHEMA)
 
-    met = held.select("leaf", "part", "vec_id", "vector").groupBy("leaf", "part")
-    met = met.cogroup(asked.select("leaf", "part", "query_id", "vector").groupBy("leaf", "part"))
+    met = held.groupBy("leaf", "part", "block").cogroup(asked.groupBy("leaf", "part", "block"))
     return best(met.applyInArrow(search, FIELDS), k)

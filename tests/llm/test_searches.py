@@ -152,6 +152,31 @@ def test_all_leaves_give_exact_neighbours(spark):
     assert got == want
 
 
+def test_queries_of_a_leaf_go_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "PART_ROWS", 100)
+    monkeypatch.setattr(nearest, "BLOCK_QUERIES", 50)
+    one = F.array(F.lit(1.0)).alias("vector")
+    rows = spark.range(300).select(F.col("id").alias("vec_id"), one, (F.col("id") % 2).alias("leaf"))
+    visits = spark.range(600).select(F.col("id").alias("query_id"), one, F.lit(0).alias("leaf"))
+    held, asked = nearest.dealt(rows, visits)
+    cell = ["leaf", "part", "block"]
+    assert max(r["count"] for r in asked.groupBy(*cell).count().collect()) <= 100
+    assert max(r["count"] for r in held.groupBy(*cell).count().collect()) <= 150
+    met = held.drop("vector").join(asked.drop("vector"), cell)
+    assert met.count() == met.select("vec_id", "query_id").distinct().count() == 150 * 600
+
+
+def test_blocks_of_queries_give_exact_neighbours(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "PART_ROWS", 50)
+    monkeypatch.setattr(nearest, "BLOCK_QUERIES", 3)
+    rows = some(600, seed=3)
+    found = nearest.nearest(given(spark, rows), F.col("vec_id") % 50 == 0, recall=1.0).collect()
+    got = {}
+    for r in sorted(found, key=lambda r: (r.query_id, r.rank)):
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert got == {q: [i for _, i in own] for q, own in brute_near(rows).items()}
+
+
 def test_walk_visits_every_leaf_once():
     rng = np.random.default_rng(1)
     tree = nearest.Tree(4)
