@@ -237,7 +237,8 @@ def hex_of(fp: Column) -> Column:
 def near_duplicates(
     docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS
 ) -> DataFrame:
-    """doc_id, _text, fp and component_id, the smallest doc_id of the component, of every row."""
+    """doc_id, _text, fp, component (its smallest fingerprint) and component_id, the smallest doc_id of
+    the component, of every row."""
     marked = staged(fingerprints(docs, shingle_words), "fingerprints")
     distinct = staged(
         marked.groupBy("fp").agg(F.min("doc_id").alias("first_doc")), "distinct-fingerprints"
@@ -248,23 +249,31 @@ def near_duplicates(
     )
     named = staged(named, "named-fingerprints")
     smallest = named.groupBy("component").agg(F.min("first_doc").alias("component_id"))
-    by_fp = named.join(smallest, "component").select("fp", "component_id")
-    return marked.join(by_fp, "fp").select("doc_id", "_text", "fp", "component_id")
+    by_fp = named.join(smallest, "component").select("fp", "component", "component_id")
+    return marked.join(by_fp, "fp").select("doc_id", "_text", "fp", "component", "component_id")
 
 
-def keep_one_each(
+def one_of_each(
     docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS
 ) -> DataFrame:
-    """One row of each component: that of its smallest doc_id. A component without ids is dropped."""
+    """One row of each component: that of its smallest doc_id, or one without where none has an id.
+    Of rows that share this id it is the one with the smallest text hash."""
     found = near_duplicates(docs, shingle_words, max_bits)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_text"))
     chosen = (
-        found.where(F.col("doc_id") == F.col("component_id"))
-        .groupBy("doc_id")
-        .agg(F.min("_text").alias("_text"))
-        .select(F.col("doc_id").alias("_doc"), F.col("_text").alias("_kept"))
+        found.groupBy("component")
+        .agg(first.alias("first"))
+        .select(F.col("first.doc_id").alias("_doc"), F.col("first._text").alias("_kept"))
     )
     rows = packed(docs).withColumns(
         {"_id": F.col("_row.doc_id"), "_hash": text_hash(F.col("_row.text"))}
     )
-    same = (F.col("_id") == F.col("_doc")) & (F.col("_hash") == F.col("_kept"))
+    same = F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_hash") == F.col("_kept"))
     return rows.join(chosen, same).dropDuplicates(["_id", "_hash"]).select("_row.*")
+
+
+def keep_one_each(
+    docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS
+) -> DataFrame:
+    """The same for callers that name documents by id: without the components that have none."""
+    return one_of_each(docs, shingle_words, max_bits).where(F.col("doc_id").isNotNull())

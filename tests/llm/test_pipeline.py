@@ -51,3 +51,25 @@ def test_stages_one_by_one_as_by_brute_force(spark, tmp_path):
         seen[name] = docs.count()
     assert list(seen) == [n for n, _ in corpus_pipeline.STAGES]
     assert seen["simhash_near_dedup"] < seen["line_dedup"] <= seen["language_id"] < len(whole)
+
+
+def test_each_group_keeps_one_document_whatever_its_ids(spark, tmp_path):
+    whole = cases.rows()
+    clean = [
+        (None, "one lonely text that has no number of its own at all", "a", "s1", 52),
+        (None, "another quite different text without any number either, longer", "a", "s1", 62),
+        (5000, "first text under a number that comes again elsewhere", "a", "s2", 52),
+        (5000, "second wording, nothing like it, with the same number", "b", "s2", 53),
+    ]
+    whole += [*clean, clean[0]]
+    docs = cases.frame(spark, whole).select(*COLUMNS).repartition(3)
+    kept = plain(corpus_pipeline.simhash_near_dedup(spark, docs, str(tmp_path)))
+    groups = test_simhash.brute_components([test_simhash.fingerprint(r[1]) for r in whole], 3)
+    ids = {}
+    for r, g in zip(whole, groups, strict=True):
+        ids.setdefault(g, []).append(r[0])
+    want = [min((i for i in own if i is not None), default=None) for own in ids.values()]
+    assert sorted((r[0] for r in kept), key=str) == sorted(want, key=str)
+    group_of = {r[:2]: g for r, g in zip(whole, groups, strict=True)}
+    assert sorted(group_of[r[:2]] for r in kept) == sorted(ids)
+    assert set(clean) <= set(kept)
