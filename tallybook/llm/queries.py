@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tallybook.llm import language, lines, mixing, nearest, packing, quality, simhash, suffixes, topk, urls
+from tallybook.llm import centroids, language, lines, mixing, nearest, packing, quality, simhash, suffixes, topk, urls
 from tallybook.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -168,3 +168,60 @@ WHERE rank <= 5
 @query
 def op10_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return nearest.nearest(table(spark, folder, "embeddings"), is_query())
+
+
+@query
+def op13_centroid_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    found = centroids.cluster(table(spark, folder, "embeddings"))
+    text = F.array_join(F.transform("centroid", lambda c: c.cast("string")), ",")
+    every = found.centres.groupBy().agg(F.sum("inertia").alias("inertia"))
+    centres = found.centres.select(
+        "cluster", F.col("inertia").alias("cluster_inertia"), F.sha2(text, 256).alias("centroid_sha256")
+    ).crossJoin(F.broadcast(every))
+    return found.rows.join(F.broadcast(centres), "cluster").select(
+        "vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"
+    )
+
+
+def clusters_sql(rounds: int = 3) -> str:
+    """The clustering, one block of statements a round."""
+    parts = [
+        """kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS n, vec_id,
+    list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) = 64
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+)""",
+        """c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h NULLS LAST, v) - 1 AS cluster, v AS c
+  FROM (SELECT sha256('1:' || vec_id) AS h, v FROM kept) ORDER BY cluster LIMIT 16
+)""",
+    ]
+    for r in range(rounds + 1):
+        parts.append(
+            f"""a{r} AS MATERIALIZED (
+  SELECT n, vec_id, v, cluster, d FROM (
+    SELECT n, vec_id, v, cluster, list_sum(list_transform(list_zip(v, c),
+      lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM kept, c{r}
+  ) QUALIFY row_number() OVER (PARTITION BY n ORDER BY d, cluster) = 1
+)"""
+        )
+        if r < rounds:
+            parts.append(
+                f"""c{r + 1} AS MATERIALIZED (
+  SELECT cluster, list((s - ((s % m) + m) % m) // m ORDER BY i) AS c FROM (
+    SELECT cluster, i, CAST(sum(v[i]) AS BIGINT) AS s, count(*) AS m
+    FROM a{r}, range(1, 65) AS places(i) GROUP BY cluster, i
+  ) GROUP BY cluster
+  UNION ALL SELECT cluster, c FROM c{r} WHERE cluster NOT IN (SELECT cluster FROM a{r})
+)"""
+            )
+    return f"""WITH {", ".join(parts)}
+SELECT vec_id, CAST(cluster AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance,
+  CAST(sum(d) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia,
+  CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} USING (cluster)"""
+
+
+ORACLE["op13_centroid_clusters"] = clusters_sql()
