@@ -1,7 +1,7 @@
 """Cluster integer vectors around centroids with column expressions only.
 
 A vector's squared distance to a centroid is ``aggregate`` over ``zip_with`` against the centroid as a
-literal array, its cluster the ``array_min`` of the structs (distance, number), and a round of updates is
+literal array of products, its cluster the ``array_min`` of the structs (distance, number), and a round of updates is
 one aggregation with a sum per component. Rows never leave the JVM and nothing but
 sums is shuffled: one row per task and cluster. What reaches the driver is ``k`` centroids of
 ``width`` whole numbers a round, however many rows there are.
@@ -42,7 +42,7 @@ class Clustering:
 
 
 def scaled(rows: DataFrame, id_: str, vector: str, width: int, scale: int) -> DataFrame:
-    """vec_id, v: the whole numbers of each vector that takes part."""
+    """vec_id, v, vv: the whole numbers of each vector that takes part and their sum of squares."""
     x = F.col(f"`{vector}`").cast("array<double>")
     unfit = F.exists("x", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
     large = F.exists("x", lambda c: F.abs(c * scale) >= LIMIT)
@@ -57,6 +57,7 @@ def scaled(rows: DataFrame, id_: str, vector: str, width: int, scale: int) -> Da
             .cast("array<bigint>")
             .alias("v"),
         )
+        .withColumn("vv", F.expr("aggregate(v, 0L, (s, x) -> s + x * x)"))
     )
 
 
@@ -67,17 +68,20 @@ def first_centroids(vectors: DataFrame, k: int, tag: str) -> list[list[int]]:
     return [r.v for r in first.select("v").collect()]
 
 
-def nearest(vector: str, centroids: list[list[int]]) -> Column:
+def nearest(vector: str, size: str, centroids: list[list[int]]) -> Column:
     """struct(distance, cluster) of the nearest centroid, the smaller number of equals.
 
+    ``size`` is the vector's own sum of squares, so that a component costs a product and a sum.
+
     A centroid is text that is folded into one literal array: as a literal per component the plan would
     grow by k * width nodes.
     """
 
     def away(centroid: list[int]) -> str:
         place = f"CAST(split('{','.join(map(str, centroid))}', ',') AS ARRAY<BIGINT>)"
-        squares = f"zip_with({vector}, {place}, (a, b) -> (a - b) * (a - b))"
-        return f"aggregate({squares}, 0L, (s, x) -> s + x)"
+        products = f"zip_with({vector}, {place}, (a, b) -> a * b)"
+        dot = f"aggregate({products}, 0L, (s, x) -> s + x)"
+        return f"{size} + {sum(c * c for c in centroid)}L - 2L * {dot}"
 
     each = [
         f"named_struct('distance', {away(c)}, 'cluster', {n})" for n, c in enumerate(centroids)
@@ -86,7 +90,7 @@ def nearest(vector: str, centroids: list[list[int]]) -> Column:
 
 
 def assigned(vectors: DataFrame, centroids: list[list[int]]) -> DataFrame:
-    return vectors.select("vec_id", "v", nearest("v", centroids).alias("_near")).select(
+    return vectors.select("vec_id", "v", nearest("v", "vv", centroids).alias("_near")).select(
         "vec_id", "v", "_near.cluster", "_near.distance"
     )
 

@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tallybook.llm import centroids, language, lines, mixing, nearest, packing, quality, simhash, suffixes, topk, urls
+from tallybook.llm import (
+    centroids, debruijn, language, lines, mixing, nearest, packing, quality, simhash, suffixes, topk, urls,
+    whitening,
+)
 from tallybook.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -170,6 +173,26 @@ def op10_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return nearest.nearest(table(spark, folder, "embeddings"), is_query())
 
 
+@query
+def op11_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    left = debruijn.remove_earlier(table(spark, folder, "documents"))
+    removed = F.aggregate(
+        "spans", F.lit(0).cast("bigint"), lambda s, x: s + x["end"] - x["first"]
+    )
+    return left.select(
+        "doc_id",
+        "n_words",
+        removed.alias("n_removed"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
+@query
+def op12_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    found = whitening.whiten(table(spark, folder, "embeddings"))
+    return found.withColumn("deviation", F.expr("try_cast(deviation AS BIGINT)"))
+
+
 @query
 def op13_centroid_clusters(spark: SparkSession, folder: str) -> DataFrame:
     found = centroids.cluster(table(spark, folder, "embeddings"))
