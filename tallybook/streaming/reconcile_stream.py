@@ -1,8 +1,8 @@
 """Streaming reconciliation: hold one ledger until its partner arrives or the deadline passes.
 
 The three feeds become one stream with one watermark, so a silent side never stops the clock of the
-other. State is one small record per request in RocksDB; an event-time timer settles a request at
-its deadline, and fires only once all input up to that time has been read.
+other. State in RocksDB is one small record per request and, until it settles, its copies by arrival time; an
+event-time timer settles a request at its deadline, and fires only once all input up to that time has been read.
 
 No row is dropped. The watermark only moves the timers: rows behind it still reach the state, where
 they join a request that has not settled and are listed as absorbed or late otherwise. Records that
@@ -26,6 +26,7 @@ ABSORBED = "absorbed"
 LATE_USAGE = "late_usage"
 ORPHAN = "orphan"
 QUARANTINE = "quarantine"
+TICK = "T"
 
 ORPHAN_SECONDS = 7 * 86_400
 
@@ -54,14 +55,12 @@ def arrivals(feed: DataFrame) -> DataFrame:
     )
 
 
-_COPY = ("at bigint", "total bigint", "state string", "model string", "tenant string", "key string")
-_RECORD = ", ".join(
-    [
-        "start_at bigint, start_tenant string, start_key string, settled_at bigint",
-        *[f"{when}_{field}" for when in ("first_a", "last_a") for field in _COPY],
-        *[f"{when}_{field}" for when in ("first_b", "last_b") for field in _COPY[:2]],
-    ]
+_RECORD = (
+    "start_at bigint, start_tenant string, start_key string, first_a bigint, first_b bigint, "
+    "copies bigint, last bigint, settled_at bigint, forced boolean"
 )
+_PLACE = "side string, at bigint, number bigint"
+_COPY = "total bigint, prompt bigint, state string, model string, tenant string, key string"
 
 
 def quarantined(feed: DataFrame) -> DataFrame:
@@ -73,163 +72,206 @@ def quarantined(feed: DataFrame) -> DataFrame:
     )
 
 
-def _processor(window_us: int, retain_us: int, orphan_us: int):
+def _processor(window_us: int, retain_us: int, orphan_us: int, at_once: bool):
     """The per-request state machine. Built inside a function so that it travels by value.
 
-    A request's record is read once and written once per trigger, because every call to the state
-    store leaves the Python process.
+    Every call to the state store leaves the Python process, so a request's record is read once and written
+    once per trigger, and copies are written only if their request goes on waiting.
     """
     from pyspark.sql import Row
     from pyspark.sql.streaming import StatefulProcessor
 
-    unknown_model = S.UNKNOWN_MODEL
+    unknown_model, force_settled, tick = S.UNKNOWN_MODEL, S.FORCE_SETTLED, TICK
     fields = [field.split()[0] for field in _RECORD.split(", ")]
-    names = [field.split()[0] for field in _COPY]
+    hold = 4_096  # copies of one trigger that are held before they go to the state
 
     class Settler(StatefulProcessor):
         def init(self, handle):
             self.handle = handle
             self.record = handle.getValueState("record", _RECORD)
+            self.copies = handle.getMapState("copies", _PLACE, _COPY)
+
+        def handleInitialState(self, key, initialState, timerValues):
+            """A request that a stored ledger has settled: nothing of it is held but that."""
+            record = dict.fromkeys(fields)
+            record.update(
+                settled_at=initialState.at_us, forced=initialState.forced, copies=0, last=initialState.at_us
+            )
+            self._save(record)
 
         def handleInputRows(self, key, rows, timerValues):
-            stored = self.record.get()
-            record = dict(zip(fields, stored or (None,) * len(fields), strict=True))
-            # One trigger's rows of one request: the trigger size bounds them.
-            ordered = sorted(rows, key=lambda r: (r.at_us, r.side != "S", _rank(r)))
-            last = max(r.at_us for r in ordered)
-            outcomes, n = [], 0
-            while n < len(ordered):
-                same = n
-                while same < len(ordered) and ordered[same].at_us == ordered[n].at_us:
-                    same += 1
-                outcomes += _arrive(key[0], record, ordered[n:same])
-                n = same
-            self.record.update(tuple(record[f] for f in fields))
-            if record["settled_at"] is not None:
-                self.handle.registerTimer(_ms(max(record["settled_at"], last) + retain_us))
-            elif record["start_at"] is not None:
-                self.handle.registerTimer(_ms(record["start_at"] + window_us))
-            else:
-                self.handle.registerTimer(_ms(last + orphan_us))
-            yield from outcomes
+            record, request, fresh, elsewhere = self._load(), key[0], [], None
+            for row in rows:
+                if row.side == tick:
+                    continue
+                record["last"] = max(record["last"] or row.at_us, row.at_us)
+                if row.side == "S":
+                    yield from _start(request, record, row)
+                elif row.side == "X":
+                    if elsewhere is None or row.at_us < elsewhere.at_us:
+                        elsewhere = row
+                else:
+                    side = row.side.lower()
+                    copy = (
+                        row.total, row.prompt, row.terminal_state, row.model, row.tenant_id,
+                        row.idempotency_key,
+                    )
+                    if record["settled_at"] is not None:
+                        yield _left_over(request, side, row.at_us, copy)
+                        continue
+                    first = record[f"first_{side}"]
+                    record[f"first_{side}"] = row.at_us if first is None else min(first, row.at_us)
+                    fresh.append((side, row.at_us, copy))
+                    if len(fresh) >= hold:
+                        yield from self._keep(request, record, fresh)
+                        fresh = []
+            if record["last"] is None:
+                return  # nothing but ticks
+            if record["settled_at"] is None and elsewhere is not None:
+                yield from self._elsewhere(request, record, elsewhere, fresh)
+            elif record["settled_at"] is None and at_once and _joined(record) is not None:
+                yield from self._settle(request, record, fresh)
+            elif record["settled_at"] is None:
+                yield from self._keep(request, record, fresh)
+            self._save(record)
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-            stored = self.record.get()
-            if stored is None:
-                return
-            record = dict(zip(fields, stored, strict=True))
+            record, request = self._load(), key[0]
             now = expiredTimerInfo.getExpiryTimeInMs()
+            if record["last"] is None or _due(record) > now:
+                return  # another timer is set
             if record["settled_at"] is not None:
-                if _ms(record["settled_at"] + retain_us) <= now:
-                    self.record.clear()
-            elif record["start_at"] is None:
+                self.record.clear()
+                return
+            if record["start_at"] is None and _joined(record) is None:
                 # nobody started it and its pair never came
-                copy = tuple(record[f"last_a_{n}"] for n in names[1:])
-                at_us = record["last_a_at"] or record["last_b_at"] or 0
-                yield _outcome(ORPHAN, key[0], at_us, copy, record["last_b_total"])
+                yield _orphan(request, self._stored(record))
+                self.copies.clear()
                 self.record.clear()
-            elif _ms(record["start_at"] + window_us) <= now:
-                yield _force(key[0], record)
-                self.record.update(tuple(record[f] for f in fields))
-                self.handle.registerTimer(_ms(record["settled_at"] + retain_us))
+                return
+            yield from self._settle(request, record, [])
+            self._save(record)
 
         def close(self):
             pass
 
-    def _rank(row):
-        """Of copies of one instant the larger total is the later one, as in batch."""
-        return (row.total or 0, row.terminal_state or "", row.model or "", row.tenant_id or "")
-
-    def _arrive(request, record, rows):
-        """What the arrivals of one instant lead to; changes the record.
-
-        All copies of an instant are there together. A row at the deadline or after it is too
-        late at once, but only the timer forces a request: rows of its window may still be coming.
-        """
-        waiting = record["settled_at"] is None
-        for row in rows:
-            if row.side == "S":
-                if waiting and (record["start_at"] is None or row.at_us < record["start_at"]):
-                    if record["start_at"] is None:
-                        blank = (None, None, row.model, row.tenant_id, row.idempotency_key)
-                        yield _outcome(STARTED, request, row.at_us, blank, None)
-                    record.update(
-                        start_at=row.at_us,
-                        start_tenant=row.tenant_id,
-                        start_key=row.idempotency_key,
-                    )
-                    yield from _too_late(request, record)
-                continue
-            copy = (
-                row.at_us, row.total, row.terminal_state, row.model, row.tenant_id,
-                row.idempotency_key,
-            )
-            late = record["start_at"] is not None and row.at_us >= record["start_at"] + window_us
-            if waiting and not late:
-                _keep(record, row.side.lower(), copy)
-            else:
-                yield _left_over(request, row.side.lower(), copy)
-        if waiting and record["first_a_at"] is not None and record["first_b_at"] is not None:
-            joined = max(record["first_a_at"], record["first_b_at"])
-            yield _settle(request, record, joined, _as_of(record, "b", joined)[1])
-
-    def _keep(record, side, copy):
-        """Of the copies of a side the first and the last stay, whatever the order they come in."""
-        named = names[: len(copy)] if side == "a" else names[:2]
-        first, last = record[f"first_{side}_at"], record[f"last_{side}_at"]
-        if first is None or copy[0] < first or (copy[0] == first == last):
-            record.update(zip([f"first_{side}_{n}" for n in named], copy, strict=False))
-        if last is None or copy[0] >= last:
-            record.update(zip([f"last_{side}_{n}" for n in named], copy, strict=False))
-
-    def _as_of(record, side, at_us):
-        """The latest kept copy that was there at an instant."""
-        when = "last" if record[f"last_{side}_at"] <= at_us else "first"
-        return [record[f"{when}_{side}_{n}"] for n in (names if side == "a" else names[:2])]
-
-    def _too_late(request, record):
-        """Kept copies that a start turns out to have been too late for."""
-        deadline = record["start_at"] + window_us
-        for side in ("a", "b"):
-            for when, other in (("last", "first"), ("first", "last")):
-                at_us = record[f"{when}_{side}_at"]
-                if at_us is None or at_us < deadline:
-                    continue
-                own = [f"{when}_{side}_{n}" for n in (names if side == "a" else names[:2])]
-                copy = [record[n] for n in own]
-                same = record[f"{other}_{side}_at"] == at_us
-                kept = record[f"{other}_{side}_at"] if not same else None
-                yield _left_over(request, side, copy)
-                for n in own:
-                    there = n.replace(when, other, 1)
-                    record[n] = record[there] if kept is not None and kept < deadline else None
-                    if same:
-                        record[there] = None
-
-    def _left_over(request, side, copy):
-        if side == "a":
-            return _outcome(ABSORBED, request, copy[0], tuple(copy[1:]), None)
-        return _outcome(LATE_USAGE, request, copy[0], (None,) * 5, copy[1])
+        def _load(self):
+            stored = self.record.get()
+            record = dict(zip(fields, stored or (None,) * len(fields), strict=True))
+            record["copies"] = record["copies"] or 0
+            return record
 
-    def _settle(request, record, at_us, provider_total):
-        copy = tuple(_as_of(record, "a", at_us)[1:])
-        record.update(dict.fromkeys(fields), settled_at=at_us)
-        return _outcome(SETTLEMENT, request, at_us, copy, provider_total)
+        def _save(self, record):
+            self.record.update(tuple(record[f] for f in fields))
+            self.handle.registerTimer(_due(record))
+
+        def _keep(self, request, record, fresh):
+            """Copies go to the state, unless it is known that they are too late."""
+            deadline = _deadline(record)
+            for side, at_us, copy in fresh:
+                if deadline is not None and at_us >= deadline:
+                    yield _left_over(request, side, at_us, copy)
+                else:
+                    self.copies.updateValue((side, at_us, record["copies"]), copy)
+                    record["copies"] += 1
+
+        def _stored(self, record):
+            if record["copies"]:
+                for place, copy in self.copies.iterator():
+                    yield place[0], place[1], tuple(copy)
+
+        def _settle(self, request, record, fresh):
+            """The settlement on the latest copies there in time; all others are left over."""
+            joined = _joined(record)
+            settled = _deadline(record) if joined is None else joined
+            last = settled if joined is not None else settled - 1
+            best = {}
+            for copies in (self._stored(record), fresh):
+                for side, at_us, copy in copies:
+                    if at_us > last:
+                        yield _left_over(request, side, at_us, copy)
+                    elif side not in best or _order(at_us, copy) > best[side][0]:
+                        best[side] = (_order(at_us, copy), copy)
+            a = best["a"][1] if "a" in best else (0, None, None, unknown_model, None, None)
+            if joined is None:
+                a = (*a[:4], record["start_tenant"], a[5] if "a" in best else record["start_key"])
+            total = best["b"][1][0] if joined is not None else None
+            yield _outcome(SETTLEMENT, request, settled, a, total)
+            self._forget(record, settled, joined is None)
+
+        def _elsewhere(self, request, record, row, fresh):
+            """Settled by another writer: copies of it that came after are left over, the others its own."""
+            forced = row.terminal_state == force_settled
+            for copies in (self._stored(record), fresh):
+                for side, at_us, copy in copies:
+                    if at_us > row.at_us or (forced and at_us == row.at_us):
+                        yield _left_over(request, side, at_us, copy)
+            self._forget(record, row.at_us, forced)
+
+        def _forget(self, record, settled, forced):
+            if record["copies"]:
+                self.copies.clear()
+            last = record["last"]
+            record.update(dict.fromkeys(fields), copies=0, last=last, settled_at=settled, forced=forced)
+
+    def _start(request, record, row):
+        """The earliest start of a request counts."""
+        if record["settled_at"] is not None:
+            return
+        if record["start_at"] is None:
+            blank = (None, None, None, row.model, row.tenant_id, row.idempotency_key)
+            yield _outcome(STARTED, request, row.at_us, blank, None)
+        mine = (row.at_us, row.tenant_id, row.idempotency_key)
+        if record["start_at"] is None or row.at_us < record["start_at"]:
+            record.update(zip(("start_at", "start_tenant", "start_key"), mine, strict=True))
+
+    def _deadline(record):
+        return None if record["start_at"] is None else record["start_at"] + window_us
+
+    def _joined(record):
+        """The instant at which both ledgers are there, if that is before the deadline."""
+        if record["first_a"] is None or record["first_b"] is None:
+            return None
+        pair, deadline = max(record["first_a"], record["first_b"]), _deadline(record)
+        return pair if deadline is None or pair < deadline else None
+
+    def _due(record):
+        """When the clock has to look at a request again, in milliseconds."""
+        if record["settled_at"] is not None:
+            return _ms(max(record["settled_at"], record["last"]) + retain_us)
+        joined = _joined(record)
+        if joined is not None:
+            return _ms(joined + 1)
+        if record["start_at"] is not None:
+            return _ms(_deadline(record))
+        return _ms(record["last"] + orphan_us)
+
+    def _order(at_us, copy):
+        """Of copies of one instant the larger total is the later one, as in batch."""
+        total, prompt, *named = copy[:5]
+        least = -(1 << 63)
+        return (at_us, total if total is not None else least, prompt if prompt is not None else least,
+                *((n is not None, n or "") for n in named))
 
-    def _force(request, record):
-        if record["last_a_at"] is None:
-            record.update(
-                last_a_at=record["start_at"], last_a_total=0, last_a_model=unknown_model,
-                last_a_key=record["start_key"],
-            )
-        record["last_a_tenant"] = record["start_tenant"]
-        return _settle(request, record, record["start_at"] + window_us, None)
+    def _left_over(request, side, at_us, copy):
+        if side == "a":
+            return _outcome(ABSORBED, request, at_us, copy, None)
+        return _outcome(LATE_USAGE, request, at_us, (None,) * 6, copy[0])
+
+    def _orphan(request, copies):
+        latest = {}
+        for side, at_us, copy in copies:
+            if side not in latest or _order(at_us, copy) > latest[side][0]:
+                latest[side] = (_order(at_us, copy), at_us, copy)
+        _, at_us, copy = latest.get("a") or latest["b"]
+        a = copy if "a" in latest else (None,) * 6
+        return _outcome(ORPHAN, request, at_us, a, latest["b"][2][0] if "b" in latest else None)
 
     def _ms(at_us):
         return -(-at_us // 1000)
 
     def _outcome(kind, request, at_us, copy, provider_total):
-        total, state, model, tenant, key = copy
+        total, _, state, model, tenant, key = copy
         return Row(
             kind=kind, request_id=request, tenant_id=tenant, model=model, terminal_state=state,
             idempotency_key=key, metered_total=total, provider_total=provider_total, at_us=at_us,
@@ -238,48 +280,86 @@ def _processor(window_us: int, retain_us: int, orphan_us: int):
     return Settler()
 
 
+def settled_elsewhere(settlements: DataFrame) -> DataFrame:
+    """Settlements another writer made, as arrivals: what is held of their requests is evicted."""
+    blank = [F.lit(None).cast("string").alias(n) for n in ("tenant_id", "model", "idempotency_key")]
+    counts = [F.lit(None).cast("bigint").alias(n) for n in ("prompt_tokens", "completion_tokens")]
+    return settlements.select(
+        F.lit("X").alias("side"),
+        "request_id",
+        F.col("settled_at").cast("timestamp").alias("at"),
+        *blank,
+        *counts,
+        F.col("status").alias("terminal_state"),
+    )
+
+
 def settle_stream(
     arrived: DataFrame,
     *,
     window_seconds: float = WINDOW_SECONDS,
     watermark: str | None = None,
     clock: str = "event",
+    settle: str = "pair",
     retain_seconds: float | None = None,
     orphan_seconds: float = ORPHAN_SECONDS,
+    ledger: DataFrame | None = None,
 ) -> DataFrame:
     """Outcomes of a stream of ledger arrivals.
 
     These are starts, settlements, absorbed copies, late reports and orphans. ``watermark`` is the
-    disorder that deadlines wait for, one window unless given. ``clock='processing'`` lets deadlines
-    fire on an idle feed, by wall-clock time. A settled request is remembered for
-    ``retain_seconds`` after its last row (one window unless given) and then forgotten. A record
-    nobody started is kept for ``orphan_seconds`` and then listed as an orphan.
+    disorder that deadlines wait for, one window unless given.
+
+    ``settle='pair'`` settles as soon as both ledgers are there, on the copies that had arrived by the later of
+    the two. ``settle='watermark'`` settles once all input up to that instant has been read; then the
+    order in which rows come inside the watermark changes nothing, and the result is that of a batch.
+
+    ``clock='processing'`` moves the clock by ticks alone (``gate.SweepGate``): wall-clock time that passes
+    only while no input is left unread.
+
+    A settled request is remembered for ``retain_seconds`` after its last row (one window unless given) and
+    then forgotten. A record nobody started is kept for ``orphan_seconds`` and then listed as an orphan.
+    ``ledger`` holds settlements (request_id, settled_at, status) the stream starts from, usually those of the
+    last retention: their requests are settled, and copies of them are absorbed.
     """
+    if settle not in ("pair", "watermark") or clock not in ("event", "processing"):
+        raise ValueError("settle is 'pair' or 'watermark', clock is 'event' or 'processing'")
     spark = arrived.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     at = F.col("at").cast("timestamp")
     rows = arrived.select(
         "request_id",
         "side",
-        at.alias("at"),
+        (at if clock == "event" else F.when(F.col("side") == TICK, at).otherwise(F.timestamp_seconds(F.lit(0)))).alias("at"),
         F.unix_micros(at).alias("at_us"),
         (F.col("prompt_tokens") + F.col("completion_tokens")).alias("total"),
+        F.col("prompt_tokens").alias("prompt"),
         "terminal_state",
         "model",
         "tenant_id",
         "idempotency_key",
     )
-    if clock == "event":
-        rows = rows.withWatermark("at", watermark or f"{int(window_seconds)} seconds")
-    # without the watermark's column Spark has nothing to call late, so every row reaches the state
+    rows = rows.withWatermark("at", watermark or f"{int(window_seconds)} seconds")
+    # without the watermark's column Spark has nothing to call late, so every row reaches the state; ticks
+    # do too, as a filter on them would be moved to before the watermark
     rows = rows.drop("at")
     window_us = int(window_seconds * 1_000_000)
     retain_us = int((retain_seconds or window_seconds) * 1_000_000)
+    known = None
+    if ledger is not None:
+        known = ledger.select(
+            "request_id",
+            F.unix_micros(F.col("settled_at").cast("timestamp")).alias("at_us"),
+            (F.col("status") == S.FORCE_SETTLED).alias("forced"),
+        ).groupBy("request_id")
     outcomes = rows.groupBy("request_id").transformWithState(
-        statefulProcessor=_processor(window_us, retain_us, int(orphan_seconds * 1_000_000)),
+        statefulProcessor=_processor(
+            window_us, retain_us, int(orphan_seconds * 1_000_000), settle == "pair"
+        ),
         outputStructType=_OUTCOME,
         outputMode="append",
-        timeMode="EventTime" if clock == "event" else "ProcessingTime",
+        timeMode="EventTime",
+        initialState=known,
     )
     return outcomes.withColumn("at", F.timestamp_micros("at_us")).drop("at_us")
 

@@ -1,6 +1,9 @@
 """Streams against their batch twins, restarts, replays and the wire."""
 
 import json
+import random
+import time
+from datetime import UTC, datetime
 
 import pytest
 from helpers import at, metered, started, usage
@@ -8,10 +11,10 @@ from pyspark.sql import functions as F
 
 from tallybook import schemas as S
 from tallybook.operators import budget
-from tallybook.operators.reconcile import SETTLEMENT_COLUMNS, reconcile
+from tallybook.operators.reconcile import SETTLEMENT_COLUMNS, after_settlement, late_usage, reconcile
 from tallybook.plans.fixtures import view
 from tallybook.sources import events
-from tallybook.streaming import decisions, reconcile_stream as rs, writer
+from tallybook.streaming import decisions, gate, reconcile_stream as rs, writer
 
 ONCE = {"availableNow": True}
 DONE = "completed"
@@ -43,9 +46,9 @@ def drop_in(feed, folder, files=1):
         part.coalesce(1).write.mode("append").json(folder)
 
 
-def run(spark, root, watermark=None, **options):
+def run(spark, root, watermark=None, stream=None, **options):
     feed = events.file_feed(spark, f"{root}/feed", max_files=1)
-    outcomes = rs.settle_stream(rs.arrivals(feed), watermark=watermark)
+    outcomes = rs.settle_stream(rs.arrivals(feed), watermark=watermark, **(stream or {}))
     outcomes = outcomes.unionByName(rs.quarantined(feed), allowMissingColumns=True)
     query = writer.write_ledger(outcomes, f"{root}/ledger", f"{root}/check", trigger=ONCE, **options)
     query.awaitTermination()
@@ -101,6 +104,170 @@ def test_order_copies_and_deadlines(spark, tmp_path):
     ]
 
 
+def leftovers(spark, root):
+    rows = spark.read.parquet(f"{root}/ledger/leftovers").collect()
+    return sorted(
+        (r.kind, r.request_id, r.metered_total, r.provider_total, r["at"].replace(tzinfo=None))
+        for r in rows if r.kind != rs.ORPHAN
+    )
+
+
+def batch_leftovers(settlements, a, b):
+    total = F.col("prompt_tokens") + F.col("completion_tokens")
+    absorbed = after_settlement(a, settlements, "ended_at").select(
+        "request_id", total.alias("t"), F.col("ended_at").alias("at")
+    )
+    late = late_usage(b, settlements, include_joined=True)
+    rows = [(rs.ABSORBED, r.request_id, r.t, None, r["at"]) for r in absorbed.collect()]
+    rows += [
+        (rs.LATE_USAGE, r.request_id, None, r.provider_total, r.reported_at) for r in late.collect()
+    ]
+    return sorted(rows)
+
+
+def test_report_after_later_copies_settles_on_the_copy_of_its_time(spark, tmp_path):
+    s, a = started(spark, ("r", 0)), metered(
+        spark, ("r", 1, 10, DONE), ("r", 5, 20, DONE), ("r", 9, 30, DONE), ("r", 9, 31, DONE)
+    )
+    b = usage(spark, ("r", 7, 20))
+    none = [x.limit(0) for x in (s, a, b)]
+    for part in ((s, none[1], none[2]), (none[0], a, none[2]), (none[0], none[1], b)):
+        drop_in(records(spark, *part), f"{tmp_path}/feed")
+    row = run(spark, tmp_path).first()
+    assert (row.metered_total, row.provider_total, row.status) == (70, 70, "settled")
+    assert leftovers(spark, tmp_path) == [
+        (rs.ABSORBED, "r", 80, None, at(9)), (rs.ABSORBED, "r", 81, None, at(9)),
+    ]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_any_order_of_arrival_equals_batch(spark, tmp_path, seed):
+    """Rows of many requests, dealt to triggers at random: settlements and leftovers are those of a batch."""
+    rng = random.Random(seed)
+    s, a, b = [], [], []
+    for n in range(120):
+        times = [rng.randint(0, 40) for _ in range(9)]
+        s += [(f"r{n}", t) for t in times[: rng.choice((0, 1, 1, 2))]]
+        a += [(f"r{n}", t, rng.randint(1, 3), rng.choice((DONE, "client_disconnect")))
+              for t in times[2 : 2 + rng.randint(0, 5)]]
+        b += [(f"r{n}", t, rng.randint(1, 3)) for t in times[6 : 6 + rng.randint(0, 3)]]
+    s, a, b = started(spark, *s), metered(spark, *a), usage(spark, *b)
+    dealt = records(spark, s, a, b).withColumn("f", F.floor(F.rand(seed) * 4)).cache()
+    for n in range(4):
+        dealt.where(f"f = {n}").drop("f").coalesce(1).write.mode("append").json(f"{tmp_path}/feed")
+    drop_in(records(spark, far_future(spark), a.limit(0), b.limit(0)), f"{tmp_path}/feed")
+    stream = {"settle": "watermark", "window_seconds": 20, "retain_seconds": 86_400}
+    got = run(spark, tmp_path, watermark="1 day", stream=stream)
+    want = reconcile(s, a, b, window_seconds=20)
+    assert want.count() > 80
+    assert same(got, want)
+    assert leftovers(spark, tmp_path) == batch_leftovers(want, a, b)
+
+
+def test_stream_from_a_stored_ledger_and_settled_elsewhere(spark, tmp_path):
+    s = started(spark, ("old", 0), ("new", 0), ("other", 0))
+    a = metered(spark, ("old", 5, 10, DONE), ("new", 5, 10, DONE), ("other", 5, 10, DONE), ("other", 9, 11, DONE))
+    b = usage(spark, ("old", 6, 10), ("new", 6, 10), ("other", 12, 10))
+    none = [x.limit(0) for x in (s, a, b)]
+    ledger = reconcile(s, a, b).where("request_id = 'old'")
+    elsewhere = reconcile(s, a, b).where("request_id = 'other'").withColumn("settled_at", F.lit(at(7)))
+    drop_in(records(spark, s, a, none[2]), f"{tmp_path}/feed")
+    drop_in(records(spark, none[0], none[1], b), f"{tmp_path}/feed")
+    moved = rs.settled_elsewhere(elsewhere).withColumn("at", F.col("at").cast("timestamp"))
+    moved.coalesce(1).write.parquet(f"{tmp_path}/elsewhere")
+
+    def go():
+        feed = rs.arrivals(events.file_feed(spark, f"{tmp_path}/feed", max_files=1))
+        more = spark.readStream.schema(moved.schema).parquet(f"{tmp_path}/elsewhere")
+        outcomes = rs.settle_stream(feed.unionByName(more), ledger=ledger)
+        query = writer.write_ledger(outcomes, f"{tmp_path}/ledger", f"{tmp_path}/check", trigger=ONCE)
+        query.awaitTermination()
+
+    go()
+    settled = writer.stored(spark, f"{tmp_path}/ledger/settlements").collect()
+    assert [r.request_id for r in settled] == ["new"]
+    assert [r[:2] for r in leftovers(spark, tmp_path)] == [
+        (rs.ABSORBED, "old"), (rs.ABSORBED, "other"), (rs.LATE_USAGE, "old"), (rs.LATE_USAGE, "other"),
+    ]
+    held = spark.read.format("statestore").option("path", f"{tmp_path}/check")
+    copies = held.option("stateVarName", "copies").load()
+    assert copies.count() == 0  # nothing of a settled request but that it is settled
+    drop_in(records(spark, started(spark, ("beat", 2_000)), *none[1:]), f"{tmp_path}/feed")
+    drop_in(records(spark, started(spark, ("beat2", 2_001)), *none[1:]), f"{tmp_path}/feed")
+    go()
+    record = spark.read.format("statestore").option("path", f"{tmp_path}/check")
+    names = record.option("stateVarName", "record").load().select("key.request_id").collect()
+    assert {r.request_id for r in names} == {"beat", "beat2"}  # forgotten after the retention
+
+
+def test_lag_of_sources():
+    def kafka(start, end, latest):
+        return {"description": "KafkaV2", "startOffset": start, "endOffset": end, "latestOffset": latest}
+
+    def lag(*sources):
+        return gate.source_lag({"sources": sources}, but="/ticks")
+
+    assert lag(kafka({"t": {"0": 1}}, {"t": {"0": 5, "1": 2}}, {"t": {"0": 9, "1": 2}})) == 4
+    assert lag(kafka(None, {"t": {"0": 9}}, {"t": {"0": 9}})) == 0
+    assert lag(kafka(None, '{"t": {"0": 9}}', '{"t": {"0": 10}}')) == 1
+    assert lag(kafka(None, {"t": {"0": 9}}, {"t": {"0": 9, "1": 5}})) is None  # a partition not read yet
+    assert lag(kafka(None, {"t": {"0": -1}}, {"t": {"0": 9}})) is None
+    assert lag(kafka(None, None, {"t": {"0": 9}})) is None
+    files = {"description": "FileStreamSource[/in]", "startOffset": {"logOffset": 3}, "latestOffset": None}
+    assert lag(files | {"endOffset": {"logOffset": 3}}) == 0
+    assert lag(files | {"endOffset": {"logOffset": 4}}) is None
+    own = {"description": "FileStreamSource[/ticks]", "startOffset": None, "endOffset": {"logOffset": 1}}
+    assert lag(own) is None and lag(own, files | {"endOffset": {"logOffset": 3}}) == 0
+    assert gate.source_lag({"sources": []}) is None
+    assert (gate.sweep_every(), gate.sweep_every(20)) == (30, 5)
+
+
+def test_gate_opens_only_when_all_was_read(spark, tmp_path):
+    door = gate.SweepGate(spark, f"{tmp_path}/ticks", every=0)
+    now = datetime(2024, 5, 2, tzinfo=UTC)
+    busy = {"isTriggerActive": True, "isDataAvailable": True, "message": "Processing new data"}
+    idle = {"isTriggerActive": False, "isDataAvailable": False, "message": gate.IDLE}
+    first = idle | {"message": "Initializing sources"}
+    behind = {"timestamp": "2024-05-01T23:00:00Z", "sources": [
+        {"description": "F", "startOffset": 1, "endOffset": 2, "latestOffset": 5}]}
+    level = behind | {"sources": [{"description": "F", "startOffset": 1, "endOffset": 5, "latestOffset": 5}]}
+    assert door.open_to(None, idle, now) is None
+    assert door.open_to(behind, busy, now) is None and door.open_to(behind, first, now) is None
+    assert door.open_to(behind, idle, now) == now
+    assert door.open_to(level, busy, now) == datetime(2024, 5, 1, 23, tzinfo=UTC)
+
+
+def test_backlog_is_read_before_anything_is_forced(spark, tmp_path):
+    """Starts of long ago, their reports five files later: by the wall clock all are overdue at once."""
+    s, a = started(spark, ("r", 0), ("alone", 0)), metered(spark, ("r", 5, 1, DONE))
+    b = usage(spark, ("r", 6, 1))
+    none = [x.limit(0) for x in (s, a, b)]
+    drop_in(records(spark, s, *none[1:]), f"{tmp_path}/feed")
+    for n in range(4):
+        drop_in(records(spark, none[0], metered(spark, (f"x{n}", 50 * n, 1, DONE)), none[2]), f"{tmp_path}/feed")
+    drop_in(records(spark, none[0], a, none[2]), f"{tmp_path}/feed")
+    drop_in(records(spark, none[0], none[1], b), f"{tmp_path}/feed")
+    door = gate.SweepGate(spark, f"{tmp_path}/ticks", every=0.2)
+    (tmp_path / "ticks").mkdir()
+    feed = rs.arrivals(events.file_feed(spark, f"{tmp_path}/feed", max_files=1))
+    arrived = feed.unionByName(gate.ticks(spark, f"{tmp_path}/ticks"))
+    outcomes = rs.settle_stream(arrived, clock="processing", watermark="1 second")
+    query = writer.write_ledger(
+        outcomes, f"{tmp_path}/ledger", f"{tmp_path}/check", trigger={"processingTime": "0 seconds"}
+    )
+    found, until = {}, time.monotonic() + 180
+    try:
+        while len(found) < 2 and time.monotonic() < until:
+            door.poll(query)
+            time.sleep(0.2)
+            rows = writer.stored(spark, f"{tmp_path}/ledger/settlements").collect()
+            found = {r.request_id: r.status for r in rows}
+    finally:
+        query.stop()
+    assert found == {"r": "settled", "alone": "force_settled"}
+    assert door.deferred > 0 and door.ticked > 0
+
+
 def test_replayed_tail_adds_no_settlement(spark, tmp_path):
     s, a, b = started(spark, ("r", 0)), metered(spark, ("r", 5, 1, DONE)), usage(spark, ("r", 6, 1))
     feed = records(spark, s, a, b)
