@@ -8,7 +8,8 @@ Super k-mers: the anchor of a window is its ``GRAM``-word gram with the smallest
 Neighbouring windows with one anchor are a run, named by a digest of its words, and all equal windows have
 the same anchor at the same place. So an anchor that only one document holds clears its runs without a look at
 their windows, and where all runs of an anchor are alike the run is one edge, known as a whole. Only runs
-of anchors with several kinds of runs are taken apart into single windows, one copy of each kind, from their text.
+of anchors with several kinds of runs are taken apart into single windows, one copy of each kind, from their text;
+neighbouring windows that the same kinds hold are one edge again.
 
 Compaction: what is left are edges that at least two documents hold, with their places. An edge and the
 next one are one path if every place of either goes on with the other: in the graph, their node
@@ -192,9 +193,11 @@ def unpacked(packed: pa.Scalar) -> bytes:
 
 
 def single_windows(docs: DataFrame, kinds: DataFrame, size: int) -> DataFrame:
-    """run_a, run_b, shift, edge_a, edge_b: every window of the one copy of each kind of run."""
-    fields = "run_a bigint, run_b bigint, shift int, edge_a bigint, edge_b bigint"
-    types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
+    """run_a, run_b, shift, window_a, window_b, owner, latest: the windows of one copy of each kind of run."""
+    fields = (
+        "run_a bigint, run_b bigint, shift int, window_a bigint, window_b bigint, owner bigint, latest bigint"
+    )
+    types = [pa.int64(), pa.int64(), pa.int32(), *[pa.int64()] * 4]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = None
@@ -205,26 +208,32 @@ def single_windows(docs: DataFrame, kinds: DataFrame, size: int) -> DataFrame:
                     continue
                 before, words = name, Words([unpacked(batch.column(2)[row])])
                 out = [
-                    (run["run_a"], run["run_b"], n, *digest(words.text(at, at + size)))
+                    (
+                        run["run_a"], run["run_b"], n, *digest(words.text(at, at + size)),
+                        run["owner"], run["latest"],
+                    )
                     for run in batch.column(3)[row].as_py()
                     for n, at in enumerate(range(run["first"], run["first"] + run["length"]))
-                ]
+                ]
                 columns = zip(zip(*out, strict=True), types, strict=True)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, kind) for c, kind in columns], [*RUN, "shift", *EDGE]
+                    [pa.array(c, kind) for c, kind in columns],
+                    [f.split()[0] for f in fields.split(", ")],
                 )
 
     wanted = kinds.groupBy(*TEXT).agg(
-        F.collect_set(F.struct("first", "length", *RUN)).alias("runs")
+        F.collect_set(F.struct("first", "length", *RUN, "owner", "latest")).alias("runs")
     )
-    met = compressed(docs).drop("doc_id").join(wanted, TEXT)
-    return met.select(*TEXT, "packed", "runs").mapInArrow(work, fields).dropDuplicates([*RUN, "shift"])
+    # copies of a text come one after the other, so each text is read once
+    met = compressed(docs).drop("doc_id").join(wanted, TEXT).sortWithinPartitions(*TEXT)
+    return met.select(*TEXT, "packed", "runs").mapInArrow(work, fields)
 
 
 def shared_edges(docs: DataFrame, hits: DataFrame, size: int) -> DataFrame:
     """run_a, run_b, shift, windows, edge_a, edge_b, owner: the edges several documents hold, by run.
 
-    ``owner`` is the smallest id that holds the edge.
+    ``owner`` is the smallest id that holds the edge. Neighbouring windows that the same kinds of runs
+    hold are one edge, named by the first of them: all these kinds have them side by side.
     """
     kinds = hits.groupBy("anchor", *RUN, "length").agg(
         F.min("id").alias("owner"),
@@ -246,18 +255,37 @@ def shared_edges(docs: DataFrame, hits: DataFrame, size: int) -> DataFrame:
             "owner",
         )
     )
-    mixed = kinds.join(several, "anchor")
-    apart = staged(
-        single_windows(docs, mixed.select("place.*", "length", *RUN), size), "single-windows"
-    )
-    held = apart.join(mixed.select(*RUN, "owner", "latest"), RUN)
+    mixed = kinds.join(several, "anchor").select("place.*", "length", *RUN, "owner", "latest")
+    apart = staged(single_windows(docs, mixed, size), "single-windows")
+    window = ["window_a", "window_b"]
     owners = (
-        held.groupBy(*EDGE)
-        .agg(F.min("owner").alias("owner"), F.max("latest").alias("latest"))
-        .where("owner < latest")
+        apart.groupBy(*window)
+        .agg(
+            F.min("owner").alias("first_owner"),
+            F.max("latest").alias("last_owner"),
+            F.bit_xor(F.xxhash64(F.lit(1), *RUN)).alias("held_a"),
+            F.bit_xor(F.xxhash64(F.lit(2), *RUN)).alias("held_b"),
+        )
+        .where("first_owner < last_owner")
+        .select(*window, F.col("first_owner").alias("owner"), "held_a", "held_b")
     )
-    single = apart.join(owners, EDGE).select(
-        *RUN, "shift", F.lit(1).alias("windows"), *EDGE, "owner"
+    shared = apart.drop("owner", "latest").join(staged(owners, "shared-windows"), window)
+    along = Window.partitionBy(*RUN).orderBy("shift")
+    before = F.lag(F.struct("shift", "held_a", "held_b")).over(along)
+    here = F.struct((F.col("shift") - 1).alias("shift"), "held_a", "held_b")
+    single = (
+        shared.withColumn("_new", (~before.eqNullSafe(here)).cast("int"))
+        .withColumn("_segment", F.sum("_new").over(along))
+        .groupBy(*RUN, "_segment")
+        .agg(F.min(F.struct("shift", *window, "owner")).alias("f"), F.count(F.lit(1)).alias("windows"))
+        .select(
+            *RUN,
+            "f.shift",
+            F.col("windows").cast("int").alias("windows"),
+            F.col("f.window_a").alias("edge_a"),
+            F.col("f.window_b").alias("edge_b"),
+            "f.owner",
+        )
     )
     return staged(whole.unionByName(single), "shared-edges")
 
