@@ -1,15 +1,21 @@
 """Replay token-bucket decisions over a log of draws.
 
 A bucket refills lazily up to its capacity, grants a draw whole or not at all, and remembers the
-time of the draw even when it refuses. Decisions depend on every earlier draw of the tenant, yet
-most of the work needs no whole log in one task. Time is cut into slices, and a slice is summed up by
-how it turns any level it may start at into the level it ends at: a piecewise map with slopes 0
-and 1, which shrinks to a constant as soon as the bucket has been full once. Applying the maps in
-order, one row per slice, gives each slice its true start; the slices are then replayed side by side.
-
-A tenant that stays over its limit never forgets where it started, and its map would grow without
-end. Past ``MAX_PIECES`` such a slice is passed on as bare (time, tokens) pairs instead, to be folded
-in order with one number of state.
+time of the draw even when it refuses. Each decision depends on every earlier draw of the tenant, yet no
+task reads a whole log: time is cut into slices that are replayed side by side to a fixed point.
+
+Every slice is first replayed from a full bucket. Then one row per slice carries levels from slice to slice; a
+slice whose level at its first draw is not the one it was replayed from runs again, until none has to.
+The first slice starts right, so each round makes at least one more slice right; in fact two or three rounds
+do. A bucket that has been full once forgets where it began. One that never is full keeps of its
+beginning only the fraction of a token: draws are whole tokens, so two replays that differ by whole tokens
+meet after some disagreements and stay together. The carried level is therefore a slice's last end
+moved to the fraction that refills since its true beginning give, and saturated tenants settle as fast as others.
+Where slices hold too few draws for that, the tenants that have not settled after ``ROUNDS`` rounds begin
+again with slices ``WIDER`` times as wide, so the number of rounds grows with the logarithm of the log's length.
+
+``cut_streams`` does the same where a refusal cuts its stream: what a slice starts from is a level and the
+streams cut before it, which are rows that its draws are joined with.
 """
 
 from __future__ import annotations
@@ -21,12 +27,19 @@ from math import lcm
 from pyspark.sql import DataFrame, functions as F
 
 from tallybook.operators.skew import by_key
+from tallybook.session import staged
 
 SLICE_MS = 600_000
-MAX_PIECES = 512
-CHUNK = 8_192
 CAPACITY = 200_000
 REFILL_PER_SECOND = 50.0
+ROUNDS = 4
+WIDER = 16
+
+KEY = ["tenant_id", "slice"]
+RUN = (
+    "tenant_id string, slice bigint, first_ms bigint, last_ms bigint, start bigint, stop bigint, "
+    "clamped boolean, request_id string"
+)
 
 
 def _units(capacity: int, refill_per_second: float) -> tuple[int, int, int]:
@@ -50,182 +63,50 @@ def budget_decisions(
     nothing is granted without touching the bucket. ``slice_ms`` should hold some ten thousand draws of
     the busiest tenant.
     """
-    unit, full, refill = _units(capacity, refill_per_second)
-    key = ["tenant_id", "slice"]
-    cut = draws.select("tenant_id", "now_ms", "tokens", order).withColumn(
-        "slice", F.floor(F.col("now_ms") / slice_ms)
-    )
-    ordered = by_key(cut.where("tokens > 0"), *key).sortWithinPartitions(*key, "now_ms", order)
-    summed = ordered.mapInPandas(
-        _slice_maps(unit, full, refill),
-        "tenant_id string, slice bigint, chunk bigint, first_ms bigint, last_ms bigint, "
-        "low array<bigint>, image array<bigint>, rises array<boolean>, "
-        "times array<bigint>, amounts array<bigint>",
+    bucket = _units(capacity, refill_per_second)
+    log = staged(
+        draws.select(
+            "tenant_id",
+            F.floor(F.col("now_ms") / slice_ms).alias("slice"),
+            F.col("now_ms").alias("at_ms"),
+            F.col(order).alias("tie"),
+            "tokens",
+            F.lit(None).cast("string").alias("request_id"),
+            F.lit(False).alias("gone"),
+        ),
+        "draws",
     )
-    starts = (
-        by_key(summed, "tenant_id")
-        .sortWithinPartitions("tenant_id", "slice", "chunk")
-        .mapInPandas(
-            _slice_starts(unit, full, refill),
-            "tenant_id string, slice bigint, level bigint, since bigint",
+    touching = log.where("tokens > 0")
+    runs, rounds, wider = staged(_runs(touching, None, bucket), "slice-runs"), 0, None
+    while True:
+        starts = staged(_starts(runs, bucket), "slice-starts")
+        again = starts.where("changed")
+        if again.isEmpty():
+            break
+        if rounds == ROUNDS:
+            unsettled = staged(again.select("tenant_id").distinct(), "unsettled")
+            wider = budget_decisions(
+                draws.join(unsettled, "tenant_id", "left_semi"),
+                capacity=capacity, refill_per_second=refill_per_second, order=order, slice_ms=slice_ms * WIDER,
+            )
+            log, starts = (x.join(unsettled, "tenant_id", "left_anti") for x in (log, starts))
+            break
+        rounds += 1
+        redone = _runs(touching.join(again.select(*KEY), KEY, "left_semi"), again, bucket)
+        runs = staged(
+            runs.join(again.select(*KEY), KEY, "left_anti").unionByName(redone), "slice-runs"
         )
-    )
-    rows = by_key(cut.join(starts, key, "left"), *key).sortWithinPartitions(*key, "now_ms", order)
     fields = dict(draws.dtypes)
-    return rows.mapInPandas(
-        _replay(unit, full, refill, capacity, order),
-        f"tenant_id string, {order} {fields[order]}, now_ms bigint, tokens bigint, "
+    decided = _by_slice(log, starts).mapInPandas(
+        _replay(*bucket, capacity, cuts=False),
+        f"tenant_id string, tie {fields[order]}, at_ms bigint, tokens {fields['tokens']}, request_id string, "
         "granted boolean, remaining bigint",
     )
-
-
-def _slice_maps(unit: int, full: int, refill: int):
-    """Per slice, the map from the level just before its first draw to the level after its last."""
-
-    def step(low, image, rises, gain, want):
-        """The map after a refill and a draw. Pieces run to the start of the next one."""
-        lows, images, slopes = [], [], []
-
-        def emit(at, value, rising):
-            if lows and slopes[-1] == rising:
-                if value == images[-1] + (at - lows[-1] if rising else 0):
-                    return
-            lows.append(at)
-            images.append(value)
-            slopes.append(rising)
-
-        def draw(at, value, rising, end):
-            if value >= want:
-                emit(at, value - want, rising)
-            elif rising and value + (end - at) > want:
-                emit(at, value, True)
-                emit(at + want - value, 0, True)
-            else:
-                emit(at, value, rising)
-
-        for at, value, rising, end in zip(low, image, rises, [*low[1:], full + 1], strict=True):
-            value += gain
-            if value >= full:
-                draw(at, full, False, end)
-            elif rising and value + (end - at) > full:
-                draw(at, value, True, at + full - value)
-                draw(at + full - value, full, False, end)
-            else:
-                draw(at, value, rising, end)
-        return lows, images, slopes
-
-    columns = [
-        "tenant_id", "slice", "chunk", "first_ms", "last_ms", "low", "image", "rises", "times",
-        "amounts",
-    ]
-
-    def run(batches: Iterator) -> Iterator:
-        import pandas as pd
-
-        key, pieces, chunk, first, last, times, amounts = None, None, 0, 0, 0, [], []
-
-        def summary():
-            if pieces is not None:
-                return (*key, chunk, first, last, *pieces, None, None)
-            return (*key, chunk, first, last, None, None, None, times, amounts)
-
-        for batch in batches:
-            done = []
-            for tenant, piece, now, tokens in zip(
-                batch["tenant_id"], batch["slice"].tolist(), batch["now_ms"].tolist(),
-                batch["tokens"].tolist(), strict=True,
-            ):
-                if (tenant, piece) != key:
-                    if key is not None:
-                        done.append(summary())
-                    key, chunk, first, last = (tenant, piece), 0, now, now
-                    pieces, times, amounts = ([0], [0], [True]), [], []
-                settled = pieces is not None and len(pieces[0]) == 1 and not pieces[2][0]
-                if settled:
-                    level = min(full, pieces[1][0] + (now - last) * refill)
-                    want = tokens * unit
-                    pieces = ([0], [level - want if level >= want else level], [False])
-                else:
-                    if pieces is not None:
-                        pieces = step(*pieces, min((now - last) * refill, full), tokens * unit)
-                        if len(pieces[0]) > MAX_PIECES:
-                            pieces = None
-                    if pieces is None and len(times) >= CHUNK:
-                        done.append(summary())
-                        chunk, first, times, amounts = chunk + 1, now, [], []
-                    times.append(now)
-                    amounts.append(tokens)
-                last = now
-            yield pd.DataFrame(done, columns=columns)
-        if key is not None:
-            yield pd.DataFrame([summary()], columns=columns)
-
-    return run
-
-
-def _slice_starts(unit: int, full: int, refill: int):
-    """Carry the level from slice to slice: what each one starts from, and since when."""
-
-    def run(batches: Iterator) -> Iterator:
-        import bisect
-
-        import pandas as pd
-
-        tenant, level, since = None, full, None
-        for batch in batches:
-            found = []
-            for row in batch.itertuples(index=False):
-                if row.tenant_id != tenant:
-                    tenant, level, since = row.tenant_id, full, row.first_ms
-                if row.chunk == 0:
-                    found.append((tenant, row.slice, level, since))
-                if row.low is not None:
-                    entry = min(full, level + max(0, row.first_ms - since) * refill)
-                    i = bisect.bisect_right(row.low, entry) - 1
-                    level = int(row.image[i]) + (entry - int(row.low[i]) if row.rises[i] else 0)
-                else:
-                    for now, tokens in zip(row.times.tolist(), row.amounts.tolist(), strict=True):
-                        level = min(full, level + max(0, now - since) * refill)
-                        level -= tokens * unit if level >= tokens * unit else 0
-                        since = now
-                since = row.last_ms
-            yield pd.DataFrame(found, columns=["tenant_id", "slice", "level", "since"])
-
-    return run
-
-
-def _replay(unit: int, full: int, refill: int, capacity: int, order: str):
-    """Decide the draws of each slice from its start."""
-
-    def run(batches: Iterator) -> Iterator:
-        key, level, since = None, full, 0
-        for batch in batches:
-            granted, remaining = [], []
-            for tenant, piece, now, tokens, start, start_ms in zip(
-                batch["tenant_id"], batch["slice"].tolist(), batch["now_ms"].tolist(),
-                batch["tokens"].tolist(), batch["level"].tolist(), batch["since"].tolist(),
-                strict=True,
-            ):
-                if (tenant, piece) != key:
-                    key = (tenant, piece)
-                    if start == start:
-                        level, since = int(start), int(start_ms)
-                if tokens <= 0:
-                    granted.append(True)
-                    remaining.append(capacity)
-                    continue
-                level = min(full, level + max(0, now - since) * refill)
-                since = now
-                enough = level >= tokens * unit
-                if enough:
-                    level -= tokens * unit
-                granted.append(enough)
-                remaining.append(level // unit)
-            yield batch[["tenant_id", order, "now_ms", "tokens"]].assign(
-                granted=granted, remaining=remaining
-            )
-
-    return run
+    decided = decided.select(
+        "tenant_id", F.col("tie").alias(order), F.col("at_ms").alias("now_ms"), "tokens", "granted",
+        "remaining",
+    )
+    return decided if wider is None else decided.unionByName(wider)
 
 
 def cut_streams(
@@ -239,144 +120,225 @@ def cut_streams(
 
     Draws are rows (tenant_id, request_id, seq, arrived_ms, tokens). Admissions are draws of the same
     bucket: give them with a seq below 0 (``metering.admission_draws``), and a refused one means that
-    the stream never runs. As long as nothing is refused, a slice of time needs three numbers: the
-    level it must start from for every draw to be granted, the sum it takes, and the most it can end
-    at. Such slices are decided side by side from those.
-
-    From the slice of a refusal on, what a stream draws depends on the bucket and the bucket on every
-    stream, so a run of slices is read in time order, keeping one level and the set of cut requests. The
-    run ends where the bucket must be full again, whichever of its draws took place, and where no request
-    that may have been cut has draws left. Both are known from sums of slices.
+    the stream never runs. A task keeps the streams cut in its own slice; those cut before are rows.
     """
-    unit, full, refill = _units(capacity, refill_per_second)
+    bucket = _units(capacity, refill_per_second)
     fields = dict(draws.dtypes)
-    names = ["tenant_id", "request_id", "seq", "arrived_ms", "tokens"]
-    output = ", ".join(f"{n} {fields[n]}" for n in names) + ", granted boolean, remaining bigint"
-    key = ["tenant_id", "slice"]
-    order = ["arrived_ms", "request_id", "seq"]
-
-    cut = draws.select(*names, F.floor(F.col("arrived_ms") / slice_ms).alias("slice"))
-    needs = (
-        by_key(cut, *key)
-        .sortWithinPartitions(*key, *order)
-        .mapInPandas(
-            _slice_needs(unit, full, refill),
-            "tenant_id string, slice bigint, first_ms bigint, last_ms bigint, need bigint, "
-            "taken bigint, most bigint, least bigint",
+    log = staged(
+        draws.select(
+            "tenant_id",
+            F.floor(F.col("arrived_ms") / slice_ms).alias("slice"),
+            F.col("arrived_ms").alias("at_ms"),
+            F.col("seq").alias("tie"),
+            "tokens",
+            "request_id",
+        ),
+        "stream-draws",
+    )
+    there = log.groupBy(*KEY, "request_id").agg(F.count(F.lit(1)).alias("n"))
+    # only a stream with draws in several slices can have been cut before one of them
+    long = there.groupBy("tenant_id", "request_id").agg(F.collect_list("slice").alias("slices"))
+    long = staged(long.where(F.size("slices") > 1), "long-streams")
+    every = _runs(log.withColumn("gone", F.lit(False)), None, bucket)
+    runs = staged(every.withColumn("before", F.lit(0).cast("bigint")), "slice-runs")
+    rounds, wider = 0, None
+    while True:
+        cut = (
+            runs.where("request_id is not null")
+            .groupBy("tenant_id", "request_id")
+            .agg(F.min("slice").alias("cut_in"))
+            .join(long.select("tenant_id", "request_id"), ["tenant_id", "request_id"], "left_semi")
+        )
+        cut = staged(cut, "cut-streams")
+        # what each slice has to do without, as one number
+        before = (
+            long.join(cut, ["tenant_id", "request_id"])
+            .select("tenant_id", "request_id", "cut_in", F.explode("slices").alias("slice"))
+            .where("slice > cut_in")
+            .groupBy(*KEY)
+            .agg(F.bit_xor(F.xxhash64("request_id")).alias("now_before"))
+        )
+        held = runs.where("request_id is null").select(*KEY, "before")
+        starts = (
+            _starts(runs.where("request_id is null"), bucket)
+            .join(held, KEY)
+            .join(before, KEY, "left")
+            .withColumn("before_", F.coalesce("now_before", F.lit(0).cast("bigint")))
+            .withColumn("changed", F.col("changed") | (F.col("before_") != F.col("before")))
+            .select(*KEY, "first_ms", "entry", "changed", F.col("before_").alias("before"))
         )
+        starts = staged(starts, "slice-starts")
+        again = starts.where("changed")
+        if again.isEmpty():
+            break
+        if rounds == ROUNDS:
+            unsettled = staged(again.select("tenant_id").distinct(), "unsettled")
+            wider = cut_streams(
+                draws.join(unsettled, "tenant_id", "left_semi"),
+                capacity=capacity, refill_per_second=refill_per_second, slice_ms=slice_ms * WIDER,
+            )
+            log, starts = (x.join(unsettled, "tenant_id", "left_anti") for x in (log, starts))
+            break
+        rounds += 1
+        some = _without_cut(log.join(again.select(*KEY), KEY, "left_semi"), cut)
+        redone = _runs(some, again, bucket).join(again.select(*KEY, "before"), KEY)
+        runs = staged(
+            runs.join(again.select(*KEY), KEY, "left_anti").unionByName(redone), "slice-runs"
+        )
+    decided = _by_slice(_without_cut(log, cut), starts).mapInPandas(
+        _replay(*bucket, capacity, cuts=True),
+        f"tenant_id string, tie {fields['seq']}, at_ms bigint, tokens {fields['tokens']}, "
+        "request_id string, granted boolean, remaining bigint",
     )
-    reach = (
-        cut.groupBy("tenant_id", "request_id")
-        .agg(F.min("slice").alias("slice"), F.max("slice").alias("reach"))
-        .groupBy(*key)
-        .agg(F.max("reach").alias("reach"))
+    decided = decided.select(
+        "tenant_id", "request_id", F.col("tie").alias("seq"), F.col("at_ms").alias("arrived_ms"), "tokens",
+        "granted", "remaining",
     )
-    starts = (
-        by_key(needs.join(reach, key, "left"), "tenant_id")
-        .withColumn("reach", F.coalesce("reach", "slice"))
-        .sortWithinPartitions(*key)
+    return decided if wider is None else decided.unionByName(wider)
+
+
+def _without_cut(log: DataFrame, cut: DataFrame) -> DataFrame:
+    """The draws with ``gone`` set where their stream was cut in an earlier slice."""
+    met = log.join(cut, ["tenant_id", "request_id"], "left")
+    gone = F.coalesce(F.col("slice") > F.col("cut_in"), F.lit(False))
+    return met.select(*log.columns, gone.alias("gone"))
+
+
+def _by_slice(log: DataFrame, starts: DataFrame | None) -> DataFrame:
+    """Draws in order by slice; a slice is led by a row with the level it starts from."""
+    rows = log.select("*", F.lit(1).alias("row"), F.lit(-1).cast("bigint").alias("entry"))
+    if starts is not None:
+        heads = starts.select(
+            *KEY, F.col("first_ms").alias("at_ms"), "entry", F.lit(0).alias("row"),
+            F.lit(0).cast(dict(log.dtypes)["tokens"]).alias("tokens"), F.lit(False).alias("gone"),
+        )
+        rows = rows.unionByName(heads, allowMissingColumns=True)
+    return by_key(rows, *KEY).sortWithinPartitions(*KEY, "row", "at_ms", "request_id", "tie")
+
+
+def _runs(log: DataFrame, starts: DataFrame | None, bucket: tuple[int, int, int]) -> DataFrame:
+    """One row per slice with the levels it starts and stops at, and one for each stream it cuts.
+
+    Without ``starts`` every slice starts full; with them, draws of a slice that is not named are left out.
+    """
+    rows = _by_slice(log, starts).drop("tie")
+    return rows.mapInPandas(_summary(*bucket), RUN)
+
+
+def _starts(runs: DataFrame, bucket: tuple[int, int, int]) -> DataFrame:
+    """The level each slice has to start from, as far as it is known, and whether it did not."""
+    one = runs.where("request_id is null")
+    return (
+        by_key(one, "tenant_id")
+        .sortWithinPartitions(*KEY)
         .mapInPandas(
-            _granted_starts(full, refill),
-            "tenant_id string, slice bigint, run bigint, level bigint, since bigint",
+            _carry(*bucket),
+            "tenant_id string, slice bigint, first_ms bigint, entry bigint, changed boolean",
         )
     )
-    # a slice that is free is a run of its own
-    run = ["tenant_id", "run"]
-    rows = by_key(cut.join(starts, key), *run).sortWithinPartitions(*run, *order)
-    return rows.mapInPandas(_cutting(unit, full, refill, names, run), output)
-
 
-def _slice_needs(unit: int, full: int, refill: int):
-    """Per slice: the least level all its draws can be granted from, what they take, the end's cap,
-    and the least it can end at, started from nothing and whichever draws take place."""
 
+def _summary(unit: int, full: int, refill: int):
     def run(batches: Iterator) -> Iterator:
         import pandas as pd
 
-        columns = ["tenant_id", "slice", "first_ms", "last_ms", "need", "taken", "most", "least"]
-        key, first, last, need, gained, most, least = None, 0, 0, 0, 0, full, 0
+        columns = [f.split()[0] for f in RUN.split(", ")]
+        key, first, last, begun, level, since, clamped, cut = None, 0, 0, full, full, 0, False, set()
+
+        def closed():
+            stop = min(full, level + (last - since) * refill)
+            held = clamped or stop < level + (last - since) * refill
+            rows = [(*key, first, last, begun, stop, held, None)]
+            return rows + [(*key, first, last, begun, stop, held, name) for name in cut]
+
         for batch in batches:
             done = []
-            for tenant, piece, now, tokens in zip(
-                batch["tenant_id"], batch["slice"].tolist(), batch["arrived_ms"].tolist(),
-                batch["tokens"].tolist(), strict=True,
+            for tenant, piece, row, now, tokens, name, gone, entry in zip(
+                batch["tenant_id"], batch["slice"].tolist(), batch["row"].tolist(), batch["at_ms"].tolist(),
+                batch["tokens"].tolist(), batch["request_id"], batch["gone"].tolist(),
+                batch["entry"].tolist(), strict=True,
             ):
                 if (tenant, piece) != key:
                     if key is not None:
-                        done.append((*key, first, last, need, -gained, most, least))
-                    key, first, last = (tenant, piece), now, now
-                    need, gained, most, least = 0, 0, full, 0
-                gain, want = (now - last) * refill, tokens * unit
-                gained, most, last = gained + gain, min(full, most + gain), now
-                need = max(need, want - gained, full + 1 if most < want else 0)
-                gained, most = gained - want, most - want
-                least = max(0, min(full, least + gain) - want)
+                        done += closed()
+                    key, first, since, clamped, cut = (tenant, piece), now, now, False, set()
+                    level = begun = entry if row == 0 else full
+                last = now
+                if row == 0 or gone or name in cut:
+                    continue
+                level += (now - since) * refill
+                since = now
+                if level > full:
+                    level, clamped = full, True
+                if level >= tokens * unit:
+                    level -= tokens * unit
+                elif name is not None:
+                    cut.add(name)
             yield pd.DataFrame(done, columns=columns)
         if key is not None:
-            end = (*key, first, last, need, -gained, most, least)
-            yield pd.DataFrame([end], columns=columns)
+            yield pd.DataFrame(closed(), columns=columns)
 
     return run
 
 
-def _granted_starts(full: int, refill: int):
-    """The run each slice belongs to, and where a run starts."""
+def _carry(unit: int, full: int, refill: int):
+    """Levels from slice to slice: exact behind slices that ran from the right level, else the best guess."""
 
     def run(batches: Iterator) -> Iterator:
         import pandas as pd
 
-        tenant, level, since, begun, reach, cut_reach = None, full, 0, None, 0, 0
+        who, level, since = None, full, 0
         for batch in batches:
             found = []
             for row in batch.itertuples(index=False):
-                if row.tenant_id != tenant:
-                    tenant, level, since, begun, reach = row.tenant_id, full, row.first_ms, None, row.slice
-                entry = min(full, level + max(0, row.first_ms - since) * refill)
-                if begun is not None and entry == full and cut_reach < row.slice:
-                    begun = None
-                reach = max(reach, row.reach)
-                granted = entry >= row.need
-                if begun is None and not granted:
-                    begun = row.slice
-                if not granted:
-                    cut_reach = reach
-                found.append((tenant, row.slice, row.slice if begun is None else begun, level, since))
-                # inside a run the level is the least it can be
-                level = min(entry - row.taken, row.most)
-                if begun is not None:
-                    level = max(level, row.least)
-                since = row.last_ms
-            yield pd.DataFrame(found, columns=["tenant_id", "slice", "run", "level", "since"])
+                if row.tenant_id != who:
+                    who, level, since = row.tenant_id, full, row.first_ms
+                entry = min(full, level + (row.first_ms - since) * refill)
+                changed = entry != row.start
+                found.append((who, row.slice, row.first_ms, entry, changed))
+                level, since = row.stop, row.last_ms
+                if changed and not row.clamped:
+                    # the same whole tokens, with the fraction this start leads to
+                    shift = (entry - row.start) % unit
+                    level += shift if 2 * shift <= unit else shift - unit
+                    level = level + unit if level < 0 else min(level, full)
+            yield pd.DataFrame(found, columns=["tenant_id", "slice", "first_ms", "entry", "changed"])
 
     return run
 
 
-def _cutting(unit: int, full: int, refill: int, names: list[str], key: list[str]):
-    """Fold each key in order from the start its first row carries."""
+def _replay(unit: int, full: int, refill: int, capacity: int, cuts: bool):
+    """Decide the draws of each slice from its start."""
 
     def run(batches: Iterator) -> Iterator:
-        here, level, since, cut = None, full, 0, set()
+        key, level, since, cut = None, full, 0, set()
         for batch in batches:
             keep, granted, remaining = [], [], []
-            for who, request, now, tokens, start, start_ms in zip(
-                zip(*[batch[k].tolist() for k in key], strict=True), batch["request_id"],
-                batch["arrived_ms"].tolist(), batch["tokens"].tolist(), batch["level"].tolist(),
-                batch["since"].tolist(), strict=True,
+            for tenant, piece, row, now, tokens, name, gone, entry in zip(
+                batch["tenant_id"], batch["slice"].tolist(), batch["row"].tolist(), batch["at_ms"].tolist(),
+                batch["tokens"].tolist(), batch["request_id"], batch["gone"].tolist(),
+                batch["entry"].tolist(), strict=True,
             ):
-                if who != here:
-                    here, level, since, cut = who, start, start_ms, set()
-                keep.append(request not in cut)
+                if (tenant, piece) != key:
+                    key, level, since, cut = (tenant, piece), entry if row == 0 else full, now, set()
+                keep.append(row == 1 and not gone and not (cuts and name in cut))
                 if not keep[-1]:
                     continue
-                level = min(full, level + max(0, now - since) * refill)
+                if tokens <= 0 and not cuts:
+                    granted.append(True)
+                    remaining.append(capacity)
+                    continue
+                level = min(full, level + (now - since) * refill)
                 since = now
                 enough = level >= tokens * unit
                 if enough:
                     level -= tokens * unit
-                else:
-                    cut.add(request)
+                elif cuts:
+                    cut.add(name)
                 granted.append(enough)
                 remaining.append(level // unit)
-            yield batch.loc[keep, names].assign(granted=granted, remaining=remaining)
+            yield batch.loc[keep, ["tenant_id", "tie", "at_ms", "tokens", "request_id"]].assign(
+                granted=granted, remaining=remaining
+            )
 
     return run

@@ -2,18 +2,18 @@
 
 Attempts are rows (tenant_id, idempotency_key, request_id, t_ms, dur_ms, released, event_id). An
 attempt claims a free key; one that never completes (NULL dur_ms) holds it for the lease; one that
-completes keeps it for the completed TTL from then on; a released one gives it straight back.
+completes keeps it for the completed TTL from then on; a released one gives it straight back. Attempts of
+a key are told apart by event_id.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tallybook.operators.skew import by_key, heavy_keys, key_hash
-from tallybook.session import shared_dir
+from tallybook.session import staged
 
 LEASE_MS = 180_000
 COMPLETED_TTL_MS = 86_400_000
@@ -24,7 +24,7 @@ REPLAY = "replay"
 
 KEY = ["tenant_id", "idempotency_key"]
 FIELDS = [*KEY, "event_id", "request_id", "t_ms", "dur_ms", "released"]
-HEAVY_ROWS = 1_000_000
+IN_ORDER = 1_000_000
 SLICE_MS = 60_000
 BEFORE_ALL, FOREVER = -(2**63), 2**63 - 1
 
@@ -39,25 +39,27 @@ def claim_outcomes(
     *,
     lease_ms: int = LEASE_MS,
     completed_ttl_ms: int = COMPLETED_TTL_MS,
-    heavy_rows: int = HEAVY_ROWS,
+    heavy_rows: int = IN_ORDER,
     slice_ms: int = SLICE_MS,
 ) -> DataFrame:
     """The outcome of each attempt and the request that holds the key after it.
 
     Keys are independent. Most are read in time order, one record in memory at a time. A key with
-    more than about ``heavy_rows`` attempts is instead spread over all tasks, see ``_heavy_outcomes``.
+    more than about ``heavy_rows`` attempts is instead spread over all tasks, see ``_composed``.
     Finding those keys runs one small job; if there are any, a few more follow.
     """
+    if lease_ms < 1 or completed_ttl_ms < 1:
+        raise ValueError("a claim has to hold its key for a while")
     rows = attempts.select(*FIELDS)
-    found = [r["_heavy"] for r in heavy_keys(rows, KEY, at_least=heavy_rows).collect()]
-    if not found:
+    listed = F.broadcast(staged(heavy_keys(rows, KEY, at_least=heavy_rows), "heavy-keys"))
+    if listed.isEmpty():
         return _fold_keys(rows, lease_ms, completed_ttl_ms)
-    listed = F.broadcast(rows.sparkSession.createDataFrame([(k,) for k in found], "_heavy bigint"))
     packed = rows.withColumn("_heavy", key_hash(KEY))
     light = packed.join(listed, "_heavy", "left_anti").drop("_heavy")
-    heavy = packed.join(listed, "_heavy", "left_semi").drop("_heavy")
+    heavy = staged(packed.join(listed, "_heavy", "left_semi").drop("_heavy"), "attempts")
+    claims = _composed(heavy, lease_ms, completed_ttl_ms, slice_ms)
     return _fold_keys(light, lease_ms, completed_ttl_ms).unionByName(
-        _heavy_outcomes(heavy, lease_ms, completed_ttl_ms, slice_ms)
+        _outcomes(heavy, claims, lease_ms, completed_ttl_ms, slice_ms)
     )
 
 
@@ -103,59 +105,163 @@ def _fold_keys(attempts: DataFrame, lease_ms: int, completed_ttl_ms: int) -> Dat
     )
 
 
-def _heavy_outcomes(attempts: DataFrame, lease_ms: int, completed_ttl_ms: int, slice_ms: int) -> DataFrame:
-    """The same for a few keys with very many attempts.
+def _composed(attempts: DataFrame, lease_ms: int, completed_ttl_ms: int, slice_ms: int) -> DataFrame:
+    """The attempts that claim and run, of keys with very many attempts, as rows of FIELDS.
 
-    Few of those attempts claim: each claim that runs keeps its key for a while. So claims are found
-    one after another, for all keys at once, as the earliest attempt at which the key is free, which
-    is a minimum and needs no order and no shuffle of the attempts. The driver keeps the claims of
-    at most ``HEAVY_KEYS`` keys. Then every attempt is matched to the write that came last before it.
+    A claim that runs decides which attempt claims next: the first one after it at which the key is free. So each
+    running attempt, claim or not, points to the one that would follow it, and these steps are composed
+    by doubling: from the first attempt of each key all that can be reached are its claims, after as many rounds
+    as the number of claims has binary digits. No round needs the rows of a key together.
+
+    A step is not known beforehand where a lease ran out under a request that goes on, and another
+    attempt claimed meanwhile: what follows depends on all completions that are still to come. Such an
+    episode is followed claim by claim from the state it begins with, for all keys at once, until
+    none but the last claim's own completion is left.
     """
-    spark = attempts.sparkSession
-    staged = f"{shared_dir(spark)}/claims-{uuid.uuid4().hex}"
-    attempts.write.parquet(staged)
-    attempts = spark.read.parquet(staged)
-    running = attempts.where(~F.col("released"))
-
-    writes: dict[tuple, list] = {}
-    coming: dict[tuple, list] = {}
-    free = None
+    running = staged(attempts.where(~F.col("released")), "running")
+    ended, lapsed = F.col("t_ms") + F.col("dur_ms"), F.col("t_ms") + lease_ms
+    free = F.when(ended.isNull(), lapsed).otherwise(ended + completed_ttl_ms)
+    longer = F.coalesce(ended > lapsed, F.lit(False))
+    after = _first_from(running, running.withColumn("from_ms", free), slice_ms)
+    inside = _first_from(running, running.where(longer).withColumn("from_ms", lapsed), slice_ms)
+    # a lease that ran out counts only if an attempt came before the completion
+    overtaken = inside.where(F.col("next.t_ms") < ended).select(*KEY, "event_id", F.lit(True).alias("open"))
+    steps = after.join(overtaken, [*KEY, "event_id"], "left").select(
+        *FIELDS, F.col("next.event_id").alias("to"), F.coalesce("open", F.lit(False)).alias("open")
+    )
+    steps = staged(steps, "steps")
+    links = steps.where("not open and to is not null").select(*KEY, "event_id", "to")
+
+    seeds = running.groupBy(*KEY).agg(F.min(F.struct("t_ms", "event_id")).alias("f"))
+    seeds = seeds.select(*KEY, "f.event_id")
+    claims = None
     while True:
-        rows = running
-        if free is not None:
-            gaps = spark.createDataFrame(free, "tenant_id string, idempotency_key string, low bigint, high bigint")
-            rows = rows.join(F.broadcast(gaps), KEY).where("t_ms >= low and t_ms < high")
-        claims = (
-            rows.groupBy(*KEY)
-            .agg(F.min(F.struct("t_ms", "event_id", "request_id", "dur_ms")).alias("c"))
-            .select(*KEY, "c.*")
-            .collect()
+        reached = _reached(seeds, links)
+        found = steps.join(reached, [*KEY, "event_id"]).select(*FIELDS, "open")
+        claims = staged(found if claims is None else claims.unionByName(found), "claims")
+        opened = found.where("open")
+        if opened.isEmpty():
+            return claims.drop("open")
+        more, seeds = _episodes(running, opened, lease_ms, completed_ttl_ms, slice_ms)
+        claims = claims.unionByName(more.withColumn("open", F.lit(False)))
+
+
+def _reached(seeds: DataFrame, links: DataFrame) -> DataFrame:
+    """All event_ids that links lead to from the seeds, the seeds included; links double each round."""
+    reached, jumps = staged(seeds, "reached"), links
+    count = reached.count()
+    while True:
+        step = reached.join(jumps, [*KEY, "event_id"]).select(*KEY, F.col("to").alias("event_id"))
+        grown = staged(reached.unionByName(step).distinct(), "reached")
+        before, count = count, grown.count()
+        if count == before:
+            return reached
+        reached = grown
+        further = jumps.select(*KEY, F.col("event_id").alias("to"), F.col("to").alias("_beyond"))
+        jumps = staged(
+            jumps.join(further, [*KEY, "to"]).select(*KEY, "event_id", F.col("_beyond").alias("to")), "jumps"
+        )
+
+
+def _episodes(
+    running: DataFrame, opened: DataFrame, lease_ms: int, completed_ttl_ms: int, slice_ms: int
+) -> tuple[DataFrame, DataFrame]:
+    """The claims after those in ``opened`` while completions of others are to come, and the next seeds."""
+    coming = F.array(F.struct((F.col("t_ms") + F.col("dur_ms")).alias("end"), "request_id"))
+    state = opened.select(*FIELDS, coming.alias("coming"))
+    claims, seeds = opened.select(*FIELDS).limit(0), opened.select(*KEY, "event_id").limit(0)
+    while True:
+        ends = F.transform("coming", lambda c: c["end"])
+        lows = F.concat(
+            F.array(F.col("t_ms") + lease_ms), F.transform(ends, lambda e: e + completed_ttl_ms)
+        )
+        highs = F.concat(ends, F.array(F.lit(FOREVER)))
+        gaps = state.select(
+            *KEY, "coming", F.inline(F.arrays_zip(lows.alias("from_ms"), highs.alias("to_ms")))
+        ).where("from_ms < to_ms")
+        next_ = (
+            _first_from(running, gaps, slice_ms)
+            .where("next.t_ms < to_ms")
+            .groupBy(*KEY)
+            .agg(F.min("next").alias("next"), F.first("coming").alias("coming"))
+        )
+        now = F.col("next.t_ms")
+        own = F.array(F.struct((now + F.col("next.dur_ms")).alias("end"), F.col("next.request_id")))
+        others = F.filter("coming", lambda c: c["end"] > now)
+        state = staged(
+            next_.select(
+                *KEY,
+                *[F.col(f"next.{n}").alias(n) for n in FIELDS if n not in KEY],
+                F.when(F.col("next.dur_ms").isNull(), others)
+                .otherwise(F.array_sort(F.concat(others, own)))
+                .alias("coming"),
+                (F.size(others) == 0).alias("alone"),
+            ),
+            "episodes",
+        )
+        seeds = seeds.unionByName(state.where("alone").select(*KEY, "event_id"))
+        state = state.where("not alone")
+        if state.isEmpty():
+            return claims, staged(seeds, "seeds")
+        claims = staged(claims.unionByName(state.select(*FIELDS)), "episode-claims")
+
+
+def _first_from(attempts: DataFrame, probes: DataFrame, slice_ms: int) -> DataFrame:
+    """Each probe with ``next``, the first attempt at or after its ``from_ms``; NULL if none follows.
+
+    Time is cut into slices: a probe meets the attempts of its own slice, and the first attempt of a
+    later one is found among slices alone.
+    """
+    here = ["t_ms", "event_id", "request_id", "dur_ms", "released"]
+    at = attempts.select(
+        *KEY, F.floor(F.col("t_ms") / slice_ms).alias("_slice"), F.struct(*here).alias("_attempt")
+    )
+    asked = probes.select(
+        *KEY, F.floor(F.col("from_ms") / slice_ms).alias("_slice"), F.struct(*probes.columns).alias("_probe")
+    )
+    time = F.coalesce("_probe.from_ms", "_attempt.t_ms")
+    order = Window.partitionBy(*KEY, "_slice").orderBy(time, F.col("_probe").isNull(), "_attempt.event_id")
+    following = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    met = (
+        at.unionByName(asked, allowMissingColumns=True)
+        .withColumn("_own", F.first("_attempt", ignorenulls=True).over(following))
+        .where("_probe is not null")
+    )
+    firsts = at.groupBy(*KEY, "_slice").agg(F.min("_attempt").alias("_first"))
+    slices = firsts.unionByName(asked.select(*KEY, "_slice").distinct(), allowMissingColumns=True)
+    later = Window.partitionBy(*KEY).orderBy("_slice").rangeBetween(1, Window.unboundedFollowing)
+    beyond = (
+        slices.groupBy(*KEY, "_slice")
+        .agg(F.max("_first").alias("_first"))
+        .select(*KEY, "_slice", F.min("_first").over(later).alias("_later"))
+    )
+    return met.join(beyond, [*KEY, "_slice"]).select(
+        *[f"_probe.{c}" for c in probes.columns], F.coalesce("_own", "_later").alias("next")
+    )
+
+
+def _outcomes(
+    attempts: DataFrame, claims: DataFrame, lease_ms: int, completed_ttl_ms: int, slice_ms: int
+) -> DataFrame:
+    """Every attempt against the last claim or completion before it."""
+    ended = F.col("t_ms") + F.col("dur_ms")
+    claimed = claims.select(
+        *KEY, F.col("t_ms").alias("from_ms"), F.col("event_id").alias("from_id"),
+        F.col("request_id").alias("holding"), F.lit(False).alias("done"),
+        (F.col("t_ms") + lease_ms).alias("expiry"),
+    )
+    # a completion comes before the attempts of its instant; of several, the last by request counts
+    completed = (
+        claims.where(ended.isNotNull())
+        .groupBy(*KEY, ended.alias("from_ms"))
+        .agg(F.max("request_id").alias("holding"))
+        .select(
+            *KEY, "from_ms", F.lit(BEFORE_ALL).alias("from_id"), "holding", F.lit(True).alias("done"),
+            (F.col("from_ms") + completed_ttl_ms).alias("expiry"),
         )
-        if not claims:
-            break
-        free = []
-        for row in claims:
-            key, now = (row.tenant_id, row.idempotency_key), row.t_ms
-            log, ahead = writes.setdefault(key, []), coming.get(key, [])
-            log += [w for w in ahead if w[0] <= now]
-            ahead = [w for w in ahead if w[0] > now]
-            log.append((now, row.event_id, row.request_id, False, now + lease_ms))
-            if row.dur_ms is not None:
-                ended = now + row.dur_ms
-                ahead.append((ended, BEFORE_ALL, row.request_id, True, ended + completed_ttl_ms))
-                ahead.sort()
-            coming[key] = ahead
-            for held, following in zip([log[-1], *ahead], [*ahead, None], strict=True):
-                until = following[0] if following else FOREVER
-                if held[4] < until:
-                    free.append((*key, held[4], until))
-
-    held = spark.createDataFrame(
-        [(*key, *w) for key, log in writes.items() for w in [*log, *coming[key]]],
-        "tenant_id string, idempotency_key string, from_ms bigint, from_id bigint, holding string, "
-        "done boolean, expiry bigint",
     )
-    matched = _held_at(attempts, held, slice_ms)
+    matched = _held_at(attempts, claimed.unionByName(completed), slice_ms)
+    # the claim that an attempt makes is written at its own place and is not yet there for it
     busy = F.coalesce(F.col("t_ms") < F.col("expiry"), F.lit(False))
     return matched.select(
         *KEY,

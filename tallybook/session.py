@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -29,3 +30,10 @@ def shared_dir(spark: SparkSession) -> str:
     folder = tempfile.mkdtemp(prefix="tallybook-")
     spark.conf.set("spark.checkpoint.dir", folder)
     return folder
+
+
+def staged(rows: DataFrame, label: str) -> DataFrame:
+    """Rows written once to the shared folder and read back; later steps, and retries, start from files."""
+    path = f"{shared_dir(rows.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)

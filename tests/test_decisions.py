@@ -2,7 +2,6 @@
 
 import random
 
-import pandas as pd
 import pytest
 
 from tallybook.operators import budget, claims
@@ -73,16 +72,28 @@ def test_slices_do_not_change_decisions(spark, slice_ms, refill):
     assert decide(spark, rows, capacity=300, refill=refill, slice_ms=slice_ms) == want
 
 
-@pytest.mark.parametrize("chunk", [1, 7, 8_192])
-def test_slices_too_rich_for_a_map_are_folded(spark, monkeypatch, chunk):
-    """A tenant over its limit: slices are handed on as bare draws, in pieces of any size."""
-    monkeypatch.setattr(budget, "MAX_PIECES", 3)
-    monkeypatch.setattr(budget, "CHUNK", chunk)
-    draw = random.Random(chunk)
-    rows = [(draw.choice("ab"), 37 * i, draw.randint(1, 90)) for i in range(600)]
-    want = bucket(rows, 300, 55.5)
-    assert not all(granted for granted, _ in want)
-    assert decide(spark, rows, capacity=300, refill=55.5, slice_ms=2_000) == want
+def rounds(monkeypatch):
+    """Counts how often slices are replayed."""
+    seen, write = [], budget.staged
+
+    def counted(rows, label):
+        seen.extend([label] if label == "slice-runs" else [])
+        return write(rows, label)
+
+    monkeypatch.setattr(budget, "staged", counted)
+    return seen
+
+
+@pytest.mark.parametrize("refill", [55.5, 333.25])
+def test_a_saturated_tenant_settles_in_few_rounds(spark, monkeypatch, refill):
+    """A tenant that is refused in each of some twenty slices; its bucket is never full again."""
+    seen, draw = rounds(monkeypatch), random.Random(int(refill))
+    rows = [(draw.choice("ab"), 7 * i, draw.randint(1, 90)) for i in range(12_000)]
+    want = bucket(rows, 300, refill)
+    refused = {7 * i // 4_000 for i, (granted, _) in enumerate(want) if not granted}
+    assert len(refused) == 21
+    assert decide(spark, rows, capacity=300, refill=refill, slice_ms=4_000) == want
+    assert len(seen) <= 10
 
 
 def test_cut_stream_draws_no_more(spark):
@@ -144,19 +155,28 @@ def test_refused_admission_and_shared_level(spark):
     }
 
 
-def test_runs_end_when_the_bucket_has_recovered(spark):
-    """One refusal, then quiet slices: only the slices the refused stream reaches are read in order."""
-    need = budget._slice_needs(1_000, 500_000, 100_000)
-    start = budget._granted_starts(500_000, 100_000)
-    rows = [("t", "big", 0, 0, 600), ("t", "big", 1, 1_500, 5)]
-    rows += [("t", f"r{i}", 0, i * 1_000 + 200, 20) for i in range(50)]
-    frame = pd.DataFrame(rows, columns=["tenant_id", "request_id", "seq", "arrived_ms", "tokens"])
-    frame = frame.sort_values("arrived_ms").assign(slice=lambda f: f.arrived_ms // 1_000)
-    needs = pd.concat(need(iter([frame])))
-    reach = frame.groupby("request_id").slice.agg(["min", "max"]).groupby("min")["max"].max()
-    needs["reach"] = needs["slice"].map(reach).fillna(needs["slice"]).astype("int64")
-    found = pd.concat(start(iter([needs])))
-    assert found.run.tolist() == [0, 0, *range(2, 50)]
+def test_cuts_of_a_saturated_tenant_settle_in_few_rounds(spark, monkeypatch):
+    """Refused in each slice; streams outlast their slice, so later slices do without what earlier ones cut."""
+    seen, draw = rounds(monkeypatch), random.Random(8)
+    rows, want, level, since, cut = [], [], 300_000, 0, set()
+    for i in range(8_000):
+        rows.append(("t", f"r{(i - draw.randrange(60)) // 20}", i, 10 * i, draw.choice([3, 20, 45])))
+    for _, request, seq, now, tokens in rows:
+        if request in cut:
+            continue
+        level, since = min(300_000, level + (now - since) * 300), now
+        granted = level >= tokens * 1_000
+        level -= tokens * 1_000 if granted else 0
+        cut |= set() if granted else {request}
+        want.append((seq, granted, level // 1_000))
+    refused = {seq // 400 for seq, granted, _ in want if not granted}
+    assert len(refused) == 20
+    frame = spark.createDataFrame(
+        rows, "tenant_id string, request_id string, seq bigint, arrived_ms bigint, tokens bigint"
+    )
+    found = budget.cut_streams(frame, capacity=300, refill_per_second=300.0, slice_ms=4_000)
+    assert sorted((r.seq, r.granted, r.remaining) for r in found.collect()) == want
+    assert len(seen) <= 10
 
 
 @pytest.mark.parametrize("slice_ms", [40, 500, 9_000])
@@ -259,3 +279,15 @@ def test_claims_equal_the_store(spark, seed, heavy_rows):
     if heavy_rows:
         options["heavy_rows"] = heavy_rows
     assert claim(spark, rows, **options) == want
+
+
+def test_one_key_with_a_third_of_all_attempts(spark):
+    """Most of its leases run out under requests that go on, and completions overtake later holders."""
+    draw = random.Random(9)
+    rows, clock = [], 0
+    for i in range(240):
+        clock += draw.choice([0, 3, 20])
+        key = "hot" if i % 3 == 0 else f"k{draw.randrange(80)}"
+        rows.append(("t", key, f"r{i}", clock, draw.choice([None, 10, 45, 130, 170]), draw.random() < 0.1))
+    want = keys(rows, 50, 25)
+    assert claim(spark, rows, lease_ms=50, completed_ttl_ms=25, heavy_rows=40, slice_ms=500) == want
