@@ -30,10 +30,10 @@ def first_writes(attempts: DataFrame, stored: DataFrame | None = None) -> DataFr
     return rows
 
 
-def duplicate_attempts(late_metered: DataFrame, settlements: DataFrame) -> DataFrame:
-    """Metered copies that came after settlement, as the settlement attempts they amount to."""
+def late_attempts(late_metered: DataFrame) -> DataFrame:
+    """Metered copies that are known to have come after settlement, as the attempts they amount to."""
     total = F.col("prompt_tokens") + F.col("completion_tokens")
-    copies = late_metered.select(
+    return late_metered.select(
         "request_id",
         "tenant_id",
         "model",
@@ -42,13 +42,17 @@ def duplicate_attempts(late_metered: DataFrame, settlements: DataFrame) -> DataF
         F.lit(None).cast("bigint").alias("provider_total"),
         total.alias("drift_tokens"),
         F.lit(S.RETRY_DOUBLE_COUNT).alias("drift_reason"),
-        "ended_at",
+        F.col("ended_at").alias("settled_at"),
     )
+
+
+def duplicate_attempts(metered: DataFrame, settlements: DataFrame) -> DataFrame:
+    """The same from all metered copies and the settlements of another run."""
     settled = settlements.select("request_id", F.col("status").alias("_status"), "settled_at")
-    late = salted_join(copies, settled, ["request_id"]).where(
+    late = salted_join(metered, settled, ["request_id"]).where(
         after(F.col("ended_at"), F.col("settled_at"), F.col("_status"))
     )
-    return late.drop("settled_at", "_status").withColumnRenamed("ended_at", "settled_at")
+    return late_attempts(late)
 
 
 def first_starts(started: DataFrame) -> DataFrame:
@@ -147,10 +151,11 @@ def billing_facts(settlements: DataFrame, metered: DataFrame) -> DataFrame:
     return settlements.join(facts, "request_id", "left")
 
 
-def drift_by_terminal_state(settlements: DataFrame, metered: DataFrame) -> DataFrame:
+def drift_by_terminal_state(settlements: DataFrame, metered: DataFrame | None = None) -> DataFrame:
+    """Drift by how the stream ended; settlements that do not know it take it from ``metered``."""
+    facts = settlements if metered is None else billing_facts(settlements, metered)
     return (
-        billing_facts(settlements, metered)
-        .where(F.col("drift_reason").isNotNull())
+        facts.where(F.col("drift_reason").isNotNull())
         .groupBy("terminal_state", "drift_reason")
         .agg(F.count("*").alias("requests"), F.sum(F.abs("drift_tokens")).alias("drift_tokens"))
     )

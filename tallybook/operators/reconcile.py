@@ -8,11 +8,14 @@ late, as part of a pair and as a copy. Of copies of one instant the larger total
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallybook import schemas as S
 from tallybook.functions.attribution import attribution
 from tallybook.operators.skew import HEAVY_KEYS, key_hash, salted_join
+from tallybook.session import staged
 
 WINDOW_SECONDS = 300
 HEAVY_COPIES = 1_000
@@ -134,86 +137,139 @@ def after(at: Column, settled_at: Column, status: Column) -> Column:
     return F.when(status == S.FORCE_SETTLED, at >= settled_at).otherwise(at > settled_at)
 
 
-def settled_copies(
+@dataclass
+class Reconciled:
+    """What became of the requests of three feeds, all from one read of each and one shuffle.
+
+    ``settlements`` has a row per settled request, with the billing facts a settlement drops: terminal_state,
+    idempotency_key, started_at, joined_at. ``late_metered`` and ``late_usage`` are the copies of either
+    ledger that came after their request had settled, with ``settled_at`` and whether it was ``forced``.
+    ``started`` has the first start of each request, ``waiting`` those of them that have not settled.
+    """
+
+    settlements: DataFrame
+    late_metered: DataFrame
+    late_usage: DataFrame
+    started: DataFrame
+    waiting: DataFrame
+
+
+def _copies_by_fate(
     started: DataFrame,
     metered: DataFrame,
     usage: DataFrame,
-    *,
-    window_seconds: float = WINDOW_SECONDS,
-    as_of: Column | None = None,
-    tick_seconds: float | None = None,
-    keyed: bool = False,
-) -> DataFrame:
-    """One row per settled request with the chosen copies ``a`` and ``b``.
-
-    The first and the latest copy of a side decide nearly every request in the one shuffle. Only a side
-    with three copies or more, the first before and the last after its request settled, reads the
-    feeds again. Which of those requests are heavy is known from their counts.
+    window_seconds: float,
+    as_of: Column | None,
+    tick_seconds: float | None,
+    late: bool,
+) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Rows per request with its times, per settled request with its chosen copies ``a`` and ``b``, and per late
+    copy of either side.
+
+    The first and the latest copy of a side and their number decide nearly every request. Others are few:
+    their copies alone are read again, by a filter on those requests before anything is moved, and
+    where there are none the feeds are not touched a second time. Without ``late`` no late copies are
+    looked for, and fewer requests are read again.
     """
-    feed = tagged(started, metered, usage, keyed=keyed)
-    key = _KEY if keyed else []
+    feed = tagged(started, metered, usage, keyed=True)
     if as_of is not None:
         feed = feed.where(F.col("at") <= as_of)
     state = settle_times(request_state(feed), window_seconds, tick_seconds)
-    state = state.where(
-        F.col("joined").isNotNull()
-        | (F.col("deadline").isNotNull() if as_of is None else F.col("deadline") <= micros(as_of))
-    )
+    if as_of is not None:
+        due = F.when(F.col("deadline") <= micros(as_of), F.col("deadline"))
+        state = state.withColumn("settled", F.coalesce("joined", due))
+    state = staged(state, "request-state")
     joined = F.col("joined").isNotNull()
+    fields = {"a": [*_COPY_FIELDS, *_KEY], "b": _COUNTS}
 
-    def choice(side: str, fields: list[str]) -> tuple[Column, Column]:
-        """The copy of a side where first and latest decide it, and whether they do not."""
-        early, last = (F.col(f"{n}_{side}") for n in ("early", "last"))
+    def fate(side: str) -> tuple[Column, Column, Column]:
+        """The chosen copy, the late ones, and whether first and latest copy leave either open."""
+        early, last, count = F.col(f"early_{side}"), F.col(f"last_{side}"), F.col(f"copies_{side}")
+        first = F.struct(*[early[n].alias(n) for n in ("us", "total", *fields[side])])
         begins, ends = in_time(early["us"]), in_time(last["us"])
-        first = F.struct(*[early[n].alias(n) for n in ("us", "total", *fields)])
-        alone = early["us"].eqNullSafe(F.col("joined")) | (F.col(f"copies_{side}") == 2)
-        return F.when(ends, last).when(begins & alone, first), begins & ~ends & ~alone
-
-    a, unsure_a = choice("a", [*_COPY_FIELDS, *key])
-    b, unsure_b = choice("b", _COUNTS)
-    unsure = F.coalesce(unsure_a, F.lit(False)) | (joined & F.coalesce(unsure_b, F.lit(False)))
-    carried = ["start", "deadline", "joined", "settled"]
+        known = early["us"].eqNullSafe(F.col("joined")) | (count == 2)
+        open_ = begins & ~ends & ~known
+        after = F.array(
+            F.when(~begins, first), F.when((count == 2) & ~ends & (early["us"] < last["us"]), last)
+        )
+        if late:
+            several = (count > 2) | ((count == 2) & (early["us"] == last["us"]))
+            open_ = open_ | (several & ~ends)
+        return (
+            F.when(ends, last).when(begins & known, first),
+            F.filter(after, lambda c: c.isNotNull()),
+            F.coalesce(open_, F.lit(False)),
+        )
+
+    a, late_a, open_a = fate("a")
+    b, late_b, open_b = fate("b")
+    open_ = open_a | (open_b if late else joined & open_b)
+    times = ["start", "deadline", "joined", "settled"]
     # A generator's output is computed once. As plain columns, the choices would be spelled out again in
     # every filter that is pushed down and for every field, beyond what Spark compiles.
     decided = F.struct(
-        *carried,
+        *times,
         a.alias("a"),
         F.when(joined, b).alias("b"),
-        unsure.alias("_unsure"),
+        late_a.alias("late_a"),
+        late_b.alias("late_b"),
+        open_.alias("_open"),
         (F.col("copies_a") + F.col("copies_b")).alias("_copies"),
     )
-    state = state.select("request_id", F.inline(F.array(decided)))
-    clear = state.where(~F.col("_unsure")).select("request_id", *carried, "a", "b")
-
-    open_ = state.where("_unsure").select(
-        "request_id",
-        F.struct(*carried).alias("state"),
-        "_copies",
+    settled = state.where("settled is not null").select("request_id", F.inline(F.array(decided)))
+    chosen = ["request_id", *times, "a", "b"]
+    clear = settled.where(~F.col("_open"))
+    rows = clear.select(*chosen)
+    after = [
+        clear.where(F.size(f"late_{side}") > 0).select(
+            "request_id", "joined", "settled", F.inline(f"late_{side}")
+        )
+        for side in "ab"
+    ]
+    unsure = staged(
+        settled.where("_open").select("request_id", F.struct(*times).alias("state"), "_copies"), "unsure"
     )
+    if unsure.isEmpty():
+        return state, rows, *after
     heavy = (
-        open_.where(F.col("_copies") >= HEAVY_COPIES)
+        unsure.where(F.col("_copies") >= HEAVY_COPIES)
         .orderBy(F.col("_copies").desc(), "request_id")
         .limit(HEAVY_KEYS)
         .select(key_hash(["request_id"]).alias("_heavy"))
     )
-    copies = feed.where(F.col("side") != "S")
-    seen = salted_join(copies, open_.drop("_copies"), ["request_id"], heavy=heavy).where(
-        F.col("us") <= F.coalesce(F.col("state.joined"), F.col("state.deadline") - 1)
-    )
+    copies = tagged(None, metered, usage, keyed=True)
+    if as_of is not None:
+        copies = copies.where(F.col("at") <= as_of)
+    seen = salted_join(copies, unsure.drop("_copies"), ["request_id"], heavy=heavy)
+    there = F.col("us") <= F.coalesce(F.col("state.joined"), F.col("state.deadline") - 1)
+    if late:
+        seen = staged(seen, "unsure-copies")
+        after = [
+            known.unionByName(
+                seen.where((F.col("side") == side.upper()) & ~there).select(
+                    "request_id", "state.joined", "state.settled", "us", "total", *fields[side]
+                )
+            )
+            for side, known in zip("ab", after, strict=True)
+        ]
     picked = (
-        seen.groupBy("request_id")
+        seen.where(there)
+        .groupBy("request_id")
         .agg(
             F.max("state").alias("state"),
-            F.max(_copy("A", *_COPY_FIELDS, *key)).alias("a"),
-            F.max(_copy("B", *_COUNTS)).alias("b"),
+            F.max(_copy("A", *fields["a"])).alias("a"),
+            F.max(_copy("B", *fields["b"])).alias("b"),
         )
-        .select("request_id", *[f"state.{c}" for c in carried], "a", "b")
+        .select("request_id", "state.*", "a", "b")
         .withColumn("b", F.when(joined, F.col("b")))
     )
-    return clear.unionByName(picked)
+    # an open request may have nothing but late copies
+    none = unsure.join(picked.select("request_id"), "request_id", "left_anti").select("request_id", "state.*")
+    rows = rows.unionByName(picked).unionByName(none, allowMissingColumns=True)
+    return state, rows, *after
 
 
-def reconcile(
+def reconciliation(
     started: DataFrame,
     metered: DataFrame,
     usage: DataFrame,
@@ -223,45 +279,31 @@ def reconcile(
     as_of: Column | None = None,
     tick_seconds: float | None = None,
     floor: str = "zero",
-    detail: bool = False,
-) -> DataFrame:
-    """One settlement per request.
+    late: bool = True,
+) -> Reconciled:
+    """All that comes of a reconciliation; see ``reconcile`` for the options.
 
-    ``as_of`` gives the ledger as it stood at that time. ``floor='prompt'`` bills the prompt of a
-    request whose metered record never came; the default bills nothing. ``detail`` adds the
-    billing facts the settlement drops: terminal_state, idempotency_key, started_at, joined_at.
+    Without ``late`` the copies after settlement are left out, and fewer requests are read again.
     """
-    rows = settled_copies(
-        started,
-        metered,
-        usage,
-        window_seconds=window_seconds,
-        as_of=as_of,
-        tick_seconds=tick_seconds,
-        keyed=detail,
+    state, rows, late_a, late_b = _copies_by_fate(
+        started, metered, usage, window_seconds, as_of, tick_seconds, late
     )
+    joined = F.col("joined").isNotNull()
     unseen = F.lit(0).cast("bigint") if floor == "zero" else F.col("start.prompt_tokens")
-    rows = rows.select(
+    settled_at = instant(F.col("settled"), metered, "ended_at").alias("settled_at")
+    started_at = instant(F.col("start.us"), metered, "ended_at").alias("started_at")
+    settlements = rows.select(
         "request_id",
-        F.when(F.col("joined").isNotNull(), F.col("a.tenant_id"))
-        .otherwise(F.col("start.tenant_id"))
-        .alias("tenant_id"),
+        F.when(joined, F.col("a.tenant_id")).otherwise(F.col("start.tenant_id")).alias("tenant_id"),
         F.coalesce("a.model", F.lit(S.UNKNOWN_MODEL)).alias("model"),
-        F.coalesce(F.col("a.prompt_tokens") + F.col("a.completion_tokens"), unseen).alias(
-            "metered_total"
-        ),
+        F.coalesce(F.col("a.prompt_tokens") + F.col("a.completion_tokens"), unseen).alias("metered_total"),
         (F.col("b.prompt_tokens") + F.col("b.completion_tokens")).alias("provider_total"),
-        instant(F.col("settled"), metered, "ended_at").alias("settled_at"),
+        settled_at,
         F.col("a.terminal_state").alias("terminal_state"),
-        instant(F.col("start.us"), metered, "ended_at").alias("started_at"),
+        F.coalesce("a.idempotency_key", "start.idempotency_key").alias("idempotency_key"),
+        started_at,
         instant(F.col("joined"), metered, "ended_at").alias("joined_at"),
-        *(
-            [F.coalesce("a.idempotency_key", "start.idempotency_key").alias("idempotency_key")]
-            if detail
-            else []
-        ),
-    )
-    rows = rows.withColumns(
+    ).withColumns(
         attribution(
             F.col("metered_total"),
             F.col("provider_total"),
@@ -269,8 +311,53 @@ def reconcile(
             tolerance=tolerance,
         )
     )
-    extra = ["terminal_state", "idempotency_key", "started_at", "joined_at"] if detail else []
-    return rows.select(*SETTLEMENT_COLUMNS, *extra)
+    facts = ["terminal_state", "idempotency_key", "started_at", "joined_at"]
+
+    def records(copies: DataFrame, at: str, columns: list[str]) -> DataFrame:
+        """Late copies as records of their ledger."""
+        arrived = instant(F.col("us"), metered, "ended_at").alias(at)
+        return copies.select("request_id", *columns, arrived, (~joined).alias("forced"), settled_at)
+
+    begun = state.where("start is not null").select("request_id", "start.tenant_id", started_at, "settled")
+    return Reconciled(
+        settlements.select(*SETTLEMENT_COLUMNS, *facts),
+        records(late_a, "ended_at", [*_COPY_FIELDS, *_KEY]),
+        records(late_b, "reported_at", _COUNTS),
+        begun.drop("settled"),
+        begun.where("settled is null").drop("settled"),
+    )
+
+
+def reconcile(
+    started: DataFrame,
+    metered: DataFrame,
+    usage: DataFrame,
+    *,
+    window_seconds: float = WINDOW_SECONDS,
+    tolerance: int = 0,
+    as_of: Column | None = None,
+    tick_seconds: float | None = None,
+    floor: str = "zero",
+    detail: bool = False,
+) -> DataFrame:
+    """One settlement per request.
+
+    ``as_of`` gives the ledger as it stood at that time. ``floor='prompt'`` bills the prompt of a
+    request whose metered record never came; the default bills nothing. ``detail`` adds the
+    billing facts the settlement drops: terminal_state, idempotency_key, started_at, joined_at.
+    """
+    rows = reconciliation(
+        started,
+        metered,
+        usage,
+        window_seconds=window_seconds,
+        tolerance=tolerance,
+        as_of=as_of,
+        tick_seconds=tick_seconds,
+        floor=floor,
+        late=False,
+    ).settlements
+    return rows if detail else rows.select(*SETTLEMENT_COLUMNS)
 
 
 def attribute_pairs(

@@ -11,7 +11,7 @@ from tallybook.functions import tokens
 from tallybook.functions.attribution import terminal_state
 from tallybook.operators import audit, budget, claims, ledger, metering, metrics, reconcile as rec
 from tallybook.operators.audit import Scenario
-from tallybook.operators.skew import heavy_keys, running_sum
+from tallybook.operators.skew import running_sum
 from tallybook.plans import fixtures as fx
 from tallybook.sources import events
 
@@ -59,6 +59,10 @@ def settled(spark: SparkSession, folder: str, **options) -> DataFrame:
     return rec.reconcile(*feeds(spark, folder), **options)
 
 
+def reconciled(spark: SparkSession, folder: str, **options) -> rec.Reconciled:
+    return rec.reconciliation(*feeds(spark, folder), **options)
+
+
 # Sources and the ledger
 
 
@@ -89,9 +93,9 @@ def sweep(spark, folder):
 
 @query
 def settle_first_write(spark, folder):
-    _, metered, _ = feeds(spark, folder)
-    rows = settled(spark, folder)
-    attempts = rows.unionByName(ledger.duplicate_attempts(metered, rows))
+    found = reconciled(spark, folder)
+    rows = found.settlements.select(*rec.SETTLEMENT_COLUMNS)
+    attempts = rows.unionByName(ledger.late_attempts(found.late_metered))
     stored = rows.where(F.col("settled_at") < moment(AS_OF))
     return ledger.first_writes(attempts, stored).select(
         "request_id", "status", "metered_total", "settled_at", "attempts"
@@ -100,10 +104,8 @@ def settle_first_write(spark, folder):
 
 def _open_ledger(spark, folder):
     """The ledger as it stood at AS_OF with a settlement window of a day: some requests pend."""
-    started, metered, usage = feeds(spark, folder)
-    so_far = started.where(F.col("started_at") <= moment(AS_OF))
-    rows = rec.reconcile(started, metered, usage, window_seconds=DAY, as_of=moment(AS_OF))
-    return so_far, rows, ledger.pending(so_far, rows)
+    found = reconciled(spark, folder, window_seconds=DAY, as_of=moment(AS_OF), late=False)
+    return found.started, found.settlements.select(*rec.SETTLEMENT_COLUMNS), found.waiting
 
 
 @query
@@ -118,9 +120,9 @@ def expired_pending(spark, folder):
 
 @query
 def unaccounted(spark, folder):
-    started, _, _ = feeds(spark, folder)
-    joined = settled(spark, folder).where(F.col("status") != S.FORCE_SETTLED)
-    return ledger.unaccounted(started, joined)
+    found = reconciled(spark, folder, late=False)
+    joined = found.settlements.where(F.col("status") != S.FORCE_SETTLED)
+    return ledger.unaccounted(found.started, joined)
 
 
 @query
@@ -138,26 +140,30 @@ def idempotency_index(spark, folder):
 
 @query
 def duplicate_keys(spark, folder):
-    heavy = heavy_keys(feeds(spark, folder)[0], ["tenant_id", "idempotency_key"])
-    return ledger.duplicate_keys(settled(spark, folder, detail=True), heavy)
+    return ledger.duplicate_keys(settled(spark, folder, detail=True))
 
 
 @query
 def drift_by_terminal_state(spark, folder):
-    _, metered, _ = feeds(spark, folder)
-    return ledger.drift_by_terminal_state(settled(spark, folder), metered)
+    return ledger.drift_by_terminal_state(settled(spark, folder, detail=True))
 
 
 @query
 def duplicates_absorbed(spark, folder):
-    _, metered, _ = feeds(spark, folder)
-    return rec.duplicates_absorbed(metered, settled(spark, folder))
+    late = reconciled(spark, folder).late_metered
+    return late.groupBy("tenant_id").agg(F.count("*").alias("absorbed"))
 
 
 @query
 def late_usage(spark, folder):
-    _, _, usage = feeds(spark, folder)
-    return rec.late_usage(usage, settled(spark, folder))
+    late = reconciled(spark, folder).late_usage.where("forced")
+    return late.select(
+        "request_id",
+        F.lit(S.FORCE_SETTLED).alias("status"),
+        (F.col("prompt_tokens") + F.col("completion_tokens")).alias("provider_total"),
+        "reported_at",
+        "settled_at",
+    )
 
 
 @query

@@ -30,7 +30,7 @@ WITH fa AS (SELECT request_id, min(ended_at) AS ta FROM requests_metered GROUP B
      THEN greatest(fa.ta, fb.tb) END AS joined_at
    FROM d FULL JOIN fa ON d.request_id = fa.request_id
    LEFT JOIN fb ON coalesce(d.request_id, fa.request_id) = fb.request_id),
- w AS (SELECT * FROM w0 WHERE joined_at IS NOT NULL OR deadline IS NOT NULL),
+ w AS MATERIALIZED (SELECT * FROM w0 WHERE joined_at IS NOT NULL OR deadline IS NOT NULL),
  a AS (SELECT m.*, row_number() OVER (PARTITION BY m.request_id
      ORDER BY m.ended_at DESC, m.prompt_tokens + m.completion_tokens DESC) AS rn
    FROM requests_metered m JOIN w ON m.request_id = w.request_id
@@ -70,7 +70,11 @@ SETTLEMENT = (
 
 
 def on_ledger(select: str, extra: dict[str, str] | None = None, **options) -> str:
-    return sql(select, *FEEDS, extra={"ledger": settled(**options)} | (extra or {}))
+    """``select`` over the ledger; it and what it reads are worked out once, whatever reads them."""
+    text = sql(select, *FEEDS, extra={"ledger": settled(**options)} | (extra or {}))
+    for name in ("base", *FEEDS, "ledger"):
+        text = text.replace(f"{name} AS (", f"{name} AS MATERIALIZED (", 1)
+    return text
 
 
 NOW = f"TIMESTAMP '{c.AS_OF}'"
