@@ -381,13 +381,48 @@ def settlements_of(outcomes: DataFrame, *, tolerance: int = 0) -> DataFrame:
     )
 
 
-def without_redelivery(arrived: DataFrame, watermark: str = "10 seconds") -> DataFrame:
-    """Drop exact second deliveries inside the watermark, where they need not be counted."""
-    return arrived.withWatermark("at", watermark).dropDuplicatesWithinWatermark(
-        ["request_id", "side", "at"]
+def with_redelivery(arrived: DataFrame, remember_seconds: float = WINDOW_SECONDS) -> DataFrame:
+    """Arrivals with ``redelivered``: whether the same record came before, within ``remember_seconds``.
+
+    What was seen is state with a time to live, by the wall clock. No watermark is set, so a record that comes late is
+    kept like any other, and repeats are marked and not lost.
+    """
+    from pyspark.sql import Row
+    from pyspark.sql.streaming import StatefulProcessor
+
+    arrived.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    names, ttl_ms = arrived.columns, int(remember_seconds * 1000)
+
+    class Seen(StatefulProcessor):
+        def init(self, handle):
+            self.seen = handle.getValueState("seen", "once boolean", ttl_ms)
+
+        def handleInputRows(self, key, rows, timerValues):
+            before = self.seen.exists()
+            for row in rows:
+                yield Row(**{n: row[n] for n in names}, redelivered=before)
+                before = True
+            self.seen.update((True,))
+
+        def close(self):
+            pass
+
+    return arrived.groupBy("request_id", "side", "at").transformWithState(
+        statefulProcessor=Seen(),
+        outputStructType=T.StructType(
+            [*arrived.schema.fields, T.StructField("redelivered", T.BooleanType())]
+        ),
+        outputMode="append",
+        timeMode="ProcessingTime",
     )
 
 
+def without_redelivery(arrived: DataFrame, remember_seconds: float = WINDOW_SECONDS) -> DataFrame:
+    """Drop second deliveries, where they need not be counted."""
+    rows = with_redelivery(arrived, remember_seconds)
+    return rows.where(~F.col("redelivered")).drop("redelivered")
+
+
 def interval_join(
     metered: DataFrame,
     usage: DataFrame,

@@ -391,6 +391,26 @@ def test_interval_join_settles_pairs_and_singles(spark, tmp_path):
     assert found["alone"].status == "force_settled" and found["alone"].settled_at == at(301)
 
 
+def test_redelivery_is_dropped_and_a_late_record_is_not(spark, tmp_path):
+    """The second file comes a day later and holds a record of an hour ago, which is new, and two that are not."""
+    a = metered(spark, ("r", 5, 1, DONE), ("r", 5, 1, DONE), ("r", 8, 1, DONE))
+    none = started(spark), usage(spark)
+    drop_in(records(spark, none[0], a, none[1]), f"{tmp_path}/feed")
+    later = metered(spark, ("r", 8, 1, DONE), ("r", 5, 1, DONE), ("q", 3, 1, DONE), ("z", 86_400, 1, DONE))
+    drop_in(records(spark, none[0], later, none[1]), f"{tmp_path}/feed")
+    arrived = rs.with_redelivery(rs.arrivals(events.file_feed(spark, f"{tmp_path}/feed", max_files=1)), 3_600)
+    query = (
+        arrived.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/c")
+        .trigger(**ONCE).start(f"{tmp_path}/out")
+    )
+    query.awaitTermination()
+    rows = spark.read.parquet(f"{tmp_path}/out").collect()
+    assert sorted((r.request_id, r["at"].second, r.redelivered) for r in rows) == [
+        ("q", 3, False), ("r", 5, False), ("r", 5, True), ("r", 5, True), ("r", 8, False), ("r", 8, True),
+        ("z", 0, False),
+    ]
+
+
 def test_redelivery_is_dropped_inside_the_watermark(spark, tmp_path):
     a = metered(spark, ("r", 5, 1, DONE), ("r", 5, 1, DONE), ("r", 8, 1, DONE))
     feed = records(spark, started(spark), a, usage(spark))
