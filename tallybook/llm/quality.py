@@ -130,12 +130,14 @@ def sample_counts(docs: DataFrame, labels: DataFrame, label: str, most: int) ->
                 mine = batch.column(0).slice(first, len(held))
                 yield pa.RecordBatch.from_arrays([mine, rows], ["label", "counts"])
 
-    return (
+    # one row of each id, so that no id has more than one vote and the sample keeps its bound
+    one_each = (
         docs.select("doc_id", "text")
         .join(F.broadcast(chosen), "doc_id")
-        .select("label", "text")
-        .mapInArrow(count, "label double, counts array<float>")
+        .groupBy("doc_id", "label")
+        .agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
     )
+    return one_each.select("label", "text").mapInArrow(count, "label double, counts array<float>")
 
 
 def fit(

@@ -14,7 +14,8 @@ where it never comes all postings are taken and all remaining rows rescored.
 Defined cases: vectors that are null, hold null or non-finite components, or have no id take no
 part. Shorter vectors count as zero beyond their end. Rows that repeat an id are each a candidate, and each
 query id is asked once with its smallest vector; rows with the query's own id are never its
-candidates. An empty table gives an empty result. A score among the best that no bigint holds is an error.
+candidates. An empty table gives an empty result. A component of 2^62 or more after scaling is an error, and so
+is a score among the best that no bigint holds.
 """
 
 from __future__ import annotations
@@ -39,7 +40,9 @@ WORD = float(1 << 62)  # products that may pass it are taken in whole numbers of
 
 def quantised(rows: DataFrame, factor: int) -> DataFrame:
     x = F.transform("vector", lambda v: F.floor(v * factor).cast("double"))
-    return rows.withColumn("vector", x)
+    large = F.exists("vector", lambda v: F.abs(v * factor) >= WORD)
+    told = F.raise_error(F.lit(f"a component is beyond {WORD:.0f} after scaling"))
+    return rows.withColumn("vector", F.when(large, told.cast("array<double>")).otherwise(x))
 
 
 class ImpactIndex:

@@ -5,7 +5,7 @@ A rule fits subdomains too, so a url probes once for each of its hosts from the
 last label; below one host a rule is the interval of paths that start with its path, and intervals
 of one host are nested or apart. Edges of rules and probes are sorted together, and a sweep along
 them knows the stack of rules that are open: its top holds until the next edge. A url takes the
-longest rule among its hosts.
+longest rule among its hosts. Paths are compared by their bytes, and an interval ends at a byte that no text holds.
 
 Rules of one host are folded to edges, and the edges are repeated for each share of a busy host's
 probes, so a host with a third of all urls is swept in as many windows as its size asks for. Equal
@@ -25,7 +25,7 @@ from tallybook.llm.common import tasks
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LEAST_SHARE = 64
-AFTER_ALL = "\U0010ffff"
+AFTER_ALL = b"\xff"  # no byte of any text
 
 
 def url_host(url: Column) -> Column:
@@ -50,9 +50,9 @@ def rule_edges(rules: DataFrame) -> DataFrame:
         F.transform(
             F.array_sort(F.collect_set(rule)),
             lambda r: F.array(
-                F.struct(r["path"].alias("at"), F.lit(1).alias("opens"), r.alias("rule")),
+                F.struct(r["path"].cast("binary").alias("at"), F.lit(1).alias("opens"), r.alias("rule")),
                 F.struct(
-                    F.concat(r["path"], F.lit(AFTER_ALL)).alias("at"),
+                    F.concat(r["path"].cast("binary"), F.lit(AFTER_ALL)).alias("at"),
                     F.lit(0).alias("opens"),
                     r.alias("rule"),
                 ),
@@ -65,7 +65,7 @@ def rule_edges(rules: DataFrame) -> DataFrame:
     empty = F.array().cast(f"array<{kind}>")
     start = F.struct(
         empty.alias("stack"),
-        F.array().cast(f"array<struct<at:string,top:{kind}>>").alias("edges"),
+        F.array().cast(f"array<struct<at:binary,top:{kind}>>").alias("edges"),
     )
 
     def step(state: Column, event: Column) -> Column:
@@ -114,7 +114,7 @@ def match_urls(urls: DataFrame, rules: DataFrame) -> DataFrame:
     spread = probes.join(shares, "_host").select(
         "_host",
         share.alias("_share"),
-        F.col("path").alias("_path"),
+        F.col("path").cast("binary").alias("_path"),
         F.lit(1).alias("_probe"),
         F.lit(None).cast(edges.schema["top"].dataType).alias("top"),
         "host",
@@ -131,6 +131,8 @@ def match_urls(urls: DataFrame, rules: DataFrame) -> DataFrame:
         spread.drop("top")
         .withColumn("edge", F.lit(None).cast(copies.schema["edge"].dataType))
         .unionByName(copies.withColumn("host", F.lit(None).cast("string")))
+        # rows that lie by host would satisfy the window as they are, a busy host in one task
+        .repartition(tasks(urls.sparkSession), "_host", "_share")
         .withColumn("open", F.last("edge", ignorenulls=True).over(along)["top"])
         .where((F.col("_probe") == 1) & F.col("open").isNotNull())
     )
@@ -140,7 +142,7 @@ def match_urls(urls: DataFrame, rules: DataFrame) -> DataFrame:
         )
     )
     return (
-        swept.groupBy("host", F.col("_path").alias("path"))
+        swept.groupBy("host", F.col("_path").cast("string").alias("path"))
         .agg(best.alias("best"))
         .select("host", "path", F.col("best.rule").alias("rule"), F.col("best.verdict"))
     )

@@ -2,6 +2,7 @@ import cases
 import public_tokenizers
 import test_lines
 import test_simhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -73,3 +74,28 @@ def test_each_group_keeps_one_document_whatever_its_ids(spark, tmp_path):
     group_of = {r[:2]: g for r, g in zip(whole, groups, strict=True)}
     assert sorted(group_of[r[:2]] for r in kept) == sorted(ids)
     assert set(clean) <= set(kept)
+
+
+def test_other_columns_come_out_as_they_went_in(spark, tmp_path):
+    """Names that the operators use themselves: the caller's values stay with their rows."""
+    names = ["score", "lang_pred", "n_lines", "n_dropped", "_drop", "taken", "component", "_row", "fp"]
+    rows = cases.rows(n=40)
+    plain_docs = cases.frame(spark, rows).select(*COLUMNS)
+    extra = [F.concat(F.lit(f"{n}-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))).alias(n) for n in names]
+    docs = plain_docs.select(extra[0], *COLUMNS, *extra[1:])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = staged(stage(spark, docs, str(tmp_path)), name)
+        assert kept.columns == docs.columns
+        for r in kept.collect():
+            number = "none" if r.doc_id is None else r.doc_id
+            assert [r[n] for n in names] == [f"{n}-{number}" for n in names]
+        assert plain(kept) and sorted(plain(kept), key=str) == sorted(
+            plain(stage(spark, docs.select(*COLUMNS), str(tmp_path))), key=str
+        )
+
+
+def test_stages_of_no_documents(spark, tmp_path):
+    docs = cases.empty(spark).select(*COLUMNS, F.lit(1).alias("score"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        found = stage(spark, docs, str(tmp_path))
+        assert found.columns == docs.columns and found.collect() == []

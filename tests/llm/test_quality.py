@@ -66,3 +66,13 @@ def test_nothing_labelled_and_empty(spark, labelled):
     model = quality.fit(docs, labels.limit(0))
     assert {r.score for r in quality.predict(docs, model).collect()} == {0.5}
     assert quality.predict(cases.empty(spark), quality.fit(docs, labels)).collect() == []
+
+
+def test_an_id_votes_once_however_often_it_repeats(spark):
+    rows = [(1, f"text number {n} of one id", None, None, 0) for n in range(200)]
+    rows += [(2, "another text", None, None, 0)]
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id bigint, quality int")
+    docs = cases.frame(spark, rows).repartition(3)
+    one, two = (quality.fit(docs, labels, max_labelled=2) for _ in range(2))
+    assert sorted(one.labels.tolist()) == [0, 1] and len(one.vectors) == 2
+    assert np.array_equal(one.vectors, two.vectors)

@@ -207,3 +207,9 @@ def test_shorter_vectors_are_padded():
 
     got = vectors.matrix(pa.array([[1.0], [], [1.0, 2.0, 3.0]]), 3)
     assert got.tolist() == [[1, 0, 0], [0, 0, 0], [1, 2, 3]]
+
+
+def test_components_no_bigint_holds_are_an_error(spark):
+    rows = [(0, [1 / 256, 0.0]), (1, [1e17, 0.0]), (2, [0.5, 0.0])]
+    with pytest.raises(Exception, match="beyond"):
+        topk.exact_top_k(given(spark, rows), F.col("vec_id") == 0).collect()

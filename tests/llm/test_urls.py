@@ -46,6 +46,27 @@ def test_as_by_brute_force(spark, rules):
     assert got == sorted(((r[1], *brute(r[1], rules)) for r in rows), key=str)
 
 
+def test_paths_beyond_every_letter(spark):
+    """An interval takes in the largest code point there is, however often it comes."""
+    paths = ["a", "a\U0010ffff", "a\U0010ffff\U0010ffffz", "a\U0010ffffz", "b", "a\x7f", "a\uffff", "`", "\U0010ffff"]
+    pages = spark.createDataFrame([(n, f"http://x.org/{p}") for n, p in enumerate(paths)], "page_id bigint, url string")
+    rules = [("org", "/a", "block"), ("org", "/a\U0010ffff", "allow"), ("x.org", "/\U0010ffff", "block")]
+    given = spark.createDataFrame(rules, "host string, path string, verdict string")
+    got = sorted((r.url, r.rule, r.verdict) for r in urls.filter_urls(pages, given, "none").collect())
+    want = sorted((f"http://x.org/{p}", *brute(f"http://x.org/{p}", rules, "none")[2:]) for p in paths)
+    assert [tuple(map(str, g)) for g in got] == [tuple(map(str, w)) for w in want]
+
+
+def test_sweep_is_dealt_by_host_and_share(spark):
+    pages = spark.range(5_000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://hot.com/fr/"), "id").alias("url"))
+    given = spark.createDataFrame(list(RULES), "host string, path string, verdict string")
+    rows = urls.filter_urls(pages, given).select("host", "path").distinct()
+    plan = urls.match_urls(rows, given)._jdf.queryExecution().executedPlan().toString()
+    window = next(n for n, line in enumerate(plan.splitlines()) if "Window" in line)
+    dealt = next(line for line in plan.splitlines()[window:] if "hashpartitioning" in line)
+    assert "_host" in dealt and "_share" in dealt
+
+
 def test_busy_host_is_shared_out(spark):
     pages = spark.range(20_000).select(
         F.col("id").alias("page_id"), F.concat(F.lit("http://hot.com/fr/"), "id").alias("url")
