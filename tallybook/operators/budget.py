@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, functions as F
 from tallybook.operators.skew import by_key
 from tallybook.session import staged
 
-SLICE_MS = 600_000
+SLICE_DRAWS = 262_144
 CAPACITY = 200_000
 REFILL_PER_SECOND = 50.0
 ROUNDS = 4
@@ -55,27 +55,27 @@ def budget_decisions(
     capacity: int = CAPACITY,
     refill_per_second: float = REFILL_PER_SECOND,
     order: str = "event_id",
-    slice_ms: int = SLICE_MS,
+    slice_ms: int | None = None,
 ) -> DataFrame:
     """``granted`` and ``remaining`` whole tokens for each draw.
 
     Draws are rows (tenant_id, now_ms, tokens, ``order``); ``order`` breaks ties of now_ms. A draw of
-    nothing is granted without touching the bucket. ``slice_ms`` should hold some ten thousand draws of
-    the busiest tenant.
+    nothing is granted without touching the bucket. A slice is ``slice_ms`` long, or as long as
+    ``SLICE_DRAWS`` draws of the densest tenant take. Where no tenant has more, one pass decides all.
     """
     bucket = _units(capacity, refill_per_second)
-    log = staged(
-        draws.select(
-            "tenant_id",
-            F.floor(F.col("now_ms") / slice_ms).alias("slice"),
-            F.col("now_ms").alias("at_ms"),
-            F.col(order).alias("tie"),
-            "tokens",
-            F.lit(None).cast("string").alias("request_id"),
-            F.lit(False).alias("gone"),
-        ),
-        "draws",
+    fields = dict(draws.dtypes)
+    log = draws.select(
+        "tenant_id",
+        F.col("now_ms").alias("at_ms"),
+        F.col(order).alias("tie"),
+        "tokens",
+        F.lit(None).cast("string").alias("request_id"),
+        F.lit(False).alias("gone"),
     )
+    log, slice_ms = _sliced(log, slice_ms)
+    if slice_ms is None:
+        return _decisions(log, None, bucket, capacity, fields, order)
     touching = log.where("tokens > 0")
     runs, rounds, wider = staged(_runs(touching, None, bucket), "slice-runs"), 0, None
     while True:
@@ -96,17 +96,33 @@ def budget_decisions(
         runs = staged(
             runs.join(again.select(*KEY), KEY, "left_anti").unionByName(redone), "slice-runs"
         )
-    fields = dict(draws.dtypes)
+    decided = _decisions(log, starts, bucket, capacity, fields, order)
+    return decided if wider is None else decided.unionByName(wider)
+
+
+def _decisions(log, starts, bucket, capacity, fields, order) -> DataFrame:
     decided = _by_slice(log, starts).mapInPandas(
         _replay(*bucket, capacity, cuts=False),
         f"tenant_id string, tie {fields[order]}, at_ms bigint, tokens {fields['tokens']}, request_id string, "
         "granted boolean, remaining bigint",
     )
-    decided = decided.select(
+    return decided.select(
         "tenant_id", F.col("tie").alias(order), F.col("at_ms").alias("now_ms"), "tokens", "granted",
         "remaining",
     )
-    return decided if wider is None else decided.unionByName(wider)
+
+
+def _sliced(log: DataFrame, slice_ms: int | None) -> tuple[DataFrame, int | None]:
+    """The log with its slices and their length; None if every tenant is one slice."""
+    if slice_ms is None:
+        tenants = log.groupBy("tenant_id").agg(
+            F.count(F.lit(1)).alias("n"), (F.max("at_ms") - F.min("at_ms") + 1).alias("ms")
+        )
+        most = tenants.agg(F.max("n").alias("n"), F.max(F.col("n") / F.col("ms")).alias("density")).first()
+        if most.n is None or most.n <= SLICE_DRAWS:
+            return log.withColumn("slice", F.lit(0).cast("bigint")), None
+        slice_ms = max(1, int(SLICE_DRAWS / most.density))
+    return log.withColumn("slice", F.floor(F.col("at_ms") / slice_ms)), slice_ms
 
 
 def cut_streams(
@@ -114,7 +130,7 @@ def cut_streams(
     *,
     capacity: int = CAPACITY,
     refill_per_second: float = REFILL_PER_SECOND,
-    slice_ms: int = SLICE_MS,
+    slice_ms: int | None = None,
 ) -> DataFrame:
     """Decide the draws of streams; a refusal cuts its stream, so later draws of it never happen.
 
@@ -127,7 +143,6 @@ def cut_streams(
     log = staged(
         draws.select(
             "tenant_id",
-            F.floor(F.col("arrived_ms") / slice_ms).alias("slice"),
             F.col("arrived_ms").alias("at_ms"),
             F.col("seq").alias("tie"),
             "tokens",
@@ -135,6 +150,9 @@ def cut_streams(
         ),
         "stream-draws",
     )
+    log, slice_ms = _sliced(log, slice_ms)
+    if slice_ms is None:
+        return _cuts(log.withColumn("gone", F.lit(False)), None, bucket, capacity, fields)
     there = log.groupBy(*KEY, "request_id").agg(F.count(F.lit(1)).alias("n"))
     # only a stream with draws in several slices can have been cut before one of them
     long = there.groupBy("tenant_id", "request_id").agg(F.collect_list("slice").alias("slices"))
@@ -185,16 +203,20 @@ def cut_streams(
         runs = staged(
             runs.join(again.select(*KEY), KEY, "left_anti").unionByName(redone), "slice-runs"
         )
-    decided = _by_slice(_without_cut(log, cut), starts).mapInPandas(
+    decided = _cuts(_without_cut(log, cut), starts, bucket, capacity, fields)
+    return decided if wider is None else decided.unionByName(wider)
+
+
+def _cuts(log, starts, bucket, capacity, fields) -> DataFrame:
+    decided = _by_slice(log, starts).mapInPandas(
         _replay(*bucket, capacity, cuts=True),
         f"tenant_id string, tie {fields['seq']}, at_ms bigint, tokens {fields['tokens']}, "
         "request_id string, granted boolean, remaining bigint",
     )
-    decided = decided.select(
+    return decided.select(
         "tenant_id", "request_id", F.col("tie").alias("seq"), F.col("at_ms").alias("arrived_ms"), "tokens",
         "granted", "remaining",
     )
-    return decided if wider is None else decided.unionByName(wider)
 
 
 def _without_cut(log: DataFrame, cut: DataFrame) -> DataFrame:

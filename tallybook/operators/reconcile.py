@@ -263,9 +263,10 @@ def _copies_by_fate(
         .select("request_id", "state.*", "a", "b")
         .withColumn("b", F.when(joined, F.col("b")))
     )
-    # an open request may have nothing but late copies
-    none = unsure.join(picked.select("request_id"), "request_id", "left_anti").select("request_id", "state.*")
-    rows = rows.unionByName(picked).unionByName(none, allowMissingColumns=True)
+    rows = rows.unionByName(picked)
+    if late:  # an open request may have nothing but late copies
+        none = unsure.join(picked.select("request_id"), "request_id", "left_anti")
+        rows = rows.unionByName(none.select("request_id", "state.*"), allowMissingColumns=True)
     return state, rows, *after
 
 

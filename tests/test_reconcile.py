@@ -1,5 +1,7 @@
 """Joining the two ledgers: order of arrival, copies, deadlines and reasons."""
 
+import random
+
 import pytest
 from helpers import at, by_request, lit_at, metered, started, usage
 from hypothesis import HealthCheck, given, settings, strategies as st
@@ -200,3 +202,42 @@ def test_batch_equals_the_event_by_event_model(spark, drawn):
     found = settle(spark, s, a, b)
     got = {k: (r.settled_at, r.metered_total, r.provider_total) for k, r in found.items()}
     assert got == {k: (at(t), x, y) for k, (t, x, y) in want.items()}
+
+
+@pytest.mark.parametrize("as_of", [None, 25])
+def test_outputs_of_one_pass_agree_with_separate_ones(spark, as_of):
+    """Late copies of either ledger, starts and waiting requests of many random requests."""
+    rng = random.Random(3)
+    s, a, b = [], [], []
+    for n in range(150):
+        t = [rng.randint(0, 40) for _ in range(12)]
+        s += [(f"r{n}", x) for x in t[: rng.choice((0, 1, 1, 2))]]
+        a += [(f"r{n}", x, rng.randint(1, 3), DONE) for x in t[2 : 2 + rng.randint(0, 6)]]
+        b += [(f"r{n}", x, rng.randint(1, 3)) for x in t[8 : 8 + rng.randint(0, 4)]]
+    a += [("r0", 39, 1, DONE), ("r0", 39, 1, DONE)]  # equal copies of one instant
+    s, a, b = started(spark, *s), metered(spark, *a), usage(spark, *b)
+    options = {"window_seconds": 20} | ({"as_of": lit_at(as_of)} if as_of else {})
+    found = rec.reconciliation(s, a, b, **options)
+    rows = rec.reconcile(s, a, b, **options)
+
+    def there(frame, column):
+        return frame if as_of is None else frame.where(F.col(column) <= lit_at(as_of))
+
+    def same(left, right):
+        assert sorted(map(tuple, left.collect()), key=str) == sorted(map(tuple, right.collect()), key=str)
+
+    same(found.settlements.select(*rec.SETTLEMENT_COLUMNS), rows)
+    late_a = rec.after_settlement(there(a, "ended_at"), rows, "ended_at")
+    late_b = rec.late_usage(there(b, "reported_at"), rows, include_joined=True)
+    assert late_a.count() > 20 and late_b.count() > 10
+    copy = ["request_id", "tenant_id", "prompt_tokens", "completion_tokens", "idempotency_key", "ended_at"]
+    same(found.late_metered.select(*copy, "settled_at"), late_a.select(*copy, "settled_at"))
+    total = (F.col("prompt_tokens") + F.col("completion_tokens")).alias("t")
+    same(
+        found.late_usage.select("request_id", total, "reported_at", "settled_at", "forced"),
+        late_b.select("request_id", F.col("provider_total").alias("t"), "reported_at", "settled_at",
+                      (F.col("status") == "force_settled").alias("forced")),
+    )
+    first = there(s, "started_at").groupBy("request_id").agg(F.min("started_at"))
+    same(found.started.select("request_id", "started_at"), first)
+    same(found.waiting.select("request_id"), first.join(rows, "request_id", "left_anti").select("request_id"))
