@@ -45,6 +45,7 @@ from tallybook.llm.suffixes import sliding_least
 WINDOW = 50
 GRAM = 16  # a power of two
 PIECE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 19
 PLACE_BITS = 24
 LAST_ID = (1 << 63) - 1
 BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
@@ -148,7 +149,7 @@ def super_kmers(docs: DataFrame, size: int, gram: int) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, held in slices(batch.column(2)):
+            for start, held in slices(batch.column(2), SLICE_BYTES):
                 cut = [(start + n, *piece) for n, t in enumerate(held) for piece in pieces(t, size)]
                 step = len(cut) if len(cut) == len(held) else 1
                 for at in range(0, len(cut), step):
