@@ -79,7 +79,7 @@ def test_each_group_keeps_one_document_whatever_its_ids(spark, tmp_path):
 def test_other_columns_come_out_as_they_went_in(spark, tmp_path):
     """Names that the operators use themselves: the caller's values stay with their rows."""
     names = ["score", "lang_pred", "n_lines", "n_dropped", "_drop", "taken", "component", "_row", "fp"]
-    rows = cases.rows(n=40)
+    rows = cases.rows()
     plain_docs = cases.frame(spark, rows).select(*COLUMNS)
     extra = [F.concat(F.lit(f"{n}-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))).alias(n) for n in names]
     docs = plain_docs.select(extra[0], *COLUMNS, *extra[1:])
