@@ -32,8 +32,8 @@ from tallybook.session import staged
 SLICE_DRAWS = 262_144
 CAPACITY = 200_000
 REFILL_PER_SECOND = 50.0
-ROUNDS = 4
-WIDER = 16
+ROUNDS = 3
+WIDER = 64
 
 KEY = ["tenant_id", "slice"]
 RUN = (
