@@ -384,37 +384,51 @@ def settlements_of(outcomes: DataFrame, *, tolerance: int = 0) -> DataFrame:
 def with_redelivery(arrived: DataFrame, remember_seconds: float = WINDOW_SECONDS) -> DataFrame:
     """Arrivals with ``redelivered``: whether the same record came before, within ``remember_seconds``.
 
-    What was seen is state with a time to live, by the wall clock. No watermark is set, so a record that comes late is
-    kept like any other, and repeats are marked and not lost.
+    What was seen is state that a timer clears once the clock is ``remember_seconds`` past the record and its
+    arrival. The watermark moves the timers only: a record that comes late is kept like any other, and
+    repeats are marked and not lost.
     """
     from pyspark.sql import Row
     from pyspark.sql.streaming import StatefulProcessor
 
     arrived.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    names, ttl_ms = arrived.columns, int(remember_seconds * 1000)
+    names, keep_ms = [c for c in arrived.columns if c != "at"], int(remember_seconds * 1000)
+    fields = [f for f in arrived.schema.fields if f.name != "at"]
 
     class Seen(StatefulProcessor):
         def init(self, handle):
-            self.seen = handle.getValueState("seen", "once boolean", ttl_ms)
+            self.handle = handle
+            self.seen = handle.getValueState("seen", "until bigint")
 
         def handleInputRows(self, key, rows, timerValues):
             before = self.seen.exists()
             for row in rows:
-                yield Row(**{n: row[n] for n in names}, redelivered=before)
+                yield Row(**{n: row[n] for n in names}, at_us=row.at_us, redelivered=before)
                 before = True
-            self.seen.update((True,))
+            now = max(key[2] // 1000, timerValues.getCurrentWatermarkInMs())
+            self.seen.update((now + keep_ms,))
+            self.handle.registerTimer(now + keep_ms)
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            until = self.seen.get()
+            if until is not None and until[0] <= expiredTimerInfo.getExpiryTimeInMs():
+                self.seen.clear()
+            yield from ()
 
         def close(self):
             pass
 
-    return arrived.groupBy("request_id", "side", "at").transformWithState(
+    rows = arrived.withColumn("at_us", F.unix_micros("at")).withWatermark("at", "0 seconds").drop("at")
+    marked = rows.groupBy("request_id", "side", "at_us").transformWithState(
         statefulProcessor=Seen(),
         outputStructType=T.StructType(
-            [*arrived.schema.fields, T.StructField("redelivered", T.BooleanType())]
+            [*fields, T.StructField("at_us", T.LongType()), T.StructField("redelivered", T.BooleanType())]
         ),
         outputMode="append",
-        timeMode="ProcessingTime",
+        timeMode="EventTime",
     )
+    at = F.timestamp_micros("at_us").alias("at")
+    return marked.select(*[at if c == "at" else c for c in arrived.columns], "redelivered")
 
 
 def without_redelivery(arrived: DataFrame, remember_seconds: float = WINDOW_SECONDS) -> DataFrame:

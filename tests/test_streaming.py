@@ -397,6 +397,7 @@ def test_redelivery_is_dropped_and_a_late_record_is_not(spark, tmp_path):
     none = started(spark), usage(spark)
     drop_in(records(spark, none[0], a, none[1]), f"{tmp_path}/feed")
     later = metered(spark, ("r", 8, 1, DONE), ("r", 5, 1, DONE), ("q", 3, 1, DONE), ("z", 86_400, 1, DONE))
+    # the clock has not moved between the two files; after the second it is a day later
     drop_in(records(spark, none[0], later, none[1]), f"{tmp_path}/feed")
     arrived = rs.with_redelivery(rs.arrivals(events.file_feed(spark, f"{tmp_path}/feed", max_files=1)), 3_600)
     query = (
