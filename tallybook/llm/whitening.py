@@ -114,8 +114,10 @@ def secular_roots(d: np.ndarray, zz: np.ndarray) -> tuple[np.ndarray, np.ndarray
             new = x + step
             ok = (new > low) & (new < high)
             new = np.where(ok, new, (low + high) / 2)
-            done = (np.abs(new - x) <= 4 * EPS * np.abs(new)) | (f == 0)
-            x = np.where(f == 0, x, new)
+            # nothing but rounding is left of the sum: a further step would only leave the bracket
+            found = np.abs(f) <= 2 * EPS * (1 + np.abs(part).sum(axis=0))
+            done = found | (np.abs(new - x) <= 4 * EPS * np.abs(new))
+            x = np.where(found, x, new)
             if done.all():
                 break
     return d[pole] + x, base - x
