@@ -8,6 +8,7 @@ late, as part of a pair and as a copy. Of copies of one instant the larger total
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -155,9 +156,8 @@ class Reconciled:
 
 
 def _copies_by_fate(
-    started: DataFrame,
-    metered: DataFrame,
-    usage: DataFrame,
+    feed: DataFrame,
+    states: Callable[[DataFrame], DataFrame],
     window_seconds: float,
     as_of: Column | None,
     tick_seconds: float | None,
@@ -171,10 +171,9 @@ def _copies_by_fate(
     where there are none the feeds are not touched a second time. Without ``late`` no late copies are
     looked for, and fewer requests are read again.
     """
-    feed = tagged(started, metered, usage, keyed=True)
     if as_of is not None:
         feed = feed.where(F.col("at") <= as_of)
-    state = settle_times(request_state(feed), window_seconds, tick_seconds)
+    state = settle_times(states(feed), window_seconds, tick_seconds)
     if as_of is not None:
         due = F.when(F.col("deadline") <= micros(as_of), F.col("deadline"))
         state = state.withColumn("settled", F.coalesce("joined", due))
@@ -237,9 +236,7 @@ def _copies_by_fate(
         .limit(HEAVY_KEYS)
         .select(key_hash(["request_id"]).alias("_heavy"))
     )
-    copies = tagged(None, metered, usage, keyed=True)
-    if as_of is not None:
-        copies = copies.where(F.col("at") <= as_of)
+    copies = feed.where(F.col("side") != "S")
     seen = salted_join(copies, unsure.drop("_copies"), ["request_id"], heavy=heavy)
     there = F.col("us") <= F.coalesce(F.col("state.joined"), F.col("state.deadline") - 1)
     if late:
@@ -286,13 +283,39 @@ def reconciliation(
 
     Without ``late`` the copies after settlement are left out, and fewer requests are read again.
     """
+    return reconcile_feed(
+        tagged(started, metered, usage, keyed=True),
+        window_seconds=window_seconds,
+        tolerance=tolerance,
+        as_of=as_of,
+        tick_seconds=tick_seconds,
+        floor=floor,
+        late=late,
+    )
+
+
+def reconcile_feed(
+    feed: DataFrame,
+    *,
+    states: Callable[[DataFrame], DataFrame] = request_state,
+    window_seconds: float = WINDOW_SECONDS,
+    tolerance: int = 0,
+    as_of: Column | None = None,
+    tick_seconds: float | None = None,
+    floor: str = "zero",
+    late: bool = True,
+) -> Reconciled:
+    """The same for feeds that are one already (``tagged`` with keys).
+
+    ``states`` gives the state of each request of the feed; a stored feed has a way without a shuffle.
+    """
     state, rows, late_a, late_b = _copies_by_fate(
-        started, metered, usage, window_seconds, as_of, tick_seconds, late
+        feed, states, window_seconds, as_of, tick_seconds, late
     )
     joined = F.col("joined").isNotNull()
     unseen = F.lit(0).cast("bigint") if floor == "zero" else F.col("start.prompt_tokens")
-    settled_at = instant(F.col("settled"), metered, "ended_at").alias("settled_at")
-    started_at = instant(F.col("start.us"), metered, "ended_at").alias("started_at")
+    settled_at = instant(F.col("settled"), feed, "at").alias("settled_at")
+    started_at = instant(F.col("start.us"), feed, "at").alias("started_at")
     settlements = rows.select(
         "request_id",
         F.when(joined, F.col("a.tenant_id")).otherwise(F.col("start.tenant_id")).alias("tenant_id"),
@@ -303,7 +326,7 @@ def reconciliation(
         F.col("a.terminal_state").alias("terminal_state"),
         F.coalesce("a.idempotency_key", "start.idempotency_key").alias("idempotency_key"),
         started_at,
-        instant(F.col("joined"), metered, "ended_at").alias("joined_at"),
+        instant(F.col("joined"), feed, "at").alias("joined_at"),
     ).withColumns(
         attribution(
             F.col("metered_total"),
@@ -316,7 +339,7 @@ def reconciliation(
 
     def records(copies: DataFrame, at: str, columns: list[str]) -> DataFrame:
         """Late copies as records of their ledger."""
-        arrived = instant(F.col("us"), metered, "ended_at").alias(at)
+        arrived = instant(F.col("us"), feed, "at").alias(at)
         return copies.select("request_id", *columns, arrived, (~joined).alias("forced"), settled_at)
 
     begun = state.where("start is not null").select("request_id", "start.tenant_id", started_at, "settled")
