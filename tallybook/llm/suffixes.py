@@ -51,6 +51,7 @@ GRAM = 32  # a power of two
 TILE, NARROWER = 64, 8
 GROUP = 1_024
 SHARD_TILES = 4_096
+SHARDS_A_TASK = 4
 PIECE_BYTES = 4 << 20
 PLACE_BITS = 24
 CORE = ["core_a", "core_b"]
@@ -337,7 +338,7 @@ def indexed(rows: DataFrame, tile: int) -> DataFrame:
     """seg_a, seg_b, low, high: windows that different tiles of one core share."""
     fields = "seg_a bigint, seg_b bigint, low bigint, high bigint"
     spark = rows.sparkSession
-    shards = max(tasks(spark), rows.count() // SHARD_TILES)
+    shards = max(SHARDS_A_TASK * tasks(spark), rows.count() // SHARD_TILES)
 
     def work(table: pa.Table) -> pa.Table:
         a, b = (table.column(c).to_numpy() for c in CORE)
@@ -356,7 +357,8 @@ def indexed(rows: DataFrame, tile: int) -> DataFrame:
         return pa.table({k: pa.array(c, pa.int64()) for k, c in zip(names, columns, strict=True)})
 
     dealt = rows.withColumn("_shard", F.pmod(F.xxhash64(*CORE), F.lit(shards)))
-    return dealt.groupBy("_shard").applyInArrow(work, fields)
+    # the rows are small and the work on them is not: the number of tasks is given, so none are merged
+    return dealt.repartition(tasks(spark), "_shard").groupBy("_shard").applyInArrow(work, fields)
 
 
 def narrower(rows: DataFrame, tile: int, new: int) -> DataFrame:
