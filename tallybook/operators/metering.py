@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 from tallybook import schemas as S
 from tallybook.functions import sse
 from tallybook.functions.tokens import CounterFor, model_counter, text_counter, tokens_for_length
+from tallybook.operators.long_text import long_counts
 from tallybook.operators.skew import heavy_keys, running_sum, salted_join
 
 MAX_ATTEMPTS = 2
@@ -37,6 +38,7 @@ def meter_streams(
     tokenizer: Callable[[str], int] | None = None,
     counter_for: CounterFor | None = None,
     models: DataFrame | None = None,
+    cuts: str | None = None,
 ) -> DataFrame:
     """Both ledgers of each request, from its lines alone.
 
@@ -44,7 +46,9 @@ def meter_streams(
     The last usage block wins; a report exists only if it gives completion tokens. With a
     ``tokenizer`` the text of each request is put together in order and counted by it; with
     ``counter_for`` each model's own tokenizer counts (see ``model_counter``) and ``exact`` is said
-    per request. ``models`` gives request_id and model, one row per request.
+    per request. ``models`` gives request_id and model, one row per request. ``cuts`` names places
+    where the tokenizer splits text in any case (see ``long_text``): texts are then counted in parts and never
+    put together, and a request may be longer than a row.
     """
     if counter_for is not None and (tokenizer is not None or models is None):
         raise ValueError("counter_for needs models and excludes tokenizer")
@@ -62,6 +66,8 @@ def meter_streams(
     if tokenizer is not None or counter_for is not None:
         text = sse.content_text(sse.chunk(sse.payload(F.col("line"))))
         decoded = decoded.withColumn("_text", text)
+    by_parts = cuts is not None and (tokenizer is not None or counter_for is not None)
+    if not by_parts and (tokenizer is not None or counter_for is not None):
         aggregates.append(
             F.array_join(
                 F.transform(
@@ -71,7 +77,14 @@ def meter_streams(
             ).alias("_joined")
         )
     requests = decoded.groupBy("request_id").agg(*aggregates)
-    if tokenizer is not None:
+    if by_parts:
+        counts = long_counts(
+            decoded.select("request_id", "seq", F.col("_text").alias("text")),
+            tokenizer=tokenizer, counter_for=counter_for, models=models, cuts=cuts,
+        )
+        requests = requests.join(counts, "request_id", "left")
+        completion, exact = F.coalesce("tokens", completion), F.col("exact")
+    elif tokenizer is not None:
         completion = text_counter(tokenizer)(F.col("_joined"))
     elif counter_for is not None:
         counted = model_counter(counter_for)(F.array("_joined"), F.col("model"))
