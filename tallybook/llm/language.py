@@ -10,7 +10,8 @@ with most real hits wins; ties go to the language with more training text, then
 
 Defined cases: null, empty and letterless texts are 'und' with score 0, and so is everything where
 nothing was learned. Rows without a language or without text teach nothing. Repeated rows teach and
-are judged each. At most 64 languages; more raise an error.
+are judged each. Masks take as many words of 64 languages as are needed. Long texts are
+read whole, in slices. Extra columns pass through; ``lang_pred`` and ``score`` of the input are replaced.
 """
 
 from __future__ import annotations
@@ -29,9 +30,11 @@ from tallybook.llm.common import packed
 SIZES = (3, 4)
 MIN_SHARE = 1e-5
 SLOTS_LOG2 = 21
+SLOTS_A_GRAM = 16
 HASHES = 3
 UNKNOWN = "und"
 SPACE = 32
+WORD_BITS = 64
 
 
 def letters_only(text: bytes) -> bytes:
@@ -85,12 +88,21 @@ def gram_counts(docs: DataFrame, label: str) -> DataFrame:
 
 @dataclass
 class LanguageFilter:
-    """The bit-sliced filter: ``masks`` by slot, false positive rates by language."""
+    """The bit-sliced filter: ``masks`` by slot, false positive rates by language.
+
+    ``masks`` has an array for every 64 languages, so a slot is as many words as they need.
+    """
 
     languages: list[str]
-    masks: np.ndarray
+    masks: list[np.ndarray]
     rates: np.ndarray
 
+    @staticmethod
+    def word(languages: int) -> type:
+        """The narrowest word with a bit for each."""
+        kinds = (np.uint8, np.uint16, np.uint32, np.uint64)
+        return next(k for k in kinds if languages <= 8 * np.dtype(k).itemsize)
+
     @staticmethod
     def places(grams: np.ndarray, slots: int) -> Iterator[np.ndarray]:
         h = scramble(grams)
@@ -100,25 +112,25 @@ class LanguageFilter:
 
     @classmethod
     def build(cls, languages: list[str], grams: list[np.ndarray], slots: int) -> LanguageFilter:
-        if len(languages) > 64:
-            raise ValueError("the filter holds at most 64 languages")
-        kind = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64)
-                    if len(languages) <= 8 * np.dtype(t).itemsize)
-        masks = np.zeros(slots, dtype=kind)
+        sizes = [min(WORD_BITS, len(languages) - n) for n in range(0, len(languages), WORD_BITS)]
+        masks = [np.zeros(slots, dtype=cls.word(size)) for size in sizes]
         rates = np.zeros(len(languages))
         for n, own in enumerate(grams):
             mine = np.zeros(slots, dtype=bool)
             for place in cls.places(own, slots):
                 mine[place] = True
-            masks[mine] |= kind(1 << n)
+            words = masks[n // WORD_BITS]
+            words[mine] |= words.dtype.type(1 << n % WORD_BITS)
             rates[n] = mine.mean() ** HASHES
         return cls(languages, masks, rates)
 
-    def contained(self, grams: np.ndarray) -> np.ndarray:
-        """Bit mask of the languages that contain each n-gram."""
-        found = None
-        for place in self.places(grams, len(self.masks)):
-            found = self.masks[place] if found is None else found & self.masks[place]
+    def contained(self, grams: np.ndarray) -> list[np.ndarray]:
+        """Bit masks of the languages that contain each n-gram, an array for every 64 languages."""
+        slots = len(self.masks[0])
+        found: list[np.ndarray] = []
+        for place in self.places(grams, slots):
+            here = [words[place] for words in self.masks]
+            found = [a & b for a, b in zip(found, here, strict=True)] if found else here
         return found
 
     def hits(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -132,7 +144,8 @@ class LanguageFilter:
             total += whole
             found = self.contained(grams)
             for n in range(len(self.languages)):
-                bit = (found >> found.dtype.type(n)) & found.dtype.type(1)
+                words = found[n // WORD_BITS]
+                bit = (words >> words.dtype.type(n % WORD_BITS)) & words.dtype.type(1)
                 summed = np.concatenate([[0], np.cumsum(bit, dtype=np.int64)])
                 first = np.minimum(starts[:-1], len(grams))
                 hits[:, n] += summed[np.minimum(first + whole, len(grams))] - summed[first]
@@ -150,7 +163,10 @@ class LanguageFilter:
 def learn(
     docs: DataFrame, label: str = "lang", min_share: float = MIN_SHARE, slots_log2: int = SLOTS_LOG2
 ) -> LanguageFilter:
-    """The filter over all given rows. Only n-grams over the share reach the driver."""
+    """The filter over all given rows. Only n-grams over the share reach the driver.
+
+    There are at least ``2 ** slots_log2`` slots, and more where a smaller share keeps more n-grams.
+    """
     counts = gram_counts(docs, label)
     totals = counts.groupBy("lang").agg(F.sum("n").alias("all"))
     kept = (
@@ -164,7 +180,9 @@ def learn(
     languages = sorted(sizes.index, key=lambda name: (-sizes[name], name))
     by_name = dict(tuple(frame.groupby("lang")["gram"]))
     grams = [np.sort(by_name[name].to_numpy(dtype=np.int64)) for name in languages]
-    return LanguageFilter.build(languages, grams, 1 << slots_log2)
+    most = max(map(len, grams), default=0) * SLOTS_A_GRAM
+    slots = 1 << max(slots_log2, (most - 1).bit_length() if most else 0)
+    return LanguageFilter.build(languages, grams, slots)
 
 
 def has_letter(text: Column) -> Column:

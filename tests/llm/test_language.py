@@ -57,10 +57,10 @@ def test_filter_never_misses_and_rates_hold():
     own = [rng.integers(0, 1 << 40, 5000), rng.integers(0, 1 << 40, 20_000)]
     filter_ = language.LanguageFilter.build(["x", "y"], own, 1 << 16)
     for n, grams in enumerate(own):
-        assert ((filter_.contained(grams) >> n) & 1).all()
+        assert ((filter_.contained(grams)[0] >> n) & 1).all()
     strange = rng.integers(1 << 41, 1 << 42, 50_000)
     for n in range(2):
-        found = ((filter_.contained(strange) >> n) & 1).mean()
+        found = ((filter_.contained(strange)[0] >> n) & 1).mean()
         assert found == pytest.approx(filter_.rates[n], abs=0.02)
 
 
@@ -94,6 +94,23 @@ def test_nothing_learned_and_empty(spark, docs):
     assert language.predict(cases.empty(spark).drop("score"), model).collect() == []
 
 
-def test_too_many_languages():
-    with pytest.raises(ValueError, match="64"):
-        language.LanguageFilter.build([str(n) for n in range(65)], [], 8)
+@pytest.mark.parametrize("count", [3, 64, 65, 130])
+def test_any_number_of_languages(count):
+    """A filter of all languages answers as one filter for each of them alone."""
+    rng = np.random.default_rng(count)
+    texts = [bytes(rng.integers(97, 123, 400, dtype=np.uint8)) for _ in range(count)]
+    grams = [np.unique(language.ngrams(np.frombuffer(t, np.uint8), 4)) for t in texts]
+    names = [f"l{n}" for n in range(count)]
+    filter_ = language.LanguageFilter.build(names, grams, 1 << 16)
+    assert len(filter_.masks) == -(-count // 64)
+    assert filter_.judge(texts)[0] == names
+    _, hits = filter_.hits(texts)
+    for n in (0, count // 2, count - 1):
+        alone = language.LanguageFilter.build([names[n]], [grams[n]], 1 << 16)
+        assert (alone.hits(texts)[1][:, 0] == hits[:, n]).all()
+
+
+def test_more_ngrams_get_more_slots(docs):
+    few = language.learn(docs, slots_log2=4)
+    assert len(few.masks[0]) > 1 << 4
+    assert (few.rates < 0.02).all()

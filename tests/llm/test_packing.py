@@ -76,3 +76,19 @@ def test_few_sequences():
 
 def test_empty_table(spark):
     assert packing.pack_documents(cases.empty(spark), PATH).collect() == []
+
+
+def test_quick_ids_equal_the_tokenizers_for_every_letter_they_take(exact):
+    """Every code point below U+0280, alone and beside every kind of neighbour the splitting tells apart."""
+    encode = packing.Encoder(PATH)
+    points = [chr(c) for c in range(0x280)]
+    sides = ["", "a", "Z", "é", "7", " ", "  ", "\n", "\t", "\r", "\xa0", "\x85", "'", "'s", "!", "_", "²", "ª"]
+    texts = [f"{x}{c}{y}" for c in points for x in sides for y in sides]
+    texts += [f"a {c}{c} {c}'ll{c}" for c in points]
+    for start in range(0, len(texts), 50_000):
+        some = texts[start : start + 50_000]
+        slow = exact.encode_batch(some, add_special_tokens=False)
+        for text, wanted in zip(some, slow, strict=True):
+            assert np.frombuffer(encode(text), dtype="<u4").tolist() == wanted.ids, ascii(text)
+    pairs = "".join(a + b for a in points[:0x180:7] for b in points)
+    assert np.frombuffer(encode(pairs), dtype="<u4").tolist() == exact.encode(pairs, add_special_tokens=False).ids
