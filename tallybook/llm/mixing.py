@@ -350,29 +350,35 @@ def shuffled(slices: DataFrame, shards_log2: int = SHARDS_LOG2) -> DataFrame:
 
 
 def taken_words(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, size, source_size, target, taken: a row per document."""
+    """doc_id, size, source_size, target, taken, shards: a row per document.
+
+    ``shards`` are the output shards that the splitting tree gave its words to, in order.
+    """
     rows, slices = mix(docs, **options)
     keys = ["doc_id", "_text", "source", "_copy"]
-    taken = slices.groupBy(*keys).agg(F.sum("words").alias("taken"))
-    taken = taken.select(*[F.col(k).alias(f"t{k}") for k in keys], "taken")
+    taken = slices.groupBy(*keys).agg(
+        F.sum("words").alias("taken"), F.array_sort(F.collect_set("shard")).alias("shards")
+    )
+    taken = taken.select(*[F.col(k).alias(f"t{k}") for k in keys], "taken", "shards")
     same = rows["doc_id"].eqNullSafe(taken["tdoc_id"])
     same &= rows["source"].eqNullSafe(taken["tsource"])
     same &= (rows["_text"] == taken["t_text"]) & (rows["_copy"] == taken["t_copy"])
     return rows.join(taken, same, "left").select(
-        "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken")
+        "doc_id",
+        "size",
+        "source_size",
+        "target",
+        F.coalesce("taken", F.lit(0)).alias("taken"),
+        F.coalesce("shards", F.array().cast("array<int>")).alias("shards"),
     )
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix as documents: a row for each pass that takes words of a document.
-
-    A document taken whole keeps its text; of one taken in part the taken stretches stay,
-    with the white space inside them.
-    """
-    rows, slices = mix(docs, **options)
-    parts = slices.groupBy("doc_id", "_text", "source", "_copy", "epoch").agg(
+def taken_texts(docs: DataFrame, slices: DataFrame, *parts_of: str) -> DataFrame:
+    """_row, the columns of ``parts_of``, _key, _words, _out: the words the mix takes of each document, a row per part."""
+    parts = slices.groupBy("doc_id", "_text", "source", "_copy", *parts_of).agg(
         F.array_sort(F.collect_list(F.struct("first_word", "words"))).alias("_parts"),
         F.sum("words").alias("_words"),
+        F.min("shuffle_key").alias("_key"),
     )
     # a copy is a row of its own, so of equal rows each takes its own number
     old = F.col("_row.text")
@@ -394,8 +400,39 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     )
     size = F.regexp_count(old, F.lit(WORD))
     text = F.when(F.col("_words") == size, old).otherwise(F.array_join(stretch, ""))
-    out = once.join(parts, same).withColumn("_out", text)
+    return once.join(parts, same).select("_row", *parts_of, "_key", "_words", text.alias("_out"))
+
+
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """The mix as documents: a row for each pass that takes words of a document.
+
+    A document taken whole keeps its text; of one taken in part the taken stretches stay,
+    with the white space inside them.
+    """
+    _, slices = mix(docs, **options)
+    out = taken_texts(docs, slices, "epoch")
+    return out.select(*with_text(docs))
+
+
+def with_text(docs: DataFrame) -> list[Column]:
+    """The columns of ``docs`` with the taken text in place of the whole one."""
     new = {"text": F.col("_out")}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.length("_out").cast("bigint")
-    return out.select(*[new.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
+    return [new.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns]
+
+
+def write_shards(docs: DataFrame, path: str, shards_log2: int = SHARDS_LOG2, **options) -> DataFrame:
+    """The mix written as the splitting tree deals it: a folder a shard, each in its own random order.
+
+    Returns shard, words, rows for each shard. A written row is what a shard takes of a document in a pass: words, and
+    ``document`` with the columns of ``docs``, whatever their names. A document whose words go to two shards has a row in
+    both. A shard without words has no folder; an empty mix writes none.
+    """
+    _, slices = mix(docs, shards_log2=shards_log2, **options)
+    parts = taken_texts(docs, slices, "epoch", "shard")
+    dealt = parts.repartition(1 << shards_log2, "shard").sortWithinPartitions("shard", "_key", "epoch")
+    rows = dealt.select("shard", F.col("_words").alias("words"), F.struct(*with_text(docs)).alias("document"))
+    rows.write.partitionBy("shard").parquet(path)
+    kept = docs.sparkSession.read.schema(rows.schema).parquet(path)
+    return kept.groupBy("shard").agg(F.sum("words").alias("words"), F.count(F.lit(1)).alias("rows"))

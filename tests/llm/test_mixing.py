@@ -110,6 +110,32 @@ def test_mixed_texts_are_what_was_taken(spark):
     assert got == {k: v for k, v in taken.items() if v}
 
 
+def test_written_shards_hold_what_the_tree_gave_them(spark, tmp_path):
+    """Words of a shard, of a document, and the shards a document is said to be in, all from the files."""
+    docs = cases.documents(spark)
+    report = mixing.write_shards(docs, f"{tmp_path}/mix", shards_log2=2).collect()
+    _, slices = mixing.mix(docs, shards_log2=2)
+    given = {r["shard"]: r["w"] for r in slices.groupBy("shard").agg(F.sum("words").alias("w")).collect()}
+    assert {r["shard"]: r["words"] for r in report} == given
+    written = spark.read.parquet(f"{tmp_path}/mix").select("shard", "words", "document.doc_id", "document.text")
+    words, shards, order = defaultdict(int), defaultdict(set), []
+    for r in written.collect():
+        assert len(cases.WORD.findall(r["text"])) == r["words"]
+        words[r["doc_id"]] += r["words"]
+        shards[r["doc_id"]].add(r["shard"])
+        order.append((r["shard"], r["doc_id"]))
+    wanted, said = defaultdict(int), defaultdict(set)
+    for r in mixing.taken_words(docs, shards_log2=2).collect():
+        assert bool(r["shards"]) == (r["taken"] > 0)
+        wanted[r["doc_id"]] += r["taken"]
+        said[r["doc_id"]] |= set(r["shards"])
+    assert dict(words) == {k: v for k, v in wanted.items() if v}
+    assert shards == {k: v for k, v in said.items() if v}
+    first = [d for s, d in order if s == order[0][0] and d is not None]
+    assert first != sorted(first)
+    assert mixing.write_shards(cases.empty(spark), f"{tmp_path}/none").collect() == []
+
+
 def test_one_source_and_empty(spark):
     rows = [(i, "a b c d", None, "s", 7) for i in range(100)]
     found = mixing.taken_words(cases.frame(spark, rows)).toPandas()
