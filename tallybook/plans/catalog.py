@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tallybook import schemas as S
 from tallybook.functions import tokens
 from tallybook.functions.attribution import terminal_state
-from tallybook.operators import audit, budget, claims, ledger, metering, metrics, reconcile as rec
+from tallybook.operators import audit, budget, claims, ledger, long_text, metering, metrics, reconcile as rec
 from tallybook.operators.audit import Scenario
 from tallybook.operators.skew import running_sum
 from tallybook.plans import fixtures as fx
@@ -24,6 +25,7 @@ STREAM_BUDGET = {"capacity": 500, "refill_per_second": 40.0}
 CLAIMS = {"lease_ms": 180_000, "completed_ttl_ms": 240_000}
 DRAIN_TENANT = "s1-2"
 EXPIRY_CUTOFF = "2024-01-15 06:00:00"
+WORDS_AND_SIGNS = "[ ]?[A-Za-z0-9]+|[^A-Za-z0-9]"
 
 # Scenario names and the drift reasons each permits.
 SCENARIOS = (
@@ -387,6 +389,19 @@ def meter_streams(spark, folder):
     return metering.meter_streams(fx.stream_lines(spark, folder))
 
 
+def _words_and_signs():
+    """A small exact tokenizer that SQL can express: words with the blank before them, and single other signs."""
+    pattern = re.compile(WORDS_AND_SIGNS)
+    return lambda text: len(pattern.findall(text))
+
+
+@query
+def exact_counts(spark, folder):
+    lines = fx.stream_lines(spark, folder)
+    found = metering.meter_streams(lines, tokenizer=_words_and_signs(), cuts=long_text.WORD_THEN_BLANK)
+    return found.select("request_id", "completion_tokens", "exact")
+
+
 @query
 def running_tokens(spark, folder):
     return (

@@ -553,6 +553,11 @@ GROUP BY minute""",
 FROM streams""",
         "streams",
     ),
+    "exact_counts": sql(
+        f"""SELECT request_id, len(regexp_extract_all(text, '{c.WORDS_AND_SIGNS}')) AS completion_tokens,
+  TRUE AS exact FROM streams""",
+        "streams",
+    ),
     "running_tokens": sql(
         f"SELECT request_id, seq, {tokens('upto')} AS running_tokens FROM running WHERE chars > 0",
         "streams",
